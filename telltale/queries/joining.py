@@ -1 +1,366 @@
-"""Placeholder."""
+"""Joins and set operations over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from telltale import functions as T
+from telltale.operators import joins, sets
+from telltale.queries.registry import query
+
+_CVE = "'CVE-2024-' || lpad(CAST({} AS VARCHAR), 6, '0')"
+
+
+def _findings(t):
+    """Order lines as findings whose message names the part's id twice."""
+    cve = F.concat(F.lit("CVE-2024-"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"))
+    message = F.concat(F.lit("uses "), cve, F.lit(" and again "), cve)
+    return t.lineitem.select("l_orderkey", "l_linenumber", message.alias("message"))
+
+
+def _kev(t):
+    cve = F.concat(F.lit("CVE-2024-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
+    return t.part.filter("p_size > 40").select(cve.alias("cve_id"), F.col("p_brand").alias("vendor"))
+
+
+@query(
+    f"""
+    SELECT l_orderkey, l_linenumber, {_CVE.format("l_partkey")} AS cve_id FROM lineitem
+    WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40)
+    """,
+    headline=True,
+)
+def kev_semi(t):
+    """O-J1, semi."""
+    ids = joins.finding_cve_ids(_findings(t), "message").drop("message")
+    return joins.kev_semi(ids, _kev(t))
+
+
+@query(
+    f"""
+    SELECT l_orderkey, l_linenumber, {_CVE.format("l_partkey")} AS cve_id, p_brand AS vendor
+    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 40
+    """
+)
+def kev_inner(t):
+    """O-J1, inner."""
+    ids = joins.finding_cve_ids(_findings(t), "message").drop("message")
+    return joins.kev_inner(ids, _kev(t))
+
+
+@query(
+    """
+    SELECT c.c_custkey, c.c_acctbal, count(o_orderkey) AS n_logs,
+           arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS last_log
+    FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5) c LEFT JOIN orders ON c.c_custkey = o_custkey
+    GROUP BY ALL
+    """
+)
+def top_with_evidence(t):
+    """O-J2: the five customers of the highest balance and their orders as logs."""
+    logs = t.orders.withColumnRenamed("o_custkey", "c_custkey")
+    top = t.customer.select("c_custkey", "c_acctbal")
+    rank = [F.desc("c_acctbal"), "c_custkey"]
+    return joins.top_with_evidence(top, logs, "c_custkey", rank, 5, ["o_orderdate", "o_orderkey"], "o_orderpriority")
+
+
+@query(
+    """
+    WITH a AS (SELECT user_id, event_type, count(*) AS v FROM events WHERE ts < TIMESTAMP '2024-01-16' AND value > 60 GROUP BY ALL),
+         b AS (SELECT user_id, event_type, count(*) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND value > 60 GROUP BY ALL)
+    SELECT user_id, event_type, a.v AS prior, b.v AS current,
+           CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' ELSE 'changed' END AS status
+    FROM a FULL JOIN b USING (user_id, event_type) WHERE a.v IS DISTINCT FROM b.v
+    """,
+    headline=True,
+)
+def snapshot_diff(t):
+    """O-J3: user × event type in the first against the second half of the month."""
+    cut, keys = F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00")), ["user_id", "event_type"]
+    big = t.events.filter("value > 60")
+    count = F.count(F.lit(1)).alias("v")
+    prior = big.filter(F.col("ts") < cut).groupBy(*keys).agg(count)
+    current = big.filter(F.col("ts") >= cut).groupBy(*keys).agg(count)
+    return joins.snapshot_diff(prior, current, keys, "v")
+
+
+@query(
+    """
+    SELECT user_id, arg_max(props, ts) FILTER (event_type = 'error') AS old_value,
+           arg_max(props, ts) FILTER (event_type = 'signup') AS new_value
+    FROM events GROUP BY user_id
+    """
+)
+def last_pair(t):
+    """O-J4: errors are removed lines, signups added ones."""
+    sign = F.when(F.col("event_type") == "error", F.lit("-")).when(F.col("event_type") == "signup", F.lit("+"))
+    return joins.last_pair(t.events.withColumn("sign", sign), ["user_id"], "sign", ["ts"], "props")
+
+
+@query(
+    """
+    SELECT DISTINCT l_partkey AS name, 'blocked_but_used' AS gap FROM lineitem
+    WHERE l_quantity > 40 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)
+    UNION ALL
+    SELECT p_partkey, 'allowed_but_unused' FROM part
+    WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)
+    """
+)
+def allowlist_gaps(t):
+    """O-J5: large order lines against parts above size 10."""
+    used = t.lineitem.filter("l_quantity > 40").select(F.col("l_partkey").alias("name"))
+    allowed = t.part.filter("p_size > 10").select(F.col("p_partkey").alias("name"))
+    return joins.allowlist_gaps(used, allowed, "name")
+
+
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
+
+
+@query(
+    f"""
+    SELECT page_id, {_HOST} AS host FROM pages
+    WHERE {_HOST} IN (SELECT {_HOST} FROM pages GROUP BY 1 HAVING count(*) >= 6)
+    """
+)
+def blocklist_exact(t):
+    """O-J6: the list is the hosts with six pages or more."""
+    hosts = t.pages.select("page_id", T.url_host("url").alias("host"))
+    listed = hosts.groupBy("host").count().filter("count >= 6")
+    return joins.blocklist_exact(hosts, listed, "host")
+
+
+@query(
+    rf"""
+    WITH hosts AS (SELECT {_HOST} AS host, count(*) AS n_rows FROM pages GROUP BY 1),
+         listed AS (SELECT DISTINCT regexp_replace(host, '^[^.]*\.', '') AS entry FROM hosts WHERE n_rows >= 5
+                    UNION SELECT 'example.org')
+    SELECT host, n_rows, arg_max(entry, len(entry)) AS matched_entry
+    FROM hosts JOIN listed ON host = entry OR ends_with(host, '.' || entry) GROUP BY ALL
+    """
+)
+def blocklist_suffix(t):
+    """O-J7: parent names of frequent hosts, and one whole zone."""
+    hosts = t.pages.select(T.url_host("url").alias("host"))
+    parents = (
+        hosts.groupBy("host").count().filter("count >= 5").select(F.regexp_replace("host", r"^[^.]*\.", "").alias("host"))
+    )
+    zone = hosts.select(F.lit("example.org").alias("host")).distinct()
+    return joins.blocklist_suffix(hosts, parents.unionByName(zone), "host")
+
+
+@query(
+    """
+    SELECT conv_id AS image, turn AS pos, role AS created_by, sha256(text) AS digest, len(text) AS size
+    FROM conversations
+    """
+)
+def layer_table(t):
+    """O-J8: a turn is a layer; history, ids and layers meet on position, sizes on digest."""
+    turns = t.conversations.select(
+        F.col("conv_id").alias("image"),
+        F.col("turn").alias("pos"),
+        "role",
+        F.sha2("text", 256).alias("digest"),
+        F.length("text").cast("bigint").alias("size"),
+    )
+    history = turns.select("image", "pos", F.col("role").alias("created_by"))
+    diff_ids = turns.select("image", "pos")
+    layers = turns.select("image", "pos", "digest")
+    sources = turns.select("image", "digest", "size").distinct()
+    return joins.layer_table(history, diff_ids, layers, sources, "image")
+
+
+@query(
+    """
+    SELECT user_id, k, min(ts) FILTER (event_type = 'signup') AS added_at, max(ts) FILTER (event_type = 'error') AS removed_at
+    FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events) GROUP BY ALL
+    HAVING min(ts) FILTER (event_type = 'signup') < max(ts) FILTER (event_type = 'error')
+    """
+)
+def copied_then_removed(t):
+    """O-J9: signups add and errors remove the file ``k`` of a user."""
+    files = t.events.select("user_id", T.json_path("props", "k").alias("k"), "ts", "event_type")
+    return joins.copied_then_removed(files, ["user_id", "k"], "ts", "signup", "error", "event_type")
+
+
+@query(
+    """
+    SELECT a.c_custkey AS spdx_element_id, a.c_name AS source_name, b.n_nationkey AS related_spdx_element,
+           b.n_name AS target_name, 'VARIANT_OF' AS relationship_type
+    FROM customer a JOIN nation b ON a.c_nationkey = b.n_nationkey
+    """
+)
+def sbom_edges(t):
+    """O-J10, one level: customers are variants of their nation; the ids of both kinds are told apart by range."""
+    nation = t.nation.select((-1 - F.col("n_nationkey")).cast("bigint").alias("spdx_id"), F.col("n_name").alias("name"))
+    people = t.customer.select(F.col("c_custkey").alias("spdx_id"), F.col("c_name").alias("name"))
+    edges = t.customer.select(
+        F.col("c_custkey").alias("spdx_element_id"),
+        (-1 - F.col("c_nationkey")).cast("bigint").alias("related_spdx_element"),
+        F.lit("VARIANT_OF").alias("relationship_type"),
+    )
+    out = joins.sbom_edges(people.unionByName(nation), edges)
+    return out.withColumn("related_spdx_element", (-1 - F.col("related_spdx_element")).cast("int"))
+
+
+@query(
+    """
+    SELECT 'R' || r_regionkey AS spdx_id, CAST(0 AS INTEGER) AS depth FROM region
+    UNION ALL SELECT 'N' || n_nationkey, 1 FROM nation
+    UNION ALL SELECT 'C' || c_custkey, 2 FROM customer
+    UNION ALL SELECT DISTINCT 'O' || o_orderkey, 3 FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+    """
+)
+def sbom_reachable(t):
+    """O-J10 to a depth of three: region → nation → customer → order."""
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    edge = lambda df, a, b: df.select(a.alias("spdx_element_id"), b.alias("related_spdx_element"))
+    edges = (
+        edge(t.nation, key("R", "n_regionkey"), key("N", "n_nationkey"))
+        .unionByName(edge(t.customer, key("N", "c_nationkey"), key("C", "c_custkey")))
+        .unionByName(edge(t.orders, key("C", "o_custkey"), key("O", "o_orderkey")))
+    )
+    return joins.sbom_reachable(edges, t.region.select(key("R", "r_regionkey").alias("spdx_id")), 3)
+
+
+@query(
+    """
+    SELECT doc_id, sha256(text) AS digest, n AS n_signatures
+    FROM documents JOIN (SELECT sha256(d.text) AS digest, count(*) AS n FROM labels l JOIN documents d USING (doc_id)
+                         WHERE quality = 1 GROUP BY 1) s ON sha256(text) = s.digest
+    """
+)
+def signed_images(t):
+    """O-J11: documents labeled good are signed; exact copies share the signature."""
+    images = t.documents.select("doc_id", F.sha2("text", 256).alias("digest"))
+    signed = t.labels.filter("quality = 1").select("doc_id").join(images, "doc_id").select("digest")
+    return joins.signed_images(images, signed)
+
+
+@query(
+    """
+    SELECT doc_id, sha256(text) AS digest FROM documents
+    WHERE sha256(text) NOT IN (SELECT sha256(d.text) FROM labels JOIN documents d USING (doc_id))
+    """
+)
+def unsigned_images(t):
+    """O-J11, the images that nobody signed."""
+    images = t.documents.select("doc_id", F.sha2("text", 256).alias("digest"))
+    signed = t.labels.select("doc_id").join(images, "doc_id").select("digest")
+    return joins.unsigned_images(images, signed)
+
+
+@query(
+    """
+    WITH a AS (SELECT c_nationkey AS section, c_mktsegment AS key, count(*) AS v FROM customer WHERE c_acctbal > 5000 GROUP BY ALL),
+         b AS (SELECT c_nationkey AS section, c_mktsegment AS key, count(*) AS v FROM customer WHERE c_acctbal <= 5000 GROUP BY ALL)
+    SELECT section, key, a.v AS prior, b.v AS current,
+           CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' WHEN a.v = b.v THEN 'same' ELSE 'changed' END AS status
+    FROM a FULL JOIN b USING (section, key)
+    """
+)
+def report_diff(t):
+    """O-J12: settings of two scans by section and key, unchanged ones kept."""
+    counted = lambda df: df.groupBy(
+        F.col("c_nationkey").alias("section"), F.col("c_mktsegment").alias("key")
+    ).agg(F.count(F.lit(1)).alias("v"))
+    rich, poor = t.customer.filter("c_acctbal > 5000"), t.customer.filter("c_acctbal <= 5000")
+    return joins.snapshot_diff(counted(rich), counted(poor), ["section", "key"], "v", keep_same=True)
+
+
+@query(
+    """
+    SELECT user_id, a.t AS protocol_before, b.t AS protocol_after, a.s AS suite_before, b.s AS suite_after,
+           concat_ws(',', CASE WHEN a.t <> b.t THEN 'protocol' END, CASE WHEN a.s <> b.s THEN 'suite' END) AS changed
+    FROM (SELECT user_id, arg_max(event_type, ts) AS t, arg_max(props, ts) AS s FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1) a
+    JOIN (SELECT user_id, arg_max(event_type, ts) AS t, arg_max(props, ts) AS s FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1) b
+    USING (user_id)
+    """
+)
+def client_changes(t):
+    """O-J13: each user's last event in either half of the month."""
+    cut = F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00"))
+    last = lambda df: df.groupBy("user_id").agg(
+        F.max_by("event_type", "ts").alias("protocol"), F.max_by("props", "ts").alias("suite")
+    )
+    before, after = last(t.events.filter(F.col("ts") < cut)), last(t.events.filter(F.col("ts") >= cut))
+    return joins.client_changes(before, after, "user_id", ["protocol", "suite"])
+
+
+@query(
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey, p_name, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey
+    """,
+    headline=True,
+)
+def with_rule(t):
+    """O-J14."""
+    rules = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
+    return joins.with_rule(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), rules, "l_partkey")
+
+
+# --- sets -------------------------------------------------------------------
+
+
+@query(
+    """
+    SELECT DISTINCT name, '{"names":["' || name || '"],"action":"SCMP_ACT_ALLOW"}' AS rule
+    FROM (SELECT event_type || '_' || json_extract_string(props, '$.k') AS name FROM events)
+    """
+)
+def derive_allowlist(t):
+    """O-U1."""
+    names = t.events.select(F.concat("event_type", F.lit("_"), T.json_path("props", "k")).alias("name"))
+    return sets.derive_allowlist(names, "name")
+
+
+@query(
+    """
+    SELECT coalesce(a.k, b.k) AS partkey, CASE WHEN b.k IS NULL THEN 'only_first' WHEN a.k IS NULL THEN 'only_second' ELSE 'common' END AS side
+    FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45) a
+    FULL JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) b ON a.k = b.k
+    """,
+    headline=True,
+)
+def compare_sets(t):
+    """O-U2."""
+    big = t.lineitem.filter("l_quantity > 45")
+    side = lambda flag: big.filter(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("partkey"))
+    return sets.compare_sets(side("A"), side("R"), "partkey")
+
+
+@query(
+    """
+    SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT ALL SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R'
+    """
+)
+def only_in_first(t):
+    """O-U2, the multiset difference."""
+    side = lambda flag: t.lineitem.filter(F.col("l_returnflag") == flag).select("l_suppkey")
+    return sets.only_in_first(side("A"), side("R"))
+
+
+@query(
+    """
+    SELECT CAST(1 AS INTEGER) AS ordinal, event_id, 'failed' AS part FROM events WHERE event_type = 'error'
+    UNION ALL SELECT 2, event_id, 'bought' FROM events WHERE event_type = 'purchase'
+    UNION ALL SELECT 3, event_id, 'all' FROM events
+    """
+)
+def ordered_union(t):
+    """O-U3."""
+    part = lambda df, name: df.select("event_id", F.lit(name).alias("part"))
+    return sets.ordered_union(
+        [
+            part(t.events.filter("event_type = 'error'"), "failed"),
+            part(t.events.filter("event_type = 'purchase'"), "bought"),
+            part(t.events, "all"),
+        ]
+    )
+
+
+@query("SELECT user_id, ts, event_type FROM events", headline=True)
+def dedup_rerun(t):
+    """O-U4: the same load twice."""
+    load = t.events.select("user_id", "ts", "event_type")
+    return sets.dedup_rerun(load.unionByName(load), ["user_id", "ts", "event_type"])
