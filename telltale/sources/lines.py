@@ -34,12 +34,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = (
         spark.read.option("recursiveFileLookup", "true")
+        .option("lineSep", "\n")
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias(BLOCK),
             F.monotonically_increasing_id().alias("_pos"),
-            F.col("value").alias("line"),
+            F.regexp_replace("value", "\r$", "").alias("line"),
         )
     )
     numbered = row_index(cut(raw), ["path"], ["_pos"], "line_no", F.col(BLOCK))
