@@ -1 +1,146 @@
-"""Placeholder."""
+"""The end-to-end jobs over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from telltale.plans import actions, benchmark, findings, webhooks
+from telltale.queries.registry import query
+
+_RANKED = """
+    SELECT s.*, coalesce(n, 0) AS n_logs, last_log FROM (
+      SELECT *, row_number() OVER (PARTITION BY scan ORDER BY score DESC, rule_id) AS rank FROM (
+        SELECT scan, rule_id, severity, locations, p_size > 40 AS in_kev,
+               severity * 100 + CASE WHEN p_size > 40 THEN 50 ELSE 0 END + least(locations, 49) AS score
+        FROM (SELECT l_returnflag AS scan, l_partkey AS rule_id, max(l_linenumber) AS severity, count(DISTINCT l_suppkey) AS locations
+              FROM lineitem GROUP BY ALL) JOIN part ON rule_id = p_partkey)) s
+    LEFT JOIN (SELECT o_custkey, count(*) AS n, arg_max(o_orderpriority, o_orderkey) AS last_log FROM orders GROUP BY 1) ON o_custkey = rule_id
+    WHERE rank <= 5
+"""
+
+
+def _ranked(t):
+    cve = lambda c: F.concat(F.lit("CVE-2024-"), F.lpad(F.col(c).cast("string"), 6, "0"))
+    found = t.lineitem.select(
+        F.col("l_returnflag").alias("scan"),
+        F.col("l_partkey").alias("rule_id"),
+        F.col("l_linenumber").alias("severity"),
+        F.concat(F.lit("affected by "), cve("l_partkey")).alias("message"),
+        F.col("l_suppkey").alias("uri"),
+    )
+    kev = t.part.filter("p_size > 40").select(cve("p_partkey").alias("cve_id"))
+    logs = t.orders.select(
+        F.col("o_custkey").alias("rule_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("line")
+    )
+    return findings.findings_report(found, kev, logs)
+
+
+@query(
+    f"SELECT scan, rule_id, severity, locations, in_kev, score, CAST(rank AS INTEGER) AS rank, n_logs, last_log FROM ({_RANKED})",
+    headline=True,
+)
+def findings_report(t):
+    """Order lines as findings, parts as catalog, orders as logs."""
+    return _ranked(t)
+
+
+@query(
+    f"""
+    WITH r AS ({_RANKED})
+    SELECT CAST(1 AS INTEGER) AS ordinal, CAST(i AS INTEGER) AS part, ['# Findings report', '_Generated: 2024-02-01T00:00:00Z_', '_Source: lineitem_'][i + 1] AS text
+    FROM range(3) x(i)
+    UNION ALL SELECT CAST(o AS INTEGER), CAST(i AS INTEGER), ['', '---', '', '## ' || title, ''][i + 1]
+    FROM (VALUES (2, 'Top findings'), (4, 'Log evidence'), (6, 'Catalog cross-reference'), (8, 'Talking points')) v(o, title), range(5) x(i)
+    UNION ALL SELECT 3, 0, '1. ' || scan || ' / ' || rule_id || ': ' || score FROM r
+    UNION ALL SELECT 5, 0, '- ' || rule_id || ': ' || n_logs || ' log lines' FROM r WHERE n_logs > 0
+    UNION ALL SELECT 7, 0, '- ' || scan || ' / ' || rule_id FROM r WHERE in_kev
+    UNION ALL SELECT 9, 0, '- ' || scan || ': ' || rule_id FROM r WHERE rank <= 3
+    """
+)
+def findings_text(t):
+    """The same as report lines."""
+    text = findings.report_text(_ranked(t), "2024-02-01T00:00:00Z", "lineitem")
+    return text.drop("line_key")
+
+
+@query(
+    """
+    SELECT event_id, 'u' || user_id AS username, event_type AS target_repo, ts AS event_timestamp
+    FROM events WHERE event_type <> 'error' ORDER BY ts DESC, event_id DESC LIMIT 5
+    """
+)
+def latest_webhooks(t):
+    """Deliveries sent twice; errors lack a repository name."""
+    payload = F.to_json(
+        F.struct(
+            F.struct(
+                F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("login")).alias("owner"),
+                F.when(F.col("event_type") != "error", F.col("event_type")).alias("name"),
+            ).alias("repository")
+        )
+    )
+    sent = t.events.select("event_id", "ts", payload.alias("payload"))
+    return webhooks.latest_webhooks(sent.unionByName(sent), "payload", "ts", "event_id")
+
+
+@query(
+    """
+    WITH c AS (SELECT user_id, arg_max(k, event_id) FILTER (event_type IN ('error', 'click')) AS o,
+                      arg_max(k, event_id) FILTER (event_type NOT IN ('error', 'click')) AS n
+               FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY user_id),
+         caps AS (SELECT p_size AS ref, p_brand AS file, p_type AS rule_id, max(1 + p_partkey % 4) AS s FROM part GROUP BY ALL),
+         a AS (SELECT user_id, file, rule_id, s FROM c JOIN caps ON o = ref), b AS (SELECT user_id, file, rule_id, s FROM c JOIN caps ON n = ref)
+    SELECT 'change-' || user_id AS path, file, rule_id, CAST(a.s AS INTEGER) AS prior, CAST(b.s AS INTEGER) AS current,
+           CASE WHEN a.s IS NULL THEN 'added' WHEN b.s IS NULL THEN 'removed' ELSE 'changed' END AS status,
+           CAST(greatest(a.s, b.s) AS INTEGER) AS risk_score
+    FROM a FULL JOIN b USING (user_id, file, rule_id) WHERE a.s IS DISTINCT FROM b.s AND greatest(a.s, b.s) >= 3
+    """,
+    headline=True,
+)
+def action_diff(t):
+    """A change per user whose events are diff lines; parts give the capabilities of each version."""
+    k = F.get_json_object("props", "$.k")
+    sign = F.when(F.col("event_type").isin("error", "click"), F.lit("-")).otherwise(F.lit("+"))
+    line = F.concat(sign, F.lit("      - uses: acme/scan@v"), k, F.lit(" # pinned"))
+    head = F.concat(F.lit("+++ b/w"), F.col("event_id").cast("string"))
+    path = F.concat(F.lit("change-"), F.col("user_id").cast("string"))
+    lines = t.events.select(path.alias("path"), "event_id", F.posexplode(F.array(head, line)).alias("i", "line"))
+    changes = actions.action_changes(lines.select("path", (F.col("event_id") * 2 + F.col("i")).alias("line_no"), "line"))
+    caps = (
+        t.part.select(
+            F.lit("scan").alias("repo"),
+            F.concat(F.lit("v"), F.col("p_size").cast("string")).alias("ref"),
+            F.col("p_brand").alias("file"),
+            F.col("p_type").alias("rule_id"),
+            (1 + F.col("p_partkey") % 4).cast("int").alias("risk_score"),
+        )
+        .groupBy("repo", "ref", "file", "rule_id")
+        .agg(F.max("risk_score").alias("risk_score"))
+    )
+    return actions.capability_changes(changes, caps)
+
+
+@query(
+    """
+    SELECT *, printf('%.2f', prompt_rate) AS prompt_rate_text, printf('%.2f', eval_rate) AS eval_rate_text, printf('%.2f', total_rate) AS total_rate_text
+    FROM (SELECT *, total_prompt_tokens / nullif(total_prompt_ns / 1e9, 0) AS prompt_rate, total_eval_tokens / nullif(total_eval_ns / 1e9, 0) AS eval_rate,
+                 (total_prompt_tokens + total_eval_tokens) / nullif((total_prompt_ns + total_eval_ns) / 1e9, 0) AS total_rate,
+                 total_eval_tokens / n_runs AS avg_eval_tokens
+          FROM (SELECT p_brand AS model, count(*) AS n_runs,
+                       CAST(sum(CASE WHEN l_discount = 0 THEN 0 ELSE CAST(l_quantity AS BIGINT) END) AS BIGINT) AS total_prompt_tokens,
+                       CAST(sum(l_linenumber * 250000000) AS BIGINT) AS total_prompt_ns,
+                       CAST(sum(CAST(round(l_extendedprice) AS BIGINT)) AS BIGINT) AS total_eval_tokens,
+                       CAST(sum(CAST(round(l_tax * 100) AS BIGINT) * 1000000000) AS BIGINT) AS total_eval_ns
+                FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand NOT IN ('Brand#2', 'Brand#17') GROUP BY ALL))
+    """
+)
+def model_benchmark(t):
+    """Brands are models, order lines their runs; undiscounted lines miss the prompt count."""
+    runs = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("model")), "l_partkey").select(
+        "model",
+        F.when(F.col("l_discount") == 0, F.lit(-1).cast("bigint")).otherwise(F.col("l_quantity").cast("bigint")).alias("prompt_eval_count"),
+        (F.col("l_linenumber").cast("bigint") * 250000000).alias("prompt_eval_duration"),
+        F.round("l_extendedprice").cast("bigint").alias("eval_count"),
+        (F.round(F.col("l_tax") * 100).cast("bigint") * 1000000000).alias("eval_duration"),
+    )
+    return benchmark.model_benchmark(runs, ["Brand#2", "Brand#17"])
