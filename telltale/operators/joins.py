@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telltale.functions import extract_cve_ids
+from telltale.session import cut
 
 
 def finding_cve_ids(findings: DataFrame, text: str) -> DataFrame:
@@ -155,13 +156,15 @@ def sbom_edges(packages: DataFrame, relationships: DataFrame) -> DataFrame:
 def sbom_reachable(relationships: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """Nodes within ``depth`` edges of the roots, with their least distance.
 
-    Each level joins the frontier to the edges and drops nodes already seen.
+    Each level joins the frontier to the edges and drops nodes already seen. It
+    is written before the next one reads it, as every later level would
+    otherwise compute it twice over.
     """
     edges = relationships.select("spdx_element_id", "related_spdx_element").distinct()
     frontier = roots.select("spdx_id").distinct().withColumn("depth", F.lit(0))
     seen = frontier
     for level in range(1, depth + 1):
-        frontier = (
+        frontier = cut(
             frontier.select(F.col("spdx_id").alias("spdx_element_id"))
             .join(edges, "spdx_element_id")
             .select(F.col("related_spdx_element").alias("spdx_id"))

@@ -29,8 +29,15 @@ def compare_sets(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
     return sides.select(on, where.alias("side"))
 
 
-def only_in_first(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.exceptAll(b)
+def only_in_first(a: DataFrame, b: DataFrame, name: str = "n_extra") -> DataFrame:
+    """Multiset difference as distinct rows with the number of copies left over.
+
+    ``exceptAll`` would expand those copies again, and a row that makes up a
+    third of the data would come out of a single task.
+    """
+    tagged = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1)))
+    left = tagged.groupBy(*a.columns).agg(F.sum("_n").alias(name))
+    return left.filter(F.col(name) > 0)
 
 
 def ordered_union(parts: list[DataFrame], name: str = "ordinal") -> DataFrame:

@@ -331,7 +331,9 @@ def compare_sets(t):
 
 @query(
     """
-    SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT ALL SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R'
+    SELECT l_suppkey, count(*) AS n_extra
+    FROM (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT ALL SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')
+    GROUP BY ALL
     """
 )
 def only_in_first(t):

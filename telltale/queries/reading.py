@@ -666,12 +666,10 @@ def append_event(t):
         F.when(F.col("event_type") != "error", F.concat(F.lit("u"), _string("user_id"))).alias("username"),
         F.col("event_type").alias("target_repo"),
     )
-    good, bad = fresh_path(t.spark, "events"), fresh_path(t.spark, "quarantine")
-    half = F.col("target_repo") < "d"
-    for load in (rows.filter(half), rows.filter(~half)):
-        sinks.append_event(load, good, bad, ["username", "target_repo"])
-    read = lambda path: t.spark.read.schema(rows.schema).parquet(path)
-    return read(good).withColumn("accepted", F.lit(True)).unionByName(read(bad).withColumn("accepted", F.lit(False)))
+    path, early = fresh_path(t.spark, "events"), F.col("target_repo") < "d"
+    for load in (rows.filter(early), rows.filter(~early)):
+        sinks.append_event(load, path, ["username", "target_repo"])
+    return t.spark.read.parquet(path).withColumn("accepted", F.col("accepted").cast("boolean"))
 
 
 @query(

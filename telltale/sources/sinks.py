@@ -9,19 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telltale.operators.sets import ordered_union
+from telltale.session import cut
 
 
-def split_valid(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows with every required field, and the rest."""
-    missing = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in required))
-    return df.filter(~missing), df.filter(missing)
+def append_event(df: DataFrame, path: str, required: list[str]) -> None:
+    """Append events; incomplete ones go to the quarantine partition ``accepted=false``.
 
-
-def append_event(df: DataFrame, path: str, quarantine: str, required: list[str]) -> None:
-    """Append complete events; incomplete ones go to the quarantine path instead of being lost."""
-    good, bad = split_valid(df, required)
-    good.write.mode("append").parquet(path)
-    bad.write.mode("append").parquet(quarantine)
+    One pass writes both, and a reader of accepted events never opens the others.
+    """
+    complete = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in required))
+    df.withColumn("accepted", complete).write.mode("append").partitionBy("accepted").parquet(path)
 
 
 def report_lines(header: list[str], sections: list[tuple[str, DataFrame]], order: list[str], text: str) -> DataFrame:
@@ -49,7 +46,11 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def with_empty_fallback(df: DataFrame, fallback: DataFrame) -> DataFrame:
-    """``df``, or the fallback rows when it is empty. At most one row of ``df`` decides."""
+    """``df``, or the fallback rows when it is empty.
+
+    The result is written once; one row of the written copy decides.
+    """
+    df = cut(df)
     some = df.limit(1).select(F.lit(1).alias("_k"))
     spare = fallback.withColumn("_k", F.lit(1)).join(some, "_k", "left_anti").drop("_k")
     return df.unionByName(spare)
