@@ -82,20 +82,33 @@ def row_index(
 
 
 def carry_forward(
-    df: DataFrame, by: list[str], order: list[str], value: str, name: str, block: Column | None = None
+    df: DataFrame,
+    by: list[str],
+    order: list[str],
+    value: str | list[str],
+    name: str | list[str],
+    block: Column | None = None,
 ) -> DataFrame:
-    """The last non-null ``value`` seen so far, this row included."""
-    cols = [c for c in df.columns if c != name] + [name]
+    """The last non-null ``value`` seen so far, this row included; several values share one scan."""
+    values, names = ([value], [name]) if isinstance(value, str) else (value, name)
+    cols = [c for c in df.columns if c not in names] + names
     blocked = _blocked(df, by, order, block)
     inner = W.partitionBy(*by, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = blocked.withColumn("_local", F.last(value, ignorenulls=True).over(inner))
+    last = [F.last(v, ignorenulls=True).over(inner).alias(f"_l{i}") for i, v in enumerate(values)]
+    local = blocked.select("*", *last)
+    in_block = [
+        F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"_b{i}") for i, v in enumerate(values)
+    ]
+    so_far = [F.last(f"_b{i}", ignorenulls=True).over(_earlier(by)).alias(f"v{i}") for i in range(len(values))]
     before = (
         blocked.groupBy(*by, BLOCK)
-        .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
-        .withColumn("_before", F.last("_last", ignorenulls=True).over(_earlier(by)))
+        .agg(*in_block)
+        .select(*by, BLOCK, *so_far)
+        .select(*by, BLOCK, F.struct(*(f"v{i}" for i in range(len(values)))).alias("_before"))
     )
     out = _add_before(local, before, by)
-    return out.withColumn(name, F.coalesce("_local", "_before")).select(*cols)
+    carried = {n: F.coalesce(f"_l{i}", f"_before.v{i}") for i, n in enumerate(names)}
+    return out.withColumns(carried).select(*cols)
 
 
 def previous(

@@ -73,7 +73,12 @@ def merge_continuations(
     """
     marked = df.withColumn("_start", F.when(is_start, F.col(line_no)))
     started = carry_forward(marked, by, [line_no], "_start", "start_line", block)
-    return started.groupBy(*by, "start_line").agg(
+    return glue_lines(started, [*by, "start_line"], line_no, text)
+
+
+def glue_lines(df: DataFrame, by: list[str], line_no: str, text: str) -> DataFrame:
+    """One row per entry with its trimmed lines in order."""
+    return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.expr(f"listagg(trim(`{text}`), ' ') WITHIN GROUP (ORDER BY `{line_no}`)").alias("text"),
     )
@@ -99,14 +104,11 @@ def cumulative_size(df: DataFrame, by: list[str], pos: str, size: str, block: Co
     return running_sum(df, by, [pos], size, "cumulative_size", block)
 
 
-def flag_ambiguous(headings: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+def flag_ambiguous(df: DataFrame, by: list[str], is_table: Column) -> DataFrame:
     """Tables per heading; anything but one leaves the assignment open.
 
-    ``rows`` holds one row per table header with the heading it follows.
+    ``df`` holds the headings themselves and their table headers, each with its
+    heading in ``by``, so one aggregation also finds headings without a table.
     """
-    counted = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_tables"))
-    return (
-        headings.join(counted, by, "left")
-        .withColumn("n_tables", F.coalesce("n_tables", F.lit(0)))
-        .withColumn("ambiguous", F.col("n_tables") != 1)
-    )
+    counted = df.groupBy(*by).agg(F.count_if(is_table).alias("n_tables"))
+    return counted.withColumn("ambiguous", F.col("n_tables") != 1)

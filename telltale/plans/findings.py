@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from telltale.functions import extract_cve_ids
 from telltale.operators.windows import impact_score, top_per_group
+from telltale.session import cut
 from telltale.sources.sinks import report_lines
 
 
@@ -35,7 +36,9 @@ def attach_logs(top: DataFrame, logs: DataFrame) -> DataFrame:
     """Log count and latest log line per ranked rule; rules without logs stay.
 
     ``logs``: (rule_id, seq, line). Only logs of ranked rules are aggregated.
+    The ranking is read twice, so it is written first; it has a few rows per scan.
     """
+    top = cut(top)
     hit = logs.join(top.select("rule_id").distinct(), "rule_id", "left_semi")
     evidence = hit.groupBy("rule_id").agg(
         F.count(F.lit(1)).alias("n_logs"), F.max_by("line", "seq").alias("last_log")
@@ -50,6 +53,7 @@ def findings_report(findings: DataFrame, kev: DataFrame, logs: DataFrame, n: int
 
 def report_text(ranked: DataFrame, generated: str, source: str) -> DataFrame:
     """The markdown report as ordered lines; ``generated`` is a parameter, not the clock."""
+    ranked = cut(ranked)
     line = lambda *parts: F.concat(*parts).alias("text")
     place = [F.col("scan").alias("scan"), F.col("rank").alias("rank")]
     score = ranked.select(

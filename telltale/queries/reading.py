@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telltale import functions as T
+from telltale.operators.joins import layer_table
 from telltale.operators.nested import lines_of
 from telltale.queries.registry import query
 from telltale.session import fresh_path
@@ -459,18 +460,8 @@ def _digest(x, i):
     return F.sha2(F.concat(i.cast("string"), F.lit(":"), x), 256)
 
 
-@query(
-    f"""
-    SELECT doc_id, pos, l AS created_by, TIMESTAMP '2024-05-06 07:08:09.123456' AS created, 'sha256:d' || pos AS diff_id,
-           'sha256:' || sha256(pos || ':' || l) AS digest, 'application/vnd.oci.image.layer.v1.tar' AS media_type, len(l) AS size
-    FROM {_LINES}
-    """,
-    headline=True,
-)
-def image_layers(t):
-    """O-S11, O-J8: history ⋈ diff ids ⋈ layers ⋈ sources of a config and a manifest per document."""
-    from telltale.operators.joins import layer_table
-
+def _image_documents(t) -> tuple[DataFrame, DataFrame]:
+    """A config and a manifest per document, a layer per line."""
     step = lambda x, i: F.struct(F.lit("2024-05-06T07:08:09.123456789Z").alias("created"), x.alias("created_by"))
     config = F.struct(
         _text_lines(step).alias("history"),
@@ -488,11 +479,38 @@ def image_layers(t):
     )
     configs = t.documents.select("doc_id", F.to_json(config).alias("content"))
     manifests = t.documents.select("doc_id", F.to_json(manifest).alias("content"))
+    return configs, manifests
+
+
+@query(
+    f"""
+    SELECT doc_id, pos, l AS created_by, TIMESTAMP '2024-05-06 07:08:09.123456' AS created, 'sha256:d' || pos AS diff_id,
+           'sha256:' || sha256(pos || ':' || l) AS digest, 'application/vnd.oci.image.layer.v1.tar' AS media_type, len(l) AS size
+    FROM {_LINES}
+    """,
+    headline=True,
+)
+def image_layers(t):
+    """O-S11, O-J8: a config and a manifest per document; only the two documents have to be joined."""
+    configs, manifests = _image_documents(t)
+    layers = D.parse_image_layers(configs, ["doc_id"])
+    return layers.join(D.parse_manifest(manifests, ["doc_id"]), ["doc_id", "pos"], "inner")
+
+
+@query(
+    f"""
+    SELECT doc_id, pos, l AS created_by, 'sha256:d' || pos AS diff_id, 'sha256:' || sha256(pos || ':' || l) AS digest, len(l) AS size
+    FROM {_LINES}
+    """
+)
+def image_layer_tables(t):
+    """O-S11, O-J8 from the flattened tables, as four relations."""
+    configs, manifests = _image_documents(t)
     return layer_table(
-        D.parse_image_history(configs, ["doc_id"]),
+        D.parse_image_history(configs, ["doc_id"]).drop("created"),
         D.parse_image_diff_ids(configs, ["doc_id"]),
         D.parse_manifest_layers(manifests, ["doc_id"]),
-        D.parse_manifest_sources(manifests, ["doc_id"]),
+        D.parse_manifest_sources(manifests, ["doc_id"]).drop("media_type"),
         "doc_id",
     )
 

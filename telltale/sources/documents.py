@@ -323,6 +323,38 @@ MANIFEST = (
 )
 
 
+def parse_image_layers(df: DataFrame, keep: list[str]) -> DataFrame:
+    """(pos, created, created_by, diff_id) per layer.
+
+    History and layer ids sit in one document, so they are paired by position
+    there and need no join; history entries without a layer are left out.
+    """
+    with_layer = F.filter("d.history", lambda h: ~F.coalesce(h["empty_layer"], F.lit(False)))
+    pairs = F.arrays_zip(with_layer.alias("h"), F.col("d.rootfs.diff_ids").alias("diff_id"))
+    return (
+        _doc(df, IMAGE_CONFIG, keep)
+        .select(*keep, F.posexplode(pairs).alias("pos", "p"))
+        .select(
+            *keep,
+            "pos",
+            F.try_to_timestamp(F.col("p.h.created")).cast("timestamp_ntz").alias("created"),
+            F.col("p.h.created_by").alias("created_by"),
+            F.col("p.diff_id").alias("diff_id"),
+        )
+    )
+
+
+def parse_manifest(df: DataFrame, keep: list[str]) -> DataFrame:
+    """(pos, digest, media_type, size) per layer, the source looked up by digest in the same document."""
+    digest = F.regexp_replace("layer", "^blobs/sha256/", "sha256:")
+    return (
+        df.select(*keep, F.explode(F.from_json("content", MANIFEST)).alias("m"))
+        .select(*keep, "m", F.posexplode("m.Layers").alias("pos", "layer"))
+        .select(*keep, "pos", digest.alias("digest"), F.try_element_at("m.LayerSources", digest).alias("s"))
+        .select(*keep, "pos", "digest", F.col("s.mediaType").alias("media_type"), F.col("s.size").alias("size"))
+    )
+
+
 def parse_image_history(df: DataFrame, keep: list[str]) -> DataFrame:
     """(pos, created, created_by) per history entry."""
     return (

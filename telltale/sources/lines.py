@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from telltale.functions import kv_string_to_map, split_evidence
 from telltale.operators.ordered import BLOCK, carry_forward, line_block, row_index
-from telltale.operators.windows import flag_ambiguous, merge_continuations
+from telltale.operators.windows import flag_ambiguous, glue_lines
 from telltale.session import cut
 
 LINES = "path string, line_no bigint, line string"
@@ -165,12 +165,10 @@ def parse_capability_md(lines: DataFrame) -> DataFrame:
 
 def capability_headings(lines: DataFrame) -> DataFrame:
     """One row per heading with its number of tables and an ``ambiguous`` flag."""
-    marked = _under_heading(lines, F.col("line").rlike(TABLE_HEAD)).select(
-        F.col("path").alias("report"), "line", *_heading_columns()
-    )
-    headings = marked.filter(F.col("line").rlike(HEADING)).drop("line")
-    tables = marked.filter(F.col("line").rlike(TABLE_HEAD))
-    return flag_ambiguous(headings, tables, ["report", "heading_line"])
+    is_table = F.col("line").rlike(TABLE_HEAD)
+    marked = _under_heading(lines, is_table).filter(F.col("_mark").isNotNull())
+    rows = marked.select(F.col("path").alias("report"), is_table.alias("is_table"), *_heading_columns())
+    return flag_ambiguous(rows, ["report", "heading_line", "image", "file", "file_level"], F.col("is_table"))
 
 
 # --- TLS reports ------------------------------------------------------------
@@ -189,18 +187,23 @@ def parse_tls_settings(lines: DataFrame) -> DataFrame:
     is_suite = F.col("line").rlike(SUITE)
     is_start = F.col("line").rlike(SETTING) & ~is_section & ~is_suite & ~F.col("line").rlike(CONTINUED)
     is_more = F.col("line").rlike(CONTINUED)
-    kept = lines.filter(is_section | is_start | is_more).withColumn(
-        "_section", F.when(is_section, F.trim(F.regexp_extract("line", SECTION, 1)))
+    # Section and entry are carried in one scan; a new section ends the entry above it.
+    start = F.struct(F.when(is_start, F.col("line_no")).alias("line_no"))
+    kept = lines.filter(is_section | is_start | is_more).select(
+        "*",
+        F.when(is_section, F.trim(F.regexp_extract("line", SECTION, 1))).alias("_section"),
+        F.when(is_section | is_start, start).alias("_start"),
+    )
+    placed = carry_forward(
+        kept, ["path"], ["line_no"], ["_section", "_start"], ["section", "entry"], line_block("line_no")
     )
-    placed = carry_forward(kept, ["path"], ["line_no"], "_section", "section", line_block("line_no"))
-    body = placed.filter(F.col("_section").isNull()).drop("_section")
-    body = body.filter(is_more | is_start)
-    merged = merge_continuations(
-        body.withColumn("_line", F.col("line")), ["path", "section"], "line_no", "_line", is_start, line_block("line_no")
+    body = placed.filter(F.col("_section").isNull() & F.col("entry.line_no").isNotNull())
+    merged = glue_lines(
+        body.withColumn("start_line", F.col("entry.line_no")), ["path", "section", "start_line"], "line_no", "line"
     )
     # Continuations are glued with one space, so the key still ends at the first gap.
     text = F.concat(F.lit(" "), F.col("text"))
-    return merged.filter(F.col("start_line").isNotNull()).select(
+    return merged.select(
         F.col("path").alias("scan"),
         "section",
         F.col("start_line").alias("line_no"),
