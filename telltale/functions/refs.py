@@ -56,10 +56,9 @@ def markdown_item(title: ColumnLike, url: ColumnLike, blurb: ColumnLike) -> Colu
 
 def parse_image_ref(ref: ColumnLike) -> Column:
     """struct(registry, repo, tag); a registry is a first part that looks like a host."""
-    value = F.trim(col(ref))
-    last_part = F.substring_index(value, "/", -1)
-    tag = F.nullif(F.regexp_extract(last_part, r":([^:@]+)(?:@.*)?$", 1), F.lit(""))
-    path = F.regexp_replace(value, r"(:[^:/@]+)?(@[^/]*)?$", "")
+    value = F.substring_index(F.trim(col(ref)), "@", 1)
+    tag = F.nullif(F.regexp_extract(F.substring_index(value, "/", -1), r":([^:]+)$", 1), F.lit(""))
+    path = F.regexp_replace(value, r":[^:/]+$", "")
     registry = F.nullif(
         F.regexp_extract(path, r"^((?:[^/]*[.:][^/]*)|localhost)/", 1), F.lit("")
     )

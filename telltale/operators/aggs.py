@@ -124,7 +124,7 @@ def concat_in_order(
     over many tasks and values and can be read back in part order.
     """
     glue = delimiter.replace("\\", "\\\\").replace("'", "\\'")
-    return df.groupBy(*by, F.floor(F.col(seq) / F.lit(part_size)).cast("bigint").alias("part")).agg(
+    return df.groupBy(*by, F.expr(f"`{seq}` div {part_size}").alias("part")).agg(
         F.count(F.lit(1)).alias("n"),
         F.expr(f"listagg(`{text}`, '{glue}') WITHIN GROUP (ORDER BY `{seq}`)").alias("text"),
     )

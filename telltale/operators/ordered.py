@@ -26,7 +26,7 @@ LINES_PER_BLOCK = 1 << 16
 
 def line_block(line_no: str, lines: int = LINES_PER_BLOCK) -> Column:
     """Block id of a line number or of any other position that is unique per group."""
-    return F.floor(F.col(line_no) / F.lit(lines)).cast("bigint")
+    return F.expr(f"`{line_no}` div {lines}")
 
 
 def range_blocks(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -73,13 +73,14 @@ def merge_continuations(
     """
     marked = df.withColumn("_start", F.when(is_start, F.col(line_no)))
     started = carry_forward(marked, by, [line_no], "_start", "start_line", block)
-    return glue_lines(started, [*by, "start_line"], line_no, text)
+    return glue_lines(started, [*by, "start_line"], line_no, text).drop("first_line")
 
 
 def glue_lines(df: DataFrame, by: list[str], line_no: str, text: str) -> DataFrame:
-    """One row per entry with its trimmed lines in order."""
+    """One row per entry with its first line and its trimmed lines in order."""
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_lines"),
+        F.min_by(text, line_no).alias("first_line"),
         F.expr(f"listagg(trim(`{text}`), ' ') WITHIN GROUP (ORDER BY `{line_no}`)").alias("text"),
     )
 

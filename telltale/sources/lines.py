@@ -8,6 +8,8 @@ with a carried heading need the line order, and they use blocked scans.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,18 +176,20 @@ def capability_headings(lines: DataFrame) -> DataFrame:
 # --- TLS reports ------------------------------------------------------------
 
 SECTION = r"^ ((?:Testing|Running client simulations|Rating)\b.*)$"
-SETTING = r"^ (\S.*?)(?: {2,}| (?=offered|not offered)|: +)(\S.*)$"
+# The key ends at the first wide gap; a line without one has a key of one word.
+SETTING = r"^ (?:(\S.*?) {2,}|(\S+) )(\S.*)$"
 CONTINUED = r"^ {10,}\S"
 PROTOCOL = r"^(SSLv[23]|TLSv1(?:\.[0-3])?)\b"
 SUITE = r"^ (x[0-9a-f]+) +(\S+) +(\S+(?: \S+)?) {2,}(\S+) +([0-9]+) +(\S+)\s*$"
+CLIENT_HEAD = r"^ Browser +Protocol "
 CLIENT = r"^ (\S.*?) {2,}(?:(TLSv1(?:\.[0-3])?|SSLv[23]) +(\S+) {2,}(\S.*)|No connection\s*)$"
 
 
 def parse_tls_settings(lines: DataFrame) -> DataFrame:
     """(scan, section, line_no, key, value); continuation lines are joined to their key."""
     is_section = F.col("line").rlike(SECTION)
-    is_suite = F.col("line").rlike(SUITE)
-    is_start = F.col("line").rlike(SETTING) & ~is_section & ~is_suite & ~F.col("line").rlike(CONTINUED)
+    is_other = reduce(lambda a, b: a | b, (F.col("line").rlike(p) for p in (SUITE, CLIENT, CLIENT_HEAD, CONTINUED)))
+    is_start = F.col("line").rlike(SETTING) & ~is_section & ~is_other
     is_more = F.col("line").rlike(CONTINUED)
     # Section and entry are carried in one scan; a new section ends the entry above it.
     start = F.struct(F.when(is_start, F.col("line_no")).alias("line_no"))
@@ -201,14 +205,14 @@ def parse_tls_settings(lines: DataFrame) -> DataFrame:
     merged = glue_lines(
         body.withColumn("start_line", F.col("entry.line_no")), ["path", "section", "start_line"], "line_no", "line"
     )
-    # Continuations are glued with one space, so the key still ends at the first gap.
-    text = F.concat(F.lit(" "), F.col("text"))
+    # Key and value come from the first line; what was glued behind it belongs to the value.
+    more = F.expr("substring(text, length(trim(first_line)) + 1)")
     return merged.select(
         F.col("path").alias("scan"),
         "section",
         F.col("start_line").alias("line_no"),
-        F.regexp_extract(text, SETTING, 1).alias("key"),
-        F.regexp_extract(text, SETTING, 2).alias("value"),
+        F.concat(F.regexp_extract("first_line", SETTING, 1), F.regexp_extract("first_line", SETTING, 2)).alias("key"),
+        F.concat(F.rtrim(F.regexp_extract("first_line", SETTING, 3)), more).alias("value"),
     )
 
 
