@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from telltale.functions._cols import ColumnLike, col
 
-# Fixed value: the public identifier form, after the non-breaking hyphen is folded.
-CVE_PATTERN = "CVE-[0-9]{4}-[0-9]{4,}"
+# Fixed value: the public identifier form, with a plain or a non-breaking hyphen.
+CVE_PATTERN = "CVE[-‑][0-9]{4}[-‑][0-9]{4,}"
 
 # What the counting game answers.
 FIZZ, BUZZ, FIZZBUZZ, NEITHER = "fizz", "buzz", "fizzbuzz", "no fizzbuzz for you!"
@@ -47,9 +47,9 @@ def human_size(size: ColumnLike) -> Column:
 
 
 def extract_ids(text: ColumnLike, pattern: str) -> Column:
-    """Every match in the whole text, with U+2011 read as a plain hyphen."""
-    folded = F.translate(col(text), "‑", "-")
-    return F.regexp_extract_all(folded, F.lit(pattern), F.lit(0))
+    """Every match in the whole text; U+2011 in a match becomes a plain hyphen."""
+    found = F.regexp_extract_all(col(text), F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda m: F.translate(m, "‑", "-"))
 
 
 def extract_cve_ids(text: ColumnLike) -> Column:

@@ -22,7 +22,14 @@ from telltale.sources.lines import read_documents
 
 
 def _doc(df: DataFrame, schema: str, keep: list[str]) -> DataFrame:
-    return df.select(*keep, F.from_json("content", schema).alias("d")).filter(F.col("d").isNotNull())
+    """The parsed document as ``d``.
+
+    Filters on a projected expression are pushed below it together with a copy
+    of it, which would parse a document once per filter. They do not pass a
+    generator, so the one-element explode keeps it to a single parse.
+    """
+    parsed = F.explode_outer(F.array(F.from_json("content", schema)))
+    return df.select(*keep, parsed.alias("d")).filter(F.col("d").isNotNull())
 
 
 # --- exploited-vulnerability catalog ----------------------------------------
