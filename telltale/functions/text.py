@@ -48,8 +48,9 @@ def human_size(size: ColumnLike) -> Column:
 
 def extract_ids(text: ColumnLike, pattern: str) -> Column:
     """Every match in the whole text; U+2011 in a match becomes a plain hyphen."""
-    found = F.regexp_extract_all(col(text), F.lit(pattern), F.lit(0))
-    return F.transform(found, lambda m: F.translate(m, "‑", "-"))
+    find = lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    folded = F.transform(find(col(text)), lambda m: F.replace(m, F.lit("‑"), F.lit("-")))
+    return F.when(F.contains(col(text), F.lit("‑")), folded).otherwise(find(col(text)))
 
 
 def extract_cve_ids(text: ColumnLike) -> Column:

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def explode_structs(df: DataFrame, array: str, keep: list[str]) -> DataFrame:
-    """Array of structs to rows, one column per field."""
+def explode_structs(df: DataFrame, array: Column | str, keep: list[str]) -> DataFrame:
+    """Array of structs to rows, one column per field.
+
+    Pass a computed array as the expression itself: given as a projected
+    column, Spark would compute it once more to filter out empty ones.
+    """
     return df.select(*keep, F.inline(array))
 
 

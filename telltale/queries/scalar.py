@@ -460,7 +460,7 @@ def tls_verdict(t):
 def explode_structs(t):
     """O-N1: lines of whole texts as an array of structs."""
     items = F.transform(nested.lines_of(F.col("text")), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
-    return nested.explode_structs(t.documents.withColumn("items", items), "items", ["doc_id"])
+    return nested.explode_structs(t.documents, items, ["doc_id"])
 
 
 @query(

@@ -39,27 +39,32 @@ def shared_dir(spark: SparkSession) -> str:
     On a cluster that is a filesystem every executor can reach. Only where the
     session names none, as in local tests, is a temporary folder made.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if not named:
-        named = context.getCheckpointDir()
-        if named:
-            named = named.rsplit("/", 1)[0]
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="telltale-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new, unused path below the application's folder in the shared folder.
+
+    One folder per application, so that whoever runs the job can drop all of
+    its intermediate data at once when it has ended.
+    """
+    application = spark.sparkContext.applicationId
+    return os.path.join(shared_dir(spark), f"telltale-{application}", f"{label}-{uuid.uuid4().hex}")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once as a table in the shared folder and go on from the written copy.
+
+    Later steps see one fixed result even when executors are lost, and read
+    only the columns they need from it.
+    """
+    path = fresh_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

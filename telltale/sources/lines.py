@@ -27,9 +27,12 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
     """Rows (path, line_no, line), numbered from 1 in file order.
 
+    ``numbered=False`` leaves the number NULL and needs no second pass; it is
+    enough for formats in which every line stands alone.
+
     Rows of one split come in file order and splits carry their start offset,
     so a number is the row's place in its split plus the length of the splits
     before it. The lines are written once, which fixes the split bounds.
@@ -45,8 +48,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
             F.regexp_replace("value", "\r$", "").alias("line"),
         )
     )
-    numbered = row_index(cut(raw), ["path"], ["_pos"], "line_no", F.col(BLOCK))
-    return numbered.select("path", "line_no", "line")
+    if not numbered:
+        return raw.select("path", F.lit(None).cast("bigint").alias("line_no"), "line")
+    placed = row_index(cut(raw), ["path"], ["_pos"], "line_no", F.col(BLOCK))
+    return placed.select("path", "line_no", "line")
 
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
