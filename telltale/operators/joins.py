@@ -54,21 +54,32 @@ def snapshot_diff(
 ) -> DataFrame:
     """Full outer comparison of two snapshots: added, removed, changed (and same).
 
-    Both sides must hold one row per key; aggregate before calling.
+    Both sides must hold one row per key; aggregate before calling. A tagged
+    union and one aggregation do the work of the outer join: NULL keys match
+    each other, and no side has to be sorted.
     """
-    a = prior.select(*(F.col(c).alias(f"_a_{c}") for c in on), F.col(value).alias("prior"), F.lit(True).alias("_a"))
-    b = current.select(*(F.col(c).alias(f"_b_{c}") for c in on), F.col(value).alias("current"), F.lit(True).alias("_b"))
-    match = [F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}")) for c in on]
+    side = lambda df, s: df.select(*on, F.col(value).alias("_v"), F.lit(s).alias("_side"))
+    return compare_sides(side(prior, 1).unionByName(side(current, 2)), on, "_v", "_side", keep_same)
+
+
+def compare_sides(
+    tagged: DataFrame, on: list[str], value: str, side: str, keep_same: bool = False
+) -> DataFrame:
+    """Prior (side 1) against current (side 2) value per key; of several values the greatest counts."""
+    of = lambda s: F.col(side) == s
+    both = tagged.groupBy(*on).agg(
+        F.max(F.when(of(1), F.col(value))).alias("prior"),
+        F.max(F.when(of(2), F.col(value))).alias("current"),
+        F.min(side).alias("_lo"),
+        F.max(side).alias("_hi"),
+    )
     status = (
-        F.when(F.col("_a").isNull(), F.lit("added"))
-        .when(F.col("_b").isNull(), F.lit("removed"))
+        F.when(F.col("_lo") == 2, F.lit("added"))
+        .when(F.col("_hi") == 1, F.lit("removed"))
         .when(F.col("prior").eqNullSafe(F.col("current")), F.lit("same"))
         .otherwise(F.lit("changed"))
     )
-    keys = [
-        F.when(F.col("_a").isNotNull(), F.col(f"_a_{c}")).otherwise(F.col(f"_b_{c}")).alias(c) for c in on
-    ]
-    out = a.join(b, match, "full_outer").select(*keys, "prior", "current", status.alias("status"))
+    out = both.select(*on, "prior", "current", status.alias("status"))
     return out if keep_same else out.filter(F.col("status") != "same")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from telltale.functions import parse_action_ref
 from telltale.operators.filters import min_risk
-from telltale.operators.joins import last_pair, snapshot_diff
+from telltale.operators.joins import compare_sides, last_pair
 from telltale.sources.lines import parse_diff
 from telltale.sources.sinks import with_empty_fallback
 
@@ -24,15 +24,16 @@ def action_changes(lines: DataFrame) -> DataFrame:
 def capability_changes(changes: DataFrame, capabilities: DataFrame, level: str = "HIGH") -> DataFrame:
     """Capabilities added, removed or changed between the two references of each change.
 
-    ``capabilities``: (repo, ref, file, rule_id, risk_score), one row per key.
+    ``capabilities``: (repo, ref, file, rule_id, risk_score). Both references
+    of a change become rows, so capabilities are joined once and the two sides
+    meet in one aggregation.
     """
-    keys = ["path", "file", "rule_id"]
-
-    def side(which: str) -> DataFrame:
-        refs = changes.select("path", F.col(f"{which}.repo").alias("repo"), F.col(f"{which}.ref").alias("ref"))
-        return refs.join(capabilities, ["repo", "ref"]).groupBy(*keys).agg(F.max("risk_score").alias("risk_score"))
-
-    diff = snapshot_diff(side("old"), side("new"), keys, "risk_score")
+    ref = lambda which, side: F.struct(
+        F.lit(side).alias("side"), F.col(f"{which}.repo").alias("repo"), F.col(f"{which}.ref").alias("ref")
+    )
+    refs = changes.select("path", F.inline(F.array(ref("old", 1), ref("new", 2))))
+    hits = refs.join(capabilities, ["repo", "ref"])
+    diff = compare_sides(hits, ["path", "file", "rule_id"], "risk_score", "side")
     worst = diff.withColumn("risk_score", F.greatest("prior", "current"))
     return min_risk(worst, level)
 

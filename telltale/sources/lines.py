@@ -136,11 +136,19 @@ TABLE_HEAD = r"^\| *RISK *\| *KEY *\|"
 TABLE_ROW = r"^\| ([A-Z]+) \| \[([^\]]*)\]\(([^)]*)\) \| (.*?) \| (.*?) ?\|\s*$"
 
 
-def _under_heading(lines: DataFrame, wanted: Column) -> DataFrame:
-    """Headings and wanted lines only, each with its heading's line and text."""
-    is_heading = F.col("line").rlike(HEADING)
-    kept = lines.filter(is_heading | wanted).withColumn(
-        "_mark", F.when(is_heading, F.struct(F.col("line_no").alias("line_no"), F.col("line").alias("text")))
+def _under_heading(lines: DataFrame, wanted: str) -> DataFrame:
+    """Headings and lines fitting ``wanted`` only, each with its heading's line and text.
+
+    The first characters rule most lines out before a pattern is tried.
+    """
+    is_heading = F.col("line").startswith("## ") & F.col("line").rlike(HEADING)
+    is_wanted = F.col("line").startswith("|") & F.col("line").rlike(wanted)
+    kept = lines.filter(is_heading | is_wanted).select(
+        "*",
+        F.col("line").startswith("|").alias("_wanted"),
+        F.when(
+            F.col("line").startswith("#"), F.struct(F.col("line_no").alias("line_no"), F.col("line").alias("text"))
+        ).alias("_mark"),
     )
     return carry_forward(kept, ["path"], ["line_no"], "_mark", "_mark", line_block("line_no"))
 
@@ -157,8 +165,7 @@ def _heading_columns() -> list[Column]:
 
 def parse_capability_md(lines: DataFrame) -> DataFrame:
     """One row per table row, with the image, file and level of the heading above it."""
-    rows = _under_heading(lines, F.col("line").rlike(TABLE_ROW))
-    return rows.filter(F.col("line").rlike(TABLE_ROW)).select(
+    return _under_heading(lines, TABLE_ROW).filter("_wanted").select(
         F.col("path").alias("report"),
         "line_no",
         *_heading_columns(),
@@ -172,10 +179,9 @@ def parse_capability_md(lines: DataFrame) -> DataFrame:
 
 def capability_headings(lines: DataFrame) -> DataFrame:
     """One row per heading with its number of tables and an ``ambiguous`` flag."""
-    is_table = F.col("line").rlike(TABLE_HEAD)
-    marked = _under_heading(lines, is_table).filter(F.col("_mark").isNotNull())
-    rows = marked.select(F.col("path").alias("report"), is_table.alias("is_table"), *_heading_columns())
-    return flag_ambiguous(rows, ["report", "heading_line", "image", "file", "file_level"], F.col("is_table"))
+    marked = _under_heading(lines, TABLE_HEAD).filter(F.col("_mark").isNotNull())
+    rows = marked.select(F.col("path").alias("report"), "_wanted", *_heading_columns())
+    return flag_ambiguous(rows, ["report", "heading_line", "image", "file", "file_level"], F.col("_wanted"))
 
 
 # --- TLS reports ------------------------------------------------------------
@@ -293,8 +299,9 @@ def parse_tagged_lines(lines: DataFrame, sep: str = ":") -> DataFrame:
 
 def parse_diff(lines: DataFrame) -> DataFrame:
     """(path, file, line_no, sign, text) of changed lines, with the file of the header above."""
-    header = F.col("line").rlike(r"^\+\+\+ ")
-    changed = F.col("line").rlike(r"^[+-]") & ~F.col("line").rlike(r"^(\+\+\+|---) ")
+    starts = F.col("line").startswith
+    header = starts("+++ ")
+    changed = (starts("+") | starts("-")) & ~header & ~starts("--- ")
     kept = lines.filter(header | changed).withColumn(
         "_file", F.when(header, F.regexp_replace("line", r"^\+\+\+ (b/)?", ""))
     )
