@@ -8,6 +8,7 @@ from telltale.functions.payload import (
     fenced_json,
     json_path,
     json_project,
+    offset_to_ts,
     payload_digest_matches,
     response_content,
 )

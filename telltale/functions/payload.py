@@ -30,9 +30,20 @@ def payload_digest_matches(payload: ColumnLike, digest: ColumnLike) -> Column:
     return F.sha2(decoded, 256) == F.lower(col(digest))
 
 
+def _since_epoch(seconds: Column) -> Column:
+    """UTC wall time without zone, whatever the session's time zone."""
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
 def epoch_to_ts(seconds: ColumnLike) -> Column:
     """Epoch seconds, as number or text, to a UTC timestamp without zone."""
-    return F.timestamp_seconds(col(seconds).try_cast("bigint")).cast("timestamp_ntz")
+    return _since_epoch(col(seconds).try_cast("bigint"))
+
+
+def offset_to_ts(text: ColumnLike) -> Column:
+    """ISO text with an offset to a UTC timestamp without zone; digits beyond microseconds are cut."""
+    micros = F.unix_micros(F.try_to_timestamp(col(text))).cast("decimal(20,0)")
+    return _since_epoch(micros / F.lit(1000000))
 
 
 def embedded_json(text: ColumnLike, path: str, as_type: str = "string") -> Column:

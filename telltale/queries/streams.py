@@ -100,6 +100,7 @@ def bucket_counts(t):
 @query(_BUCKET_SQL)
 def bucket_counts_stream(t):
     """O-T7 as a stream; the hour of lateness is this package's choice."""
+    # Event time has to be a timestamp with zone for a watermark.
     events = S.stream_table(t.spark, t.sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = S.bucket_counts(events, "ts", ["event_type"], late="1 hour")
     out = S.run_available(counts, keys=["bucket", "event_type"])

@@ -16,6 +16,7 @@ from telltale.functions import (
     embedded_json,
     epoch_to_ts,
     kv_string_to_map,
+    offset_to_ts,
     pairs_to_map,
 )
 from telltale.sources.lines import read_documents
@@ -206,7 +207,7 @@ def parse_slim_instructions(df: DataFrame, keep: list[str]) -> DataFrame:
             "image_pos",
             "pos",
             F.col("i.type").alias("type"),
-            F.try_to_timestamp(F.col("i.time")).cast("timestamp_ntz").alias("time"),
+            offset_to_ts("i.time").alias("time"),
             F.col("i.size").alias("size"),
             F.col("i.layer_index").alias("layer_index"),
             F.col("i.command_all").alias("command_all"),
@@ -344,7 +345,7 @@ def parse_image_layers(df: DataFrame, keep: list[str]) -> DataFrame:
         .select(
             *keep,
             "pos",
-            F.try_to_timestamp(F.col("p.h.created")).cast("timestamp_ntz").alias("created"),
+            offset_to_ts("p.h.created").alias("created"),
             F.col("p.h.created_by").alias("created_by"),
             F.col("p.diff_id").alias("diff_id"),
         )
@@ -370,7 +371,7 @@ def parse_image_history(df: DataFrame, keep: list[str]) -> DataFrame:
         .select(
             *keep,
             "pos",
-            F.try_to_timestamp(F.col("h.created")).cast("timestamp_ntz").alias("created"),
+            offset_to_ts("h.created").alias("created"),
             F.col("h.created_by").alias("created_by"),
         )
     )

@@ -156,3 +156,30 @@ def test_missing_values_stay_missing(one):
 )
 def test_globs(one, glob, path, hit):
     assert one(F.lit(path).rlike(T.glob_to_regex(glob))) is hit
+
+
+def test_times_do_not_depend_on_the_session_zone(spark, one):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert str(one(T.epoch_to_ts(F.lit("1733896498")))) == "2024-12-11 05:54:58"
+        assert str(one(T.offset_to_ts(F.lit("2024-01-31T16:49:14.123456789Z")))) == "2024-01-31 16:49:14.123456"
+        assert str(one(T.offset_to_ts(F.lit("2024-01-31T09:49:14-07:00")))) == "2024-01-31 16:49:14"
+        assert one(T.offset_to_ts(F.lit("soon"))) is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_is_number_agrees_with_python(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("0123_+- .x") for _ in range(rng.randint(0, 6))) for _ in range(3000)]
+
+    def python_says(text):
+        try:
+            int(text)
+        except ValueError:
+            return False
+        return True
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", T.is_number("t").alias("n")).collect():
+        assert row["n"] == python_says(row["t"]), row["t"]

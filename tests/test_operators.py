@@ -172,3 +172,50 @@ def test_fallback_only_when_empty(df, rows):
 def test_top_findings_score(spark):
     row = spark.range(1).select(windows.impact_score(F.lit(3), F.lit(True), F.lit(80)).alias("s")).first()
     assert row["s"] == 3 * 100 + 50 + 49
+
+
+def test_weighted_score_and_points(df):
+    specs = df([("s", 100, 0.3), ("s", 90, 0.3), ("s", 90, 0.4)], "scan string, score int, weight double")
+    row = aggs.weighted_score(specs, ["scan"], F.col("score"), F.col("weight")).first()
+    assert row["weighted_score"] == pytest.approx(93)
+
+
+def test_shrink_ratio(df):
+    sizes = df([("i", 22542794, 155854616)], "image string, size bigint, source bigint")
+    row = aggs.size_totals(sizes, ["image"], "size", F.col("source")).first()
+    assert row["shrink_ratio"] == pytest.approx(6.913722229817653)
+
+
+def test_severity_total(df, rows):
+    data = df([("critical",)] * 11 + [("high",)] * 27 + [("medium",)] * 44, "severity string")
+    assert rows(aggs.severity_counts(data, "severity")) == [
+        ("critical", 11, 0), ("high", 27, 0), ("medium", 44, 0), (None, 82, 1)]
+
+
+def test_elapsed_figures(df):
+    footers = df([(f"Done 2025-01-01 00:00:00 [{s}s] -->> h:443 <<--",) for s in ("0185", "0135", "0116")] + [("none",)], "f string")
+    row = aggs.elapsed_stats(footers.withColumn("g", F.lit(1)), ["g"], "f").first()
+    assert (row["n_scans"], row["min_seconds"], row["max_seconds"]) == (3, 116, 185)
+    assert row["avg_seconds"] == pytest.approx(436 / 3)
+
+
+def test_latest_signature_per_digest(df, rows):
+    data = df([("d", 1733000000, "old"), ("d", 1733896498, "new"), ("e", 1, "only")], "digest string, t bigint, body string")
+    assert rows(windows.latest_record(data, ["digest"], ["t"])) == [("d", 1733896498, "new"), ("e", 1, "only")]
+
+
+def test_rankings_and_briefing(df, rows):
+    data = df([("s", i) for i in range(20)] + [("t", 1)], "scan string, v int")
+    top = windows.briefing(data, ["scan"], [F.desc("v")])
+    assert rows(top.filter("scan = 's'"), "rank", "v", "part") == sorted(
+        ((r, 20 - r, "headline" if r <= 3 else "extra") for r in range(1, 9)), key=repr)
+    assert top.filter("scan = 't'").count() == 1
+
+
+def test_layer_joins(df, rows):
+    history = df([("i", 0, "COPY"), ("i", 1, "RUN")], "image string, pos int, created_by string")
+    ids = df([("i", 0, "a"), ("i", 1, "b")], "image string, pos int, diff_id string")
+    layers = df([("i", 0, "x"), ("i", 1, "x")], "image string, pos int, digest string")
+    sources = df([("i", "x", 5)], "image string, digest string, size int")
+    assert rows(joins.layer_table(history, ids, layers, sources, "image"), "pos", "created_by", "size") == [
+        (0, "COPY", 5), (1, "RUN", 5)]
