@@ -70,15 +70,23 @@ def merge_continuations(
     """Join lines that continue an entry to the line that starts it.
 
     Lines before the first start form an entry of their own with start NULL.
+    Rows come as (by, start_line, part, n_lines, text), see ``glue_lines``.
     """
     marked = df.withColumn("_start", F.when(is_start, F.col(line_no)))
     started = carry_forward(marked, by, [line_no], "_start", "start_line", block)
     return glue_lines(started, [*by, "start_line"], line_no, text).drop("first_line")
 
 
-def glue_lines(df: DataFrame, by: list[str], line_no: str, text: str) -> DataFrame:
-    """One row per entry with its first line and its trimmed lines in order."""
-    return df.groupBy(*by).agg(
+def glue_lines(
+    df: DataFrame, by: list[str], line_no: str, text: str, start: str = "start_line", part_size: int = 100_000
+) -> DataFrame:
+    """Each entry with its first line and its trimmed lines in order.
+
+    A part covers ``part_size`` line numbers from the start of the entry, so
+    ordinary entries are part 0 and an oversized one spreads over several rows.
+    """
+    part = F.expr(f"(`{line_no}` - coalesce(`{start}`, 0)) div {part_size}").alias("part")
+    return df.groupBy(*by, part).agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.min_by(text, line_no).alias("first_line"),
         F.expr(f"listagg(trim(`{text}`), ' ') WITHIN GROUP (ORDER BY `{line_no}`)").alias("text"),

@@ -215,7 +215,7 @@ def ambiguous_headings(t):
 
 @query(
     """
-    SELECT CAST(c_nationkey AS VARCHAR) AS scan, 'Testing ' || c_mktsegment AS section, c_custkey * 10 + 1 AS line_no,
+    SELECT CAST(c_nationkey AS VARCHAR) AS scan, 'Testing ' || c_mktsegment AS section, c_custkey * 10 + 1 AS line_no, 0::BIGINT AS part,
            'Owner of ' || c_name AS key, 'offered (OK), ' || c_custkey || ' more ' || c_name || ' and on' AS value
     FROM customer
     """

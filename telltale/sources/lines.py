@@ -197,7 +197,7 @@ CLIENT = r"^ (\S.*?) {2,}(?:(TLSv1(?:\.[0-3])?|SSLv[23]) +(\S+) {2,}(\S.*)|No co
 
 
 def parse_tls_settings(lines: DataFrame) -> DataFrame:
-    """(scan, section, line_no, key, value); continuation lines are joined to their key."""
+    """(scan, section, line_no, part, key, value); continuation lines are joined to their key."""
     is_section = F.col("line").rlike(SECTION)
     is_other = reduce(lambda a, b: a | b, (F.col("line").rlike(p) for p in (SUITE, CLIENT, CLIENT_HEAD, CONTINUED)))
     is_start = F.col("line").rlike(SETTING) & ~is_section & ~is_other
@@ -217,13 +217,17 @@ def parse_tls_settings(lines: DataFrame) -> DataFrame:
         body.withColumn("start_line", F.col("entry.line_no")), ["path", "section", "start_line"], "line_no", "line"
     )
     # Key and value come from the first line; what was glued behind it belongs to the value.
+    # Later parts of an oversized entry have no key.
+    head = F.col("part") == 0
     more = F.expr("substring(text, length(trim(first_line)) + 1)")
+    group = lambda i: F.regexp_extract("first_line", SETTING, i)
     return merged.select(
         F.col("path").alias("scan"),
         "section",
         F.col("start_line").alias("line_no"),
-        F.concat(F.regexp_extract("first_line", SETTING, 1), F.regexp_extract("first_line", SETTING, 2)).alias("key"),
-        F.concat(F.rtrim(F.regexp_extract("first_line", SETTING, 3)), more).alias("value"),
+        "part",
+        F.when(head, F.concat(group(1), group(2))).alias("key"),
+        F.when(head, F.concat(F.rtrim(group(3)), more)).otherwise(F.col("text")).alias("value"),
     )
 
 

@@ -24,16 +24,23 @@ def append_event(df: DataFrame, path: str, required: list[str]) -> None:
 def report_lines(header: list[str], sections: list[tuple[str, DataFrame]], order: list[str], text: str) -> DataFrame:
     """Titled sections below a header, separated by rules, as (ordinal, part, line_no, text).
 
-    Section rows keep their order columns' rank through ``line_key``, so the
-    report is sorted by range and never gathered.
+    Section rows keep their order through ``line_key``, text that sorts like the
+    order columns, so the report is sorted by range and never gathered.
     """
+
+    def sortable(df: DataFrame, column: str) -> Column:
+        if df.schema[column].dataType.typeName() not in ("byte", "short", "integer", "long"):
+            return F.col(column).cast("string")
+        shifted = F.col(column).cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")
+        return F.lpad(shifted.cast("string"), 20, "0")
+
     spark = sections[0][1].sparkSession
     fixed = "part int, line_key string, text string"
     parts = [spark.createDataFrame([(i, "", t) for i, t in enumerate(header)], fixed)]
     for title, body in sections:
         lead = ["", "---", "", f"## {title}", ""]
         parts.append(spark.createDataFrame([(i, "", t) for i, t in enumerate(lead)], fixed))
-        key = F.concat_ws("\u0001", *(F.lpad(F.col(c).cast("string"), 20, "0") for c in order))
+        key = F.concat_ws("\u0001", *(sortable(body, c) for c in order))
         parts.append(body.select(F.lit(0).alias("part"), key.alias("line_key"), F.col(text).alias("text")))
     return ordered_union(parts)
 

@@ -11,7 +11,7 @@ from telltale.operators.filters import changed_path_match, event_type_in
 from telltale.operators.ordered import previous
 from telltale.operators.sets import latest_n
 from telltale.session import fresh_path
-from telltale.streaming.run import EPOCH, overwrite_epoch
+from telltale.streaming.run import EPOCH, overwrite_epoch, read_epochs
 
 LOGIN, REPO = "repository.owner.login", "repository.name"
 
@@ -67,32 +67,50 @@ def bucket_counts(df: DataFrame, ts: str, by: list[str], width: str = "15 minute
 
 
 def rollback_stream(
-    stream: DataFrame, by: list[str], order: list[str], value: str, failed: Column, path: str | None = None
+    stream: DataFrame,
+    by: list[str],
+    order: list[str],
+    value: str,
+    failed: Column,
+    path: str | None = None,
+    compact_every: int = 20,
 ) -> DataFrame:
     """Value in force after every event: one version back where the event is a failure.
 
     Each micro-batch is put behind the newest earlier row of its keys and goes
-    through the blocked lag, so a hot key is spread over tasks. Results and
-    carried rows are written per epoch; a retried epoch overwrites its own.
-    Events must reach the stream in version order across micro-batches.
+    through the blocked lag, so a hot key is spread over tasks. An epoch writes
+    its results and the newest rows of the keys it touched; every
+    ``compact_every`` epochs the newest rows of all keys are written together.
+    A retried epoch overwrites its own folder. Events must reach the stream in
+    version order across micro-batches.
     """
     spark = stream.sparkSession
     base = path or fresh_path(spark, "rollback")
     columns = stream.columns
+    rest = [c for c in columns if c not in by]
+
+    def newest(df: DataFrame) -> DataFrame:
+        return last_per_group(df, by, order, rest).select(*columns)
+
+    def of_keys(state: DataFrame, batch: DataFrame) -> DataFrame:
+        keys = batch.select(*(F.col(c).alias(f"_k_{c}") for c in by)).distinct()
+        return state.join(keys, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by], "left_semi")
 
     def step(batch: DataFrame, epoch: int) -> None:
         rows = batch.withColumn("_new", F.lit(True))
+        everything = batch
         if epoch > 0:
-            carried = spark.read.schema(stream.schema).parquet(f"{base}/state/{EPOCH}={epoch - 1}")
-            rows = rows.unionByName(carried.withColumn("_new", F.lit(False)))
+            since = (epoch - 1) // compact_every * compact_every
+            state = read_epochs(spark, f"{base}/state", since, epoch, stream.schema)
+            rows = rows.unionByName(newest(of_keys(state, batch)).withColumn("_new", F.lit(False)))
+            everything = state.unionByName(batch)
         lagged = previous(rows, by, order, value, "previous_value")
         fixed = lagged.withColumn(
             "effective_value", F.when(failed, F.col("previous_value")).otherwise(F.col(value))
         )
         overwrite_epoch(fixed.filter("_new").drop("_new"), f"{base}/out", epoch)
-        rest = [c for c in columns if c not in by]
-        newest = last_per_group(rows, by, order, rest).select(*columns)
-        overwrite_epoch(newest, f"{base}/state", epoch)
+        touched = everything if epoch % compact_every == 0 else batch
+        overwrite_epoch(newest(touched), f"{base}/state", epoch)
 
     query = (
         stream.writeStream.trigger(availableNow=True)

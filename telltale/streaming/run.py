@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from telltale.operators.aggs import last_per_group
 from telltale.session import fresh_path
@@ -55,9 +54,6 @@ def overwrite_epoch(df: DataFrame, path: str, epoch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{EPOCH}={epoch}")
 
 
-def read_epoch(spark: SparkSession, path: str, epoch: int, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{path}/{EPOCH}={epoch}")
-
-
-def epoch_column():
-    return F.col(EPOCH)
+def read_epochs(spark: SparkSession, path: str, first: int, end: int, schema) -> DataFrame:
+    """Rows that the epochs ``first`` to ``end - 1`` wrote."""
+    return spark.read.schema(schema).parquet(*(f"{path}/{EPOCH}={epoch}" for epoch in range(first, end)))

@@ -219,3 +219,9 @@ def test_layer_joins(df, rows):
     sources = df([("i", "x", 5)], "image string, digest string, size int")
     assert rows(joins.layer_table(history, ids, layers, sources, "image"), "pos", "created_by", "size") == [
         (0, "COPY", 5), (1, "RUN", 5)]
+
+
+def test_an_oversized_entry_comes_in_parts(df, rows):
+    lines = df([("f", 5, i, f"l{i}") for i in range(5, 10)], "f string, start_line int, n int, t string")
+    got = windows.glue_lines(lines, ["f", "start_line"], "n", "t", part_size=2)
+    assert rows(got, "part", "text") == [(0, "l5 l6"), (1, "l7 l8"), (2, "l9")]

@@ -61,15 +61,18 @@ def test_buckets_over_several_epochs(spark, arriving, tmp_path, rows):
     assert rows(got) == rows(S.bucket_counts(events, "ts", ["event_type"]))
 
 
-def test_rollback_carries_versions_over_epochs(spark, arriving, tmp_path, rows):
+@pytest.mark.parametrize("compact_every", [1, 2, 20])
+def test_rollback_carries_versions_over_epochs(spark, arriving, tmp_path, rows, compact_every):
     events = table(spark, SF, "events").select("user_id", "event_id", "ts", "event_type", "props")
     add, stream = arriving(events)
     failed = F.col("event_type") == "error"
     args = (["user_id"], ["ts", "event_id"], "props", failed)
+    options = {"path": str(tmp_path / "state"), "compact_every": compact_every}
     columns = ["user_id", "event_id", "previous_value", "effective_value"]
     for low in (0, 300, 600):
         add(events.filter(F.col("event_id").between(low, low + 299)))
-        got = S.rollback_stream(stream(), *args, path=str(tmp_path / "state"))
-    add(events.filter("event_id >= 900"))
-    got = S.rollback_stream(stream(), *args, path=str(tmp_path / "state"))
+        S.rollback_stream(stream(), *args, **options)
+    for low in (900, 950):
+        add(events.filter(F.col("event_id").between(low, low + 49)))
+    got = S.rollback_stream(stream(), *args, **options)
     assert rows(got, *columns) == rows(previous_version(events, *args), *columns)
