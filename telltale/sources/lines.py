@@ -112,6 +112,29 @@ def _group(text: str, pattern: str, index: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, index), F.lit(""))
 
 
+SEP = "\u0001"
+
+
+def _groups(text: str, pattern: str, n: int) -> Column:
+    """Groups 1 to ``n`` of an anchored pattern that the text is known to fit, as an array.
+
+    One replacement writes all groups between separators, where separate
+    extractions would match once per group. Text that holds the separator
+    itself takes the latter way.
+    """
+    at_once = F.split(F.regexp_replace(text, pattern, SEP.join(f"${i}" for i in range(1, n + 1))), SEP)
+    one_by_one = F.array(*(F.regexp_extract(text, pattern, i) for i in range(1, n + 1)))
+    return F.when(F.contains(F.col(text), F.lit(SEP)), one_by_one).otherwise(at_once)
+
+
+def _part(i: int) -> Column:
+    return F.col("_g")[i - 1]
+
+
+def _optional(i: int) -> Column:
+    return F.nullif(_part(i), F.lit(""))
+
+
 # --- syscall traces ---------------------------------------------------------
 
 TRACE = r"^(?:\[pid +\d+\] )?(\w+)\((.*)\) += (\S+)(?: ([A-Z0-9]+) \([^)]*\))?.*$"
@@ -119,13 +142,14 @@ TRACE = r"^(?:\[pid +\d+\] )?(\w+)\((.*)\) += (\S+)(?: ([A-Z0-9]+) \([^)]*\))?.*
 
 def parse_trace(lines: DataFrame) -> DataFrame:
     """(path, line_no, syscall, args, ret, errno); lines that are no calls, such as the trailer, drop out."""
-    return lines.filter(F.col("line").rlike(TRACE)).select(
+    calls = lines.filter(F.col("line").rlike(TRACE)).withColumn("_g", _groups("line", TRACE, 4))
+    return calls.select(
         "path",
         "line_no",
-        F.regexp_extract("line", TRACE, 1).alias("syscall"),
-        F.regexp_extract("line", TRACE, 2).alias("args"),
-        F.regexp_extract("line", TRACE, 3).alias("ret"),
-        _group("line", TRACE, 4).alias("errno"),
+        _part(1).alias("syscall"),
+        _part(2).alias("args"),
+        _part(3).alias("ret"),
+        _optional(4).alias("errno"),
     )
 
 
@@ -165,15 +189,16 @@ def _heading_columns() -> list[Column]:
 
 def parse_capability_md(lines: DataFrame) -> DataFrame:
     """One row per table row, with the image, file and level of the heading above it."""
-    return _under_heading(lines, TABLE_ROW).filter("_wanted").select(
+    rows = _under_heading(lines, TABLE_ROW).filter("_wanted").withColumn("_g", _groups("line", TABLE_ROW, 5))
+    return rows.select(
         F.col("path").alias("report"),
         "line_no",
         *_heading_columns(),
-        F.regexp_extract("line", TABLE_ROW, 1).alias("risk"),
-        F.regexp_extract("line", TABLE_ROW, 2).alias("key"),
-        F.regexp_extract("line", TABLE_ROW, 3).alias("rule_url"),
-        F.regexp_extract("line", TABLE_ROW, 4).alias("description"),
-        split_evidence(F.regexp_extract("line", TABLE_ROW, 5)).alias("evidence"),
+        _part(1).alias("risk"),
+        _part(2).alias("key"),
+        _part(3).alias("rule_url"),
+        _part(4).alias("description"),
+        split_evidence(_part(5)).alias("evidence"),
     )
 
 
@@ -238,27 +263,28 @@ def parse_tls_suites(lines: DataFrame) -> DataFrame:
         "_protocol", F.when(is_protocol, F.regexp_extract("line", PROTOCOL, 1))
     )
     placed = carry_forward(kept, ["path"], ["line_no"], "_protocol", "protocol", line_block("line_no"))
-    part = lambda i: F.regexp_extract("line", SUITE, i)
-    return placed.filter(is_suite).select(
+    suites = placed.filter(F.col("_protocol").isNull()).withColumn("_g", _groups("line", SUITE, 6))
+    return suites.select(
         F.col("path").alias("scan"),
         "protocol",
-        part(1).alias("hexcode"),
-        part(2).alias("suite"),
-        part(3).alias("key_exchange"),
-        part(4).alias("encryption"),
-        part(5).cast("int").alias("bits"),
-        part(6).alias("iana"),
+        _part(1).alias("hexcode"),
+        _part(2).alias("suite"),
+        _part(3).alias("key_exchange"),
+        _part(4).alias("encryption"),
+        _part(5).cast("int").alias("bits"),
+        _part(6).alias("iana"),
     )
 
 
 def parse_tls_clients(lines: DataFrame) -> DataFrame:
     """(scan, client, protocol, suite, forward_secrecy); NULLs where no connection came about."""
-    return lines.filter(F.col("line").rlike(CLIENT)).select(
+    clients = lines.filter(F.col("line").rlike(CLIENT)).withColumn("_g", _groups("line", CLIENT, 4))
+    return clients.select(
         F.col("path").alias("scan"),
-        F.regexp_extract("line", CLIENT, 1).alias("client"),
-        _group("line", CLIENT, 2).alias("protocol"),
-        _group("line", CLIENT, 3).alias("suite"),
-        F.rtrim(_group("line", CLIENT, 4)).alias("forward_secrecy"),
+        _part(1).alias("client"),
+        _optional(2).alias("protocol"),
+        _optional(3).alias("suite"),
+        F.rtrim(_optional(4)).alias("forward_secrecy"),
     )
 
 

@@ -272,3 +272,9 @@ def test_report_file_order(spark, tmp_path):
     sinks.write_report(report, str(tmp_path / "r"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
     assert text.split("\n") == ["# T", "", "---", "", "## S", "", "first", "second", "third", ""]
+
+
+def test_a_separator_inside_a_line_does_not_shift_groups(lines, rows):
+    text = 'write(1, "a\u0001b", 3) = 3\nread(0, "x") = -1 EAGAIN (Resource temporarily unavailable)'
+    assert rows(L.parse_trace(lines(text)), "syscall", "args", "ret", "errno") == [
+        ("read", '0, "x"', "-1", "EAGAIN"), ("write", '1, "a\u0001b", 3', "3", None)]
