@@ -46,9 +46,18 @@ def ordered_union(parts: list[DataFrame], name: str = "ordinal") -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), placed)
 
 
-def dedup_rerun(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Drop rows that a repeated load appended again."""
-    return df.dropDuplicates(keys)
+def dedup_rerun(df: DataFrame, keys: list[str], first_by: str | None = None) -> DataFrame:
+    """Drop rows that a repeated load appended again.
+
+    Where the copies differ outside the keys, such as in a generated id,
+    ``first_by`` names the column whose least value is kept; otherwise which
+    copy stays is open.
+    """
+    if first_by is None:
+        return df.dropDuplicates(keys)
+    rest = [first_by, *(c for c in df.columns if c not in keys and c != first_by)]
+    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), first_by).alias("_first"))
+    return kept.select(*keys, "_first.*").select(*df.columns)
 
 
 def latest_n(df: DataFrame, order: list, n: int) -> DataFrame:

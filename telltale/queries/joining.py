@@ -366,3 +366,11 @@ def dedup_rerun(t):
     """O-U4: the same load twice."""
     load = t.events.select("user_id", "ts", "event_type")
     return sets.dedup_rerun(load.unionByName(load), ["user_id", "ts", "event_type"])
+
+
+@query("SELECT event_id, user_id, ts, event_type, value FROM events")
+def dedup_first_id(t):
+    """O-U4: the second load got new ids; the first ones stay."""
+    load = t.events.select("event_id", "user_id", "ts", "event_type", "value")
+    again = load.withColumn("event_id", F.col("event_id") + 1_000_000_000_000)
+    return sets.dedup_rerun(again.unionByName(load), ["user_id", "ts", "event_type"], "event_id")

@@ -125,6 +125,8 @@ def test_set_operations(df, rows):
     assert rows(sets.compare_sets(a, b, "s")) == [("x", "common"), ("y", "only_first"), ("z", "only_second"), (None, "only_first")]
     assert rows(sets.only_in_first(a, b)) == [("x", 1), ("y", 1), (None, 1)]
     assert sets.dedup_rerun(a.unionByName(a), ["s"]).count() == 3
+    loads = df([(7, "u", 1.0), (2, "u", 3.0), (5, None, 2.0)], "id int, u string, v double")
+    assert rows(sets.dedup_rerun(loads, ["u"], "id")) == [(2, "u", 3.0), (5, None, 2.0)]
 
 
 def test_concat_spreads_an_oversized_group(df, rows):
