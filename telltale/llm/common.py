@@ -31,25 +31,36 @@ def one_per_key(rows: DataFrame, key: str, *values: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(v).alias(v) for v in values])
 
 
-def per_batch(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
-    """Map Arrow batches to columns. ``start`` runs once in each task and gives the function for its batches."""
+def per_batch(
+    df: DataFrame,
+    schema: str,
+    start: Callable[[], Callable[[pa.RecordBatch], dict | pa.RecordBatch]],
+    most_rows: int = 4_000,
+    most_bytes: int = 16 << 20,
+) -> DataFrame:
+    """Map Arrow batches to columns. ``start`` runs once in each task and gives the function for its batches.
+
+    Batches are halved until they are small in rows and bytes, so that what a task holds in Python stays bounded.
+    """
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if batch.num_rows > 1 and (batch.num_rows > most_rows or batch.nbytes > most_bytes):
+            half = batch.num_rows // 2
+            yield from pieces(batch.slice(0, half))
+            yield from pieces(batch.slice(half))
+        elif batch.num_rows:
+            yield batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            if batch.num_rows:
-                yield from _slices(batch, step)
+            for piece in pieces(batch):
+                out = step(piece)
+                yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
 
     return df.mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch, step, most: int = 1_000) -> Iterator[pa.RecordBatch]:
-    """Small pieces, so that what a task holds in Python objects stays bounded by few texts."""
-    for at in range(0, batch.num_rows, most):
-        out = step(batch.slice(at, most))
-        yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
-
-
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null is empty."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
