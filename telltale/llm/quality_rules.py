@@ -250,7 +250,7 @@ def base_failed(prefix: str = "") -> Column:
 def fit_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Learn from at most ``sample_rows`` labelled documents outside the held-out fold (quality 0 is to be rejected)."""
     known = bounded_sample(one_per_key(labels.where("quality IS NOT NULL"), "doc_id", "quality"), "doc_id", sample_rows)
-    known = known.where(~held_out(F.col("doc_id")))
+    known = F.broadcast(known.where(~held_out(F.col("doc_id"))))  # at most sample_rows ids and labels
     texts = docs.select("doc_id", "text").join(known.select("doc_id"), "doc_id", "left_semi")
     rows = (
         text_statistics(texts)

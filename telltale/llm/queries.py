@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telltale.llm import quality_rules
+from telltale.llm import quality_rules, toxicity
 
 DEALT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1,
+    "op5_toxicity": toxicity.op5,
 }
 DEALT_ORACLES: dict[str, str] = {}

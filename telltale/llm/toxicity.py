@@ -85,10 +85,12 @@ class Scorer:
         return float(-np.expm1(-np.logaddexp(0.0, z).sum())) if len(z) else 0.0
 
 
-def fit(texts: list[str], toxic: list[int], steps: int = 150, rate: float = 0.15, decay: float = 1e-4) -> SentenceModel:
-    """Gradient descent on the noisy-or likelihood over whole documents.
+def fit(texts: list[str], toxic: list[int], steps: int = 120, rate: float = 0.1, sparsity: float = 2e-5) -> SentenceModel:
+    """Projected gradient descent on the noisy-or likelihood over whole documents.
 
-    With ``S = sum log(1 + exp(z))`` over its sentences a document is clean with probability ``exp(-S)``.
+    With ``S = sum log(1 + exp(z))`` over its sentences a document is clean with probability ``exp(-S)``. Weights are
+    evidence for toxicity and never negative: a clean sentence has the bias alone, however many words it has, and
+    clean words in it can't outweigh an offending one. ``sparsity`` keeps words of single documents near zero.
     """
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
@@ -108,21 +110,21 @@ def fit(texts: list[str], toxic: list[int], steps: int = 150, rate: float = 0.15
     feature = np.fromiter((f for row in features for f in row), np.int64)
     word = np.repeat(np.arange(len(features)), [len(row) for row in features])
     n, n_words, n_sentences = len(y), len(features), len(sentence_of)
-    weights, bias = np.zeros(BUCKETS), -6.0
+    weights, bias = np.full(BUCKETS, 0.01), -6.0
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     for step in range(1, steps + 1):
         u = np.bincount(word, weights[feature], n_words)
         z = np.bincount(where, u[token], n_sentences) + bias
         s = np.bincount(doc_of, np.logaddexp(0.0, z), n)
         slope = np.where(y > 0, -1.0 / np.expm1(np.clip(s, 1e-3, 500)), 1.0)
-        dz = np.clip(slope, -50, None)[doc_of] / (1.0 + np.exp(-z)) / n
+        dz = np.clip(slope, -50, None)[doc_of] / (1.0 + np.exp(-np.clip(z, -30, 30))) / n
         du = np.bincount(token, dz[where], n_words)
-        g = np.bincount(feature, du[word], BUCKETS) + decay / n * weights
+        g = np.bincount(feature, du[word], BUCKETS) + sparsity
         gb = dz.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         scale = rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-        weights = weights - scale * m / (np.sqrt(v) + 1e-9 + 1e-7)
+        weights = np.maximum(weights - scale * m / (np.sqrt(v) + 1e-6), 0.0)
         bias -= scale * mb / (np.sqrt(vb) + 1e-9)
     return SentenceModel(weights, float(bias))
 
@@ -130,7 +132,8 @@ def fit(texts: list[str], toxic: list[int], steps: int = 150, rate: float = 0.15
 def fit_labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> SentenceModel:
     """Fit on at most ``fit_rows`` labelled documents outside the held-out fold."""
     known = one_per_key(labels.where("toxic IS NOT NULL"), "doc_id", "toxic").where(~held_out(F.col("doc_id")))
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(known, "doc_id")
+    known = bounded_sample(known, "doc_id", fit_rows)  # at most fit_rows ids: a proven bound for the broadcast
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(known), "doc_id")
     rows = bounded_sample(texts, "doc_id", fit_rows).select("text", "toxic").toArrow()
     return fit(rows.column(0).to_pylist(), rows.column(1).to_pylist())
 
@@ -166,7 +169,7 @@ def offending_sentences(docs: DataFrame, model: SentenceModel, least: float = 0.
             at, number, found, scores = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 parts, z = scorer.sentence_logits(text or "")
-                p = 1.0 / (1.0 + np.exp(-z))
+                p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
                 for j in np.flatnonzero(p >= least):
                     at.append(i)
                     number.append(int(j))
