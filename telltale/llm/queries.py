@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telltale.llm import language_id, quality_rules, toxicity
+from telltale.llm import language_id, quality_rules, sharding, toxicity
 
 DEALT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1,
     "op5_toxicity": toxicity.op5,
     "op9_language_id": language_id.op9,
+    "op10_sharding": sharding.op10,
+}
+DEALT_ORACLES: dict[str, str] = {
+    "op10_sharding": sharding.OP10_SQL,
 }
-DEALT_ORACLES: dict[str, str] = {}
