@@ -204,9 +204,13 @@ class Transducer:
             place -= len(self.token_of[ends[place - 1]])
         return out[::-1]
 
-    def encode(self, text: bytes) -> list[int]:
+    def make_room(self) -> None:
+        """Start over with too many states; call where state 0 is entered."""
         if len(self.states) > MEMO_STATES:
             self._reset()
+
+    def encode(self, text: bytes) -> list[int]:
+        self.make_room()
         states = self.states
         state, out = 0, []
         for byte in text:
