@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telltale.llm import language_id, quality_rules, sharding, token_counts, tokens, toxicity
+from telltale.llm import language_id, quality_rules, sharding, token_counts, tokens, topk_search, toxicity
 
 DEALT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1,
     "op5_toxicity": toxicity.op5,
     "op6_byte_bpe": tokens.op6,
+    "op7_topk_search": topk_search.op7,
     "op8_token_counts": token_counts.op8,
     "op9_language_id": language_id.op9,
     "op10_sharding": sharding.op10,
 }
 DEALT_ORACLES: dict[str, str] = {
+    "op7_topk_search": topk_search.OP7_SQL,
     "op10_sharding": sharding.OP10_SQL,
 }
