@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telltale.llm import language_id, quality_rules, sharding, token_counts, tokens, topk_search, toxicity
+from telltale.llm import html_text, language_id, quality_rules, sharding, token_counts, tokens, topk_search, toxicity
 
 DEALT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1,
+    "op2_html_text": html_text.op2,
     "op5_toxicity": toxicity.op5,
     "op6_byte_bpe": tokens.op6,
     "op7_topk_search": topk_search.op7,
