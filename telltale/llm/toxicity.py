@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from telltale.llm.common import MEMO_WORDS, bounded_sample, held_out, one_per_ke
 from telltale.sources.tables import table
 
 #: Documents the weights are fitted on, at most (chosen by hash among the labelled ones).
-FIT_ROWS = 10_000
+FIT_ROWS = 7_000
 BUCKETS = 1 << 18
 _SENTENCE = re.compile(r"[.!?\n]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -96,20 +97,24 @@ def fit(texts: list[str], toxic: list[int], steps: int = 120, rate: float = 0.1,
     if not len(y) or y.min() == y.max():
         return SentenceModel(np.zeros(BUCKETS), -8.0)
     kinds: dict[str, int] = {}
-    tokens, sentence_of, doc_of = [], [], []
+    tokens, sizes, doc_of = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for sentence in sentences(text):
-            ids = [kinds.setdefault(w, len(kinds)) for w in sentence.split()]
-            tokens.append(np.array(ids, np.int32))
-            sentence_of.append(len(ids))
+            before = len(tokens)
+            tokens.extend([kinds.setdefault(w, len(kinds)) for w in sentence.split()])
+            sizes.append(len(tokens) - before)
             doc_of.append(d)
-    token = np.concatenate(tokens) if tokens else np.empty(0, np.int32)
-    where = np.repeat(np.arange(len(sentence_of), dtype=np.int32), sentence_of)
-    doc_of = np.array(doc_of, np.int64)
-    features = [word_features(w) for w in kinds]
-    feature = np.fromiter((f for row in features for f in row), np.int64)
-    word = np.repeat(np.arange(len(features)), [len(row) for row in features])
-    n, n_words, n_sentences = len(y), len(features), len(sentence_of)
+    features, counts = array("i"), array("i")
+    for w in kinds:
+        before = len(features)
+        features.extend(word_features(w))
+        counts.append(len(features) - before)
+    kinds.clear()
+    token, feature = np.array(tokens, np.int32), np.array(features, np.int32)
+    where = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    word = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    n_words, n_sentences, n, doc_of = len(counts), len(sizes), len(y), np.array(doc_of, np.int32)
+    del tokens, features, sizes, counts
     weights, bias = np.full(BUCKETS, 0.01), -6.0
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     for step in range(1, steps + 1):
