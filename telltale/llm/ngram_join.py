@@ -42,7 +42,6 @@ BLOCK = 1_000
 #: Bits of the filter that picks the texts to be compared from the scan.
 FILTER_BITS = 1 << 25
 _SEEDS = tuple(np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64) for i in range(6))
-_SIGN = np.uint64(1 << 63)
 
 
 def signed(h: np.ndarray) -> np.ndarray:
@@ -69,8 +68,6 @@ def bitmap(shingles: np.ndarray) -> bytes:
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
     """id, n, digest, bitmap and min-hash keys per row; a last row of each task (n = -1) has its frequent buckets."""
-    empty = pa.array([None], pa.list_(pa.int32()))
-
     def start(batches):
         shingles_of, counts, met = shingler(width), np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
@@ -112,7 +109,6 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                 }
             )
 
-    del empty
     id_type = pa.int64()
     schema = "id long, n long, digest long, bits binary, keys array<long>, frequent array<int>, times array<long>"
     return docs.mapInArrow(start, schema)
@@ -225,11 +221,11 @@ def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     A filter of FILTER_BITS bits, whatever the input, drops nearly all other rows in the scan; the join is exact.
     """
     at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("word"))
-    words = words.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")).collect()
+    words = ids.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at + 1)").alias("word"))
+    words = words.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at + 1))").alias("bits")).collect()
     flags = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in words:
-        begin = (r["word"] - 1) * 4096  # buckets of 32,768 bits count from 1
+        begin = (r["word"] - 1) * 4096  # buckets of 32,768 values, counted from 1 as the values are
         flags[begin : begin + 4096] |= np.frombuffer(r["bits"], np.uint8)[: len(flags) - begin]
     shared = docs.sparkSession.sparkContext.broadcast(flags)
 
