@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telltale.llm import html_text, language_id, ngram_join, quality_rules, sharding, token_counts, tokens, topk_search, toxicity
+from telltale.llm import html_text, language_id, ngram_join, packing, quality_rules, sharding, token_counts, tokens, topk_search, toxicity
 
 DEALT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1,
     "op2_html_text": html_text.op2,
+    "op3_best_fit_packing": packing.op3,
     "op4_ngram_join": ngram_join.op4,
     "op5_toxicity": toxicity.op5,
     "op6_byte_bpe": tokens.op6,
