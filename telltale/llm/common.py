@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Labelled rows that a model is fitted on, at most. The choice is by hash, so it is the same on every run.
 SAMPLE_ROWS = 20_000
 #: Words whose hashes or scores a task remembers before it starts over.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 
 
 def held_out(doc_id: Column) -> Column:

@@ -90,6 +90,13 @@ class LanguageModel:
     weights: np.ndarray
     #: For each script the languages that are written in it.
     scripts: dict[str, list[bool]]
+    _words: WordTable | None = None
+
+    def words(self) -> WordTable:
+        """The table of words scored so far. A worker process keeps the model, and with it the table, over its tasks."""
+        if self._words is None:
+            self._words = WordTable(self)
+        return self._words
 
     def word_scores(self, word: str) -> tuple[np.ndarray, int]:
         """A score for each language, and how many letters the word has."""
@@ -252,7 +259,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], lang: str =
     at = keep.index("text") if "text" in keep else len(keep)
 
     def start():
-        known = WordTable(shared.value)
+        known = shared.value.words()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(at).to_pylist()]
@@ -273,7 +280,7 @@ def language_spans(docs: DataFrame, model: LanguageModel) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def start():
-        known = WordTable(shared.value)
+        known = shared.value.words()
 
         def step(batch: pa.RecordBatch) -> dict:
             texts = [t or "" for t in batch.column(1).to_pylist()]

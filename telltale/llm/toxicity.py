@@ -54,6 +54,13 @@ def sentences(text: str) -> list[str]:
 class SentenceModel:
     weights: np.ndarray
     bias: float
+    _scorer: Scorer | None = None
+
+    def scorer(self) -> Scorer:
+        """A worker process keeps the model, and with it the words scored so far, over its tasks."""
+        if self._scorer is None:
+            self._scorer = Scorer(self)
+        return self._scorer
 
     def word_score(self, word: str) -> float:
         features = word_features(word)
@@ -146,10 +153,10 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
 def score_documents(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``score`` and ``predicted`` of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast(SentenceModel(model.weights.astype(np.float32), model.bias))
 
     def start():
-        scorer = Scorer(SentenceModel(*shared.value))
+        scorer = shared.value.scorer()
 
         def step(batch: pa.RecordBatch) -> dict:
             score = np.array([scorer.document(t) if t else 0.0 for t in batch.column(1).to_pylist()])
@@ -164,11 +171,11 @@ def score_documents(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id
 
 def offending_sentences(docs: DataFrame, model: SentenceModel, least: float = 0.5) -> DataFrame:
     """One row per sentence scored ``least`` or more: doc_id, its number in the text, the sentence and its score."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast(SentenceModel(model.weights.astype(np.float32), model.bias))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def start():
-        scorer = Scorer(SentenceModel(*shared.value))
+        scorer = shared.value.scorer()
 
         def step(batch: pa.RecordBatch) -> dict:
             at, number, found, scores = [], [], [], []
