@@ -101,8 +101,8 @@ class LanguageModel:
     def word_scores(self, word: str) -> tuple[np.ndarray, int]:
         """A score for each language, and how many letters the word has."""
         n = len(_LETTER.findall(word))
-        if not n:
-            return np.zeros(len(self.languages), np.float32), 0
+        if not n or not self.languages:
+            return np.zeros(len(self.languages), np.float32), n
         grams = word_grams(word)
         score = self.weights[grams].sum(0) / 4.0  # every letter is in about four runs
         narrowed = self.scripts.get(script_of(_LETTER.search(word).group()))
