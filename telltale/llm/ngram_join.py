@@ -4,8 +4,9 @@ Two documents link when ``100 * intersection >= percent * union`` of their shing
 
 1. One pass over the texts gives each set's size, digest, bitmap and a few min-hashes, and which shingles are frequent.
    Equal sets are one class from here on.
-2. Classes that share a pair of min-hashes are compared with the least of them, exactly. Most near copies are connected
-   after this, so that later no group of copies is expanded into pairs.
+2. Classes that share a pair of min-hashes are grouped, and each is compared exactly with a few centres of its group:
+   classes to which others linked, or that link to none so far. Most near copies are connected after this, so that
+   later no group of copies is expanded into pairs.
 3. Of each set, the shingles that must hold one of every partner's, ``n - ceil(percent * n) + 1`` of them, rare ones
    first, are laid out as rows (prefix filter). A shingle whose rows belong to one component is done with. The others make
    tiles: rows of one shingle, in bands of sizes that can link at all; what exceeds a tile is dealt to a grid of block
@@ -39,6 +40,9 @@ BUCKETS = 1 << 20
 FREQUENT = 0.002
 #: Rows of a block; a tile holds two blocks at most.
 BLOCK = 1_000
+#: Classes of a group that are compared with its centres in one run, and how many centres there are.
+GROUP = 2_000
+CENTRES = 16
 #: Bits of the filter that picks the texts to be compared from the scan.
 FILTER_BITS = 1 << 25
 _SEEDS = tuple(np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64) for i in range(6))
@@ -269,6 +273,60 @@ def linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     return per_batch(rows, "a long, b long", start, most_bytes=8 << 20)
 
 
+def centre_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) of classes with centres of the groups that share a min-hash key.
+
+    Large groups are dealt to runs of about GROUP classes, each of which begins with the group's least class. Only
+    true links come out; what the few centres miss is left to the tiles, which are exact.
+    """
+    keyed = classes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    groups = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = keyed.join(groups, "key").withColumn("runs", F.ceil(F.col("m") / GROUP).cast("int"))
+    first = F.col("node") == F.col("least")
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("runs")).cast("int"))
+    run = F.explode(F.when(first, F.sequence(F.lit(0), F.col("runs") - 1)).otherwise(own))
+    met = cut(met.select("key", run.alias("run"), "node", (~first).alias("later")))
+    texts = wanted_texts(docs, met.select(F.col("node").alias("id")).distinct())
+    rows = met.join(texts.withColumnRenamed("id", "node"), "node")
+    rows = rows.select("key", "run", "later", F.xxhash64("node").alias("at"), "node", "text")
+    rows = rows.repartition("key", "run").sortWithinPartitions("key", "run", "later", "at")
+
+    def link(x: np.ndarray, y: np.ndarray) -> bool:
+        small, large = sorted((len(x), len(y)))
+        if 100 * small < percent * large:
+            return False
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * common >= percent * (small + large - common)
+
+    def compare(batches):
+        shingles_of, now = shingler(width), None
+        centres: list[list] = []  # node, set, how many linked to it
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 4)]
+            for key, part, node, text in zip(*columns, raw_texts(batch.column(5)), strict=True):
+                if (key, part) != now:
+                    now, centres = (key, part), []
+                own, hits = shingles_of(text), []
+                for centre in centres:
+                    if link(own, centre[1]):
+                        hits.append(centre)
+                        if centre[2] > 2:
+                            break
+                out += [(node, c[0]) for c in hits]
+                if len(hits) > 1 and all(c[2] <= 2 for c in hits):  # it stands for all of them from now on
+                    centres = [[node, own, len(hits)]] + [c for c in centres if all(c is not h for h in hits)]
+                elif hits:
+                    hits[-1][2] += 1
+                    centres.sort(key=lambda c: -c[2])
+                elif len(centres) < CENTRES:
+                    centres.append([node, own, 0])
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id as ``id``, ``n_shingles``, ``component_id``."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -277,10 +335,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = real.where("n > 0 AND id IS NOT NULL").groupBy("digest")
     classes = cut(classes.agg(F.min("id").alias("node"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
 
-    keyed = classes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").drop("last")
-    stars = keyed.join(leaders, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = cut(linked(docs, stars, width, percent))
+    links = cut(centre_links(docs, classes, width, percent).distinct())
 
     first = components(links)
     nodes = classes.drop("keys").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
