@@ -63,8 +63,10 @@ def digest(shingles: np.ndarray) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Bits at the hashes modulo the first power of two from the set's size on, 128 to 65,536."""
-    bits = 1 << min(max(7, int(len(shingles) - 1).bit_length()), 16)
+    """Bits at the hashes modulo a power of two, 128 to 65,536: four times the set's size or more up to 2,048 bits, so
+    that few differences hide behind a common bit, and the set's size or more beyond, which tells unlike sets apart."""
+    n = len(shingles)
+    bits = 1 << min(max(7, int(n - 1).bit_length(), min(11, int(4 * n - 1).bit_length())), 16)
     flags = np.zeros(bits, np.uint8)
     flags[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
