@@ -13,7 +13,7 @@ part in learning.
 from __future__ import annotations
 
 import re
-import zlib
+from array import array
 from bisect import bisect_right
 from dataclasses import dataclass
 
@@ -27,7 +27,6 @@ from telltale.sources.tables import table
 
 #: Documents of each language that the scores are fitted on, in expectation; chosen by hash.
 FIT_ROWS_PER_LANGUAGE = 1_500
-BUCKETS = 1 << 18
 UNKNOWN = "und"
 #: What a change of language between two words costs, in nats.
 SWITCH = 12.0
@@ -74,19 +73,20 @@ def script_of(letter: str) -> str:
     return SCRIPT_RANGES[bisect_right(_STARTS, ord(letter)) - 1][1]
 
 
-def word_grams(word: str) -> list[int]:
-    """Buckets of the runs of one to four characters of the lower-cased letters, ends marked."""
-    grams: list[bytes] = []
+def word_grams(word: str) -> list[str]:
+    """The runs of one to four characters of the lower-cased letters, ends marked."""
+    grams: list[str] = []
     for letters in _LETTERS.findall(word.lower()):
         marked = f"^{letters}$"
-        grams += [marked[i : i + n].encode() for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g) % BUCKETS for g in grams]
+        grams += [marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
+    return grams
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    #: BUCKETS x languages: log probabilities of the runs, less their mean over the languages.
+    #: The character runs met in learning, and for each its log probability by language, less the mean over them.
+    runs: dict[str, int]
     weights: np.ndarray
     #: For each script the languages that are written in it.
     scripts: dict[str, list[bool]]
@@ -103,8 +103,9 @@ class LanguageModel:
         n = len(_LETTER.findall(word))
         if not n or not self.languages:
             return np.zeros(len(self.languages), np.float32), n
-        grams = word_grams(word)
-        score = self.weights[grams].sum(0) / 4.0  # every letter is in about four runs
+        at = self.runs.get
+        known = [i for g in word_grams(word) if (i := at(g)) is not None]
+        score = self.weights[known].sum(0) / 4.0  # every letter is in about four runs
         narrowed = self.scripts.get(script_of(_LETTER.search(word).group()))
         if narrowed is not None and any(narrowed) and not all(narrowed):
             score = np.where(narrowed, score, score.min() - SWITCH)
@@ -120,25 +121,26 @@ def fit(texts: list[str], langs: list[str], least_share: float = 0.005) -> Langu
         seen = words[at[lang]]
         for w in text.split():
             seen[w] = seen.get(w, 0) + 1
-    counts = np.zeros((BUCKETS, len(languages)))
+    runs: dict[str, int] = {}
     letters: dict[str, np.ndarray] = {}
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     for i, seen in enumerate(words):
-        grams, times = [], []
+        grams, times = array("i"), array("i")
         for w, n in seen.items():
-            g = word_grams(w)
-            grams += g
-            times += [n] * len(g)
+            ids = [runs.setdefault(g, len(runs)) for g in word_grams(w)]
+            grams.extend(ids)
+            times.extend([n] * len(ids))
             if first := _LETTER.search(w):
                 letters.setdefault(script_of(first.group()), np.zeros(len(languages)))[i] += n
-        counts[:, i] = np.bincount(np.array(grams, np.int64), np.array(times, float), BUCKETS)
+        found.append((np.array(grams, np.int64), np.array(times, float)))
+    weights = np.zeros((len(runs), len(languages)), np.float32)
     if languages:
-        share = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS))
+        counts = np.stack([np.bincount(g, t, len(runs)) for g, t in found], axis=1)
+        share = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * len(runs)))
         weights = (share - share.mean(1, keepdims=True)).astype(np.float32)
-    else:
-        weights = counts.astype(np.float32)
     total = sum(letters.values()) if letters else np.ones(len(languages))
     scripts = {s: [bool(x) for x in n >= least_share * np.maximum(total, 1)] for s, n in letters.items()}
-    return LanguageModel(languages, weights, scripts)
+    return LanguageModel(languages, runs, weights, scripts)
 
 
 def fit_known(docs: DataFrame, per_language: int = FIT_ROWS_PER_LANGUAGE) -> LanguageModel:
@@ -254,7 +256,7 @@ def label_batch(table_: WordTable, texts: list[str]) -> tuple[list[str], np.ndar
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str], lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """The columns ``keep`` of every row with its language and the share of its letters that are in it."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a bounded sample's character runs
     fields = [docs.schema[c] for c in keep]
     at = keep.index("text") if "text" in keep else len(keep)
 
