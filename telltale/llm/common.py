@@ -92,8 +92,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``width`` words; fewer words make one run, no word none."""
+def runs_of_words(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` words, in text order; fewer words make one run, no word none."""
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
@@ -101,4 +101,9 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     runs = np.full(n - size + 1, size, np.uint64)
     for j in range(size):
         runs = mixed(runs * np.uint64(0x9E3779B97F4A7C15) + words[j : n - size + 1 + j])
-    return np.unique(runs)
+    return runs
+
+
+def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs."""
+    return np.unique(runs_of_words(words, width))

@@ -2,20 +2,20 @@
 
 Two documents link when ``100 * intersection >= percent * union`` of their shingle sets. The join is exact:
 
-1. One pass over the texts gives each set's size, digest, bitmap and a few min-hashes, and which shingles are frequent.
+1. One pass over the texts gives each set's size, digest, bitmap and a few min-hashes, and how frequent words are.
    Equal sets are one class from here on.
 2. Classes that share a pair of min-hashes are grouped, and each is compared exactly with a few centres of its group:
    classes to which others linked, or that link to none so far. Most near copies are connected after this, so that
    later no group of copies is expanded into pairs.
 3. Of each set, the shingles that must hold one of every partner's, ``n - ceil(percent * n) + 1`` of them, rare ones
-   first, are laid out as rows (prefix filter). A shingle whose rows belong to one component is done with. The others make
-   tiles: rows of one shingle, in bands of sizes that can link at all; what exceeds a tile is dealt to a grid of block
-   pairs. Within a tile the number of differing bits of two bitmaps bounds their overlap from above, and only pairs of
+   first, are laid out as rows (prefix filter). Rows of one shingle in two neighbouring bands of sizes make a tile: sets
+   further apart can't link. A tile whose rows belong to one component is done with; a large one is dealt to a grid of
+   block pairs. Within a tile the number of differing bits of two bitmaps bounds their overlap from above, and only pairs of
    different components that pass go on.
 4. Those pairs are decided by intersecting the sorted arrays, and the links complete the components.
 
-Frequent shingles are found by counting all shingles in a fixed number of buckets; their order only decides which rows
-are made, never the result. Classes are told apart by 64-bit digests, shingles in a set by 64-bit hashes.
+Rare means made of rare words: all words of all texts are counted in a fixed number of buckets, and a shingle weighs the
+sum of its words' logarithms. That order only decides which rows are made, never the result. Classes are told apart by 64-bit digests, shingles in a set by 64-bit hashes.
 
 Defined cases. A null or empty text has no shingles and links with nothing; fewer words than the width are one shingle.
 Rows that share an id are one document to the links; a null id has no component. Repeated rows are in one class. An
@@ -24,20 +24,21 @@ empty table gives an empty result. Only id and text are read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm.common import WordHashes, mixed, per_batch, raw_texts, shingle_set
+from telltale.llm.common import WordHashes, mixed, per_batch, raw_texts, runs_of_words, shingle_set
 from telltale.llm.components import components
 from telltale.session import cut
 from telltale.sources.tables import table
 
-BUCKETS = 1 << 20
-#: Share of the documents from which on a bucket of shingles counts as frequent.
-FREQUENT = 0.002
+#: Buckets that words are counted in.
+BUCKETS = 1 << 18
 #: Rows of a block; a tile holds two blocks at most.
 BLOCK = 1_000
 #: Classes of a group that are compared with its centres in one run, and how many centres there are.
@@ -73,16 +74,15 @@ def bitmap(shingles: np.ndarray) -> bytes:
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """id, n, digest, bitmap and min-hash keys per row; a last row of each task (n = -1) has its frequent buckets."""
+    """id, n, digest, bitmap and min-hash keys per row; a last row of each task (n = -1) has its counts of words."""
     def start(batches):
-        shingles_of, counts, met = shingler(width), np.zeros(BUCKETS, np.int64), 0
+        hashes, counts = WordHashes(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                sets = [shingles_of(t) for t in raw_texts(piece.column(1))]
-                flat = np.concatenate(sets)
-                counts += np.bincount((flat >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
-                met += sum(1 for s in sets if len(s))
+                words = [hashes(t.lower().split()) for t in raw_texts(piece.column(1))]
+                sets = [shingle_set(w, width) for w in words]
+                counts += np.bincount(word_bucket(np.concatenate(words)), minlength=BUCKETS)
                 keys = []
                 for s in sets:
                     if not len(s):
@@ -97,12 +97,12 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                         "digest": pa.array([digest(s) for s in sets], pa.int64()),
                         "bits": pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
                         "keys": pa.array(keys, pa.list_(pa.int64())),
-                        "frequent": pa.array([None] * len(sets), pa.list_(pa.int32())),
+                        "buckets": pa.array([None] * len(sets), pa.list_(pa.int32())),
                         "times": pa.array([None] * len(sets), pa.list_(pa.int64())),
                     }
                 )
-        hot = np.flatnonzero(counts >= max(8.0, FREQUENT * met))
-        if len(hot):
+        met = np.flatnonzero(counts)
+        if len(met):
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": pa.nulls(1, id_type),
@@ -110,45 +110,48 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                     "digest": pa.array([0], pa.int64()),
                     "bits": pa.array([None], pa.binary()),
                     "keys": pa.array([None], pa.list_(pa.int64())),
-                    "frequent": pa.array([hot], pa.list_(pa.int32())),
-                    "times": pa.array([counts[hot]], pa.list_(pa.int64())),
+                    "buckets": pa.array([met], pa.list_(pa.int32())),
+                    "times": pa.array([counts[met]], pa.list_(pa.int64())),
                 }
             )
 
     id_type = pa.int64()
-    schema = "id long, n long, digest long, bits binary, keys array<long>, frequent array<int>, times array<long>"
+    schema = "id long, n long, digest long, bits binary, keys array<long>, buckets array<int>, times array<long>"
     return docs.mapInArrow(start, schema)
 
 
-def frequent_buckets(rows: DataFrame) -> np.ndarray:
-    """A flag per bucket, BUCKETS bytes whatever the input."""
-    total = rows.where("n > 0").count()
-    parts = rows.where("n = -1").select(F.explode(F.arrays_zip("frequent", "times")).alias("x"))
-    sums = parts.groupBy("x.frequent").agg(F.sum("x.times").alias("times")).where(F.col("times") >= max(8.0, FREQUENT * total))
-    flags = np.zeros(BUCKETS, bool)
-    flags[sums.select("frequent").toArrow().column(0).to_numpy()] = True
-    return flags
+def word_bucket(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(46)).astype(np.int64)
+
+
+def word_weights(rows: DataFrame) -> np.ndarray:
+    """For each bucket 16 times the logarithm of how often its words occur: BUCKETS small integers for any input."""
+    parts = rows.where("n = -1").select(F.explode(F.arrays_zip("buckets", "times")).alias("x"))
+    sums = parts.groupBy(F.col("x.buckets").alias("bucket")).agg(F.sum("x.times").alias("times")).toArrow()
+    weights = np.zeros(BUCKETS, np.int32)
+    weights[sums.column(0).to_numpy()] = np.round(16 * np.log2(sums.column(1).to_numpy() + 1.0))
+    return weights
 
 
-def prefix_rows(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
+def prefix_rows(docs: DataFrame, width: int, percent: int, weights: np.ndarray) -> DataFrame:
     """shingle, digest and n: the shingles of each set of which a partner must share one."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def start():
-        shingles_of, hot = shingler(width), np.unpackbits(shared.value).astype(bool)
+        hashes = WordHashes()
 
         def step(batch: pa.RecordBatch) -> dict:
             parts, digests, sizes, lengths = [np.empty(0, np.uint64)], [], [], []
             for text in raw_texts(batch.column(0)):
-                s = shingles_of(text)
+                words = hashes(text.lower().split())
+                s, at = np.unique(runs_of_words(words, width), return_index=True)
                 n = len(s)
                 if n:
                     take = n - -(-percent * n // 100) + 1
-                    rare = ~hot[(s >> np.uint64(44)).astype(np.int64)]
-                    found = s[rare][:take]
-                    if len(found) < take:
-                        found = np.concatenate([found, s[~rare][: take - len(found)]])
-                    parts.append(found)
+                    each = shared.value[word_bucket(words)]
+                    size = min(width, len(words))
+                    weight = sum(each[j + at] for j in range(size))
+                    parts.append(s[np.lexsort((s, weight))[:take]])
                     digests.append(digest(s))
                     sizes.append(n)
                     lengths.append(take)
@@ -163,20 +166,30 @@ def prefix_rows(docs: DataFrame, width: int, percent: int, frequent: np.ndarray)
     return per_batch(docs.select("text"), "shingle long, digest long, n long", start, most_bytes=4 << 20)
 
 
-def tile_candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components whose bitmaps allow the overlap; ``rows``: shingle, node, component, n, bits."""
+def tile_candidates(rows: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components whose bitmaps allow the overlap.
+
+    ``rows``: shingle, node, component, n; ``bitmaps``: node, bits. Bands are as wide as the sizes of a linked pair can
+    differ, so a pair lies in one band or in two neighbours; it belongs to the tile of the upper one. Bitmaps are only
+    joined to rows of tiles with more than one component.
+    """
+    width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0
+    banded = rows.withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    banded = banded.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     sizes = (
-        rows.groupBy("shingle")
+        banded.groupBy("shingle", "tile")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
         .where("low <> high")
-        .select("shingle", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        .select("shingle", "tile", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     )
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rows.join(sizes, "shingle").withColumn("block", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    dealt = dealt.withColumn("tile_a", F.least("block", "other")).withColumn("tile_b", F.greatest("block", "other")).drop("other")
-    tile = ["shingle", "tile_a", "tile_b"]
-    dealt = dealt.select(*tile, "n", "block", "node", "component", "bits")
+    dealt = banded.join(sizes, ["shingle", "tile"]).withColumn("block", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("tile_a", F.least("block", "other")).withColumn("tile_b", F.greatest("block", "other"))
+    tile = ["shingle", "tile", "tile_a", "tile_b"]
+    upper = (F.col("band") == F.col("tile")).alias("upper")
+    dealt = cut(dealt.select(*tile, "n", "block", "node", "component", upper)).join(bitmaps, "node")
+    dealt = dealt.select(*tile, "n", "block", "node", "component", "upper", "bits")
     dealt = dealt.repartition(*tile).sortWithinPartitions(*tile, "n", "node")
 
     def fold(bits: int, size: int, to: int) -> int:
@@ -191,14 +204,14 @@ def tile_candidates(rows: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             out = []
             columns = [c.to_pylist() for c in batch.columns]
-            for key, i, j, n, block, node, component, raw in zip(*columns, strict=True):
-                if (key, i, j) != now:
-                    now, members, first = (key, i, j), [], 0
+            for key, band, i, j, n, block, node, component, upper, raw in zip(*columns, strict=True):
+                if (key, band, i, j) != now:
+                    now, members, first = (key, band, i, j), [], 0
                 bits, size = int.from_bytes(raw, "little"), 8 * len(raw)
                 while first < len(members) and 100 * members[first][0] < percent * n:
                     first += 1  # too small for this and all later rows: sizes ascend
                 for other in members[first:]:
-                    if other[2] == component or (i != j and other[1] == block):
+                    if other[2] == component or not upper or (i != j and other[1] == block):
                         continue
                     theirs, width = other[4], other[5]
                     if width == size:
@@ -343,12 +356,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     nodes = classes.drop("keys").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     nodes = cut(nodes)
 
-    laid = cut(prefix_rows(docs, width, percent, frequent_buckets(rows)))
+    laid = cut(prefix_rows(docs, width, percent, word_weights(rows)))
     several = laid.groupBy("shingle").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
     several = several.where("low <> high").select("shingle")
     met = laid.join(several, "shingle", "left_semi").select("shingle", "digest").distinct()
-    met = cut(met.join(nodes, "digest").select("shingle", "node", "component", "n", "bits"))
-    more = linked(docs, tile_candidates(met, percent), width, percent)
+    met = cut(met.join(nodes, "digest").select("shingle", "node", "component", "n"))
+    bitmaps = nodes.groupBy("node").agg(F.first("bits").alias("bits"))
+    more = linked(docs, tile_candidates(met, bitmaps, percent), width, percent)
 
     last = components(links.union(more))
     homes = nodes.select("digest", "node").join(last, "node", "left")
