@@ -28,8 +28,8 @@ def kev_semi(findings: DataFrame, kev: DataFrame, on: str = "cve_id") -> DataFra
 
 
 def kev_inner(findings: DataFrame, kev: DataFrame, on: str = "cve_id") -> DataFrame:
-    """Findings with the catalog entry attached; the catalog has one row per id."""
-    return findings.join(kev, on, "inner")
+    """Findings with the catalog entry attached; of an id listed twice one entry is taken."""
+    return findings.join(_one_row(kev, [on]), on, "inner")
 
 
 def top_with_evidence(
@@ -38,11 +38,11 @@ def top_with_evidence(
     """The ``n`` leading findings, each with its log count and latest log text.
 
     Logs are optional. They are filtered by the ``n`` keys and reduced to one
-    row per key before the outer join; the key list has ``n`` rows, which is
-    why it alone may be broadcast by hint.
+    row per key before the outer join. The ranking is read twice, so it is
+    written first; how its few keys are joined is left to Spark.
     """
-    top = findings.orderBy(*rank_by).limit(n)
-    hit = logs.join(F.broadcast(top.select(key)), key, "left_semi")
+    top = cut(findings.orderBy(*rank_by).limit(n))
+    hit = logs.join(top.select(key), key, "left_semi")
     evidence = hit.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_logs"), F.max_by(log_text, F.struct(*log_seq)).alias("last_log")
     )
@@ -153,40 +153,68 @@ def copied_then_removed(
     return df.groupBy(*by).agg(first, last).filter(F.col("added_at") < F.col("removed_at"))
 
 
-def sbom_edges(packages: DataFrame, relationships: DataFrame) -> DataFrame:
-    """Relationships with the package names of both ends."""
-    source = packages.select(
-        F.col("spdx_id").alias("spdx_element_id"), F.col("name").alias("source_name")
-    )
-    target = packages.select(
-        F.col("spdx_id").alias("related_spdx_element"), F.col("name").alias("target_name")
-    )
-    return relationships.join(source, "spdx_element_id", "inner").join(target, "related_spdx_element", "inner")
+def _one_row(df: DataFrame, on: list[str]) -> DataFrame:
+    """One row per key, the least of its others, so that a join with it never multiplies.
+
+    It is written, so the join shuffles it by itself: directly on the aggregation Spark could not split a hot key of
+    the other side.
+    """
+    rest = [c for c in df.columns if c not in on]
+    if not rest:
+        return cut(df.distinct())
+    return cut(df.groupBy(*on).agg(F.min(F.struct(*rest)).alias("_row")).select(*on, "_row.*"))
 
 
-def sbom_reachable(relationships: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """Nodes within ``depth`` edges of the roots, with their least distance.
+def sbom_edges(packages: DataFrame, relationships: DataFrame, document: list[str] | None = None) -> DataFrame:
+    """Relationships with the package names of both ends.
 
-    Each level joins the frontier to the edges and drops nodes already seen. It
-    is written before the next one reads it, as every later level would
-    otherwise compute it twice over.
+    ``document`` names the columns that identify a document; ids are unique
+    within one only, so documents with the same ids never meet.
     """
-    edges = relationships.select("spdx_element_id", "related_spdx_element").distinct()
-    frontier = roots.select("spdx_id").distinct().withColumn("depth", F.lit(0))
-    seen = frontier
-    for level in range(1, depth + 1):
+    by = document or []
+    source = packages.select(*by, F.col("spdx_id").alias("spdx_element_id"), F.col("name").alias("source_name"))
+    target = packages.select(*by, F.col("spdx_id").alias("related_spdx_element"), F.col("name").alias("target_name"))
+    out = relationships.join(_one_row(source, [*by, "spdx_element_id"]), [*by, "spdx_element_id"], "inner")
+    return out.join(_one_row(target, [*by, "related_spdx_element"]), [*by, "related_spdx_element"], "inner")
+
+
+def sbom_reachable(
+    relationships: DataFrame, roots: DataFrame, depth: int | None = None, document: list[str] | None = None
+) -> DataFrame:
+    """Nodes within ``depth`` edges of the roots, with their least distance; without a depth all that can be reached.
+
+    ``document`` as in ``sbom_edges``. The edges are written once. Each level
+    joins the frontier to them and drops nodes already seen; it is written
+    before the next one reads it, and an empty one ends the search.
+    """
+    by = document or []
+    edges = cut(relationships.select(*by, "spdx_element_id", "related_spdx_element").distinct())
+    frontier = roots.select(*by, "spdx_id").distinct().withColumn("depth", F.lit(0))
+    seen, level = frontier, 0
+    while depth is None or level < depth:
+        level += 1
         frontier = cut(
-            frontier.select(F.col("spdx_id").alias("spdx_element_id"))
-            .join(edges, "spdx_element_id")
-            .select(F.col("related_spdx_element").alias("spdx_id"))
+            frontier.select(*by, F.col("spdx_id").alias("spdx_element_id"))
+            .join(edges, [*by, "spdx_element_id"])
+            .select(*by, F.col("related_spdx_element").alias("spdx_id"))
             .distinct()
-            .join(seen.select("spdx_id"), "spdx_id", "left_anti")
+            .join(seen.select(*by, "spdx_id"), [*by, "spdx_id"], "left_anti")
             .withColumn("depth", F.lit(level))
         )
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
 
+def sbom_beyond(relationships: DataFrame, reached: DataFrame, document: list[str] | None = None) -> DataFrame:
+    """Nodes one edge behind what a search to a fixed depth has reached: empty if it was complete."""
+    by = document or []
+    ends = reached.select(*by, F.col("spdx_id").alias("spdx_element_id")).join(relationships, [*by, "spdx_element_id"])
+    behind = ends.select(*by, F.col("related_spdx_element").alias("spdx_id")).distinct()
+    return behind.join(reached.select(*by, "spdx_id"), [*by, "spdx_id"], "left_anti")
+
+
 def signed_images(attestations: DataFrame, signatures: DataFrame, on: str = "digest") -> DataFrame:
     """Attestations with their number of signatures; the latter are counted per digest first."""
     counted = signatures.groupBy(on).agg(F.count(F.lit(1)).alias("n_signatures"))
@@ -207,6 +235,11 @@ def client_changes(a: DataFrame, b: DataFrame, client: str, fields: list[str]) -
     return left.join(right, client, "inner").withColumn("changed", changed)
 
 
-def with_rule(findings: DataFrame, rules: DataFrame, on: str) -> DataFrame:
-    """Rule metadata attached to findings; rules hold one row per id."""
-    return findings.join(rules, on, "inner")
+def with_rule(findings: DataFrame, rules: DataFrame, on: str | list[str]) -> DataFrame:
+    """Rule metadata attached to findings.
+
+    ``on`` is the rule id, with the file and run if ids are only known within
+    them. Of a rule that is defined more than once one definition is taken.
+    """
+    on = [on] if isinstance(on, str) else on
+    return findings.join(_one_row(rules, on), on, "inner")

@@ -3,8 +3,9 @@
 A plain window puts a whole group into one task, which fails once a single
 file, user or table holds a third of the data. These operators work in blocks:
 a window inside each (group, block), one summary row per block, a window over
-the few summaries, and a join that adds what came before the block. The join
-uses the partitioning that the inner window already needed.
+the few summaries, and a join that adds what came before the block. The
+summary is the block's last row in that same window, so both sides of the join
+read one shuffle of the source, and the join uses its partitioning.
 
 Blocks are either given as a column that never decreases along the order (line
 numbers cut every N lines), or taken from a range partitioning whose sampled
@@ -47,6 +48,22 @@ def _add_before(local: DataFrame, before: DataFrame, by: list[str]) -> DataFrame
     return joined.drop(*(f"_r_{c}" for c in [*by, BLOCK]))
 
 
+def _whole(local: DataFrame) -> DataFrame:
+    """``local``, asked for with all its columns, whatever its readers use: only then do they share one shuffle.
+
+    The condition always holds; a hash is the cheapest use of a column that the optimizer does not see through. Maps
+    have no hash and stay out.
+    """
+    used = [f"`{f.name}`" for f in local.schema if "map<" not in f.dataType.simpleString()]
+    return local.filter(F.hash(*used) >= F.lit(-(1 << 31)))
+
+
+def _block_ends(local: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The last row of each block, with what the window over the block has come to there."""
+    after = F.lead(F.lit(1)).over(W.partitionBy(*by, BLOCK).orderBy(*order))
+    return local.withColumn("_after", after).filter(F.col("_after").isNull())
+
+
 def _earlier(by: list[str]):
     return W.partitionBy(*by).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
 
@@ -58,12 +75,9 @@ def running_sum(
     cols = [*df.columns, name]
     blocked = _blocked(df, by, order, block)
     inner = W.partitionBy(*by, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = blocked.withColumn("_local", F.sum(value).over(inner))
-    before = (
-        blocked.groupBy(*by, BLOCK)
-        .agg(F.sum(value).alias("_total"))
-        .withColumn("_before", F.sum("_total").over(_earlier(by)))
-    )
+    local = _whole(blocked.withColumn("_local", F.sum(value).over(inner)))
+    ends = _block_ends(local, by, order)
+    before = ends.select(*by, BLOCK, F.sum("_local").over(_earlier(by)).alias("_before"))
     out = _add_before(local, before, by)
     total = (
         F.when(F.col("_local").isNull(), F.col("_before"))
@@ -95,16 +109,13 @@ def carry_forward(
     blocked = _blocked(df, by, order, block)
     inner = W.partitionBy(*by, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     last = [F.last(v, ignorenulls=True).over(inner).alias(f"_l{i}") for i, v in enumerate(values)]
-    local = blocked.select("*", *last)
-    in_block = [
-        F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"_b{i}") for i, v in enumerate(values)
-    ]
-    so_far = [F.last(f"_b{i}", ignorenulls=True).over(_earlier(by)).alias(f"v{i}") for i in range(len(values))]
+    local = _whole(blocked.select("*", *last))
+    n = range(len(values))
+    so_far = [F.last(f"_l{i}", ignorenulls=True).over(_earlier(by)).alias(f"v{i}") for i in n]
     before = (
-        blocked.groupBy(*by, BLOCK)
-        .agg(*in_block)
+        _block_ends(local, by, order)
         .select(*by, BLOCK, *so_far)
-        .select(*by, BLOCK, F.struct(*(f"v{i}" for i in range(len(values)))).alias("_before"))
+        .select(*by, BLOCK, F.struct(*(f"v{i}" for i in n)).alias("_before"))
     )
     out = _add_before(local, before, by)
     carried = {n: F.coalesce(f"_l{i}", f"_before.v{i}") for i, n in enumerate(names)}
@@ -119,11 +130,8 @@ def previous(
     blocked = _blocked(df, by, order, block)
     inner = W.partitionBy(*by, BLOCK).orderBy(*order)
     boxed = F.struct(F.col(value).alias("v"))
-    local = blocked.withColumn("_local", F.lag(boxed).over(inner))
-    before = (
-        blocked.groupBy(*by, BLOCK)
-        .agg(F.max_by(boxed, F.struct(*order)).alias("_last"))
-        .withColumn("_before", F.lag("_last").over(W.partitionBy(*by).orderBy(BLOCK)))
-    )
+    local = _whole(blocked.withColumn("_local", F.lag(boxed).over(inner)))
+    earlier = F.lag(boxed).over(W.partitionBy(*by).orderBy(BLOCK))
+    before = _block_ends(local, by, order).select(*by, BLOCK, earlier.alias("_before"))
     out = _add_before(local, before, by)
     return out.withColumn(name, F.coalesce("_local", "_before")["v"]).select(*cols)

@@ -32,7 +32,10 @@ def bucket_index(df: DataFrame, by: list[str], ts: str, width: str = "15 minutes
 
 
 def impact_score(severity: Column, in_kev: Column, locations: Column) -> Column:
-    """severity·100 + catalog hit·50 + up to 49 distinct locations."""
+    """severity·100 + catalog hit·50 + up to 49 distinct locations: a number to show.
+
+    Rank by (severity, catalog hit, locations) instead, which tells 50 locations from 5,000.
+    """
     return (
         severity * SEVERITY_WEIGHT
         + F.when(in_kev, F.lit(KEV_WEIGHT)).otherwise(F.lit(0))

@@ -29,7 +29,9 @@ def rank_findings(findings: DataFrame, kev: DataFrame, n: int = 5) -> DataFrame:
         .withColumn("in_kev", F.coalesce("in_kev", F.lit(False)))
         .withColumn("score", impact_score(F.col("severity"), F.col("in_kev"), F.col("locations")))
     )
-    return top_per_group(scored, ["scan"], [F.desc("score"), "rule_id"], n)
+    # The number of locations orders without a bound; the score shows it clipped.
+    order = [F.desc("severity"), F.desc("in_kev"), F.desc("locations"), "rule_id"]
+    return top_per_group(scored, ["scan"], order, n)
 
 
 def attach_logs(top: DataFrame, logs: DataFrame) -> DataFrame:

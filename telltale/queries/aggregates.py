@@ -79,13 +79,13 @@ def errno_histogram(t):
     SELECT user_id, max(s) AS risk_score, count(*) AS n_behaviors,
            CASE max(s) WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' END AS risk_level
     FROM (SELECT user_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 3 ELSE 1 END AS s
-          FROM events WHERE value > 150) GROUP BY ALL
+          FROM events) GROUP BY ALL
     """
 )
 def file_risk(t):
-    """O-A5: the users' strong events are behaviors."""
+    """O-A5: every event of a user is a behavior."""
     level = F.expr("CASE event_type WHEN 'view' THEN 'LOW' WHEN 'click' THEN 'MEDIUM' WHEN 'error' THEN 'HIGH' ELSE 'LOW' END")
-    behaviors = t.events.filter("value > 150").select("user_id", T.risk_score(level).alias("score"))
+    behaviors = t.events.select("user_id", T.risk_score(level).alias("score"))
     return aggs.file_risk(behaviors, ["user_id"], "score")
 
 

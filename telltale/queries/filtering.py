@@ -10,10 +10,10 @@ from telltale.queries.registry import query
 from telltale.sources.lines import parse_diff, parse_trace
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_name NOT IN ('NATION_3', 'NATION_7', 'NATION_11')")
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW')")
 def skip_list(t):
     """O-F1."""
-    return filters.skip_list(t.nation.select("n_nationkey", "n_name"), "n_name", ["NATION_3", "NATION_7", "NATION_11"])
+    return filters.skip_list(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["1-URGENT", "5-LOW"])
 
 
 def diff_source(t):

@@ -9,7 +9,7 @@ from telltale.queries.registry import query
 
 _RANKED = """
     SELECT s.*, coalesce(n, 0) AS n_logs, last_log FROM (
-      SELECT *, row_number() OVER (PARTITION BY scan ORDER BY score DESC, rule_id) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY scan ORDER BY severity DESC, in_kev DESC, locations DESC, rule_id) AS rank FROM (
         SELECT scan, rule_id, severity, locations, p_size > 40 AS in_kev,
                severity * 100 + CASE WHEN p_size > 40 THEN 50 ELSE 0 END + least(locations, 49) AS score
         FROM (SELECT l_returnflag AS scan, l_partkey AS rule_id, max(l_linenumber) AS severity, count(DISTINCT l_suppkey) AS locations

@@ -66,8 +66,8 @@ def top_with_evidence(t):
 
 @query(
     """
-    WITH a AS (SELECT user_id, event_type, count(*) AS v FROM events WHERE ts < TIMESTAMP '2024-01-16' AND value > 60 GROUP BY ALL),
-         b AS (SELECT user_id, event_type, count(*) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND value > 60 GROUP BY ALL)
+    WITH a AS (SELECT user_id, event_type, count(*) AS v FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY ALL),
+         b AS (SELECT user_id, event_type, count(*) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY ALL)
     SELECT user_id, event_type, a.v AS prior, b.v AS current,
            CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' ELSE 'changed' END AS status
     FROM a FULL JOIN b USING (user_id, event_type) WHERE a.v IS DISTINCT FROM b.v
@@ -77,10 +77,9 @@ def top_with_evidence(t):
 def snapshot_diff(t):
     """O-J3: user × event type in the first against the second half of the month."""
     cut, keys = F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00")), ["user_id", "event_type"]
-    big = t.events.filter("value > 60")
     count = F.count(F.lit(1)).alias("v")
-    prior = big.filter(F.col("ts") < cut).groupBy(*keys).agg(count)
-    current = big.filter(F.col("ts") >= cut).groupBy(*keys).agg(count)
+    prior = t.events.filter(F.col("ts") < cut).groupBy(*keys).agg(count)
+    current = t.events.filter(F.col("ts") >= cut).groupBy(*keys).agg(count)
     return joins.snapshot_diff(prior, current, keys, "v")
 
 
@@ -100,15 +99,15 @@ def last_pair(t):
 @query(
     """
     SELECT DISTINCT l_partkey AS name, 'blocked_but_used' AS gap FROM lineitem
-    WHERE l_quantity > 40 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)
+    WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)
     UNION ALL
     SELECT p_partkey, 'allowed_but_unused' FROM part
-    WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)
+    WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem)
     """
 )
 def allowlist_gaps(t):
-    """O-J5: large order lines against parts above size 10."""
-    used = t.lineitem.filter("l_quantity > 40").select(F.col("l_partkey").alias("name"))
+    """O-J5: all order lines against parts above size 10."""
+    used = t.lineitem.select(F.col("l_partkey").alias("name"))
     allowed = t.part.filter("p_size > 10").select(F.col("p_partkey").alias("name"))
     return joins.allowlist_gaps(used, allowed, "name")
 
@@ -317,15 +316,14 @@ def derive_allowlist(t):
 @query(
     """
     SELECT coalesce(a.k, b.k) AS partkey, CASE WHEN b.k IS NULL THEN 'only_first' WHEN a.k IS NULL THEN 'only_second' ELSE 'common' END AS side
-    FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45) a
-    FULL JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) b ON a.k = b.k
+    FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A') a
+    FULL JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R') b ON a.k = b.k
     """,
     headline=True,
 )
 def compare_sets(t):
     """O-U2."""
-    big = t.lineitem.filter("l_quantity > 45")
-    side = lambda flag: big.filter(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("partkey"))
+    side = lambda flag: t.lineitem.filter(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("partkey"))
     return sets.compare_sets(side("A"), side("R"), "partkey")
 
 

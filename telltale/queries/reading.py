@@ -99,7 +99,7 @@ def sarif_findings(t):
 
 @query(
     """
-    SELECT doc_id, 'R' || i AS rule_id, lang || i AS name, 'https://rules.example.com/' AS help_uri
+    SELECT doc_id, CAST(0 AS INTEGER) AS run_index, 'R' || i AS rule_id, lang || i AS name, 'https://rules.example.com/' AS help_uri
     FROM documents, range(5) r(i)
     """
 )
@@ -742,7 +742,7 @@ def replace_section(t):
 @query(
     """
     SELECT o_orderpriority, count(*) AS n_rows, bool_or(o_orderstatus = 'P' AND o_orderpriority = '3-MEDIUM') AS changed,
-           CAST(CAST(sum(('0x' || left(sha256(o_orderkey || chr(1) || o_orderstatus || chr(1) || o_orderpriority), 15))::BIGINT) AS HUGEINT) AS VARCHAR) AS digest
+           CAST(CAST(sum(('0x' || left(sha256(length(o_orderkey::VARCHAR) || ':' || o_orderkey || length(o_orderstatus) || ':' || o_orderstatus || length(o_orderpriority) || ':' || o_orderpriority), 15))::BIGINT) AS HUGEINT) AS VARCHAR) AS digest
     FROM orders GROUP BY ALL
     """
 )

@@ -25,9 +25,9 @@ def bucket_index(t):
 @query(
     """
     SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, score, CAST(rank AS INTEGER) AS rank
-    FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY score DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rank
-          FROM (SELECT *, l_linenumber * 100 + CASE WHEN l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40) THEN 50 ELSE 0 END
-                       + least(CAST(l_quantity AS INTEGER), 49) AS score FROM lineitem))
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_linenumber DESC, hit DESC, l_quantity DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rank
+          FROM (SELECT *, l_linenumber * 100 + CASE WHEN hit THEN 50 ELSE 0 END + least(CAST(l_quantity AS INTEGER), 49) AS score
+                FROM (SELECT *, l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40) AS hit FROM lineitem)))
     WHERE rank <= 5
     """,
     headline=True,
@@ -35,11 +35,9 @@ def bucket_index(t):
 def top_findings(t):
     """O-W2: the documented score, five findings per flag."""
     kev = t.part.filter("p_size > 40").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("hit"))
-    scored = t.lineitem.join(kev, "l_partkey", "left").withColumn(
-        "score",
-        windows.impact_score(F.col("l_linenumber"), F.coalesce("hit", F.lit(False)), F.col("l_quantity").cast("int")),
-    )
-    order = [F.desc("score"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    scored = t.lineitem.join(kev, "l_partkey", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    scored = scored.withColumn("score", windows.impact_score(F.col("l_linenumber"), F.col("hit"), F.col("l_quantity").cast("int")))
+    order = [F.desc("l_linenumber"), F.desc("hit"), F.desc("l_quantity"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     top = windows.top_per_group(scored, ["l_returnflag"], order, 5)
     return top.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "score", "rank")
 

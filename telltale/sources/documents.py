@@ -64,7 +64,7 @@ def read_kev(spark: SparkSession, path: str) -> DataFrame:
 
 SARIF = (
     "runs array<struct<tool:struct<driver:struct<name:string,rules:array<struct<id:string,name:string,"
-    "helpUri:string>>>>,results:array<struct<ruleId:string,level:string,message:struct<text:string>,"
+    "helpUri:string>>>>,results:array<struct<ruleId:string,ruleIndex:int,rule:struct<id:string,index:int>,level:string,message:struct<text:string>,"
     "locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,"
     "region:struct<startLine:int>>>>>>>>"
 )
@@ -75,14 +75,17 @@ def parse_findings(df: DataFrame, keep: list[str]) -> DataFrame:
     results = (
         _doc(df, SARIF, keep)
         .select(*keep, F.posexplode("d.runs").alias("run_index", "run"))
-        .select(*keep, "run_index", F.posexplode("run.results").alias("result_index", "r"))
-        .select(*keep, "run_index", "result_index", "r", F.explode_outer("r.locations").alias("l"))
+        .select(*keep, "run_index", F.posexplode("run.results").alias("result_index", "r"), F.col("run.tool.driver.rules.id").alias("ids"))
+        .select(*keep, "run_index", "result_index", "r", "ids", F.explode_outer("r.locations").alias("l"))
     )
+    # A result names its rule, or gives its place among the rules of the run.
+    place = F.coalesce("r.ruleIndex", "r.rule.index")
+    rule = F.coalesce("r.ruleId", "r.rule.id", F.when(place >= 0, F.get("ids", place)))
     return results.select(
         *keep,
         "run_index",
         "result_index",
-        F.col("r.ruleId").alias("rule_id"),
+        rule.alias("rule_id"),
         F.coalesce("r.level", F.lit("warning")).alias("level"),
         F.col("r.message.text").alias("message"),
         F.col("l.physicalLocation.artifactLocation.uri").alias("uri"),
@@ -90,13 +93,19 @@ def parse_findings(df: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def level_severity(level: Column) -> Column:
+    """A level as a number to rank by: error 3, warning 2, note 1, none 0; anything else NULL."""
+    ranks = F.create_map(*[F.lit(x) for pair in (("error", 3), ("warning", 2), ("note", 1), ("none", 0)) for x in pair])
+    return F.try_element_at(ranks, F.lower(level))
+
+
 def parse_rules(df: DataFrame, keep: list[str]) -> DataFrame:
-    """(rule_id, name, help_uri) per rule of every run."""
+    """(run_index, rule_id, name, help_uri) per rule of every run."""
     return (
         _doc(df, SARIF, keep)
-        .select(*keep, F.explode("d.runs").alias("run"))
-        .select(*keep, F.explode("run.tool.driver.rules").alias("r"))
-        .select(*keep, F.col("r.id").alias("rule_id"), "r.name", F.col("r.helpUri").alias("help_uri"))
+        .select(*keep, F.posexplode("d.runs").alias("run_index", "run"))
+        .select(*keep, "run_index", F.explode("run.tool.driver.rules").alias("r"))
+        .select(*keep, "run_index", F.col("r.id").alias("rule_id"), "r.name", F.col("r.helpUri").alias("help_uri"))
     )
 
 
@@ -283,17 +292,19 @@ def parse_tlog(df: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-SPDX = (
+_SPDX = (
     "packages array<struct<SPDXID:string,name:string,versionInfo:string,supplier:string,"
     "checksums:array<struct<algorithm:string,checksumValue:string>>>>,"
     "relationships array<struct<spdxElementId:string,relatedSpdxElement:string,relationshipType:string>>"
 )
+#: A bill of materials by itself, or as the predicate of a statement.
+SPDX = f"{_SPDX},predicate struct<{_SPDX.replace('packages array', 'packages:array').replace('relationships array', 'relationships:array')}>"
 
 
 def parse_sbom_packages(df: DataFrame, keep: list[str]) -> DataFrame:
     return (
         _doc(df, SPDX, keep)
-        .select(*keep, F.explode("d.packages").alias("p"))
+        .select(*keep, F.explode(F.coalesce("d.packages", "d.predicate.packages")).alias("p"))
         .select(
             *keep,
             F.col("p.SPDXID").alias("spdx_id"),
@@ -308,7 +319,7 @@ def parse_sbom_packages(df: DataFrame, keep: list[str]) -> DataFrame:
 def parse_sbom_relationships(df: DataFrame, keep: list[str]) -> DataFrame:
     return (
         _doc(df, SPDX, keep)
-        .select(*keep, F.explode("d.relationships").alias("r"))
+        .select(*keep, F.explode(F.coalesce("d.relationships", "d.predicate.relationships")).alias("r"))
         .select(
             *keep,
             F.col("r.spdxElementId").alias("spdx_element_id"),

@@ -12,10 +12,11 @@ from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telltale.functions import kv_string_to_map, split_evidence
-from telltale.operators.ordered import BLOCK, carry_forward, line_block, row_index
+from telltale.operators.ordered import BLOCK, carry_forward, line_block
 from telltale.operators.windows import flag_ambiguous, glue_lines
 from telltale.session import cut
 
@@ -33,9 +34,10 @@ def read_lines(spark: SparkSession, path: str, numbered: bool = True) -> DataFra
     ``numbered=False`` leaves the number NULL and needs no second pass; it is
     enough for formats in which every line stands alone.
 
-    Rows of one split come in file order and splits carry their start offset,
-    so a number is the row's place in its split plus the length of the splits
-    before it. The lines are written once, which fixes the split bounds.
+    Rows of one split come in file order with consecutive positions, so a number
+    is the row's position less that of the split's first row plus the length of
+    the splits before it: one small row per split, and no window over lines. The
+    lines are written once, which fixes the split bounds.
     """
     raw = (
         spark.read.option("recursiveFileLookup", "true")
@@ -50,8 +52,12 @@ def read_lines(spark: SparkSession, path: str, numbered: bool = True) -> DataFra
     )
     if not numbered:
         return raw.select("path", F.lit(None).cast("bigint").alias("line_no"), "line")
-    placed = row_index(cut(raw), ["path"], ["_pos"], "line_no", F.col(BLOCK))
-    return placed.select("path", "line_no", "line")
+    fixed = cut(raw)
+    splits = fixed.groupBy("path", BLOCK).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    earlier = W.partitionBy("path").orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    starts = splits.select("path", BLOCK, (F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    placed = fixed.join(starts, ["path", BLOCK])
+    return placed.select("path", (F.col("_pos") + F.col("_shift") + 1).alias("line_no"), "line")
 
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -216,7 +222,8 @@ SECTION = r"^ ((?:Testing|Running client simulations|Rating)\b.*)$"
 SETTING = r"^ (?:(\S.*?) {2,}|(\S+) )(\S.*)$"
 CONTINUED = r"^ {10,}\S"
 PROTOCOL = r"^(SSLv[23]|TLSv1(?:\.[0-3])?)\b"
-SUITE = r"^ (x[0-9a-f]+) +(\S+) +(\S+(?: \S+)?) {2,}(\S+) +([0-9]+) +(\S+)\s*$"
+# The columns on the right have no blanks, so the exchange is what lies before them, with or without a number.
+SUITE = r"^ (x[0-9a-f]+) +(\S+) +(\S.*?) +(\S+) +([0-9]+) +(\S+)\s*$"
 CLIENT_HEAD = r"^ Browser +Protocol "
 CLIENT = r"^ (\S.*?) {2,}(?:(TLSv1(?:\.[0-3])?|SSLv[23]) +(\S+) {2,}(\S.*)|No connection\s*)$"
 
@@ -227,8 +234,9 @@ def parse_tls_settings(lines: DataFrame) -> DataFrame:
     is_other = reduce(lambda a, b: a | b, (F.col("line").rlike(p) for p in (SUITE, CLIENT, CLIENT_HEAD, CONTINUED)))
     is_start = F.col("line").rlike(SETTING) & ~is_section & ~is_other
     is_more = F.col("line").rlike(CONTINUED)
-    # Section and entry are carried in one scan; a new section ends the entry above it.
-    start = F.struct(F.when(is_start, F.col("line_no")).alias("line_no"))
+    # Section and entry, with its key, are carried in one scan; a new section ends the entry above it.
+    own_key = F.concat(F.regexp_extract("line", SETTING, 1), F.regexp_extract("line", SETTING, 2))
+    start = F.struct(F.when(is_start, F.col("line_no")).alias("line_no"), F.when(is_start, own_key).alias("key"))
     kept = lines.filter(is_section | is_start | is_more).select(
         "*",
         F.when(is_section, F.trim(F.regexp_extract("line", SECTION, 1))).alias("_section"),
@@ -239,20 +247,22 @@ def parse_tls_settings(lines: DataFrame) -> DataFrame:
     )
     body = placed.filter(F.col("_section").isNull() & F.col("entry.line_no").isNotNull())
     merged = glue_lines(
-        body.withColumn("start_line", F.col("entry.line_no")), ["path", "section", "start_line"], "line_no", "line"
+        body.select("*", F.col("entry.line_no").alias("start_line"), F.col("entry.key").alias("entry_key")),
+        ["path", "section", "start_line", "entry_key"],
+        "line_no",
+        "line",
     )
-    # Key and value come from the first line; what was glued behind it belongs to the value.
-    # Later parts of an oversized entry have no key.
+    # The value begins on the first line; what was glued behind it belongs to it. All parts have the key.
     head = F.col("part") == 0
     more = F.expr("substring(text, length(trim(first_line)) + 1)")
-    group = lambda i: F.regexp_extract("first_line", SETTING, i)
+    first = F.regexp_extract("first_line", SETTING, 3)
     return merged.select(
         F.col("path").alias("scan"),
         "section",
         F.col("start_line").alias("line_no"),
         "part",
-        F.when(head, F.concat(group(1), group(2))).alias("key"),
-        F.when(head, F.concat(F.rtrim(group(3)), more)).otherwise(F.col("text")).alias("value"),
+        F.col("entry_key").alias("key"),
+        F.when(head, F.concat(F.rtrim(first), more)).otherwise(F.col("text")).alias("value"),
     )
 
 

@@ -24,23 +24,22 @@ def append_event(df: DataFrame, path: str, required: list[str]) -> None:
 def report_lines(header: list[str], sections: list[tuple[str, DataFrame]], order: list[str], text: str) -> DataFrame:
     """Titled sections below a header, separated by rules, as (ordinal, part, line_no, text).
 
-    Section rows keep their order through ``line_key``, text that sorts like the
-    order columns, so the report is sorted by range and never gathered.
+    Section rows keep their order through ``line_key``, a struct of the order
+    columns with their own types (the same in every section), so the report is
+    sorted by range and never gathered. NULLs come first; for a descending
+    order give a column that ascends, such as the negative.
     """
+    spark = sections[0][1].sparkSession
+    key = F.struct(*order)
+    key_type = sections[0][1].select(key.alias("k")).schema["k"].dataType
 
-    def sortable(df: DataFrame, column: str) -> Column:
-        if df.schema[column].dataType.typeName() not in ("byte", "short", "integer", "long"):
-            return F.col(column).cast("string")
-        shifted = F.col(column).cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")
-        return F.lpad(shifted.cast("string"), 20, "0")
+    def fixed(lines: list[str]) -> DataFrame:
+        rows = spark.createDataFrame(list(enumerate(lines)), "part int, text string")
+        return rows.select("part", F.lit(None).cast(key_type).alias("line_key"), "text")
 
-    spark = sections[0][1].sparkSession
-    fixed = "part int, line_key string, text string"
-    parts = [spark.createDataFrame([(i, "", t) for i, t in enumerate(header)], fixed)]
+    parts = [fixed(header)]
     for title, body in sections:
-        lead = ["", "---", "", f"## {title}", ""]
-        parts.append(spark.createDataFrame([(i, "", t) for i, t in enumerate(lead)], fixed))
-        key = F.concat_ws("\u0001", *(sortable(body, c) for c in order))
+        parts.append(fixed(["", "---", "", f"## {title}", ""]))
         parts.append(body.select(F.lit(0).alias("part"), key.alias("line_key"), F.col(text).alias("text")))
     return ordered_union(parts)
 
@@ -62,7 +61,7 @@ def with_empty_fallback(df: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 def replace_section(text: Column, start: str, end: str, new: str) -> Column:
-    """The text with the lines between two marker lines replaced; raises when a marker is missing."""
+    """The text with the lines between the first two marker lines replaced; raises when a marker is missing."""
     pattern = section_pattern(start, end)
     body = "$1" + new.replace("\\", "\\\\").replace("$", "\\$") + "$2"
     missing = F.raise_error(F.lit(f"no section between {start!r} and {end!r}")).cast("string")
@@ -70,7 +69,8 @@ def replace_section(text: Column, start: str, end: str, new: str) -> Column:
 
 
 def section_pattern(start: str, end: str) -> str:
-    return rf"(?ms)(^\Q{start}\E[ \t]*\n).*?(^\Q{end}\E[ \t]*$)"
+    quoted = ["\\Q" + marker.replace("\\E", "\\E\\\\E\\Q") + "\\E" for marker in (start, end)]
+    return rf"(?ms)\A(.*?^{quoted[0]}[ \t]*\r?\n).*?(^{quoted[1]}[ \t]*\r?$)"
 
 
 def has_section(text: Column, start: str, end: str) -> Column:
@@ -78,8 +78,12 @@ def has_section(text: Column, start: str, end: str) -> Column:
 
 
 def content_digest(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Row count and order-free digest per group: the sum of 60-bit row hashes."""
-    row = F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns))
+    """Row count and order-free digest per group: the sum of 60-bit row hashes.
+
+    Values enter with their length, so no two rows have the same text to hash.
+    """
+    sized = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)
+    row = F.concat(*(F.coalesce(sized(F.col(c).cast("string")), F.lit("-")) for c in columns))
     number = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(20,0)")
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(number).cast("string").alias("digest")

@@ -227,3 +227,34 @@ def test_an_oversized_entry_comes_in_parts(df, rows):
     lines = df([("f", 5, i, f"l{i}") for i in range(5, 10)], "f string, start_line int, n int, t string")
     got = windows.glue_lines(lines, ["f", "start_line"], "n", "t", part_size=2)
     assert rows(got, "part", "text") == [(0, "l5 l6"), (1, "l7 l8"), (2, "l9")]
+
+
+def test_sbom_relations_stay_in_their_document(df):
+    """Ids repeat over documents: an edge in each of three gives three rows."""
+    packages = df([(d, i, f"{d}{i}") for d in "abc" for i in (1, 2)], "doc string, spdx_id int, name string")
+    edges = df([(d, 1, 2, "CONTAINS") for d in "abc"], "doc string, spdx_element_id int, related_spdx_element int, relationship_type string")
+    got = joins.sbom_edges(packages, edges, ["doc"]).collect()
+    assert sorted((r["doc"], r["source_name"], r["target_name"]) for r in got) == [(d, f"{d}1", f"{d}2") for d in "abc"]
+    more = edges.union(df([("a", 2, 3, "CONTAINS")], edges.schema))
+    roots = df([(d, 1) for d in "abc"], "doc string, spdx_id int")
+    reached = joins.sbom_reachable(more, roots, document=["doc"])
+    assert sorted((r["doc"], r["spdx_id"], r["depth"]) for r in reached.collect()) == [
+        ("a", 1, 0), ("a", 2, 1), ("a", 3, 2), ("b", 1, 0), ("b", 2, 1), ("c", 1, 0), ("c", 2, 1),
+    ]
+    near = joins.sbom_reachable(more, roots, 1, ["doc"])
+    assert [tuple(r) for r in joins.sbom_beyond(more, near, ["doc"]).collect()] == [("a", 3)]
+
+
+def test_rules_that_repeat_do_not_multiply_findings(df):
+    rules = df([("f1", "R", "n"), ("f2", "R", "m"), ("f3", "R", "m")], "path string, rule_id string, name string")
+    findings = df([("f2", "R")], "path string, rule_id string")
+    assert joins.with_rule(findings.drop("path"), rules.drop("path"), "rule_id").count() == 1
+    assert [r["name"] for r in joins.with_rule(findings, rules, ["path", "rule_id"]).collect()] == ["m"]
+
+
+def test_many_locations_outrank_fifty(df):
+    from telltale.plans.findings import rank_findings
+
+    rows = [("s", "A", 3, "", f"u{i}") for i in range(50)] + [("s", "B", 3, "", f"u{i}") for i in range(200)]
+    ranked = rank_findings(df(rows, "scan string, rule_id string, severity int, message string, uri string"), df([], "cve_id string"), 1)
+    assert [(r["rule_id"], r["locations"]) for r in ranked.collect()] == [("B", 200)]

@@ -7,6 +7,8 @@ import __spark_entry__ as entry_module
 from telltale.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
+#: Queries that find nothing in the smallest tables.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +28,7 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
     out = difference(entry_module.queries()[name](spark, SF), con, entry_module.oracle_sql()[name])
-    assert out in ("", "no rows"), out
+    assert out == "" or (out == "no rows" and name in MAY_BE_EMPTY), out
 
 
 def test_the_comparison_sees_a_wrong_value(spark, con):

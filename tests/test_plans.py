@@ -1,10 +1,13 @@
 """What the physical plans look like, and how they hold with a hot key."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from telltale.operators import filters, joins, windows
+from telltale.queries import QUERIES
 from telltale.sources.tables import table
 
 SF = "/root/testdata/sf0.001"
@@ -16,7 +19,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_module.queries()) - STREAMS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
 def test_no_cross_joins_and_no_python(spark, name):
     text = plan(entry_module.queries()[name](spark, SF))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
@@ -73,3 +76,11 @@ def test_results_do_not_depend_on_broadcasts(spark, no_broadcast, name):
 
     out = difference(entry_module.queries()[name](spark, SF), connect(SF), entry_module.oracle_sql()[name])
     assert out == ""
+
+
+@pytest.mark.parametrize("name", ["capability_md", "carry_heading", "tls_suites", "tls_settings", "diff_reader", "cumulative_size", "previous_version"])
+def test_blocked_scans_read_their_source_once(spark, no_broadcast, name):
+    df = entry_module.queries()[name](spark, SF)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall("FileScan", final)) == 1 and "ReusedExchange" in final

@@ -111,8 +111,8 @@ Hexcode  Cipher Suite Name (OpenSSL)       KeyExch.   Encryption  Bits     Ciphe
 SSLv3
  -
 TLSv1.2 (server order)
- xc02f   ECDHE-RSA-AES128-GCM-SHA256       ECDH 253   AESGCM      128      TLS_ECDHE_RSA_WITH_AES_128_GCM_SHA256
- x2f     AES128-SHA                        RSA        AES         128      TLS_RSA_WITH_AES_128_CBC_SHA
+ xc02f   SUITE-ONE       EXCH 111   AESGCM      128      TLS_SUITE_ONE
+ x2f     SUITE-TWO                        RSA        AES         128      TLS_SUITE_TWO
 
  Testing robust forward secrecy (FS)
 
@@ -123,7 +123,7 @@ TLSv1.2 (server order)
 
  Browser                      Protocol  Cipher Suite Name (OpenSSL)       Forward Secrecy
 ---------------------------------------------------------------
- Android 15 (native)          TLSv1.3   TLS_AES_128_GCM_SHA256            253 bit ECDH (X25519)
+ Hand 1 (own)          TLSv1.3   TLS_SUITE_THREE            111 bit EXCH (CURVE)
  Old Browser 8                No connection
 """
 
@@ -137,10 +137,10 @@ def test_tls_report(lines, rows):
     assert len(settings) == 4
     assert rows(L.parse_tls_suites(lines(TLS)), "protocol", "hexcode", "key_exchange", "bits") == [
         ("TLSv1.2", "x2f", "RSA", 128),
-        ("TLSv1.2", "xc02f", "ECDH 253", 128),
+        ("TLSv1.2", "xc02f", "EXCH 111", 128),
     ]
     assert rows(L.parse_tls_clients(lines(TLS)), "client", "protocol", "suite", "forward_secrecy") == [
-        ("Android 15 (native)", "TLSv1.3", "TLS_AES_128_GCM_SHA256", "253 bit ECDH (X25519)"),
+        ("Hand 1 (own)", "TLSv1.3", "TLS_SUITE_THREE", "111 bit EXCH (CURVE)"),
         ("Old Browser 8", None, None, None),
     ]
 
@@ -278,3 +278,63 @@ def test_a_separator_inside_a_line_does_not_shift_groups(lines, rows):
     text = 'write(1, "a\u0001b", 3) = 3\nread(0, "x") = -1 EAGAIN (Resource temporarily unavailable)'
     assert rows(L.parse_trace(lines(text)), "syscall", "args", "ret", "errno") == [
         ("read", '0, "x"', "-1", "EAGAIN"), ("write", '1, "a\u0001b", 3', "3", None)]
+
+
+def test_suites_with_one_blank_and_a_combined_exchange(lines, rows):
+    text = """TLSv1.3 (no server order)
+ x9901   TLS_SUITE_NINE                    EXCH/HYBRID AEADX     256      TLS_SUITE_NINE_LONG
+ x9902   TLS_SUITE_TEN                     EXCH 111   AEADX       128      TLS_SUITE_TEN_LONG
+
+ Testing other things
+
+ Key                          value"""
+    assert rows(L.parse_tls_suites(lines(text)), "protocol", "hexcode", "key_exchange", "encryption", "bits") == [
+        ("TLSv1.3", "x9901", "EXCH/HYBRID", "AEADX", 256), ("TLSv1.3", "x9902", "EXCH 111", "AEADX", 128)]
+    assert rows(L.parse_tls_settings(lines(text)), "key", "value") == [("Key", "value")]
+
+
+def test_all_parts_of_a_long_setting_have_its_key(spark):
+    n = 100_005
+    text = F.when(F.col("id") == 1, F.lit(" Testing it")).when(F.col("id") == 2, F.lit(" Key one   first")).otherwise(F.lit(" " * 12 + "x"))
+    long = spark.range(1, n).select(F.lit("f").alias("path"), F.col("id").alias("line_no"), text.alias("line"))
+    got = L.parse_tls_settings(long).collect()
+    assert len(got) > 1 and {r["key"] for r in got} == {"Key one"}
+
+
+def test_only_the_first_section_is_replaced(spark):
+    df = spark.createDataFrame([("s\\E\r\nold\r\ne\r\nmid\r\ns\\E\r\nkeep\r\ne",)], "t string")
+    out = df.select(sinks.replace_section(F.col("t"), "s\\E", "e", "new\r\n").alias("t")).first()["t"]
+    assert out == "s\\E\r\nnew\r\ne\r\nmid\r\ns\\E\r\nkeep\r\ne"
+
+
+def test_digests_tell_values_with_separators_apart(spark):
+    a = spark.createDataFrame([("a\u0001b", "c")], "x string, y string")
+    b = spark.createDataFrame([("a", "b\u0001c")], "x string, y string")
+    c = spark.createDataFrame([("a", None)], "x string, y string")
+    assert sinks.changed(a, b, ["x", "y"]) and sinks.changed(c, c.fillna("-"), ["x", "y"])
+
+
+def test_report_order_of_doubles_and_nulls(spark, tmp_path):
+    body = spark.createDataFrame([(10.5, "c"), (-1.0, "a"), (9.5, "b"), (None, "n")], "k double, text string")
+    sinks.write_report(sinks.report_lines(["# T"], [("S", body)], ["k"], "text"), str(tmp_path / "r"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
+    assert text.split("\n")[-5:] == ["n", "a", "b", "c", ""]
+
+
+def test_rules_are_found_by_their_place(doc, rows):
+    rules = [{"id": "R0"}, {"id": "R1"}]
+    results = [{"ruleIndex": 1}, {"rule": {"index": 0}}, {"rule": {"id": "R9"}}, {"ruleIndex": -1}, {"ruleId": "R5", "level": "error"}]
+    value = {"runs": [{"tool": {"driver": {"name": "t", "rules": rules}}, "results": results}]}
+    found = D.parse_findings(doc(value), [])
+    assert [r[0] for r in found.orderBy("result_index").select("rule_id").collect()] == ["R1", "R0", "R9", None, "R5"]
+    assert rows(found.select(D.level_severity(F.col("level")).alias("s"), "result_index")) == [(2, 0), (2, 1), (2, 2), (2, 3), (3, 4)]
+
+
+def test_bill_of_materials_inside_a_statement(doc, rows):
+    bill = {
+        "packages": [{"SPDXID": "A", "name": "a"}, {"SPDXID": "B", "name": "b"}],
+        "relationships": [{"spdxElementId": "A", "relatedSpdxElement": "B", "relationshipType": "CONTAINS"}],
+    }
+    for value in (bill, {"predicateType": "x", "predicate": bill}):
+        assert rows(D.parse_sbom_packages(doc(value), []), "spdx_id", "name") == [("A", "a"), ("B", "b")]
+        assert rows(D.parse_sbom_relationships(doc(value), []), "related_spdx_element") == [("B",)]
