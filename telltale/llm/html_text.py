@@ -76,7 +76,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+#: One whole attribute, its value with the quotes; a quote left open goes to the end of the tag.
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?")
 _WORD = re.compile(r"[a-z0-9]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？»«“”\"]")
 
@@ -102,7 +103,7 @@ def marked(name: str, attributes: str, inside_article: bool) -> bool:
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), (a or b or c).lower()
+        key, value = key.lower(), html.unescape(a or b or c).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
         if key == "role" and value in ROLES:

@@ -29,6 +29,33 @@ def test_pages(page, text):
     assert h.main_text(page).startswith(text) if "unclosed" in page else h.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    [
+        'style="overflow:hidden"',
+        "title='a hidden valley'",
+        'href="/hidden-gems"',
+        "href=/ads/hidden",
+        'data-hidden="false"',
+        'data-id="ad-12"',
+        "data-x='1'data-class=menu",
+        'title="role=navigation class=ad"',
+        'x-role="navigation"',
+        'title = "id=\'menu\' hidden"',
+    ],
+)
+def test_only_whole_attributes_count(attributes):
+    assert h.main_text(f"<div {attributes}><p>One part, here.</p></div>") == "One part, here."
+    assert h.main_text(f"<article><p>See <a {attributes}>this</a> too.</p></article>") == "See this too."
+
+
+@pytest.mark.parametrize(
+    "attributes", ["hidden", "HIDDEN=''", "title='a'hidden", "a=b hidden/", 'aria-hidden = "true"', "role='search'", "id=ad", 'class="a&#100; x"']
+)
+def test_marks_in_their_own_attributes_count(attributes):
+    assert h.main_text(f"<p>One part, here.</p><div {attributes}>no</div>") == "One part, here."
+
+
 def test_paths_separate_text_from_links():
     menu = "".join(f"<li><a href=#>Link {i}</a></li>" for i in range(12))
     body = "".join(f"<p>Sentence {i}, which is long enough, says something. And another one, too; it ends here.</p>" for i in range(6))
