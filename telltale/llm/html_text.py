@@ -7,7 +7,10 @@ a part of the scores' deviation. The innermost element that holds the kept block
 that is one by its name every block counts, elsewhere those from the first to the last kept one and the headings before.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by element,
-role, or a word of class or id. Character references are decoded once; white space in a block, ``<br>`` included,
+role, or a word of class or id. Such a word alone does not decide for an element around the article: it is overruled where
+the element holds the only article or main, more than half of the scored text that is no reader comment, or all of it; a
+word for reader comments only at nine tenths of all scored text. It never counts for inline elements in pre or code.
+Character references are decoded once; white space in a block, ``<br>`` included,
 becomes one space; blocks are joined by a line feed.
 
 Defined cases. A null or empty page, or one without text outside those parts, gives an empty text. Elements left open
@@ -68,6 +71,11 @@ MARKS = frozenset(
     "newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus replies "
     "reply respond related recommended pagination pager toolbar widget skip".split()
 )
+#: Those of them that mean reader comments, which may well be longer than the article.
+READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Part of the scored text above which an element around it is no mere part of the page, for other marks and for these.
+MOST, NEARLY_ALL = 0.5, 0.9
+CODE = frozenset(["pre", "code"])
 ARTICLES = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -88,29 +96,34 @@ class Element:
     parent: int
     path: int
     left_out: bool
+    mark: str
 
 
 @dataclass
 class Block:
     text: str
     element: int
+    #: Open elements with a mark, and open article elements, from the outermost in.
+    marks: tuple[int, ...]
+    articles: tuple[int, ...]
 
 
-def marked(name: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element and all in it is left out."""
+def marked(name: str, attributes: str, inside_article: bool, inside_code: bool = False) -> tuple[bool, str]:
+    """Whether an element and all in it is left out for certain, and what its class or id says: "", part or readers."""
     if name in BOILERPLATE or (name == "header" and not inside_article):
-        return True
+        return True, ""
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return False, ""
+    words: set[str] = set()
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), html.unescape(a or b or c).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return True, ""
         if key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and not MARKS.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+            return True, ""
+        if key in ("class", "id") and not (inside_code and name in INLINE):
+            words.update(_WORD.findall(value))
+    return False, "" if MARKS.isdisjoint(words) else "part" if READERS.isdisjoint(words) else "readers"
 
 
 class Page:
@@ -118,7 +131,7 @@ class Page:
 
     def __init__(self, source: str):
         self.paths: dict[tuple[int, str], int] = {}
-        self.elements = [Element("", -1, -1, False)]
+        self.elements = [Element("", -1, -1, False, "")]
         self.blocks: list[Block] = []
         self._open, self._text = [0], []
         self._read(source)
@@ -129,7 +142,9 @@ class Page:
             if text:
                 at = next(e for e in reversed(self._open) if self.elements[e].name not in INLINE)
                 if not any(self.elements[e].left_out for e in self._open):
-                    self.blocks.append(Block(text, at))
+                    marks = tuple(e for e in self._open if self.elements[e].mark)
+                    articles = tuple(e for e in self._open if self.elements[e].name in ARTICLES)
+                    self.blocks.append(Block(text, at, marks, articles))
             self._text = []
 
     def _begin(self, name: str, attributes: str) -> None:
@@ -139,15 +154,16 @@ class Page:
         if name not in INLINE:
             self._flush()
             self._imply(name)
-        elif marked(name, attributes, True):
-            self._flush()
         if name in VOID:
             return
         parent = self._open[-1]
         up = self.elements[parent]
-        inside = any(self.elements[e].name in ARTICLES for e in self._open)
+        around = {self.elements[e].name for e in self._open}
+        left_out, mark = marked(name, attributes, not ARTICLES.isdisjoint(around), name in CODE or not CODE.isdisjoint(around))
+        if name in INLINE and (left_out or mark):
+            self._flush()
         path = up.path if name in INLINE else self.paths.setdefault((up.path, name), len(self.paths))
-        self.elements.append(Element(name, parent, path, marked(name, attributes, inside)))
+        self.elements.append(Element(name, parent, path, left_out, mark))
         self._open.append(len(self.elements) - 1)
 
     def _imply(self, name: str) -> None:
@@ -166,7 +182,7 @@ class Page:
         for depth in range(len(self._open) - 1, 0, -1):
             element = self.elements[self._open[depth]]
             if element.name == name:
-                if name not in INLINE or element.left_out:
+                if name not in INLINE or element.left_out or element.mark:
                     self._flush()
                 del self._open[depth:]
                 return
@@ -208,11 +224,11 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return spread / weight
 
 
-def kept_paths(page: Page) -> set[int]:
+def kept_paths(page: Page, blocks: list[Block]) -> set[int]:
     """Paths whose mean fused score reaches the threshold."""
-    path = np.array([page.elements[b.element].path for b in page.blocks])
-    length = np.array([len(b.text) for b in page.blocks], float)
-    marks = np.array([len(_PUNCTUATION.findall(b.text)) for b in page.blocks], float)
+    path = np.array([page.elements[b.element].path for b in blocks])
+    length = np.array([len(b.text) for b in blocks], float)
+    marks = np.array([len(_PUNCTUATION.findall(b.text)) for b in blocks], float)
     kinds, at = np.unique(path, return_inverse=True)
     n = np.bincount(at)
     text_ratio, mark_ratio = np.bincount(at, length) / n, np.bincount(at, marks) / n
@@ -223,12 +239,65 @@ def kept_paths(page: Page) -> set[int]:
     return {int(k) for k, s in zip(kinds, score, strict=True) if s >= THRESHOLD * score.std() and s > 0}
 
 
+def unmarked(page: Page) -> list[Block]:
+    """Blocks outside the marked parts, once the marks of elements around the article are overruled."""
+    if not any(b.marks for b in page.blocks):
+        return page.blocks
+    kept = kept_paths(page, page.blocks)
+    scored = [len(b.text) if page.elements[b.element].path in kept else 0 for b in page.blocks]
+    weights = scored if any(scored) else [len(b.text) for b in page.blocks]
+    overruled: set[int] = set()
+
+    def outermost(block: Block, region: int) -> int | None:
+        return next((e for e in block.marks if e > region and e not in overruled), None)
+
+    regions = [(0, list(zip(page.blocks, weights, strict=True)))]
+    while regions:
+        region, blocks = regions.pop()
+        own, free = 0, {}
+        tops: dict[str, dict[int, int]] = {"part": {}, "readers": {}}
+        holders = set()
+        for block, weight in blocks:
+            top = outermost(block, region)
+            article = next((e for e in block.articles if e > region), None)
+            if top is None:
+                own += weight
+                if article is not None:
+                    free.setdefault(article, []).append((block, weight))
+                continue
+            of = tops[page.elements[top].mark]
+            of[top] = of.get(top, 0) + weight
+            if any(e > top for e in block.articles):
+                holders.add(top)
+        parts, readers = tops["part"], tops["readers"]
+        found: list[int] = []
+        if parts:
+            total, most = own + sum(parts.values()), max(parts.values())
+            around = [e for e in parts if e in holders]
+            if around and not free:
+                found = [max(around, key=parts.get)]
+            elif not own and most:
+                found = [e for e, w in parts.items() if 2 * w >= most]
+            else:
+                found = [e for e, w in parts.items() if w > (NEARLY_ALL if free else MOST) * total]
+        if not found and not free:
+            total = own + sum(parts.values()) + sum(readers.values())
+            found = [e for e, w in readers.items() if w > NEARLY_ALL * total]
+        if found:
+            overruled.update(found)
+            regions.append((region, blocks))
+        else:
+            regions.extend(free.items())
+    return [b for b in page.blocks if overruled.issuperset(b.marks)]
+
+
 def main_text(source: str) -> str:
     """The article of a page, its blocks joined by line feeds."""
     page = Page(source)
-    if not page.blocks:
+    blocks = unmarked(page)
+    if not blocks:
         return ""
-    kept = kept_paths(page)
+    kept = kept_paths(page, blocks)
     elements = page.elements
 
     def ancestors(e: int) -> list[int]:
@@ -238,13 +307,13 @@ def main_text(source: str) -> str:
             e = elements[e].parent
         return out
 
-    chosen = [b for b in page.blocks if elements[b.element].path in kept] or page.blocks
+    chosen = [b for b in blocks if elements[b.element].path in kept] or blocks
     common = ancestors(chosen[0].element)
     for block in chosen[1:]:
         own = set(ancestors(block.element))
         common = [e for e in common if e in own]
     container = next((e for e in common if elements[e].name in ARTICLES), common[0])
-    inside = [b for b in page.blocks if container in ancestors(b.element)]
+    inside = [b for b in blocks if container in ancestors(b.element)]
     if elements[container].name not in ARTICLES and kept:
         on = [i for i, b in enumerate(inside) if elements[b.element].path in kept]
         first, last = on[0], on[-1]

@@ -56,6 +56,42 @@ def test_marks_in_their_own_attributes_count(attributes):
     assert h.main_text(f"<p>One part, here.</p><div {attributes}>no</div>") == "One part, here."
 
 
+PROSE = "".join(f"<p>Sentence {i}, which is long enough, says something.</p>" for i in range(6))
+LINES = "\n".join(f"Sentence {i}, which is long enough, says something." for i in range(6))
+READERS = "<div id='comments'><article class='comment'>" + "<p>A reader says so, and more than once; really.</p>" * 20 + "</article></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='page with-sidebar'><article>{PROSE}</article></div>",
+        f"<div class='layout no-sidebar'>{PROSE}</div>",
+        f"<div id='widget'><div class='layout no-sidebar'>{PROSE}<div class='sidebar'><p>Other, more.</p></div></div></div>",
+        f"<div class='page with-sidebar'><article>{PROSE}</article>{READERS}</div>",
+        f"<div class='post social'>{PROSE}</div>{READERS}",
+        f"<article>{PROSE}</article>{READERS}",
+        f"<div>{PROSE}</div>{READERS}",
+        f"<main><div class='notice comments-closed'>{PROSE}</div></main>",
+        f"<main><article>{PROSE}</article>{READERS}</main>",
+        f"<div class=ad><p>Buy this, now.</p></div><div>{PROSE}</div><div class=related><p>Also this, here.</p></div>",
+        f"<article>{PROSE}<div class='share'><p>Share it, now.</p></div></article>",
+    ],
+)
+def test_marks_around_the_article(page):
+    assert h.main_text(page) == LINES
+
+
+def test_marked_posts_side_by_side():
+    post = f"<div class='post social'>{PROSE}</div>"
+    assert h.main_text(post * 3) == "\n".join([LINES] * 3)
+
+
+def test_code_keeps_marked_words():
+    code = "<pre><code class='hljs'>x = 1 <span class='hljs-comment'># one</span></code></pre>"
+    assert h.main_text(f"<article>{PROSE}{code}<p>Use <code class='menu'>y</code>.</p></article>") == f"{LINES}\nx = 1 # one\nUse y."
+    assert h.main_text(f"<article>{PROSE}<p>So. <span class='share'>Share</span></p></article>") == f"{LINES}\nSo."
+
+
 def test_paths_separate_text_from_links():
     menu = "".join(f"<li><a href=#>Link {i}</a></li>" for i in range(12))
     body = "".join(f"<p>Sentence {i}, which is long enough, says something. And another one, too; it ends here.</p>" for i in range(6))
