@@ -3,8 +3,10 @@
 A page is read as a stream of tags into blocks of text, each with its root-to-leaf path of block elements. Per path the
 text length and the punctuation are summed and divided by how many blocks share it; along the page both ratios are
 smoothed over neighbouring blocks, fused into one score by multiplication, and paths are kept whose mean score reaches
-a part of the scores' deviation. The innermost element that holds the kept blocks is the article: inside an element
-that is one by its name every block counts, elsewhere those from the first to the last kept one and the headings before.
+a part of the scores' deviation. The innermost element that holds the kept blocks is the article, or the nearest one
+around it that is an article by its name. Without such a name it is widened as long as it is a part of the text itself (a
+paragraph, list or table) or has sections of text beside it. All blocks in it count; only where it has no such name, blocks
+that are nearly all links are dropped at its two ends, with the headings over them.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by element,
 role, or a word of class or id. Such a word alone does not decide for an element around the article: it is overruled where
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,6 +78,16 @@ MARKS = frozenset(
 READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
 #: Part of the scored text above which an element around it is no mere part of the page, for other marks and for these.
 MOST, NEARLY_ALL = 0.5, 0.9
+#: Part of a block's text above which its links make it a menu, at the ends of an article without a name.
+LINKS = 0.8
+#: Elements that are parts of a text and never all of it.
+TEXTS = frozenset(
+    "p pre blockquote figure figcaption address details summary ul ol dl li dt dd table caption thead tbody tfoot tr td th h1 h2 "
+    "h3 h4 h5 h6".split()
+)
+PARTS = TEXTS - {"td", "th"}
+#: Rank of a block that is no heading.
+NO_RANK = 9
 CODE = frozenset(["pre", "code"])
 ARTICLES = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -97,6 +110,7 @@ class Element:
     path: int
     left_out: bool
     mark: str
+    linked: bool
 
 
 @dataclass
@@ -106,6 +120,8 @@ class Block:
     #: Open elements with a mark, and open article elements, from the outermost in.
     marks: tuple[int, ...]
     articles: tuple[int, ...]
+    #: Part of its characters that are in links.
+    linked: float
 
 
 def marked(name: str, attributes: str, inside_article: bool, inside_code: bool = False) -> tuple[bool, str]:
@@ -131,11 +147,17 @@ class Page:
 
     def __init__(self, source: str):
         self.paths: dict[tuple[int, str], int] = {}
-        self.elements = [Element("", -1, -1, False, "")]
+        self.elements = [Element("", -1, -1, False, "", False)]
         self.blocks: list[Block] = []
-        self._open, self._text = [0], []
+        self._open, self._text, self._linked = [0], [], 0
         self._read(source)
 
+    def _add(self, text: str) -> None:
+        text = html.unescape(text)
+        self._text.append(text)
+        if self.elements[self._open[-1]].linked:
+            self._linked += sum(map(len, text.split()))
+
     def _flush(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
@@ -144,8 +166,9 @@ class Page:
                 if not any(self.elements[e].left_out for e in self._open):
                     marks = tuple(e for e in self._open if self.elements[e].mark)
                     articles = tuple(e for e in self._open if self.elements[e].name in ARTICLES)
-                    self.blocks.append(Block(text, at, marks, articles))
-            self._text = []
+                    linked = self._linked / (len(text) - text.count(" "))
+                    self.blocks.append(Block(text, at, marks, articles, linked))
+            self._text, self._linked = [], 0
 
     def _begin(self, name: str, attributes: str) -> None:
         if name == "br":
@@ -163,7 +186,7 @@ class Page:
         if name in INLINE and (left_out or mark):
             self._flush()
         path = up.path if name in INLINE else self.paths.setdefault((up.path, name), len(self.paths))
-        self.elements.append(Element(name, parent, path, left_out, mark))
+        self.elements.append(Element(name, parent, path, left_out, mark, up.linked or (name == "a" and "href" in attributes.lower())))
         self._open.append(len(self.elements) - 1)
 
     def _imply(self, name: str) -> None:
@@ -196,10 +219,10 @@ class Page:
         while at < n:
             found = _TOKEN.search(source, at)
             if found is None:
-                self._text.append(html.unescape(source[at:]))
+                self._add(source[at:])
                 break
             if found.start() > at:
-                self._text.append(html.unescape(source[at : found.start()]))
+                self._add(source[at : found.start()])
             at = found.end()
             close, name, attributes = (found.group(i) or found.group(i + 3) for i in (1, 2, 3))
             if not name:
@@ -291,6 +314,85 @@ def unmarked(page: Page) -> list[Block]:
     return [b for b in page.blocks if overruled.issuperset(b.marks)]
 
 
+def article_blocks(page: Page, blocks: list[Block], chosen: list[Block]) -> tuple[bool, list[Block]]:
+    """Blocks of the element that holds the article, given those on kept paths, and whether its name says that it does."""
+    elements = page.elements
+    # what is in an element has the numbers from its own up to its end
+    end = list(range(1, len(elements) + 1))
+    for e in range(len(elements) - 1, 0, -1):
+        end[elements[e].parent] = max(end[elements[e].parent], end[e])
+
+    def within(e: int, b: Block) -> bool:
+        return e <= b.element < end[e]
+
+    at, last = min(b.element for b in chosen), max(b.element for b in chosen)
+    while last >= end[at]:
+        at = elements[at].parent
+    named = at
+    while named > 0 and elements[named].name not in ARTICLES:
+        named = elements[named].parent
+    if named > 0:
+        return True, [b for b in blocks if within(named, b)]
+
+    def sections_beside(e: int, inside: list[Block], around: list[Block]) -> bool:
+        best = min((_rank(page, b) for b in inside), default=NO_RANK)
+        for i, b in enumerate(around):
+            rank = _rank(page, b)
+            if elements[b.element].name not in TEXTS or b.linked >= LINKS:
+                continue
+            after = around[i + 1] if i + 1 < len(around) else None
+            # a heading needs text under it, or to stand over the text found so far and above its headings
+            if rank == NO_RANK or (b.element < e and rank < best):
+                return True
+            if after and (b.element < e) == (after.element < e) and _rank(page, after) == NO_RANK and after.linked < LINKS:
+                return True
+        return False
+
+    numbers = sorted(b.element for b in blocks)
+    inside = [b for b in blocks if within(at, b)]
+    while at > 0:
+        up = elements[at].parent
+        if bisect_left(numbers, end[up]) - bisect_left(numbers, up) > len(inside):
+            wider = [b for b in blocks if within(up, b)]
+            if elements[at].name not in PARTS and not sections_beside(at, inside, [b for b in wider if not within(at, b)]):
+                break
+            inside = wider
+        at = up
+    return False, inside
+
+
+def _rank(page: Page, block: Block) -> int:
+    name = page.elements[block.element].name
+    return int(name[1]) if name in HEADINGS else NO_RANK
+
+
+def without_menus(page: Page, blocks: list[Block], kept: set[int]) -> list[Block]:
+    """Blocks without those at both ends that are nearly all links, and without the headings of these."""
+    ranks = [_rank(page, b) for b in blocks]
+    menu = [
+        b.linked >= LINKS and r == NO_RANK and page.elements[b.element].path not in kept for b, r in zip(blocks, ranks, strict=True)
+    ]
+    first, n = 0, len(blocks)
+    while True:
+        links = first
+        while links < n and ranks[links] < NO_RANK:
+            links += 1
+        text = links
+        while text < n and menu[text]:
+            text += 1
+        # a heading over links is a title with its contents unless one of at least its rank follows
+        if text == links or text == n or (links > first and ranks[text] > min(ranks[first:links])):
+            break
+        first = text
+    last = n
+    while last > first and menu[last - 1]:
+        while last > first and menu[last - 1]:
+            last -= 1
+        while last > first and ranks[last - 1] < NO_RANK:
+            last -= 1
+    return blocks[first:last]
+
+
 def main_text(source: str) -> str:
     """The article of a page, its blocks joined by line feeds."""
     page = Page(source)
@@ -298,28 +400,10 @@ def main_text(source: str) -> str:
     if not blocks:
         return ""
     kept = kept_paths(page, blocks)
-    elements = page.elements
-
-    def ancestors(e: int) -> list[int]:
-        out = []
-        while e >= 0:
-            out.append(e)
-            e = elements[e].parent
-        return out
-
-    chosen = [b for b in blocks if elements[b.element].path in kept] or blocks
-    common = ancestors(chosen[0].element)
-    for block in chosen[1:]:
-        own = set(ancestors(block.element))
-        common = [e for e in common if e in own]
-    container = next((e for e in common if elements[e].name in ARTICLES), common[0])
-    inside = [b for b in blocks if container in ancestors(b.element)]
-    if elements[container].name not in ARTICLES and kept:
-        on = [i for i, b in enumerate(inside) if elements[b.element].path in kept]
-        first, last = on[0], on[-1]
-        while first and elements[inside[first - 1].element].name in HEADINGS:
-            first -= 1
-        inside = inside[first : last + 1]
+    chosen = [b for b in blocks if page.elements[b.element].path in kept]
+    named, inside = article_blocks(page, blocks, chosen or blocks)
+    if chosen and not named:
+        inside = without_menus(page, inside, kept)
     return "\n".join(b.text for b in inside)
 
 

@@ -86,6 +86,34 @@ def test_marked_posts_side_by_side():
     assert h.main_text(post * 3) == "\n".join([LINES] * 3)
 
 
+MENU = "<ul>" + "".join(f"<li><a href=#>Link {i}</a></li>" for i in range(12)) + "</ul>"
+FOOT = "<div>Imprint</div>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"{MENU}<div><h1>T</h1>{PROSE}<h2>Last</h2><ul><li>x<li>y</ul></div>{FOOT}", f"T\n{LINES}\nLast\nx\ny"),
+        (f"{MENU}<div>{PROSE}<h2>Last</h2><table><tr><td>a<td>b</table></div>{FOOT}", f"{LINES}\nLast\na\nb"),
+        (f"{MENU}<div><pre>x = 1</pre>{PROSE}<pre>y = 2</pre></div>{FOOT}", f"x = 1\n{LINES}\ny = 2"),
+        (f"{MENU}<div>{PROSE}<div>A caption</div></div>{FOOT}", f"{LINES}\nA caption"),
+        (f"{MENU}<div><div>{PROSE}</div><div><h2>Data</h2><ul><li>x<li>y</ul></div></div>{FOOT}", f"{LINES}\nData\nx\ny"),
+        (f"{MENU}<div><div><h1>T</h1></div><div>{PROSE}</div></div>{FOOT}", f"T\n{LINES}"),
+        (f"{MENU}<div><section>{PROSE}</section><section><h2>N</h2>bare</section></div>{FOOT}", f"{LINES}\nN\nbare"),
+        (f"{MENU}<div><h1>T</h1><p>One paragraph, whole.</p><ul><li>x</ul><p>End</div>{FOOT}", "T\nOne paragraph, whole.\nx\nEnd"),
+        (f"<div><h3>Go</h3>{MENU}<h1>T</h1>{PROSE}<h3>More</h3>{MENU}</div>", f"T\n{LINES}"),
+        (f"<table><tr><td>{MENU}<td><div>{PROSE}<ol><li>x</ol></div></table>", f"{LINES}\nx"),
+    ],
+)
+def test_articles_without_a_name_are_whole(page, text):
+    assert h.main_text(f"<body>{page}</body>") == text
+
+
+def test_title_over_contents_stays():
+    text = h.main_text(f"<body><div><h1>T</h1>{MENU}<h2>S</h2>{PROSE}</div></body>").split("\n")
+    assert text[0] == "T" and len(text) == 20
+
+
 def test_code_keeps_marked_words():
     code = "<pre><code class='hljs'>x = 1 <span class='hljs-comment'># one</span></code></pre>"
     assert h.main_text(f"<article>{PROSE}{code}<p>Use <code class='menu'>y</code>.</p></article>") == f"{LINES}\nx = 1 # one\nUse y."
