@@ -43,7 +43,10 @@ def _blocked(df: DataFrame, by: list[str], order: list[str], block: Column | Non
 def _add_before(local: DataFrame, before: DataFrame, by: list[str]) -> DataFrame:
     """Attach each block's summary of earlier blocks, matching NULL keys too."""
     renamed = before.select(*(F.col(c).alias(f"_r_{c}") for c in [*by, BLOCK]), "_before")
-    on = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in by] + [F.col(BLOCK) == F.col(f"_r_{BLOCK}")]
+    # a plain comparison, where there are no NULLs, lets the join use the partitioning of the window
+    maybe = {f.name for f in local.schema if f.nullable}
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"_r_{c}")) if c in maybe else F.col(c) == F.col(f"_r_{c}")
+    on = [same(c) for c in by] + [F.col(BLOCK) == F.col(f"_r_{BLOCK}")]
     joined = local.join(renamed, on, "left")
     return joined.drop(*(f"_r_{c}" for c in [*by, BLOCK]))
 
@@ -122,6 +125,37 @@ def carry_forward(
     return out.withColumns(carried).select(*cols)
 
 
+def counts_since(
+    df: DataFrame, by: list[str], order: list[str], mark: str, counts: list[str], names: list[str], block: Column | None = None
+) -> DataFrame:
+    """The last non-null ``mark``, this row included, and the sums of ``counts`` over the rows after it, up to this one.
+
+    Before the first mark the sums are NULL.
+    """
+    cols = [*(c for c in df.columns if c not in (mark, *names)), mark, *names]
+    n = range(len(counts))
+    blocked = _blocked(df, by, order, block)
+    inner = W.partitionBy(*by, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    summed = blocked.select("*", *(F.sum(c).over(inner).alias(f"_c{i}") for i, c in enumerate(counts)))
+    at_mark = lambda m, sums: F.when(m.isNotNull(), F.struct(m.alias("m"), *(s.alias(f"c{i}") for i, s in enumerate(sums))))
+    marked = summed.withColumn("_at", at_mark(F.col(mark), [F.col(f"_c{i}") for i in n]))
+    local = _whole(marked.withColumn("_last", F.last("_at", ignorenulls=True).over(inner)).drop("_at"))
+    sums = [F.coalesce(F.sum(f"_c{i}").over(_earlier(by)), F.lit(0)).alias(f"_s{i}") for i in n]
+    ends = _block_ends(local, by, order).select(*by, BLOCK, "_last", *sums)
+    whole = at_mark(F.col("_last.m"), [F.col(f"_last.c{i}") + F.col(f"_s{i}") for i in n])
+    carried = F.last(whole, ignorenulls=True).over(_earlier(by))
+    before = ends.select(*by, BLOCK, F.struct(carried.alias("at"), *(F.col(f"_s{i}").alias(f"s{i}") for i in n)).alias("_before"))
+    out = _add_before(local, before, by)
+    here = F.col("_last").isNotNull()
+    since = {
+        name: F.when(here, F.col(f"_c{i}") - F.col(f"_last.c{i}")).otherwise(
+            F.col(f"_c{i}") + F.col(f"_before.s{i}") - F.col(f"_before.at.c{i}")
+        )
+        for i, name in enumerate(names)
+    }
+    return out.withColumns({mark: F.coalesce("_last.m", "_before.at.m"), **since}).select(*cols)
+
+
 def previous(
     df: DataFrame, by: list[str], order: list[str], value: str, name: str, block: Column | None = None
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telltale.functions import parse_action_ref
+from telltale.functions import choose_scan_mode, classify_action_type, parse_action_ref
 from telltale.operators.filters import min_risk
 from telltale.operators.joins import compare_sides, last_pair
 from telltale.sources.lines import parse_diff
@@ -21,12 +21,16 @@ def action_changes(lines: DataFrame) -> DataFrame:
     )
 
 
-def capability_changes(changes: DataFrame, capabilities: DataFrame, level: str = "HIGH") -> DataFrame:
+def capability_changes(
+    changes: DataFrame, capabilities: DataFrame, level: str = "HIGH", types: DataFrame | None = None
+) -> DataFrame:
     """Capabilities added, removed or changed between the two references of each change.
 
     ``capabilities``: (repo, ref, file, rule_id, risk_score). Both references
     of a change become rows, so capabilities are joined once and the two sides
-    meet in one aggregation.
+    meet in one aggregation. ``types``: (repo, ref, using) of the actions; where
+    both sides of a change are containers, capabilities of every level count.
+    Without it, or for references it does not have, ``level`` holds.
     """
     ref = lambda which, side: F.struct(
         F.lit(side).alias("side"), F.col(f"{which}.repo").alias("repo"), F.col(f"{which}.ref").alias("ref")
@@ -35,7 +39,19 @@ def capability_changes(changes: DataFrame, capabilities: DataFrame, level: str =
     hits = refs.join(capabilities, ["repo", "ref"])
     diff = compare_sides(hits, ["path", "file", "rule_id"], "risk_score", "side")
     worst = diff.withColumn("risk_score", F.greatest("prior", "current"))
-    return min_risk(worst, level)
+    if types is None:
+        return min_risk(worst, level)
+    kinds = types.groupBy("repo", "ref").agg(F.max(classify_action_type("using")).alias("type"))
+    side = lambda n: F.max(F.when(F.col("side") == n, F.col("type")))
+    modes = (
+        refs.join(kinds, ["repo", "ref"])
+        .groupBy("path")
+        .agg(choose_scan_mode(side(1), side(2))["mode"].alias("mode"))
+        .filter(F.col("mode") == "image")
+    )
+    placed = worst.join(modes, "path", "left")
+    images, others = placed.filter(F.col("mode").isNotNull()), placed.filter(F.col("mode").isNull())
+    return images.unionByName(min_risk(others, level)).select(*worst.columns)
 
 
 def change_comment(diff: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telltale.functions import kv_string_to_map, split_evidence
-from telltale.operators.ordered import BLOCK, carry_forward, line_block
+from telltale.operators.ordered import BLOCK, carry_forward, counts_since, line_block
 from telltale.operators.windows import flag_ambiguous, glue_lines
 from telltale.session import cut
 
@@ -143,11 +143,11 @@ def _optional(i: int) -> Column:
 
 # --- syscall traces ---------------------------------------------------------
 
-TRACE = r"^(?:\[pid +\d+\] )?(\w+)\((.*)\) += (\S+)(?: ([A-Z0-9]+) \([^)]*\))?.*$"
+TRACE = r"^(?:\[pid +\d+\] |\d+ +)?(?:\d\d:\d\d:\d\d(?:\.\d+)? |\d+\.\d+ )?(\w+)\((.*)\) += (\S+)(?: ([A-Z0-9]+) \([^)]*\))?.*$"
 
 
 def parse_trace(lines: DataFrame) -> DataFrame:
-    """(path, line_no, syscall, args, ret, errno); lines that are no calls, such as the trailer, drop out."""
+    """(path, line_no, syscall, args, ret, errno) of whole calls, with or without a process and a clock; for others see ``trace_rejects``."""
     calls = lines.filter(F.col("line").rlike(TRACE)).withColumn("_g", _groups("line", TRACE, 4))
     return calls.select(
         "path",
@@ -159,6 +159,18 @@ def parse_trace(lines: DataFrame) -> DataFrame:
     )
 
 
+def trace_rejects(lines: DataFrame) -> DataFrame:
+    """(path, line_no, reason, line) of lines that are no whole calls; the halves of interrupted calls are not joined."""
+    reason = (
+        F.when(F.col("line").endswith("<unfinished ...>"), F.lit("unfinished"))
+        .when(F.col("line").rlike(r"<\.\.\. \w+ resumed>"), F.lit("resumed"))
+        .when(F.col("line").rlike(r"(\+\+\+|---) .* \1$"), F.lit("trailer or signal"))
+        .otherwise(F.lit("no call"))
+    )
+    fits = F.coalesce(F.col("line").rlike(TRACE), F.lit(False))
+    return lines.filter(~fits).select("path", "line_no", reason.alias("reason"), "line")
+
+
 # --- capability reports in markdown -----------------------------------------
 
 HEADING = r"^## (\S+) ∴ (.+) \[\S+ ([A-Z]+)\]\s*$"
@@ -337,24 +349,63 @@ def parse_tagged_lines(lines: DataFrame, sep: str = ":") -> DataFrame:
     )
 
 
-def parse_diff(lines: DataFrame) -> DataFrame:
-    """(path, file, line_no, sign, text) of changed lines, with the file of the header above."""
+HUNK = r"^@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@"
+
+
+def _diff_kinds(lines: DataFrame) -> DataFrame:
+    """Lines with ``_kind``: old or new for file headers, changed, context, hunk, or NULL for what is none of them.
+
+    A hunk's header says how many old and new lines follow. As long as some are due, a line that begins like a file header
+    is a changed one. Further signed lines count as changed too, as not all writers keep the counts.
+    """
     starts = F.col("line").startswith
-    header = starts("+++ ")
-    changed = (starts("+") | starts("-")) & ~header & ~starts("--- ")
-    kept = lines.filter(header | changed).withColumn(
-        "_file", F.when(header, F.regexp_replace("line", r"^\+\+\+ (b/)?", ""))
+    due = lambda i: F.coalesce(_group("line", HUNK, i).cast("bigint"), F.lit(1)).alias(f"n{i}")
+    both = starts(" ") | (F.col("line") == "")
+    counted = lines.withColumns(
+        {
+            "_hunk": F.when(starts("@@ -") & F.col("line").rlike(HUNK), F.struct(F.col("line_no").alias("at"), due(1), due(2))),
+            # never NULL itself, so lines are shuffled once for the scan
+            "_in": F.struct("path"),
+            "_old": (both | starts("-")).cast("bigint"),
+            "_new": (both | starts("+")).cast("bigint"),
+        }
     )
-    placed = carry_forward(kept, ["path"], ["line_no"], "_file", "file", line_block("line_no"))
-    return placed.filter(changed).select(
+    placed = counts_since(counted, ["_in"], ["line_no"], "_hunk", ["_old", "_new"], ["_old", "_new"], line_block("line_no"))
+    # the counts have this line in them
+    old_due, new_due = (F.coalesce(F.col(f"_{side}") <= F.col(f"_hunk.n{i}"), F.lit(False)) for i, side in ((1, "old"), (2, "new")))
+    kind = (
+        F.when(F.col("_hunk.at") == F.col("line_no"), F.lit("hunk"))
+        .when(starts("--- ") & ~old_due, F.lit("old"))
+        .when(starts("+++ ") & ~new_due, F.lit("new"))
+        # the signature that ends a mailed patch
+        .when((F.col("line") == "-- ") & F.col("_hunk").isNotNull() & ~old_due, F.lit(None))
+        .when(starts("+") | starts("-"), F.lit("changed"))
+        .when(both & (old_due | new_due), F.lit("context"))
+    )
+    return placed.withColumn("_kind", kind).drop("_hunk", "_old", "_new", "path").withColumn("path", F.col("_in.path"))
+
+
+def parse_diff(lines: DataFrame) -> DataFrame:
+    """(path, file, line_no, sign, text) of changed lines, with the file of the header above; a deleted file has its old name."""
+    name = lambda kind, prefix: F.when(F.col("_kind") == kind, F.regexp_replace("line", prefix, ""))
+    kept = _diff_kinds(lines).filter(F.col("_kind").isin("old", "new", "changed")).withColumns(
+        {"_file": name("new", r"^\+\+\+ (b/)?"), "_was": name("old", "^--- (a/)?")}
+    )
+    placed = carry_forward(kept, ["_in"], ["line_no"], ["_file", "_was"], ["file", "was"], line_block("line_no"))
+    return placed.filter(F.col("_kind") == "changed").select(
         "path",
-        "file",
+        F.when(F.col("file") == "/dev/null", F.col("was")).otherwise(F.col("file")).alias("file"),
         "line_no",
         F.substring("line", 1, 1).alias("sign"),
         F.expr("substring(line, 2)").alias("text"),
     )
 
 
+def diff_rejects(lines: DataFrame) -> DataFrame:
+    """(path, line_no, line) of lines that are no header, hunk, change or line of context."""
+    return _diff_kinds(lines).filter(F.col("_kind").isNull()).select("path", "line_no", "line")
+
+
 def parse_posts(documents: DataFrame) -> DataFrame:
     """(file, title, excerpt, body, complete) from front matter; a missing key is NULL."""
     front = r"(?s)\A---[ \t]*\r?\n(.*?\r?\n)---[ \t]*(?:\r?\n|\z)"

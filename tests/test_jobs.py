@@ -53,6 +53,18 @@ def test_action_change(df, rows):
     assert rows(actions.change_comment(diff.filter("false")), "text") == [("## Capability diff",), ("No differences found.",)]
 
 
+def test_all_capabilities_of_two_containers(df, rows):
+    change = "struct<repo:string,ref:string>"
+    changes = df([("pr1", ("scan", "v1"), ("scan", "v2"))], f"path string, old {change}, new {change}")
+    caps = df([("scan", "v1", "f", "a", 3), ("scan", "v2", "f", "a", 4), ("scan", "v2", "f", "b", 2)],
+              "repo string, ref string, file string, rule_id string, risk_score int")
+    types = df([("scan", "v1", "docker"), ("scan", "v2", "docker")], "repo string, ref string, using string")
+    high, low = ("f", "a", "changed"), ("f", "b", "added")
+    assert rows(actions.capability_changes(changes, caps, types=types), "file", "rule_id", "status") == [high, low]
+    assert rows(actions.capability_changes(changes, caps, types=types.filter("ref = 'v1'")), "file", "rule_id", "status") == [high]
+    assert rows(actions.capability_changes(changes, caps), "file", "rule_id", "status") == [high]
+
+
 def test_model_benchmark(df):
     runs = df([("m", 73, 420_000_000, 679, 82_580_000_000), ("m", -1, 0, None, None), ("skip", 1, 1, 1, 1), ("z", 1, 0, 1, 0)],
               "model string, prompt_eval_count bigint, prompt_eval_duration bigint, eval_count bigint, eval_duration bigint")

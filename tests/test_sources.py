@@ -154,6 +154,49 @@ def test_diff(lines, rows):
     ]
 
 
+def test_diff_headers_only_outside_hunks(lines, rows):
+    text = (
+        "--- a/x.sql\n+++ b/x.sql\n@@ -1,3 +1,3 @@\n--- drop old\n+++ odd\n same\n-c\n+d\n"
+        "diff --git a/y b/y\n--- a/y\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-one\n--- two\n-- \n2.1"
+    )
+    assert rows(L.parse_diff(lines(text)), "line_no", "file", "sign", "text") == [
+        (13, "y", "-", "one"),
+        (14, "y", "-", "-- two"),
+        (4, "x.sql", "-", "-- drop old"),
+        (5, "x.sql", "+", "++ odd"),
+        (7, "x.sql", "-", "c"),
+        (8, "x.sql", "+", "d"),
+    ]
+    assert rows(L.diff_rejects(lines(text)), "line_no") == [(15,), (16,), (9,)]
+
+
+def test_diff_hunks_over_blocks(spark, rows):
+    """A hunk of more lines than a block has, all of which look like headers."""
+    n = 150_000
+    sized = spark.range(1, n + 1).selectExpr("'p' AS path", "id + 3 AS line_no", "if(id % 2 = 0, '--- x', '+++ y') AS line")
+    head = spark.createDataFrame([("p", 1, "--- a/f"), ("p", 2, "+++ b/f"), ("p", 3, f"@@ -1,{n // 2} +1,{n // 2} @@")], sized.schema)
+    tail = spark.createDataFrame([("p", n + 4, "--- a/g"), ("p", n + 5, "+++ b/g"), ("p", n + 6, "@@ -1 +1 @@"), ("p", n + 7, "+++ z")], sized.schema)
+    out = L.parse_diff(head.unionByName(sized).unionByName(tail))
+    assert rows(out.groupBy("file", "sign", "text").count()) == [("f", "+", "++ y", n // 2), ("f", "-", "-- x", n // 2), ("g", "+", "++ z", 1)]
+
+
+def test_diff_without_a_path(spark, rows):
+    """Lines in two blocks under a NULL path still find the header and the counts of the first."""
+    text = [(None, 1, "+++ b/f"), (None, 2, "@@ -0,0 +1,2 @@"), (None, 3, "+++ x"), (None, 70_000, "+++ y"), ("", 70_000, "+z")]
+    out = L.parse_diff(spark.createDataFrame(text, "path string, line_no bigint, line string"))
+    assert rows(out, "path", "file", "text") == [("", None, "z"), (None, "f", "++ x"), (None, "f", "++ y")]
+
+
+def test_trace_with_clocks_and_rejects(lines, rows):
+    text = (
+        "[pid 7] 10:11:12.345 brk(NULL) = 0\n12  1700000000.25 close(3) = -1 EBADF (Bad file descriptor)\n10:11:12 dup(1) = 2\n"
+        "[pid 8] read(3, <unfinished ...>\n[pid 8] <... read resumed>\"x\", 1) = 1\n+++ exited with 0 +++\nnoise"
+    )
+    assert rows(L.parse_trace(lines(text)), "syscall", "ret", "errno") == [("brk", "0", None), ("close", "-1", "EBADF"), ("dup", "2", None)]
+    assert rows(L.trace_rejects(lines(text)), "line_no", "reason") == [
+        (4, "unfinished"), (5, "resumed"), (6, "trailer or signal"), (7, "no call")]
+
+
 def test_lists_and_tags(lines, rows):
     hosts = rows(L.parse_domain_list(lines("Ads.example.com \n\nexample.net/ads\na-b.example.org")), "domain", "is_host")
     assert hosts == [("a-b.example.org", True), ("ads.example.com", True), ("example.net/ads", False)]
