@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telltale.llm import html_text, language_id, ngram_join, packing, quality_rules, sharding, token_counts, tokens, topk_search, toxicity
+from telltale.llm import (
+    conversation_repair,
+    html_text,
+    language_id,
+    ngram_join,
+    packing,
+    quality_rules,
+    sharding,
+    token_counts,
+    tokens,
+    topk_search,
+    toxicity,
+)
 
 DEALT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1,
@@ -19,6 +31,7 @@ DEALT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts.op8,
     "op9_language_id": language_id.op9,
     "op10_sharding": sharding.op10,
+    "op12_conversation_repair": conversation_repair.op12,
 }
 DEALT_ORACLES: dict[str, str] = {
     "op7_topk_search": topk_search.OP7_SQL,
