@@ -10,6 +10,7 @@ from telltale.llm import (
     conversation_repair,
     html_text,
     language_id,
+    license_scan,
     ngram_join,
     packing,
     quality_rules,
@@ -32,6 +33,7 @@ DEALT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": language_id.op9,
     "op10_sharding": sharding.op10,
     "op12_conversation_repair": conversation_repair.op12,
+    "op13_license_scan": license_scan.op13,
 }
 DEALT_ORACLES: dict[str, str] = {
     "op7_topk_search": topk_search.OP7_SQL,
