@@ -107,3 +107,18 @@ def runs_of_words(words: np.ndarray, width: int) -> np.ndarray:
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     """Sorted distinct hashes of the runs."""
     return np.unique(runs_of_words(words, width))
+
+
+def bit_filter(places: DataFrame, size: int) -> np.ndarray:
+    """``size`` bits, a multiple of 32,768, those at the ``at`` of any row set: as large whatever the number of rows."""
+    words = places.groupBy(F.expr("bitmap_bucket_number(at + 1)").alias("word"))
+    words = words.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at + 1))").alias("bits")).collect()
+    flags = np.zeros(size // 8, np.uint8)
+    for r in words:
+        begin = (r["word"] - 1) * 4_096  # buckets of 32,768 values, counted from 1 as the values are
+        flags[begin : begin + 4_096] |= np.frombuffer(r["bits"], np.uint8)
+    return flags
+
+
+def has_bit(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)

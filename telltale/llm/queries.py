@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from telltale.llm import (
+    collocations,
     conversation_repair,
     html_text,
     language_id,
@@ -32,6 +33,7 @@ DEALT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts.op8,
     "op9_language_id": language_id.op9,
     "op10_sharding": sharding.op10,
+    "op11_collocations": collocations.op11,
     "op12_conversation_repair": conversation_repair.op12,
     "op13_license_scan": license_scan.op13,
 }
