@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from telltale.llm.common import bit_filter, has_bit, mixed, per_batch, raw_texts
+from telltale.llm.common import bit_filter, halved, has_bit, mixed, per_batch, raw_texts
 from telltale.session import cut
 from telltale.sources.tables import table
 
@@ -48,6 +48,8 @@ SCALE = 2_000_000
 #: Ranks among the pairs whose score is the threshold of the rounds, as multiples of the number returned.
 RANKS = (2, 16)
 FILTER_BITS = 1 << 25
+#: Bytes of text that a task counts at a time, and rows of a batch that it gives out.
+BATCH_BYTES, OUT_ROWS = 6 << 20, 1 << 16
 #: A-Z to a-z; what ends a piece to a line feed; tabs to spaces.
 _EVEN = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 
@@ -134,24 +136,21 @@ def counted(docs: DataFrame, count: Callable[[], Counter], least: int) -> DataFr
     """lang, phrase and how often it occurs, from ``least`` on, of the phrases that ``count`` gives for a batch of words.
     An empty phrase stands for all words."""
 
-    def start():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = count()
-
-        def step(batch: pa.RecordBatch) -> dict:
-            langs, numbers = np.unique(np.array(["und" if v is None else v for v in batch.column(0).to_pylist()], object), return_inverse=True)
-            texts, out = raw_texts(batch.column(1)), ([], [], [])
-            for number, lang in enumerate(langs):
-                words = Words(lang, [texts[i] for i in np.flatnonzero(numbers == number)])
-                for phrases, times in counts(words):
-                    out[0].append(pa.array([lang] * len(times), pa.string()))
-                    out[1].append(phrases.cast(pa.string()))
-                    out[2].append(pa.array(times, pa.int64()))
-            kinds = (pa.string(), pa.string(), pa.int64())
-            return {c: pa.concat_arrays(v) if v else pa.nulls(0, t) for c, v, t in zip(("lang", "phrase", "f"), out, kinds, strict=True)}
-
-        return step
-
-    rows = per_batch(docs.select("lang", "text"), "lang string, phrase string, f long", start, most_rows=20_000)
+        for whole in batches:
+            for batch in halved(whole, 20_000, BATCH_BYTES):
+                langs, numbers = np.unique(np.array(["und" if v is None else v for v in batch.column(0).to_pylist()], object), return_inverse=True)
+                texts = raw_texts(batch.column(1))
+                for number, lang in enumerate(langs):
+                    words = Words(lang, [texts[i] for i in np.flatnonzero(numbers == number)])
+                    for phrases, times in counts(words):
+                        for at in range(0, len(times), OUT_ROWS):
+                            part = phrases[at : at + OUT_ROWS].cast(pa.string())
+                            columns = [pa.repeat(pa.scalar(lang, pa.string()), len(part)), part, pa.array(times[at : at + OUT_ROWS], pa.int64())]
+                            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
+
+    rows = docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, f long")
     return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 

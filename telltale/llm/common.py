@@ -31,6 +31,16 @@ def one_per_key(rows: DataFrame, key: str, *values: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(v).alias(v) for v in values])
 
 
+def halved(batch: pa.RecordBatch, most_rows: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces that are small in rows and bytes; a single row is as large as it is."""
+    if batch.num_rows > 1 and (batch.num_rows > most_rows or batch.nbytes > most_bytes):
+        half = batch.num_rows // 2
+        yield from halved(batch.slice(0, half), most_rows, most_bytes)
+        yield from halved(batch.slice(half), most_rows, most_bytes)
+    elif batch.num_rows:
+        yield batch
+
+
 def per_batch(
     df: DataFrame,
     schema: str,
@@ -43,18 +53,10 @@ def per_batch(
     Batches are halved until they are small in rows and bytes, so that what a task holds in Python stays bounded.
     """
 
-    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if batch.num_rows > 1 and (batch.num_rows > most_rows or batch.nbytes > most_bytes):
-            half = batch.num_rows // 2
-            yield from pieces(batch.slice(0, half))
-            yield from pieces(batch.slice(half))
-        elif batch.num_rows:
-            yield batch
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in halved(batch, most_rows, most_bytes):
                 out = step(piece)
                 yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
 
