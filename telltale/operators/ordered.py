@@ -2,27 +2,38 @@
 
 A plain window puts a whole group into one task, which fails once a single
 file, user or table holds a third of the data. These operators work in blocks:
-a window inside each (group, block), one summary row per block, a window over
-the few summaries, and a join that adds what came before the block. The
-summary is the block's last row in that same window, so both sides of the join
-read one shuffle of the source, and the join uses its partitioning.
+
+1. One aggregation gives what each (group, block) adds, combined before the
+   shuffle, so one small row per block and task moves. A window over these few
+   rows turns them into what came before each block, and what is not nothing is
+   written to the shared folder. Where no group has two blocks, that is no row.
+2. The rows are shuffled once by (group, block) and scanned by a window inside
+   each; what came before is joined on the partitioning the window needed, or
+   not at all if there is nothing to add.
+
+So the source is read once by the query itself and once, when the operator is
+called, for the blocks' sums. No step relies on the optimizer to find out that
+two branches are alike.
 
 Blocks are either given as a column that never decreases along the order (line
-numbers cut every N lines), or taken from a range partitioning whose sampled
-bounds split hot groups. The latter is written once to the shared folder so
-that every later read sees the same bounds.
+numbers cut every N lines), or made from the order itself by ``range_blocks``.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from telltale.session import cut
+from telltale.session import cut, fresh_path
 
 BLOCK = "_block"
+GROUP = "_group"
 LINES_PER_BLOCK = 1 << 16
+ROWS_PER_BLOCK = 1 << 20
 
 
 def line_block(line_no: str, lines: int = LINES_PER_BLOCK) -> Column:
@@ -30,45 +41,56 @@ def line_block(line_no: str, lines: int = LINES_PER_BLOCK) -> Column:
     return F.expr(f"`{line_no}` div {lines}")
 
 
-def range_blocks(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """``df`` with a ``_block`` column from a range partitioning on (by, order)."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.repartitionByRange(parts, *by, *order).withColumn(BLOCK, F.spark_partition_id()))
-
-
-def _blocked(df: DataFrame, by: list[str], order: list[str], block: Column | None) -> DataFrame:
-    return range_blocks(df, by, order) if block is None else df.withColumn(BLOCK, block)
-
-
-def _add_before(local: DataFrame, before: DataFrame, by: list[str]) -> DataFrame:
-    """Attach each block's summary of earlier blocks, matching NULL keys too."""
-    renamed = before.select(*(F.col(c).alias(f"_r_{c}") for c in [*by, BLOCK]), "_before")
-    # a plain comparison, where there are no NULLs, lets the join use the partitioning of the window
-    maybe = {f.name for f in local.schema if f.nullable}
-    same = lambda c: F.col(c).eqNullSafe(F.col(f"_r_{c}")) if c in maybe else F.col(c) == F.col(f"_r_{c}")
-    on = [same(c) for c in by] + [F.col(BLOCK) == F.col(f"_r_{BLOCK}")]
-    joined = local.join(renamed, on, "left")
-    return joined.drop(*(f"_r_{c}" for c in [*by, BLOCK]))
-
+def range_blocks(df: DataFrame, by: list[str], order: list[str], rows: int | None = None) -> DataFrame:
+    """``df`` with a ``_block`` column: about ``rows`` rows each that follow each other by (by, order).
 
-def _whole(local: DataFrame) -> DataFrame:
-    """``local``, asked for with all its columns, whatever its readers use: only then do they share one shuffle.
-
-    The condition always holds; a hash is the cheapest use of a column that the optimizer does not see through. Maps
-    have no hash and stay out.
+    The number of blocks comes from the number of rows, not from the session,
+    and the bounds from Spark's sample, so a hot group is split. The blocks are
+    written once, as buckets of their number: later windows inside a block find
+    its rows together and need no second shuffle.
     """
-    used = [f"`{f.name}`" for f in local.schema if "map<" not in f.dataType.simpleString()]
-    return local.filter(F.hash(*used) >= F.lit(-(1 << 31)))
-
-
-def _block_ends(local: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """The last row of each block, with what the window over the block has come to there."""
-    after = F.lead(F.lit(1)).over(W.partitionBy(*by, BLOCK).orderBy(*order))
-    return local.withColumn("_after", after).filter(F.col("_after").isNull())
-
-
-def _earlier(by: list[str]):
-    return W.partitionBy(*by).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    spark = df.sparkSession
+    blocks = max(1, math.ceil(df.count() / (rows or ROWS_PER_BLOCK)))
+    placed = df.repartitionByRange(blocks, *by, *order).withColumn(BLOCK, F.spark_partition_id())
+    name = f"telltale_blocks_{uuid.uuid4().hex}"
+    writer = placed.write.bucketBy(blocks, BLOCK).option("path", fresh_path(spark, "blocks"))
+    writer.format("parquet").saveAsTable(name)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # only the name goes, the data stay in their folder
+    return written
+
+
+class _Blocks:
+    """The rows with their group and block, and how what came before a block gets to its rows."""
+
+    def __init__(self, df: DataFrame, by: list[str], order: list[str], block: Column | None):
+        self.ranged = block is None
+        rows = range_blocks(df, by, order) if self.ranged else df.withColumn(BLOCK, block)
+        # a struct is never NULL itself, so groups compare with a plain equality, NULL ones too
+        self.rows = rows.withColumn(GROUP, F.struct(*by) if by else F.struct(F.lit(0)))
+        self.scan = W.partitionBy(GROUP, BLOCK).orderBy(*order)
+        self.upto = self.scan.rowsBetween(W.unboundedPreceding, 0)
+        self.blocks = W.partitionBy(GROUP).orderBy(BLOCK)
+        self.earlier = self.blocks.rowsBetween(W.unboundedPreceding, -1)
+        self.order = F.struct(*order)
+
+    def sums(self, *columns: Column) -> DataFrame:
+        """One row per group and block."""
+        return self.rows.groupBy(GROUP, BLOCK).agg(*columns)
+
+    def add(self, local: DataFrame, before: DataFrame, something: Column) -> DataFrame:
+        """``local`` with ``_before``, NULL where ``something`` does not hold for what came before."""
+        told = cut(before.filter(something).select(F.col(GROUP).alias("_told"), F.col(BLOCK).alias("_told_block"), "_before"))
+        if told.isEmpty():
+            return local.withColumn("_before", F.lit(None).cast(told.schema["_before"].dataType)).drop(GROUP, BLOCK)
+        same = F.col(BLOCK) == F.col("_told_block")
+        if not self.ranged:
+            joined = local.join(told, (F.col(GROUP) == F.col("_told")) & same, "left")
+        else:
+            # only the first group of a block began in an earlier one, so a block is told one thing at most
+            joined = local.join(told, same, "left")
+            joined = joined.withColumn("_before", F.when(F.col(GROUP) == F.col("_told"), F.col("_before")))
+        return joined.drop(GROUP, BLOCK, "_told", "_told_block")
 
 
 def running_sum(
@@ -76,12 +98,11 @@ def running_sum(
 ) -> DataFrame:
     """Cumulative sum of ``value`` along ``order`` within ``by``."""
     cols = [*df.columns, name]
-    blocked = _blocked(df, by, order, block)
-    inner = W.partitionBy(*by, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = _whole(blocked.withColumn("_local", F.sum(value).over(inner)))
-    ends = _block_ends(local, by, order)
-    before = ends.select(*by, BLOCK, F.sum("_local").over(_earlier(by)).alias("_before"))
-    out = _add_before(local, before, by)
+    blocks = _Blocks(df, by, order, block)
+    sums = blocks.sums(F.sum(value).alias("_sum"))
+    before = sums.withColumn("_before", F.sum("_sum").over(blocks.earlier))
+    local = blocks.rows.withColumn("_local", F.sum(value).over(blocks.upto))
+    out = blocks.add(local, before, F.col("_before").isNotNull())
     total = (
         F.when(F.col("_local").isNull(), F.col("_before"))
         .when(F.col("_before").isNull(), F.col("_local"))
@@ -109,18 +130,13 @@ def carry_forward(
     """The last non-null ``value`` seen so far, this row included; several values share one scan."""
     values, names = ([value], [name]) if isinstance(value, str) else (value, name)
     cols = [c for c in df.columns if c not in names] + names
-    blocked = _blocked(df, by, order, block)
-    inner = W.partitionBy(*by, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    last = [F.last(v, ignorenulls=True).over(inner).alias(f"_l{i}") for i, v in enumerate(values)]
-    local = _whole(blocked.select("*", *last))
     n = range(len(values))
-    so_far = [F.last(f"_l{i}", ignorenulls=True).over(_earlier(by)).alias(f"v{i}") for i in n]
-    before = (
-        _block_ends(local, by, order)
-        .select(*by, BLOCK, *so_far)
-        .select(*by, BLOCK, F.struct(*(f"v{i}" for i in n)).alias("_before"))
-    )
-    out = _add_before(local, before, by)
+    blocks = _Blocks(df, by, order, block)
+    last = [F.max_by(v, F.when(F.col(v).isNotNull(), blocks.order)).alias(f"_v{i}") for i, v in enumerate(values)]
+    so_far = F.struct(*(F.last(f"_v{i}", ignorenulls=True).over(blocks.earlier).alias(f"v{i}") for i in n))
+    before = blocks.sums(*last).withColumn("_before", so_far)
+    local = blocks.rows.select("*", *(F.last(v, ignorenulls=True).over(blocks.upto).alias(f"_l{i}") for i, v in enumerate(values)))
+    out = blocks.add(local, before, F.coalesce(*(F.when(F.col(f"_before.v{i}").isNotNull(), F.lit(True)) for i in n), F.lit(False)))
     carried = {n: F.coalesce(f"_l{i}", f"_before.v{i}") for i, n in enumerate(names)}
     return out.withColumns(carried).select(*cols)
 
@@ -130,22 +146,29 @@ def counts_since(
 ) -> DataFrame:
     """The last non-null ``mark``, this row included, and the sums of ``counts`` over the rows after it, up to this one.
 
-    Before the first mark the sums are NULL.
+    Before the first mark the sums are NULL. What a block adds depends on where
+    in it the last mark stands, so the blocks' sums come from a window too, over
+    the columns named here only.
     """
     cols = [*(c for c in df.columns if c not in (mark, *names)), mark, *names]
     n = range(len(counts))
-    blocked = _blocked(df, by, order, block)
-    inner = W.partitionBy(*by, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    summed = blocked.select("*", *(F.sum(c).over(inner).alias(f"_c{i}") for i, c in enumerate(counts)))
+    blocks = _Blocks(df, by, order, block)
     at_mark = lambda m, sums: F.when(m.isNotNull(), F.struct(m.alias("m"), *(s.alias(f"c{i}") for i, s in enumerate(sums))))
-    marked = summed.withColumn("_at", at_mark(F.col(mark), [F.col(f"_c{i}") for i in n]))
-    local = _whole(marked.withColumn("_last", F.last("_at", ignorenulls=True).over(inner)).drop("_at"))
-    sums = [F.coalesce(F.sum(f"_c{i}").over(_earlier(by)), F.lit(0)).alias(f"_s{i}") for i in n]
-    ends = _block_ends(local, by, order).select(*by, BLOCK, "_last", *sums)
+
+    def scanned(rows: DataFrame) -> DataFrame:
+        summed = rows.select("*", *(F.sum(c).over(blocks.upto).alias(f"_c{i}") for i, c in enumerate(counts)))
+        marked = summed.withColumn("_at", at_mark(F.col(mark), [F.col(f"_c{i}") for i in n]))
+        return marked.withColumn("_last", F.last("_at", ignorenulls=True).over(blocks.upto)).drop("_at")
+
+    narrow = scanned(blocks.rows.select(GROUP, BLOCK, *order, mark, *counts))
+    after = F.lead(F.lit(1)).over(blocks.scan)
+    ends = narrow.withColumn("_after", after).filter(F.col("_after").isNull())
+    sums = [F.coalesce(F.sum(f"_c{i}").over(blocks.earlier), F.lit(0)).alias(f"_s{i}") for i in n]
+    ends = ends.select(GROUP, BLOCK, "_last", *sums)
     whole = at_mark(F.col("_last.m"), [F.col(f"_last.c{i}") + F.col(f"_s{i}") for i in n])
-    carried = F.last(whole, ignorenulls=True).over(_earlier(by))
-    before = ends.select(*by, BLOCK, F.struct(carried.alias("at"), *(F.col(f"_s{i}").alias(f"s{i}") for i in n)).alias("_before"))
-    out = _add_before(local, before, by)
+    carried = F.last(whole, ignorenulls=True).over(blocks.earlier)
+    before = ends.withColumn("_before", F.struct(carried.alias("at"), *(F.col(f"_s{i}").alias(f"s{i}") for i in n)))
+    out = blocks.add(scanned(blocks.rows), before, F.col("_before.at").isNotNull())
     here = F.col("_last").isNotNull()
     since = {
         name: F.when(here, F.col(f"_c{i}") - F.col(f"_last.c{i}")).otherwise(
@@ -161,11 +184,10 @@ def previous(
 ) -> DataFrame:
     """``value`` of the row one step earlier; NULL for the first row of a group."""
     cols = [*df.columns, name]
-    blocked = _blocked(df, by, order, block)
-    inner = W.partitionBy(*by, BLOCK).orderBy(*order)
+    blocks = _Blocks(df, by, order, block)
     boxed = F.struct(F.col(value).alias("v"))
-    local = _whole(blocked.withColumn("_local", F.lag(boxed).over(inner)))
-    earlier = F.lag(boxed).over(W.partitionBy(*by).orderBy(BLOCK))
-    before = _block_ends(local, by, order).select(*by, BLOCK, earlier.alias("_before"))
-    out = _add_before(local, before, by)
+    last = blocks.sums(F.max_by(boxed, blocks.order).alias("_end"))
+    before = last.withColumn("_before", F.lag("_end").over(blocks.blocks))
+    local = blocks.rows.withColumn("_local", F.lag(boxed).over(blocks.scan))
+    out = blocks.add(local, before, F.col("_before").isNotNull())
     return out.withColumn(name, F.coalesce("_local", "_before")["v"]).select(*cols)

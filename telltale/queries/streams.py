@@ -17,9 +17,13 @@ def _payload():
 
 
 def _ingested(t):
+    """Every seventh event is delivered twice."""
     stream = S.stream_table(t.spark, t.sf_dir, "events")
-    rows = S.ingest_webhooks(stream.withColumn("payload", _payload()), "payload", "ts", ["event_id"])
-    return S.run_available(rows)
+    copies = F.explode(F.when(F.col("event_id") % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    # Event time has to be a timestamp with zone for a watermark.
+    sent = stream.select("*", copies.alias("copy")).withColumns({"payload": _payload(), "ts": F.col("ts").cast("timestamp")})
+    rows = S.run_available(S.ingest_webhooks(sent, "payload", "ts", ["event_id"], once_by="event_id"))
+    return rows.withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp_ntz"))
 
 
 _INGEST_SQL = """

@@ -364,13 +364,11 @@ def _diff_kinds(lines: DataFrame) -> DataFrame:
     counted = lines.withColumns(
         {
             "_hunk": F.when(starts("@@ -") & F.col("line").rlike(HUNK), F.struct(F.col("line_no").alias("at"), due(1), due(2))),
-            # never NULL itself, so lines are shuffled once for the scan
-            "_in": F.struct("path"),
             "_old": (both | starts("-")).cast("bigint"),
             "_new": (both | starts("+")).cast("bigint"),
         }
     )
-    placed = counts_since(counted, ["_in"], ["line_no"], "_hunk", ["_old", "_new"], ["_old", "_new"], line_block("line_no"))
+    placed = counts_since(counted, ["path"], ["line_no"], "_hunk", ["_old", "_new"], ["_old", "_new"], line_block("line_no"))
     # the counts have this line in them
     old_due, new_due = (F.coalesce(F.col(f"_{side}") <= F.col(f"_hunk.n{i}"), F.lit(False)) for i, side in ((1, "old"), (2, "new")))
     kind = (
@@ -382,16 +380,19 @@ def _diff_kinds(lines: DataFrame) -> DataFrame:
         .when(starts("+") | starts("-"), F.lit("changed"))
         .when(both & (old_due | new_due), F.lit("context"))
     )
-    return placed.withColumn("_kind", kind).drop("_hunk", "_old", "_new", "path").withColumn("path", F.col("_in.path"))
+    return placed.withColumn("_kind", kind).drop("_hunk", "_old", "_new")
 
 
 def parse_diff(lines: DataFrame) -> DataFrame:
-    """(path, file, line_no, sign, text) of changed lines, with the file of the header above; a deleted file has its old name."""
+    """(path, file, line_no, sign, text) of changed lines, with the file of the header above; a deleted file has its old name.
+
+    Whether a line is a header is settled first; headers and changes are written and scanned for the names, so the lines
+    themselves go through one scan.
+    """
     name = lambda kind, prefix: F.when(F.col("_kind") == kind, F.regexp_replace("line", prefix, ""))
-    kept = _diff_kinds(lines).filter(F.col("_kind").isin("old", "new", "changed")).withColumns(
-        {"_file": name("new", r"^\+\+\+ (b/)?"), "_was": name("old", "^--- (a/)?")}
-    )
-    placed = carry_forward(kept, ["_in"], ["line_no"], ["_file", "_was"], ["file", "was"], line_block("line_no"))
+    kept = cut(_diff_kinds(lines).filter(F.col("_kind").isin("old", "new", "changed")).select("path", "line_no", "line", "_kind"))
+    named = kept.withColumns({"_file": name("new", r"^\+\+\+ (b/)?"), "_was": name("old", "^--- (a/)?")})
+    placed = carry_forward(named, ["path"], ["line_no"], ["_file", "_was"], ["file", "was"], line_block("line_no"))
     return placed.filter(F.col("_kind") == "changed").select(
         "path",
         F.when(F.col("file") == "/dev/null", F.col("was")).otherwise(F.col("file")).alias("file"),

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telltale.operators.sets import ordered_union
 from telltale.session import cut
+from telltale.sources.pointer import remove_folder
+from telltale.sources.published import current, read_version, switch_to, write_beside
 
 
 def append_event(df: DataFrame, path: str, required: list[str]) -> None:
@@ -92,20 +93,22 @@ def content_digest(df: DataFrame, by: list[str], columns: list[str]) -> DataFram
 
 def changed(new: DataFrame, old: DataFrame, columns: list[str]) -> bool:
     """Whether two tables differ as multisets of rows, up to hash collisions."""
-    a = content_digest(new, [], columns).first()
-    b = content_digest(old, [], columns).first()
-    return a != b
+    return content_digest(new, [], columns).first() != content_digest(old, [], columns).first()
 
 
 def write_if_changed(new: DataFrame, spark: SparkSession, path: str, columns: list[str]) -> bool:
-    """Write ``new`` to ``path`` unless the same content is already there."""
-    try:
-        old = spark.read.schema(new.schema).parquet(path)
-        same = not changed(new, old, columns)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        same = False
-    if not same:
-        new.write.mode("overwrite").parquet(path)
-    return not same
+    """Publish ``new`` at ``path`` unless the version in force has the same rows; read it with ``read_published``.
+
+    The rows are computed once, into a version beside the one in force, and
+    their digest is taken from there. The pointer keeps it, so the next call
+    reads nothing of the old version. Equal content is removed again.
+    """
+    version = write_beside(new, path)
+    found = content_digest(read_version(spark, path, version), [], columns).first()
+    digest = {"columns": columns, "n_rows": found["n_rows"], "digest": found["digest"]}
+    pointer = current(spark, path) or {}
+    if pointer.get("content") == digest:
+        remove_folder(spark, f"{path}/{version}")
+        return False
+    switch_to(spark, path, version, content=digest)
+    return True

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from telltale.functions import json_path
 from telltale.operators.aggs import last_per_group
 from telltale.operators.filters import changed_path_match, event_type_in
 from telltale.operators.ordered import previous
 from telltale.operators.sets import latest_n
-from telltale.session import fresh_path
-from telltale.streaming.run import EPOCH, overwrite_epoch, read_epochs
+from telltale.session import cut, fresh_path
+from telltale.streaming.store import FAN, EpochStore
 
 LOGIN, REPO = "repository.owner.login", "repository.name"
 
@@ -22,17 +22,28 @@ def stamp_arrival(df: DataFrame, arrival: str, payload_time: Column | None = Non
     return df.withColumn("event_timestamp", stamp if payload_time is None else F.coalesce(payload_time, stamp))
 
 
-def ingest_webhooks(df: DataFrame, payload: str, arrival: str, keep: list[str]) -> DataFrame:
+PAYLOAD = "repository struct<owner:struct<login:string>,name:string>"
+
+
+def ingest_webhooks(
+    df: DataFrame, payload: str, arrival: str, keep: list[str], once_by: str | None = None, late: str = "1 hour"
+) -> DataFrame:
     """(username, target_repo, event_timestamp, accepted) per payload.
 
     Works on a stream and on a batch. A payload without one of the names is
     kept with ``accepted`` false, for the quarantine sink.
+
+    ``once_by`` names the id of a delivery. A delivery that comes again is
+    dropped before the sink, also in a later batch or after a restart: a stream
+    keeps the ids in its state until the arrival times are ``late`` past them.
     """
-    out = stamp_arrival(df, arrival).select(
-        *keep,
-        json_path(payload, LOGIN).alias("username"),
-        json_path(payload, REPO).alias("target_repo"),
-        "event_timestamp",
+    if once_by is not None:
+        seen = df.withWatermark(arrival, late).dropDuplicatesWithinWatermark if df.isStreaming else df.dropDuplicates
+        df = seen([once_by])
+    # filters on the names don't pass a generator, so the payload is parsed once
+    parsed = F.explode_outer(F.array(F.from_json(F.col(payload), PAYLOAD))).alias("_p")
+    out = stamp_arrival(df.select("*", parsed), arrival).select(
+        *keep, F.col(f"_p.{LOGIN}").alias("username"), F.col(f"_p.{REPO}").alias("target_repo"), "event_timestamp"
     )
     return out.withColumn("accepted", F.col("username").isNotNull() & F.col("target_repo").isNotNull())
 
@@ -73,44 +84,53 @@ def rollback_stream(
     value: str,
     failed: Column,
     path: str | None = None,
-    compact_every: int = 20,
+    late: str | int | None = None,
+    fan: int = FAN,
 ) -> DataFrame:
     """Value in force after every event: one version back where the event is a failure.
 
-    Each micro-batch is put behind the newest earlier row of its keys and goes
-    through the blocked lag, so a hot key is spread over tasks. An epoch writes
-    its results and the newest rows of the keys it touched; every
-    ``compact_every`` epochs the newest rows of all keys are written together.
-    A retried epoch overwrites its own folder. Events must reach the stream in
-    version order across micro-batches.
+    Versions may come in any order, in any split into micro-batches: the result
+    is that of ``previous_version`` over all of them. A version that comes
+    between two earlier ones gives the later one a new predecessor, so that one
+    is written again; the sink keeps the newest row per version. (by, order)
+    identifies a version, and one that comes again replaces itself.
+
+    ``late`` (an interval for times, a number for numbers, on the first order
+    column) bounds the state: a version further behind the newest one of the
+    epochs before goes to the rejects, which are counted, and of the versions
+    behind it only the newest per key is kept. Without it all versions are kept.
+
+    Each micro-batch is fixed first, put among the versions of its keys and goes
+    through the blocked lag, so a hot key is spread over tasks.
     """
     spark = stream.sparkSession
     base = path or fresh_path(spark, "rollback")
-    columns = stream.columns
-    rest = [c for c in columns if c not in by]
-
-    def newest(df: DataFrame) -> DataFrame:
-        return last_per_group(df, by, order, rest).select(*columns)
-
-    def of_keys(state: DataFrame, batch: DataFrame) -> DataFrame:
-        keys = batch.select(*(F.col(c).alias(f"_k_{c}") for c in by)).distinct()
-        return state.join(keys, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by], "left_semi")
+    stores = rollback_stores(spark, base, stream, by, order, value, late, fan)
+    version = [*by, *order]
+    kind = stream.schema[order[0]].dataType.simpleString()
 
     def step(batch: DataFrame, epoch: int) -> None:
-        rows = batch.withColumn("_new", F.lit(True))
-        everything = batch
-        if epoch > 0:
-            since = (epoch - 1) // compact_every * compact_every
-            state = read_epochs(spark, f"{base}/state", since, epoch, stream.schema)
-            rows = rows.unionByName(newest(of_keys(state, batch)).withColumn("_new", F.lit(False)))
-            everything = state.unionByName(batch)
-        lagged = previous(rows, by, order, value, "previous_value")
-        fixed = lagged.withColumn(
-            "effective_value", F.when(failed, F.col("previous_value")).otherwise(F.col(value))
-        )
-        overwrite_epoch(fixed.filter("_new").drop("_new"), f"{base}/out", epoch)
-        touched = everything if epoch % compact_every == 0 else batch
-        overwrite_epoch(newest(touched), f"{base}/state", epoch)
+        if stores["state"].has(epoch):
+            return
+        notes = stores["state"].notes()
+        rows = cut(batch.dropDuplicates(version))
+        horizon = _horizon(notes, kind, late)
+        if horizon is not None:
+            behind = F.coalesce(F.col(order[0]) < horizon, F.lit(False))
+            late_rows, rows = rows.filter(behind), rows.filter(~behind)
+            stores["rejects"].commit(epoch, late_rows)
+            notes["rejected"] = notes.get("rejected", 0) + late_rows.count()
+        known = stores["state"].read_keys(rows.select(*by))
+        again = [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in version]
+        known = known.join(rows.select(*(F.col(c).alias(f"_n_{c}") for c in version)), again, "left_anti")
+        both = rows.withColumn("_new", F.lit(True)).unionByName(known.withColumn("_new", F.lit(False)))
+        lagged = previous(both.withColumn("_v", F.struct(F.col(value).alias("value"), "_new")), by, order, "_v", "_before")
+        met = lagged.filter(F.col("_new") | F.col("_before._new")).withColumn("previous_value", F.col("_before.value"))
+        effective = F.when(failed, F.col("previous_value")).otherwise(F.col(value))
+        stores["out"].commit(epoch, met.withColumn("effective_value", effective))
+        newest = rows.agg(F.max(order[0]).alias("m")).select(F.greatest("m", F.lit(notes.get("newest")).cast(kind)).cast("string")).first()[0]
+        # the state goes last: until it has the epoch, a retry does the same again
+        stores["state"].commit(epoch, rows, notes | {"newest": newest})
 
     query = (
         stream.writeStream.trigger(availableNow=True)
@@ -119,4 +139,37 @@ def rollback_stream(
         .start()
     )
     query.awaitTermination()
-    return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out").drop(EPOCH)
+    return stores["out"].read()
+
+
+def _horizon(notes: dict, kind: str, late: str | int | None) -> Column | None:
+    """What lies before it is too late."""
+    if late is None or notes.get("newest") is None:
+        return None
+    newest = F.lit(notes["newest"]).cast(kind)
+    return newest - (F.expr(f"INTERVAL {late}") if isinstance(late, str) else F.lit(late))
+
+
+def rollback_stores(
+    spark: SparkSession, base: str, stream: DataFrame, by: list[str], order: list[str], value: str, late: str | int | None, fan: int
+) -> dict[str, EpochStore]:
+    """The sink, the versions kept as state, and the rejected ones (their number is in the state's notes)."""
+    version, schema = [*by, *order], stream.schema
+    kind = schema[order[0]].dataType.simpleString()
+
+    def prune(rows: DataFrame, notes: dict) -> DataFrame:
+        horizon = _horizon(notes, kind, late)
+        if horizon is None:
+            return rows
+        behind = F.coalesce(F.col(order[0]) < horizon, F.lit(True))
+        rest = [c for c in rows.columns if c not in by]
+        newest = last_per_group(rows.filter(behind), by, order, rest).select(*rows.columns)
+        return rows.filter(~behind).unionByName(newest)
+
+    made = schema[value]
+    out = StructType([*schema.fields]).add("previous_value", made.dataType).add("effective_value", made.dataType)
+    return {
+        "out": EpochStore(spark, f"{base}/out", out, version, fan),
+        "state": EpochStore(spark, f"{base}/state", schema, version, fan, prune),
+        "rejects": EpochStore(spark, f"{base}/rejects", schema, None, fan),
+    }

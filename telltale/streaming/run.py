@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telltale.operators.aggs import last_per_group
 from telltale.session import fresh_path
 from telltale.sources.tables import table
-
-EPOCH = "_epoch"
+from telltale.streaming.store import FAN, EpochStore
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,38 +20,21 @@ def run_available(
     out: str | None = None,
     checkpoint: str | None = None,
     keys: list[str] | None = None,
+    fan: int = FAN,
 ) -> DataFrame:
     """Process everything available, then return the sink as a batch table.
 
     Without ``keys`` the stream appends to files. With ``keys`` it runs in
-    update mode: each epoch's changed rows go to a folder of their own (written
-    over on a retry) and the newest epoch per key is read back.
+    update mode into an ``EpochStore``: the newest row per key is read back, a
+    retried epoch changes nothing, and the files do not pile up with the epochs.
     """
     spark = stream.sparkSession
     out = out or fresh_path(spark, "sink")
     checkpoint = checkpoint or fresh_path(spark, "offsets")
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
     if keys is None:
-        query = writer.outputMode("append").format("parquet").start(out)
-    else:
-
-        def write_epoch(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/{EPOCH}={epoch}")
-
-        query = writer.outputMode("update").foreachBatch(write_epoch).start()
-    query.awaitTermination()
-    written = spark.read.schema(stream.schema).option("basePath", out).parquet(out)
-    if keys is None:
-        return written
-    with_epoch = spark.read.option("basePath", out).parquet(out)
-    values = [c for c in stream.columns if c not in keys]
-    return last_per_group(with_epoch, keys, [EPOCH], values).select(*stream.columns)
-
-
-def overwrite_epoch(df: DataFrame, path: str, epoch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/{EPOCH}={epoch}")
-
-
-def read_epochs(spark: SparkSession, path: str, first: int, end: int, schema) -> DataFrame:
-    """Rows that the epochs ``first`` to ``end - 1`` wrote."""
-    return spark.read.schema(schema).parquet(*(f"{path}/{EPOCH}={epoch}" for epoch in range(first, end)))
+        writer.outputMode("append").format("parquet").start(out).awaitTermination()
+        return spark.read.schema(stream.schema).option("basePath", out).parquet(out)
+    store = EpochStore(spark, out, stream.schema, keys, fan)
+    writer.outputMode("update").foreachBatch(lambda batch, epoch: store.commit(epoch, batch)).start().awaitTermination()
+    return store.read()

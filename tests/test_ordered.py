@@ -20,7 +20,12 @@ def table(spark):
     return spark.createDataFrame(rows, "k string, t int, id bigint, v int")
 
 
-@pytest.mark.parametrize("lines", [None, 64], ids=["range", "lines"])
+@pytest.fixture(autouse=True)
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_BLOCK", 300)
+
+
+@pytest.mark.parametrize("lines", [None, 64, 1 << 16], ids=["range", "lines", "one block"])
 def test_scans_equal_plain_windows(table, rows, lines):
     block = lines and ordered.line_block("id", lines)
     by, order = ["k"], ["t", "id"]
@@ -51,6 +56,31 @@ def test_a_hot_group_is_spread_over_blocks(table):
     assert hot >= 2 and max(sizes.values()) < 1000
 
 
+@pytest.mark.parametrize("partitions", [2, 40])
+def test_block_size_does_not_depend_on_the_session(spark, table, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        blocked = ordered.range_blocks(table, ["k"], ["t", "id"])
+        assert blocked.select("_block").distinct().count() == 10
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_written_blocks_are_not_shuffled_again(spark, table):
+    """The scan of a block and the join with what came before it find its rows together."""
+    for setting in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(setting, "-1")
+    try:
+        plan = ordered.previous(table, ["k"], ["t", "id"], "v", "r")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+        shuffles = [line for line in plan.splitlines() if "Exchange" in line]
+        assert len(shuffles) == 1 and "_told_block" in shuffles[0]
+    finally:
+        for setting in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(setting)
+
+
 def test_global_number_is_dense(table):
     got = [r["n"] for r in quality.surrogate_id(table, ["id"], "n").orderBy("id").collect()]
     assert got == list(range(1, 3001))

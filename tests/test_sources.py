@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from telltale.operators import joins, sets
 from telltale.sources import documents as D
 from telltale.sources import lines as L
-from telltale.sources import sinks
+from telltale.sources import pointer, published, sinks
 
 
 @pytest.fixture
@@ -302,11 +302,43 @@ def test_replace_section(spark):
         df.select(sinks.replace_section(F.col("t"), "<!-- x -->", "<!-- e -->", "n")).collect()
 
 
-def test_write_if_changed(spark, tmp_path):
+def test_write_if_changed(spark, tmp_path, rows):
     path, df = str(tmp_path / "t"), spark.range(10).withColumn("v", F.col("id") % 3)
+    other = df.withColumn("v", F.lit(1).cast("bigint"))
     assert sinks.write_if_changed(df, spark, path, df.columns) is True
     assert sinks.write_if_changed(df.orderBy(F.desc("id")), spark, path, df.columns) is False
-    assert sinks.write_if_changed(df.withColumn("v", F.lit(1).cast("bigint")), spark, path, df.columns) is True
+    assert len([f for f in (tmp_path / "t").iterdir() if f.is_dir()]) == 1
+    assert sinks.write_if_changed(other, spark, path, df.columns) is True
+    assert rows(published.read_published(spark, path)) == rows(other)
+
+
+def test_a_reader_never_sees_half_a_table(spark, tmp_path, rows):
+    """Neither during a write nor after a writer that died in it; a reader that has begun keeps its version."""
+    path, old = str(tmp_path / "t"), spark.range(10)
+    published.publish(old, path)
+    begun = published.read_published(spark, path)
+    version = published.write_beside(spark.range(5), path)  # written, not switched to yet
+    assert rows(published.read_published(spark, path)) == rows(old)
+    dies = spark.range(1000).select(F.when(F.col("id") == 999, F.raise_error(F.lit("killed"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="killed"):
+        sinks.write_if_changed(dies, spark, path, ["id"])
+    assert rows(published.read_published(spark, path)) == rows(old)
+    published.switch_to(spark, path, version)
+    assert rows(published.read_published(spark, path)) == rows(spark.range(5)) and rows(begun) == rows(old)
+    assert published.drop_versions(spark, path) == []  # all younger than a day
+    assert len(published.drop_versions(spark, path, 0)) == 2
+    assert rows(published.read_published(spark, path)) == rows(spark.range(5))
+
+
+def test_the_pointer_is_replaced_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "p" / "_current")
+    assert pointer.read_text(spark, path) is None
+    for text in ("eins", "zwei — ü", ""):
+        pointer.replace_text(spark, path, text)
+        assert pointer.read_text(spark, path) == text
+    assert [f.name for f in (tmp_path / "p").iterdir() if not f.name.endswith(".crc")] == ["_current"]
+    with pytest.raises(FileNotFoundError):
+        published.read_published(spark, str(tmp_path / "nothing"))
 
 
 def test_report_file_order(spark, tmp_path):
