@@ -148,7 +148,8 @@ def counts_since(
 
     Before the first mark the sums are NULL. What a block adds depends on where
     in it the last mark stands, so the blocks' sums come from a window too, over
-    the columns named here only.
+    the columns named here and the groups with rows in a block behind one with a
+    mark. Mostly there are none.
     """
     cols = [*(c for c in df.columns if c not in (mark, *names)), mark, *names]
     n = range(len(counts))
@@ -160,7 +161,13 @@ def counts_since(
         marked = summed.withColumn("_at", at_mark(F.col(mark), [F.col(f"_c{i}") for i in n]))
         return marked.withColumn("_last", F.last("_at", ignorenulls=True).over(blocks.upto)).drop("_at")
 
-    narrow = scanned(blocks.rows.select(GROUP, BLOCK, *order, mark, *counts))
+    local, here = scanned(blocks.rows), F.col("_last").isNotNull()
+    marked = F.min(F.when(F.col(mark).isNotNull(), F.col(BLOCK))) < F.max(BLOCK)
+    split = cut(blocks.rows.groupBy(GROUP).agg(marked.alias("split")).filter("split").select(GROUP))
+    if split.isEmpty():
+        since = {name: F.when(here, F.col(f"_c{i}") - F.col(f"_last.c{i}")) for i, name in enumerate(names)}
+        return local.withColumns({mark: F.col("_last.m"), **since}).select(*cols)
+    narrow = scanned(blocks.rows.select(GROUP, BLOCK, *order, mark, *counts).join(split, GROUP, "left_semi"))
     after = F.lead(F.lit(1)).over(blocks.scan)
     ends = narrow.withColumn("_after", after).filter(F.col("_after").isNull())
     sums = [F.coalesce(F.sum(f"_c{i}").over(blocks.earlier), F.lit(0)).alias(f"_s{i}") for i in n]
@@ -168,8 +175,7 @@ def counts_since(
     whole = at_mark(F.col("_last.m"), [F.col(f"_last.c{i}") + F.col(f"_s{i}") for i in n])
     carried = F.last(whole, ignorenulls=True).over(blocks.earlier)
     before = ends.withColumn("_before", F.struct(carried.alias("at"), *(F.col(f"_s{i}").alias(f"s{i}") for i in n)))
-    out = blocks.add(scanned(blocks.rows), before, F.col("_before.at").isNotNull())
-    here = F.col("_last").isNotNull()
+    out = blocks.add(local, before, F.col("_before.at").isNotNull())
     since = {
         name: F.when(here, F.col(f"_c{i}") - F.col(f"_last.c{i}")).otherwise(
             F.col(f"_c{i}") + F.col(f"_before.s{i}") - F.col(f"_before.at.c{i}")

@@ -26,32 +26,37 @@ def capability_changes(
 ) -> DataFrame:
     """Capabilities added, removed or changed between the two references of each change.
 
-    ``capabilities``: (repo, ref, file, rule_id, risk_score). Both references
-    of a change become rows, so capabilities are joined once and the two sides
-    meet in one aggregation. ``types``: (repo, ref, using) of the actions; where
-    both sides of a change are containers, capabilities of every level count.
-    Without it, or for references it does not have, ``level`` holds.
+    ``capabilities``: (repo, ref, file, rule_id, risk_score). Many changes raise
+    one reference to the same other one, so each distinct pair of references is
+    compared once, and the result joined to the changes that have it. ``types``:
+    (repo, ref, using) of the actions; where both sides of a change are
+    containers, capabilities of every level count. Without it, or for references
+    it does not have, ``level`` holds.
     """
     ref = lambda which, side: F.struct(
-        F.lit(side).alias("side"), F.col(f"{which}.repo").alias("repo"), F.col(f"{which}.ref").alias("ref")
+        F.lit(side).alias("side"), F.col(f"pair.{which}.repo").alias("repo"), F.col(f"pair.{which}.ref").alias("ref")
     )
-    refs = changes.select("path", F.inline(F.array(ref("old", 1), ref("new", 2))))
+    # a struct of both is never NULL itself, so a missing side compares equal
+    paired = changes.select("path", F.struct("old", "new").alias("pair"))
+    refs = paired.select("pair").distinct().select("pair", F.inline(F.array(ref("old", 1), ref("new", 2))))
     hits = refs.join(capabilities, ["repo", "ref"])
-    diff = compare_sides(hits, ["path", "file", "rule_id"], "risk_score", "side")
+    diff = compare_sides(hits, ["pair", "file", "rule_id"], "risk_score", "side")
     worst = diff.withColumn("risk_score", F.greatest("prior", "current"))
     if types is None:
-        return min_risk(worst, level)
-    kinds = types.groupBy("repo", "ref").agg(F.max(classify_action_type("using")).alias("type"))
-    side = lambda n: F.max(F.when(F.col("side") == n, F.col("type")))
-    modes = (
-        refs.join(kinds, ["repo", "ref"])
-        .groupBy("path")
-        .agg(choose_scan_mode(side(1), side(2))["mode"].alias("mode"))
-        .filter(F.col("mode") == "image")
-    )
-    placed = worst.join(modes, "path", "left")
-    images, others = placed.filter(F.col("mode").isNotNull()), placed.filter(F.col("mode").isNull())
-    return images.unionByName(min_risk(others, level)).select(*worst.columns)
+        found = min_risk(worst, level)
+    else:
+        kinds = types.groupBy("repo", "ref").agg(F.max(classify_action_type("using")).alias("type"))
+        side = lambda n: F.max(F.when(F.col("side") == n, F.col("type")))
+        modes = (
+            refs.join(kinds, ["repo", "ref"])
+            .groupBy("pair")
+            .agg(choose_scan_mode(side(1), side(2))["mode"].alias("mode"))
+            .filter(F.col("mode") == "image")
+        )
+        placed = worst.join(modes, "pair", "left")
+        images, others = placed.filter(F.col("mode").isNotNull()), placed.filter(F.col("mode").isNull())
+        found = images.unionByName(min_risk(others, level)).drop("mode")
+    return paired.join(found, "pair").select("path", "file", "rule_id", "prior", "current", "status", "risk_score")
 
 
 def change_comment(diff: DataFrame) -> DataFrame:

@@ -181,11 +181,13 @@ TABLE_ROW = r"^\| ([A-Z]+) \| \[([^\]]*)\]\(([^)]*)\) \| (.*?) \| (.*?) ?\|\s*$"
 def _under_heading(lines: DataFrame, wanted: str) -> DataFrame:
     """Headings and lines fitting ``wanted`` only, each with its heading's line and text.
 
-    The first characters rule most lines out before a pattern is tried.
+    The first characters rule most lines out before a pattern is tried. What is left is written, so that the source is
+    read and matched once and the scan over blocks goes through the written lines.
     """
     is_heading = F.col("line").startswith("## ") & F.col("line").rlike(HEADING)
     is_wanted = F.col("line").startswith("|") & F.col("line").rlike(wanted)
-    kept = lines.filter(is_heading | is_wanted).select(
+    kept = cut(lines.filter(is_heading | is_wanted).select("path", "line_no", "line"))
+    kept = kept.select(
         "*",
         F.col("line").startswith("|").alias("_wanted"),
         F.when(
@@ -249,10 +251,15 @@ def parse_tls_settings(lines: DataFrame) -> DataFrame:
     # Section and entry, with its key, are carried in one scan; a new section ends the entry above it.
     own_key = F.concat(F.regexp_extract("line", SETTING, 1), F.regexp_extract("line", SETTING, 2))
     start = F.struct(F.when(is_start, F.col("line_no")).alias("line_no"), F.when(is_start, own_key).alias("key"))
-    kept = lines.filter(is_section | is_start | is_more).select(
-        "*",
-        F.when(is_section, F.trim(F.regexp_extract("line", SECTION, 1))).alias("_section"),
-        F.when(is_section | is_start, start).alias("_start"),
+    # written, so that the patterns are tried once on every line
+    kept = cut(
+        lines.filter(is_section | is_start | is_more).select(
+            "path",
+            "line_no",
+            "line",
+            F.when(is_section, F.trim(F.regexp_extract("line", SECTION, 1))).alias("_section"),
+            F.when(is_section | is_start, start).alias("_start"),
+        )
     )
     placed = carry_forward(
         kept, ["path"], ["line_no"], ["_section", "_start"], ["section", "entry"], line_block("line_no")
@@ -281,9 +288,8 @@ def parse_tls_settings(lines: DataFrame) -> DataFrame:
 def parse_tls_suites(lines: DataFrame) -> DataFrame:
     """(scan, protocol, hexcode, suite, key_exchange, encryption, bits, iana)."""
     is_protocol, is_suite = F.col("line").rlike(PROTOCOL), F.col("line").rlike(SUITE)
-    kept = lines.filter(is_protocol | is_suite).withColumn(
-        "_protocol", F.when(is_protocol, F.regexp_extract("line", PROTOCOL, 1))
-    )
+    protocol = F.when(is_protocol, F.regexp_extract("line", PROTOCOL, 1)).alias("_protocol")
+    kept = cut(lines.filter(is_protocol | is_suite).select("path", "line_no", "line", protocol))
     placed = carry_forward(kept, ["path"], ["line_no"], "_protocol", "protocol", line_block("line_no"))
     suites = placed.filter(F.col("_protocol").isNull()).withColumn("_g", _groups("line", SUITE, 6))
     return suites.select(
