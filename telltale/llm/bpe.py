@@ -4,7 +4,9 @@ Which token ends at a byte is decided by the bytes up to it alone: a chain of to
 exactly if each two neighbours are the encoding of theirs. So the transducer reads bytes from left to right; its state
 is the token emitted last and the bytes not yet emitted. For each place in those bytes it knows the one token that ends
 there. As soon as every way on shares its first token, that token is emitted, which bounds the bytes a state holds.
-States and transitions are made when they are first needed and kept; beyond a number of them the machine starts over.
+States and transitions are made when they are needed a second time and kept; beyond a number of them the machine starts
+over. What is met for the first time, as the end of most rare words is, goes on without them: an automaton over the
+tokens' beginnings, made as lazily, names the tokens that end at a byte, longest first.
 """
 
 from __future__ import annotations
@@ -13,9 +15,12 @@ import base64
 import gc
 import json
 import re
+import sys
+from array import array
 from functools import cache
 from pathlib import Path
 
+import numpy as np
 import regex
 
 #: Unicode White_Space, as character class.
@@ -77,13 +82,20 @@ class Transducer:
     def __init__(self, ranks: Ranks):
         self.ranks = ranks
         self.token_of = {i: t for t, i in ranks.items()}
+        self.size_of = {i: len(t) for t, i in ranks.items()}
         self._whole: dict[int, bool] = {}
         self._grown: dict[int, tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]] = {}
         self._follows: dict[tuple[int, int], bool] = {}
         self._prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
+        self._node_of: dict[bytes, int] = {}
+        self._nodes: list[bytes] = []
+        #: By node: sizes and numbers of the tokens that end there, longest first; and the node after a byte.
+        self._endings: list[tuple[tuple[int, int], ...]] = []
+        self._goto: dict[int, int] = {}
         self._reset()
 
     def _reset(self) -> None:
+        self._once: set[int] = set()
         #: By number: the token emitted last (-1: none), the pending bytes, the token that ends at each place of them, the
         #: size of the first token on the way there, the places where a longer token may have begun, and steps by byte.
         self.states: list[tuple] = []
@@ -204,18 +216,68 @@ class Transducer:
             place -= len(self.token_of[ends[place - 1]])
         return out[::-1]
 
+    def _node(self, run: bytes) -> int:
+        """The number of the longest end of these bytes that a token begins with or is."""
+        while run and run not in self._prefixes and run not in self.ranks:
+            run = run[1:]
+        number = self._node_of.get(run)
+        if number is None:
+            number = self._node_of[run] = len(self._nodes)
+            self._nodes.append(run)
+            ends = [(len(run) - i, self.ranks.get(run[i:])) for i in range(len(run))]
+            self._endings.append(tuple((size, token) for size, token in ends if token is not None))
+        return number
+
+    def _go_on(self, number: int, text: bytes) -> list[int]:
+        """The tokens of what a state holds and the rest of a text, without making states."""
+        last, pending, ends, _, open_, _ = self.states[number]
+        ends, node = list(ends), self._node(pending[open_[0] :])
+        goto, endings, follows = self._goto, self._endings, self._follows
+        if len(goto) > 10 * MEMO_STATES:
+            goto.clear()
+        n = len(pending)
+        for byte in text:
+            key = node << 8 | byte
+            after = goto.get(key)
+            if after is None:
+                after = goto[key] = self._node(self._nodes[node] + _BYTES[byte])
+            node = after
+            n += 1
+            for size, token in endings[node]:
+                before = ends[n - size - 1] if n > size else last
+                fits = follows.get((before, token))
+                if fits is None:
+                    fits = self._fits(before, token)
+                if fits:
+                    ends.append(token)
+                    break
+            else:
+                raise ValueError(f"byte {byte} is no token of the vocabulary")
+        out, sizes = [], self.size_of
+        while n:
+            token = ends[n - 1]
+            out.append(token)
+            n -= sizes[token]
+        return out[::-1]
+
     def make_room(self) -> None:
         """Start over with too many states; call where state 0 is entered."""
-        if len(self.states) > MEMO_STATES:
+        if len(self.states) > MEMO_STATES or len(self._once) > 10 * MEMO_STATES:
             self._reset()
 
     def encode(self, text: bytes) -> list[int]:
         self.make_room()
         states = self.states
         state, out = 0, []
-        for byte in text:
+        for at, byte in enumerate(text):
             step = states[state][5].get(byte)
-            state, emitted = step if step is not None else self._step(state, byte)
+            if step is None:
+                key = state << 8 | byte
+                if key not in self._once:
+                    self._once.add(key)
+                    return out + self._go_on(state, text[at:])
+                step = self._step(state, byte)
+            state, emitted = step
             if emitted:
                 out += emitted
         return out + self.rest(state)
@@ -245,26 +307,32 @@ class PieceEncoder:
         plain = spaces.replace(rf"[^{SPACE}\p{{L}}\p{{N}}]", rf"(?:[^\w{SPACE}]|_)")
         plain = plain.replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
         self._plain = re.compile(plain) if r"\p" not in plain else None
-        self._known: dict[str, tuple[int, ...]] = {}
+        #: The ids of a piece, 32 bits each, little-endian.
+        self._known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if self._plain is not None and not _UNSURE.search(text):
             return self._plain.findall(text)
         return self._split.findall(text)
 
-    def tokens(self, piece: str) -> tuple[int, ...]:
-        out = tuple(self.machine.encode(piece.encode("utf-8", "surrogatepass")))
+    def packed(self, piece: str) -> bytes:
+        out = array("I", self.machine.encode(piece.encode("utf-8", "surrogatepass")))
+        if sys.byteorder == "big":
+            out.byteswap()
+        out = out.tobytes()
         if len(piece) <= 64:
             if len(self._known) >= MEMO_PIECES:
                 self._known.clear()
             self._known[piece] = out
         return out
 
+    def encode_packed(self, text: str) -> bytes:
+        """The ids of a whole text, 32 bits each, little-endian."""
+        get, packed = self._known.get, self.packed
+        return b"".join([get(piece) or packed(piece) for piece in self.pieces(text)])
+
     def encode(self, text: str) -> list[int]:
-        get, tokens, out = self._known.get, self.tokens, []
-        for piece in self.pieces(text):
-            out += get(piece) or tokens(piece)
-        return out
+        return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
 
 #: The ranges of UTF-8's second bytes that depend on the first.
@@ -281,8 +349,20 @@ class Utf8Decoder:
 
     def __init__(self, token_of: dict[int, bytes]):
         self.token_of = token_of
+        #: Tokens that are whole characters by themselves need no machine, unless a character was begun before them.
+        self._whole = np.zeros(max(token_of, default=0) + 1, bool)
+        for number, token in token_of.items():
+            self._whole[number] = self._is_text(token)
         self._steps: dict[tuple[bytes, int], tuple[str, bytes]] = {}
 
+    @staticmethod
+    def _is_text(token: bytes) -> bool:
+        try:
+            token.decode()
+        except UnicodeDecodeError:
+            return False
+        return True
+
     @staticmethod
     def _needs(begun: bytes) -> tuple[int, int, int]:
         """For a begun character: its length, and the range of its next byte."""
@@ -325,3 +405,19 @@ class Utf8Decoder:
             text, state = known if known is not None else self.step(state, i)
             out.append(text)
         return "".join(out) + ("�" if state else "")
+
+    def decode_packed(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 bytes of a whole text; the machine runs over tokens that are no whole characters, the others, which
+        end what was begun before them, are joined as they are."""
+        tokens = [*map(self.token_of.__getitem__, ids.tolist())]
+        odd = np.flatnonzero(~self._whole[ids])
+        if not len(odd):
+            return b"".join(tokens)
+        out, done = [], 0
+        starts = np.flatnonzero(np.diff(odd, prepend=-2) > 1)
+        for run in np.split(odd, starts[1:]):
+            first, last = int(run[0]), int(run[-1]) + 1
+            out += tokens[done:first]
+            out.append(self.decode(ids[first:last].tolist()).encode())
+            done = last
+        return b"".join([*out, *tokens[done:]])

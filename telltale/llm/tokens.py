@@ -67,10 +67,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         def step(batch: pa.RecordBatch) -> dict:
             counts, of_ids, of_text = [], [], []
             for text in batch.column(1).to_pylist():
-                ids = encoder.encode(text or "")
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                of_text.append(hashlib.sha256(decoder.decode(ids).encode()).hexdigest())
+                packed = encoder.encode_packed(text or "")
+                counts.append(len(packed) // 4)
+                of_ids.append(hashlib.sha256(packed).hexdigest())
+                of_text.append(hashlib.sha256(decoder.decode_packed(np.frombuffer(packed, "<u4"))).hexdigest())
             return {
                 "doc_id": batch.column(0),
                 "n_tokens": pa.array(counts, pa.int64()),

@@ -58,7 +58,30 @@ def test_decoder_replaces_like_the_standard_library(encoder):
     odd = [0xE2, 0x82, 0xAC, 0x41, 0xFF, 0xF0, 0x9F, 0x98, 0x80, 0xC3, 0xED, 0xA0, 0xF4, 0x90]
     for _ in range(2_000):
         raw = bytes(rng.choice(odd) for _ in range(rng.randint(0, 12)))
-        assert decoder.decode([single[b] for b in raw]) == raw.decode("utf-8", "replace")
+        ids = [single[b] for b in raw]
+        assert decoder.decode(ids) == raw.decode("utf-8", "replace")
+        assert decoder.decode_packed(np.array(ids, "<u4")).decode() == raw.decode("utf-8", "replace")
+
+
+def test_packed_ids_of_any_tokens(encoder):
+    """Whatever tokens follow each other, whole characters or not."""
+    rng = random.Random(5)
+    decoder, ids = bpe.Utf8Decoder(encoder.machine.token_of), sorted(encoder.machine.token_of)
+    odd = [i for i in ids if not decoder._whole[i]]
+    for _ in range(500):
+        chosen = [rng.choice(rng.choice([ids, odd])) for _ in range(rng.randint(0, 20))]
+        raw = b"".join(encoder.machine.token_of[i] for i in chosen)
+        assert decoder.decode_packed(np.array(chosen, "<u4")) == raw.decode("utf-8", "replace").encode()
+
+
+def test_states_are_made_when_needed_twice(encoder):
+    machine = bpe.Transducer(encoder.machine.ranks)
+    first = machine.encode(b" unheard-of")
+    before = len(machine.states)
+    assert before == 1
+    for _ in range(30):
+        assert machine.encode(b" unheard-of") == first
+    assert len(machine.states) > before
 
 
 def test_query(spark, docs, texts):
