@@ -31,6 +31,7 @@ from telltale.functions.risk import (
     risk_score,
     verdict,
 )
+from telltale.functions.shell import layer_files, shell_commands, shell_words
 from telltale.functions.text import (
     extract_cve_ids,
     extract_ids,

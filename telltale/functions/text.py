@@ -63,13 +63,16 @@ def split_evidence(cell: ColumnLike) -> Column:
 
 
 def _last_wins(entries: Column) -> Column:
-    """Map of (key, value) structs in which a repeated key keeps its last value."""
-    keys = F.transform(entries, lambda e: e["key"])
-    later = lambda e, i: F.array_contains(
-        F.slice(keys, i + 2, F.size(keys)), e["key"]
-    )
-    named = F.filter(entries, lambda e, i: e["key"].isNotNull() & ~later(e, i))
-    return F.map_from_entries(named)
+    """Map of (key, value) structs in which a repeated key keeps its last value.
+
+    Sorted by key and place, an entry counts if another key, or none, follows it.
+    """
+    placed = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))
+    ordered = F.array_sort(F.filter(placed, lambda e: e["key"].isNotNull()))
+    following = F.slice(ordered, 2, F.size(ordered))
+    paired = F.zip_with(ordered, following, lambda e, after: F.struct(e.alias("e"), after["key"].alias("after")))
+    last = F.filter(paired, lambda p: p["after"].isNull() | (p["after"] != p["e"]["key"]))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["e"]["key"], p["e"]["value"])))
 
 
 def pairs_to_map(pairs: ColumnLike) -> Column:

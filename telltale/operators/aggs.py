@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telltale.functions import risk_level, token_rate
+from telltale.operators.ordered import segments
 
 NS = 1e9
 
@@ -115,18 +116,25 @@ def last_per_group(df: DataFrame, by: list[str], order: list[str], values: list[
 
 
 def concat_in_order(
-    df: DataFrame, by: list[str], seq: str, text: str, delimiter: str = "", part_size: int = 100_000
+    df: DataFrame, by: list[str], seq: str, text: str, delimiter: str = "", most_bytes: int | None = None
 ) -> DataFrame:
-    """Texts joined in sequence order.
+    """Texts joined in sequence order, as rows (by, position, n, text).
 
-    Rows come as (by, part, n, text), a part covering ``part_size`` sequence
-    numbers. Ordinary groups have the single part 0; an oversized one spreads
-    over many tasks and values and can be read back in part order.
+    A row holds about ``most_bytes`` bytes at most (a longer single text stays whole); ``position`` is the byte at which
+    it begins in the whole, each text counted with a delimiter. So an ordinary group is one row at position 0, and an
+    oversized one is read back in the order of its positions, whatever its sequence numbers are.
     """
     glue = delimiter.replace("\\", "\\\\").replace("'", "\\'")
-    return df.groupBy(*by, F.expr(f"`{seq}` div {part_size}").alias("part")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.expr(f"listagg(`{text}`, '{glue}') WITHIN GROUP (ORDER BY `{seq}`)").alias("text"),
+    size = F.octet_length(text) + F.lit(len(delimiter.encode()))
+    placed = segments(df.select(*by, seq, text), by, [seq], size, most_bytes)
+    return (
+        placed.groupBy(*by, "_segment")
+        .agg(
+            F.min("_at").alias("position"),
+            F.count(F.lit(1)).alias("n"),
+            F.expr(f"listagg(`{text}`, '{glue}') WITHIN GROUP (ORDER BY `{seq}`)").alias("text"),
+        )
+        .drop("_segment")
     )
 
 

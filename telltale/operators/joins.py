@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telltale.functions import extract_cve_ids
+from telltale.functions import extract_cve_ids, layer_files
 from telltale.operators.sets import compare_sets
 from telltale.session import cut
 
@@ -156,13 +156,25 @@ def copied_then_removed(
 def _one_row(df: DataFrame, on: list[str]) -> DataFrame:
     """One row per key, the least of its others, so that a join with it never multiplies.
 
-    It is written, so the join shuffles it by itself: directly on the aggregation Spark could not split a hot key of
+    It is rebalanced, so the join shuffles it by itself: directly on the aggregation Spark could not split a hot key of
     the other side.
     """
     rest = [c for c in df.columns if c not in on]
     if not rest:
-        return cut(df.distinct())
-    return cut(df.groupBy(*on).agg(F.min(F.struct(*rest)).alias("_row")).select(*on, "_row.*"))
+        return df.distinct().hint("rebalance")
+    return df.groupBy(*on).agg(F.min(F.struct(*rest)).alias("_row")).select(*on, "_row.*").hint("rebalance")
+
+
+def layer_file_actions(layers: DataFrame, keep: list[str], created_by: str = "created_by") -> DataFrame:
+    """(keep, step, action, file, source): what the commands of image layers add and remove, one row per file."""
+    files = F.posexplode(layer_files(created_by)).alias("step", "_f")
+    return layers.select(*keep, files).select(*keep, "step", "_f.action", "_f.file", "_f.source")
+
+
+def recoverable_files(layers: DataFrame, image: list[str], pos: str, created_by: str = "created_by") -> DataFrame:
+    """Files that one layer adds and a later one removes, from the text of the layers' commands alone."""
+    actions = layer_file_actions(layers, [*image, pos], created_by)
+    return copied_then_removed(actions, [*image, "file"], pos, "added", "removed", "action")
 
 
 def sbom_edges(packages: DataFrame, relationships: DataFrame, document: list[str] | None = None) -> DataFrame:

@@ -34,6 +34,8 @@ BLOCK = "_block"
 GROUP = "_group"
 LINES_PER_BLOCK = 1 << 16
 ROWS_PER_BLOCK = 1 << 20
+#: Bytes of text that are glued into one value, about.
+SEGMENT_BYTES = 16 << 20
 
 
 def line_block(line_no: str, lines: int = LINES_PER_BLOCK) -> Column:
@@ -197,3 +199,22 @@ def previous(
     local = blocks.rows.withColumn("_local", F.lag(boxed).over(blocks.scan))
     out = blocks.add(local, before, F.col("_before").isNotNull())
     return out.withColumn(name, F.coalesce("_local", "_before")["v"]).select(*cols)
+
+
+def segments(df: DataFrame, by: list[str], order: list[str], size: Column, most: int | None = None) -> DataFrame:
+    """``df`` with ``_at``, the bytes of its group before a row, and ``_segment``, which rows of about ``most`` bytes share.
+
+    ``size`` gives the bytes of a row. Groups that stay below ``most`` are one segment and need no running sum; only the
+    others, if there are any, go through the blocks.
+    """
+    most = most or SEGMENT_BYTES
+    key = F.struct(*by)
+    sized = df.withColumn("_size", F.coalesce(size.cast("bigint"), F.lit(0)))
+    large = cut(sized.groupBy(key.alias("_large")).agg(F.sum("_size").alias("n")).filter(F.col("n") >= most).select("_large"))
+    if large.isEmpty():
+        return sized.withColumns({"_at": F.lit(0).cast("bigint"), "_segment": F.lit(0).cast("bigint")})
+    keyed = sized.withColumn("_key", key)
+    whole = keyed.join(large, F.col("_key") == F.col("_large"), "left_anti").withColumn("_at", F.lit(0).cast("bigint"))
+    split = keyed.join(large, F.col("_key") == F.col("_large"), "left_semi")
+    split = running_sum(split, ["_key"], order, "_size", "_upto").withColumn("_at", F.col("_upto") - F.col("_size")).drop("_upto")
+    return whole.unionByName(split).drop("_key").withColumn("_segment", F.expr(f"_at div {most}"))

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telltale.operators.aggs import last_per_group
-from telltale.operators.ordered import carry_forward, previous, running_sum
+from telltale.operators.ordered import carry_forward, previous, running_sum, segments
+from telltale.session import cut
 
 # This package's own ordering of findings; the weights are a design decision.
 SEVERITY_WEIGHT, KEV_WEIGHT, MAX_LOCATIONS = 100, 50, 49
@@ -17,7 +18,8 @@ def bucket_index(df: DataFrame, by: list[str], ts: str, width: str = "15 minutes
     """Adds the time bucket with its forward and reverse dense index from 0.
 
     Ranks are taken over the distinct buckets of a group, whose number is set
-    by the time range and not by the number of rows, and joined back.
+    by the time range and not by the number of rows. They are written, few as
+    they are, so the query itself reads the rows once and joins the ranks to them.
     """
     bucketed = df.withColumn("bucket", F.window(F.col(ts), width)["start"])
     asc = W.partitionBy(*by).orderBy("bucket")
@@ -28,7 +30,7 @@ def bucket_index(df: DataFrame, by: list[str], ts: str, width: str = "15 minutes
         .withColumn("bucket_index", F.row_number().over(asc) - 1)
         .withColumn("bucket_reverse_index", F.row_number().over(desc) - 1)
     )
-    return bucketed.join(ranked, [*by, "bucket"], "inner")
+    return bucketed.join(cut(ranked), [*by, "bucket"], "inner")
 
 
 def impact_score(severity: Column, in_kev: Column, locations: Column) -> Column:
@@ -73,26 +75,30 @@ def merge_continuations(
     """Join lines that continue an entry to the line that starts it.
 
     Lines before the first start form an entry of their own with start NULL.
-    Rows come as (by, start_line, part, n_lines, text), see ``glue_lines``.
+    Rows come as (by, start_line, position, n_lines, text), see ``glue_lines``.
     """
     marked = df.withColumn("_start", F.when(is_start, F.col(line_no)))
     started = carry_forward(marked, by, [line_no], "_start", "start_line", block)
     return glue_lines(started, [*by, "start_line"], line_no, text).drop("first_line")
 
 
-def glue_lines(
-    df: DataFrame, by: list[str], line_no: str, text: str, start: str = "start_line", part_size: int = 100_000
-) -> DataFrame:
-    """Each entry with its first line and its trimmed lines in order.
+def glue_lines(df: DataFrame, by: list[str], line_no: str, text: str, most_bytes: int | None = None) -> DataFrame:
+    """Each entry's trimmed lines in order, with the first of them: rows (by, position, n_lines, first_line, text).
 
-    A part covers ``part_size`` line numbers from the start of the entry, so
-    ordinary entries are part 0 and an oversized one spreads over several rows.
+    An entry is one row at position 0; one of more than ``most_bytes`` bytes is several, each with the byte at which it
+    begins, every line counted with a blank.
     """
-    part = F.expr(f"(`{line_no}` - coalesce(`{start}`, 0)) div {part_size}").alias("part")
-    return df.groupBy(*by, part).agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.min_by(text, line_no).alias("first_line"),
-        F.expr(f"listagg(trim(`{text}`), ' ') WITHIN GROUP (ORDER BY `{line_no}`)").alias("text"),
+    size = F.octet_length(F.trim(text)) + 1
+    placed = segments(df.select(*by, line_no, text), by, [line_no], size, most_bytes)
+    return (
+        placed.groupBy(*by, "_segment")
+        .agg(
+            F.min("_at").alias("position"),
+            F.count(F.lit(1)).alias("n_lines"),
+            F.min_by(text, line_no).alias("first_line"),
+            F.expr(f"listagg(trim(`{text}`), ' ') WITHIN GROUP (ORDER BY `{line_no}`)").alias("text"),
+        )
+        .drop("_segment")
     )
 
 

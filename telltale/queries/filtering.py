@@ -17,18 +17,22 @@ def skip_list(t):
 
 
 def diff_source(t):
-    """Documents as diff files: one header per document, every line signed, every third with a reference."""
+    """Documents as diff files: a header each, a hunk that counts its lines, every line signed, every third with a
+    reference, some that begin like a file header, and a line that is nothing of a diff."""
     body = F.transform(
         nested.lines_of(F.col("text")),
         lambda x, i: F.concat(
             F.when(i % 2 == 0, F.lit("-")).otherwise(F.lit("+")),
-            F.when(i % 3 == 0, F.lit(" uses: ")).otherwise(F.lit(" ")),
+            F.when(i % 10 == 4, F.lit("-- ")).when(i % 10 == 7, F.lit("++ ")).when(i % 3 == 0, F.lit(" uses: ")).otherwise(F.lit(" ")),
             x,
         ),
     )
     doc = F.col("doc_id").cast("string")
-    header = F.array(F.concat(F.lit("--- a/d"), doc), F.concat(F.lit("+++ b/d"), doc), F.lit("@@ -1 +1 @@"))
-    lines = F.concat(header, body, F.array(F.lit(" context")))
+    # the context counts on both sides
+    due = [F.expr("(size(split(text, '\n')) + 1) div 2 + 1").cast("string"), F.expr("size(split(text, '\n')) div 2 + 1").cast("string")]
+    hunk = F.concat(F.lit("@@ -1,"), due[0], F.lit(" +1,"), due[1], F.lit(" @@"))
+    header = F.array(F.concat(F.lit("--- a/d"), doc), F.concat(F.lit("+++ b/d"), doc), hunk)
+    lines = F.concat(header, body, F.array(F.lit(" context"), F.lit("Binary files differ")))
     return t.documents.select(
         F.col("source").alias("path"), "doc_id", F.posexplode(lines).alias("i", "line")
     ).select("path", (F.col("doc_id") * 1000000 + F.col("i")).alias("line_no"), "line")
@@ -37,7 +41,7 @@ def diff_source(t):
 _DIFF_SQL = """
     SELECT source AS path, 'd' || doc_id AS file, doc_id * 1000000 + i + 2 AS line_no,
            CASE WHEN (i - 1) % 2 = 0 THEN '-' ELSE '+' END AS sign,
-           CASE WHEN (i - 1) % 3 = 0 THEN ' uses: ' ELSE ' ' END || l AS text
+           CASE WHEN (i - 1) % 10 = 4 THEN '-- ' WHEN (i - 1) % 10 = 7 THEN '++ ' WHEN (i - 1) % 3 = 0 THEN ' uses: ' ELSE ' ' END || l AS text
     FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
          LATERAL (SELECT unnest(ls) AS l, generate_subscripts(ls, 1) AS i)
 """
@@ -136,6 +140,22 @@ def domain_regex_block(t):
     return filters.domain_regex_block(hosts, "host", [r"(^|\.)ads[-.]", r"^m\.", "farm"])
 
 
+@query(
+    """
+    WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host FROM pages)
+    SELECT page_id, host FROM h WHERE starts_with(host, 'm.') OR contains(host, '-') OR substr(host, length(host) - 2) = 'org'
+        OR split_part(host, '.', 1) IN (SELECT split_part(host, '.', 1) FROM h WHERE page_id % 5 = 0)
+    """
+)
+def domain_patterns(t):
+    """O-F7 with a table of patterns: the first label of the host of every fifth page, and some without a fixed piece."""
+    hosts = t.pages.select("page_id", T.url_host("url").alias("host"))
+    label = F.regexp_extract("host", r"^([^.]+)", 1)
+    own = hosts.filter("page_id % 5 = 0").select(F.concat(F.lit("^"), label, F.lit(r"\.([a-z]+\.?)+$")).alias("pattern"))
+    few = t.region.select(F.explode(F.array(F.lit(r"^m\."), F.lit("-"), F.lit(r"(\.org|\.[o]rg)$"), F.lit("qqq+unheard"), F.lit(None))).alias("pattern"))
+    return filters.domain_pattern_block(hosts, "host", own.unionByName(few))
+
+
 def trace_source(t):
     """Events as trace lines; errors and signups fail, and every user has an exit trailer."""
     ret = (
@@ -232,18 +252,27 @@ def weak_suites(t):
 
 @query(
     r"""
-    SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos,
-           regexp_replace(l, '(?i)((?:password|passwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*"?)([^ \t\r\n"]+)', '\1***', 'g') AS redacted
-    FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-         LATERAL (SELECT unnest(ls) AS l, generate_subscripts(ls, 1) AS i)
+    SELECT doc_id, pos, line AS redacted, '' AS files FROM (SELECT doc_id, 0 AS pos, 'db_password = ***' AS line FROM documents WHERE doc_id % 3 = 0
+        UNION ALL SELECT doc_id, 1, 'X-Api-Key: "***" ' || source FROM documents WHERE doc_id % 4 <> 1)
+    UNION ALL SELECT doc_id, 2, 'COPY --chmod=600 ' || CASE doc_id % 3 WHEN 0 THEN 'secret.txt' WHEN 1 THEN '"keys/my id_rsa" a' ELSE 'conf/.env' END || ' /n/' || lang || '/',
+           CASE doc_id % 3 WHEN 0 THEN 'secret.txt' ELSE 'conf/.env' END FROM documents WHERE doc_id % 3 <> 1
+    UNION ALL SELECT doc_id, CAST(i + 2 AS INTEGER), regexp_replace(l, '(?i)((?:password|passwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*"?)([^ \t\r\n"]+)', '\1***', 'g'), ''
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), LATERAL (SELECT unnest(ls) AS l, generate_subscripts(ls, 1) AS i)
     WHERE regexp_matches(l, '(?i)((?:password|passwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*"?)([^ \t\r\n"]+)')
     """,
     headline=True,
 )
 def secret_lines(t):
-    """O-F12 on every line of every text."""
-    lines = t.documents.select("doc_id", F.posexplode(nested.lines_of(F.col("text"))).alias("pos", "line"))
-    return filters.secret_lines(lines, "line").select("doc_id", "pos", "redacted")
+    """O-F12 on every line of every text below lines with settings and copies, of which some tell no secret."""
+    tail = F.concat(F.lit(" /n/"), "lang", F.lit("/"))
+    third = F.col("doc_id") % 3
+    setting = F.when(third == 0, F.concat(F.lit("db_password = "), "source")).otherwise(F.concat(F.lit("password is "), "source"))
+    key = F.when(F.col("doc_id") % 4 != 1, F.concat(F.lit('X-Api-Key: "k'), "doc_id", F.lit('" '), "source")).otherwise(F.lit("token bucket"))
+    source = F.when(third == 0, F.lit("secret.txt")).when(third == 1, F.lit('"keys/my id_rsa.pub" a')).otherwise(F.lit("conf/.env"))
+    made = F.array(setting, key, F.concat(F.lit("COPY --chmod=600 "), source, tail))
+    lines = t.documents.select("doc_id", F.posexplode(F.concat(made, nested.lines_of(F.col("text")))).alias("pos", "line"))
+    found = filters.secret_lines(lines, "line")
+    return found.select("doc_id", "pos", "redacted", F.array_join("secret_files", ",").alias("files"))
 
 
 @query("SELECT event_id, event_type NOT IN ('error', 'click') AS ok FROM events")

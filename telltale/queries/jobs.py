@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from telltale.plans import actions, benchmark, findings, webhooks
 from telltale.queries.registry import query
+from telltale.sources.sinks import numbered_report
 
 _RANKED = """
     SELECT s.*, coalesce(n, 0) AS n_logs, last_log FROM (
@@ -46,21 +47,20 @@ def findings_report(t):
 
 @query(
     f"""
-    WITH r AS ({_RANKED})
-    SELECT CAST(1 AS INTEGER) AS ordinal, CAST(i AS INTEGER) AS part, ['# Findings report', '_Generated: 2024-02-01T00:00:00Z_', '_Source: lineitem_'][i + 1] AS text
-    FROM range(3) x(i)
-    UNION ALL SELECT CAST(o AS INTEGER), CAST(i AS INTEGER), ['', '---', '', '## ' || title, ''][i + 1]
-    FROM (VALUES (2, 'Top findings'), (4, 'Log evidence'), (6, 'Catalog cross-reference'), (8, 'Talking points')) v(o, title), range(5) x(i)
-    UNION ALL SELECT 3, 0, '1. ' || scan || ' / ' || rule_id || ': ' || score FROM r
-    UNION ALL SELECT 5, 0, '- ' || rule_id || ': ' || n_logs || ' log lines' FROM r WHERE n_logs > 0
-    UNION ALL SELECT 7, 0, '- ' || scan || ' / ' || rule_id FROM r WHERE in_kev
-    UNION ALL SELECT 9, 0, '- ' || scan || ': ' || rule_id FROM r WHERE rank <= 3
+    WITH r AS ({_RANKED}), lines AS (
+        SELECT 1 AS ordinal, i AS part, '' AS scan, 0 AS rank, ['# Findings report', '_Generated: 2024-02-01T00:00:00Z_', '_Source: lineitem_'][i + 1] AS text FROM range(3) x(i)
+        UNION ALL SELECT o, i, '', 0, ['', '---', '', '## ' || title, ''][i + 1]
+        FROM (VALUES (2, 'Top findings'), (4, 'Log evidence'), (6, 'Catalog cross-reference'), (8, 'Talking points')) v(o, title), range(5) x(i)
+        UNION ALL SELECT 3, 0, scan, rank, '1. ' || scan || ' / ' || rule_id || ': ' || score FROM r
+        UNION ALL SELECT 5, 0, scan, rank, '- ' || rule_id || ': ' || n_logs || ' log lines' FROM r WHERE n_logs > 0
+        UNION ALL SELECT 7, 0, scan, rank, '- ' || scan || ' / ' || rule_id FROM r WHERE in_kev
+        UNION ALL SELECT 9, 0, scan, rank, '- ' || scan || ': ' || rule_id FROM r WHERE rank <= 3)
+    SELECT row_number() OVER (ORDER BY ordinal, part, scan, rank) AS line_no, text FROM lines
     """
 )
 def findings_text(t):
-    """The same as report lines."""
-    text = findings.report_text(_ranked(t), "2024-02-01T00:00:00Z", "lineitem")
-    return text.drop("line_key")
+    """The same as report lines, in their order."""
+    return numbered_report(findings.report_text(_ranked(t), "2024-02-01T00:00:00Z", "lineitem"))
 
 
 @query(

@@ -182,6 +182,31 @@ def copied_then_removed(t):
     return joins.copied_then_removed(files, ["user_id", "k"], "ts", "signup", "error", "event_type")
 
 
+@query(
+    """
+    SELECT l_orderkey AS image, '/data/' || l_partkey AS file, min(2 * l_linenumber) AS added_at, max(2 * l_linenumber + 1) FILTER (l_returnflag = 'R') AS removed_at
+    FROM lineitem GROUP BY ALL HAVING count(*) FILTER (l_returnflag = 'R') > 0
+    """
+)
+def recoverable_files(t):
+    """O-J9 from layer commands: an order is an image, each of its lines a layer that copies a file, and returned ones a
+    further layer that removes it, in the forms of several builders."""
+    part, line = F.col("l_partkey").cast("string"), F.col("l_linenumber")
+    target = F.concat(F.lit(" /data/"), part)
+    copy = (
+        F.when(line % 3 == 0, F.concat(F.lit("COPY --chown=a:b build/"), part, F.lit(" /data/ # buildkit")))
+        .when(line % 3 == 1, F.concat(F.lit('ADD ["x y/'), part, F.lit('", "/data/'), part, F.lit('"]')))
+        .otherwise(F.concat(F.lit("/bin/sh -c #(nop) COPY file:0abc in"), target, F.lit(" ")))
+    )
+    remove = F.when(line % 2 == 0, F.concat(F.lit("RUN /bin/sh -c set -e; sudo rm -rf '/data/"), part, F.lit("' \\\n && true # buildkit"))).otherwise(
+        F.concat(F.lit("RUN |1 A=1 /bin/sh -c mv"), target, F.lit(" /tmp/ # buildkit"))
+    )
+    layers = F.array(F.struct((2 * line).alias("pos"), copy.alias("created_by")), F.struct((2 * line + 1).alias("pos"), F.when(F.col("l_returnflag") == "R", remove).alias("created_by")))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("image"), F.inline(layers))
+    found = joins.recoverable_files(rows, ["image"], "pos")
+    return found.filter(F.col("file").startswith("/data/"))
+
+
 @query(
     """
     SELECT a.c_custkey AS spdx_element_id, a.c_name AS source_name, b.n_nationkey AS related_spdx_element,
@@ -316,28 +341,28 @@ def derive_allowlist(t):
 @query(
     """
     SELECT coalesce(a.k, b.k) AS partkey, CASE WHEN b.k IS NULL THEN 'only_first' WHEN a.k IS NULL THEN 'only_second' ELSE 'common' END AS side
-    FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A') a
+    FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag IN ('A', 'N')) a
     FULL JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R') b ON a.k = b.k
     """,
     headline=True,
 )
 def compare_sets(t):
     """O-U2."""
-    side = lambda flag: t.lineitem.filter(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("partkey"))
-    return sets.compare_sets(side("A"), side("R"), "partkey")
+    side = lambda *flags: t.lineitem.filter(F.col("l_returnflag").isin(*flags)).select(F.col("l_partkey").alias("partkey"))
+    return sets.compare_sets(side("A", "N"), side("R"), "partkey")
 
 
 @query(
     """
     SELECT l_suppkey, count(*) AS n_extra
-    FROM (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT ALL SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')
+    FROM (SELECT l_suppkey FROM lineitem WHERE l_returnflag IN ('A', 'N') EXCEPT ALL SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')
     GROUP BY ALL
     """
 )
 def only_in_first(t):
     """O-U2, the multiset difference."""
-    side = lambda flag: t.lineitem.filter(F.col("l_returnflag") == flag).select("l_suppkey")
-    return sets.only_in_first(side("A"), side("R"))
+    side = lambda *flags: t.lineitem.filter(F.col("l_returnflag").isin(*flags)).select("l_suppkey")
+    return sets.only_in_first(side("A", "N"), side("R"))
 
 
 @query(

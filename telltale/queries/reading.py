@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from telltale import functions as T
 from telltale.operators.joins import layer_table
 from telltale.operators.nested import lines_of
+from telltale.queries.filtering import diff_source, trace_source
 from telltale.queries.registry import query
 from telltale.session import fresh_path
+from telltale.sources import accounting as A
 from telltale.sources import documents as D
 from telltale.sources import lines as L
 from telltale.sources import sinks
@@ -215,13 +217,17 @@ def ambiguous_headings(t):
 
 @query(
     """
-    SELECT CAST(c_nationkey AS VARCHAR) AS scan, 'Testing ' || c_mktsegment AS section, c_custkey * 10 + 1 AS line_no, 0::BIGINT AS part,
+    SELECT CAST(c_nationkey AS VARCHAR) AS scan, 'Testing ' || c_mktsegment AS section, c_custkey * 10 + 1 AS line_no, 0::BIGINT AS position,
            'Owner of ' || c_name AS key, 'offered (OK), ' || c_custkey || ' more ' || c_name || ' and on' AS value
     FROM customer
     """
 )
 def tls_settings(t):
     """O-S7: a nation is a report, a customer a section of it with a setting over three lines."""
+    return L.parse_tls_settings(_tls_lines(t))
+
+
+def _tls_lines(t) -> DataFrame:
     lines = F.array(
         F.concat(F.lit(" Testing "), "c_mktsegment"),
         F.concat(F.lit(" Owner of "), "c_name", F.lit("      offered (OK), "), _string("c_custkey")),
@@ -230,7 +236,101 @@ def tls_settings(t):
         F.lit(""),
     )
     rows = t.customer.select(_string("c_nationkey").alias("path"), "c_custkey", F.posexplode(lines).alias("i", "line"))
-    return L.parse_tls_settings(rows.select("path", (F.col("c_custkey") * 10 + F.col("i")).alias("line_no"), "line"))
+    # every report begins with lines of no section
+    banner = t.nation.select(_string("n_nationkey").alias("path"), F.posexplode(F.array(F.lit(" Start 2025-01-02  -->> host"), F.lit(" " * 30 + "10.0.0.1"), F.lit("---"))).alias("i", "line"))
+    return rows.select("path", (F.col("c_custkey") * 10 + F.col("i")).alias("line_no"), "line").unionByName(
+        banner.select("path", (F.col("i") - 100).cast("bigint").alias("line_no"), "line")
+    )
+
+
+@query(
+    """
+    SELECT 'section' AS kind, true AS accepted, count(*) AS n FROM customer UNION ALL SELECT 'setting', true, count(*) FROM customer
+    UNION ALL SELECT 'continuation', true, 2 * count(*) FROM customer UNION ALL SELECT 'blank', true, count(*) FROM customer
+    UNION ALL SELECT 'before a section', false, 2 * count(*) FROM nation UNION ALL SELECT 'other', false, count(*) FROM nation
+    UNION ALL SELECT 'all', NULL, 5 * (SELECT count(*) FROM customer) + 3 * count(*) FROM nation
+    """
+)
+def tls_accounts(t):
+    """O-S7: accepted and rejected lines add up to all."""
+    return A.accounts(A.tls_kinds(_tls_lines(t)))
+
+
+@query(
+    """
+    SELECT 'call' AS kind, true AS accepted, count(*) AS n FROM events UNION ALL SELECT 'trailer or signal', false, count(*) FROM events
+    UNION ALL SELECT 'all', NULL, 2 * count(*) FROM events
+    """
+)
+def trace_accounts(t):
+    """O-S6."""
+    return A.accounts(A.trace_kinds(trace_source(t)))
+
+
+@query(
+    """
+    SELECT page_id * 10 + i AS line_no, reason FROM pages, (VALUES (1, 'unfinished'), (2, 'resumed'), (3, 'trailer or signal'), (4, 'no call')) v(i, reason)
+    """
+)
+def trace_rejects(t):
+    """O-S6: of every page a call and four lines that are none."""
+    lines = F.array(
+        F.concat(F.lit('openat(AT_FDCWD, "'), "url", F.lit('", O_RDONLY) = 3')),
+        F.concat(F.lit('[pid 7] read(3, "'), "url", F.lit('", <unfinished ...>')),
+        F.lit('[pid 7] <... read resumed>"", 9) = 0'),
+        F.lit("--- SIGCHLD {si_signo=SIGCHLD} ---"),
+        F.concat(F.lit("strace: "), "url"),
+    )
+    rows = t.pages.select(F.lit("t").alias("path"), "page_id", F.posexplode(lines).alias("i", "line"))
+    return L.trace_rejects(rows.select("path", (F.col("page_id") * 10 + F.col("i")).alias("line_no"), "line")).select("line_no", "reason")
+
+
+@query(
+    f"""
+    WITH l AS (SELECT * FROM {_LINES}), d AS (SELECT * FROM documents)
+    SELECT 'old' AS kind, true AS accepted, count(*) AS n FROM d UNION ALL SELECT 'new', true, count(*) FROM d UNION ALL SELECT 'hunk', true, count(*) FROM d
+    UNION ALL SELECT 'changed', true, count(*) FROM l UNION ALL SELECT 'context', true, count(*) FROM d UNION ALL SELECT 'other', false, count(*) FROM d
+    UNION ALL SELECT 'all', NULL, 5 * (SELECT count(*) FROM d) + (SELECT count(*) FROM l)
+    """
+)
+def diff_accounts(t):
+    """O-S18."""
+    return A.accounts(A.diff_kinds(diff_source(t)))
+
+
+@query("SELECT source AS path, doc_id * 1000000 + 4 + len(string_split(text, chr(10))) AS line_no, 'Binary files differ' AS line FROM documents")
+def diff_rejects(t):
+    """O-S18."""
+    return L.diff_rejects(diff_source(t))
+
+
+@query(
+    f"""
+    WITH l AS (SELECT trim(l, ' ') = '' AS empty FROM {_LINES}), t AS (SELECT count(*) AS n FROM {_LINES} JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id) WHERE n_chars % 3 > 0),
+         d AS (SELECT count(*) AS n, count_if(n_chars % 3 = 0) AS a, count_if(n_chars % 3 = 1) AS b, count_if(n_chars % 3 = 2) AS c FROM documents),
+         k AS (SELECT 'heading' AS kind, true AS accepted, n FROM d UNION ALL SELECT 'blank', true, 2 * n + a + b + (SELECT count(*) FROM l WHERE empty) FROM d
+               UNION ALL SELECT 'table head', true, 2 * b + c FROM d UNION ALL SELECT 'rule', true, 2 * b + c FROM d UNION ALL SELECT 'row', true, n FROM t
+               UNION ALL SELECT 'other', false, (SELECT count(*) FROM l WHERE NOT empty) UNION ALL SELECT 'row without heading', false, count(*) FROM nation)
+    SELECT kind, accepted, CAST(n AS BIGINT) AS n FROM k UNION ALL SELECT 'all', NULL, CAST(sum(n) AS BIGINT) FROM k
+    """
+)
+def capability_accounts(t):
+    """O-S5: reports, the bare texts behind them, and rows that no heading stands above."""
+    texts = t.documents.select(F.col("source").alias("path"), "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    texts = texts.select("path", (F.col("doc_id") * 1000000 + 500000 + F.col("i")).alias("line_no"), "line")
+    alone = t.nation.select(F.lit("alone").alias("path"), F.col("n_nationkey").cast("bigint").alias("line_no"), F.lit("| LOW | [a](b) | c | [d](e) |").alias("line"))
+    return A.accounts(A.capability_kinds(_capability_md(t).unionByName(texts).unionByName(alone)))
+
+
+@query(
+    """
+    SELECT 'host' AS kind, true AS accepted, count(*) AS n FROM pages UNION ALL SELECT 'no host', false, count(*) FROM pages
+    UNION ALL SELECT 'blank', true, count(*) FROM pages UNION ALL SELECT 'all', NULL, 3 * count(*) FROM pages
+    """
+)
+def domain_accounts(t):
+    """O-S13."""
+    return A.accounts(A.domain_kinds(_domain_lines(t)))
 
 
 @query(
@@ -557,13 +657,14 @@ def daemon_info(t):
 
 @query(
     """
-    SELECT c_custkey, 'ID' AS key, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'Images', CAST(c_nationkey AS VARCHAR) FROM customer
-    UNION ALL SELECT c_custkey, 'MemTotal', CAST(c_custkey * 5000000000 AS VARCHAR) FROM customer
+    SELECT c_custkey, unnest(['ID', 'Containers', 'ContainersRunning', 'ContainersPaused', 'ContainersStopped', 'Images', 'DriverStatus', 'SecurityOptions', 'MemTotal', 'NCPU']) AS key,
+           unnest([c_name, '3', '1', '0', '2', c_nationkey::VARCHAR, '[["Backing Filesystem","' || c_mktsegment || '"],["Native Overlay Diff","true"]]',
+                   '["name=seccomp,profile=p' || c_custkey || '","name=cgroupns"]', (c_custkey * 5000000000)::VARCHAR, '8']) AS value FROM customer
     """
 )
 def daemon_facts(t):
-    """O-S12 as key and value."""
-    return D.daemon_facts(_daemon(t), ["c_custkey"]).filter(F.col("key").isin("ID", "Images", "MemTotal"))
+    """O-S12 as key and value, all fields."""
+    return D.daemon_facts(_daemon(t), ["c_custkey"])
 
 
 # --- O-S13 … O-S17 -----------------------------------------------------------
@@ -579,10 +680,14 @@ _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 )
 def domain_list(t):
     """O-S13: every host with a trailing blank, once more with a path, and an empty line."""
+    return L.parse_domain_list(_domain_lines(t))
+
+
+def _domain_lines(t) -> DataFrame:
     host = T.url_host("url")
     lines = F.array(F.concat(host, F.lit(" ")), F.concat(host, F.lit("/ads")), F.lit("  "))
     rows = t.pages.select("page_id", F.posexplode(lines).alias("i", "line"))
-    return L.parse_domain_list(rows.select(F.lit("list").alias("path"), (F.col("page_id") * 3 + F.col("i")).alias("line_no"), "line"))
+    return rows.select(F.lit("list").alias("path"), (F.col("page_id") * 3 + F.col("i")).alias("line_no"), "line")
 
 
 @query(r"SELECT 'list' AS path, page_id AS line_no, '(^|\.)' || page_id || '$' AS pattern FROM pages")
@@ -630,17 +735,38 @@ def events_scan(t):
     return read_events(t.spark, f"{t.sf_dir}/events.parquet")
 
 
-@query(f"SELECT page_id, {_HOST} || '/img:' || page_id AS ref FROM pages")
-def image_refs(t):
-    """O-S17: quoted references between comments and blanks."""
-    lines = F.array(
-        F.lit("# images"),
-        F.concat(F.lit('  "'), T.url_host("url"), F.lit("/img:"), _string("page_id"), F.lit('"  # pinned')),
-        F.lit(""),
+def _image_ref_lines(t) -> DataFrame:
+    """Of every page a list with a quoted reference, and a script with an array of two and commands around it."""
+    ref = F.concat(T.url_host("url"), F.lit("/img:"), _string("page_id"))
+    plain = F.array(F.lit("# images"), F.concat(F.lit('  "'), ref, F.lit('"  # pinned')), F.lit(""))
+    script = F.array(
+        F.lit("#!/bin/bash"), F.lit("set"), F.lit("images=("), F.concat(F.lit('    "'), ref, F.lit('-a"  # first')), F.concat(F.lit("    "), ref, F.lit("-b")),
+        F.lit(")"), F.lit('for i in "${images[@]}"; do'), F.lit('    docker pull "$i"'), F.lit("done"),
     )
-    rows = t.pages.select("page_id", F.posexplode(lines).alias("i", "line"))
-    refs = L.parse_image_refs(rows.select(F.lit("f").alias("path"), F.col("page_id").alias("line_no"), "line"))
-    return refs.select(F.col("line_no").alias("page_id"), "ref")
+    file = lambda name, lines: t.pages.select(F.concat(F.lit(name), _string("page_id")).alias("path"), F.posexplode(lines).alias("i", "line"))
+    return file("list-", plain).unionByName(file("script-", script)).select("path", F.col("i").cast("bigint").alias("line_no"), "line")
+
+
+@query(
+    f"""
+    SELECT 'list-' || page_id AS path, 1::BIGINT AS line_no, {_HOST} || '/img:' || page_id AS ref FROM pages
+    UNION ALL SELECT 'script-' || page_id, 3 + i, {_HOST} || '/img:' || page_id || CASE i WHEN 0 THEN '-a' ELSE '-b' END FROM pages, range(2) r(i)
+    """
+)
+def image_refs(t):
+    """O-S17."""
+    return L.parse_image_refs(_image_ref_lines(t))
+
+
+@query(
+    """
+    SELECT 'reference' AS kind, true AS accepted, 3 * count(*) AS n FROM pages UNION ALL SELECT 'script', true, 6 * count(*) FROM pages
+    UNION ALL SELECT 'blank', true, 3 * count(*) FROM pages UNION ALL SELECT 'all', NULL, 12 * count(*) FROM pages
+    """
+)
+def image_ref_accounts(t):
+    """O-S17."""
+    return A.accounts(A.image_ref_kinds(_image_ref_lines(t)))
 
 
 @query(f"SELECT l AS line, count(*) AS n, true AS dense FROM {_LINES} GROUP BY l")
@@ -692,11 +818,12 @@ def append_event(t):
 
 @query(
     """
-    SELECT CAST(1 AS INTEGER) AS ordinal, CAST(i AS INTEGER) AS part, ['# Orders', '_Model: none_'][i + 1] AS text FROM range(2) r(i)
-    UNION ALL SELECT CAST(o AS INTEGER), CAST(i AS INTEGER), ['', '---', '', CASE o WHEN 2 THEN '## By priority' ELSE '## By status' END, ''][i + 1]
-              FROM (VALUES (2), (4)) v(o), range(5) r(i)
-    UNION ALL SELECT 3, 0, '- ' || o_orderpriority || ': ' || count(*) FROM orders GROUP BY o_orderpriority
-    UNION ALL SELECT 5, 0, '- ' || o_orderstatus || ': ' || count(*) FROM orders GROUP BY o_orderstatus
+    WITH r AS (
+        SELECT 1 AS ordinal, i AS part, '' AS k, ['# Orders', '_Model: none_'][i + 1] AS text FROM range(2) r(i)
+        UNION ALL SELECT o, i, '', ['', '---', '', CASE o WHEN 2 THEN '## By priority' ELSE '## By status' END, ''][i + 1] FROM (VALUES (2), (4)) v(o), range(5) r(i)
+        UNION ALL SELECT 3, 0, o_orderpriority, '- ' || o_orderpriority || ': ' || count(*) FROM orders GROUP BY o_orderpriority
+        UNION ALL SELECT 5, 0, o_orderstatus, '- ' || o_orderstatus || ': ' || count(*) FROM orders GROUP BY o_orderstatus)
+    SELECT row_number() OVER (ORDER BY ordinal, part, k) AS line_no, text FROM r
     """
 )
 def report_lines(t):
@@ -708,7 +835,7 @@ def report_lines(t):
 
     sections = [("By priority", section("o_orderpriority")), ("By status", section("o_orderstatus"))]
     report = sinks.report_lines(["# Orders", "_Model: none_"], sections, ["k"], "text")
-    return report.drop("line_key")
+    return sinks.numbered_report(report)
 
 
 @query(

@@ -77,7 +77,7 @@ def carry_by_range(t):
 
 @query(
     """
-    SELECT conv_id, start AS start_line, (turn - coalesce(start, 0)) // 100000 AS part, count(*) AS n_lines, string_agg(trim(text, ' '), ' ' ORDER BY turn) AS text
+    SELECT conv_id, start AS start_line, 0::BIGINT AS position, count(*) AS n_lines, string_agg(trim(text, ' '), ' ' ORDER BY turn) AS text
     FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS)
              OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS start FROM conversations)
     GROUP BY ALL

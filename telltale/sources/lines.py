@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from telltale.functions import kv_string_to_map, split_evidence
+from telltale.functions import kv_string_to_map, shell_words, split_evidence
 from telltale.operators.ordered import BLOCK, carry_forward, counts_since, line_block
 from telltale.operators.windows import flag_ambiguous, glue_lines
 from telltale.session import cut
@@ -159,16 +159,20 @@ def parse_trace(lines: DataFrame) -> DataFrame:
     )
 
 
-def trace_rejects(lines: DataFrame) -> DataFrame:
-    """(path, line_no, reason, line) of lines that are no whole calls; the halves of interrupted calls are not joined."""
-    reason = (
+def trace_reason() -> Column:
+    """Why a line is no whole call."""
+    return (
         F.when(F.col("line").endswith("<unfinished ...>"), F.lit("unfinished"))
         .when(F.col("line").rlike(r"<\.\.\. \w+ resumed>"), F.lit("resumed"))
         .when(F.col("line").rlike(r"(\+\+\+|---) .* \1$"), F.lit("trailer or signal"))
         .otherwise(F.lit("no call"))
     )
+
+
+def trace_rejects(lines: DataFrame) -> DataFrame:
+    """(path, line_no, reason, line) of lines that are no whole calls; the halves of interrupted calls are not joined."""
     fits = F.coalesce(F.col("line").rlike(TRACE), F.lit(False))
-    return lines.filter(~fits).select("path", "line_no", reason.alias("reason"), "line")
+    return lines.filter(~fits).select("path", "line_no", trace_reason().alias("reason"), "line")
 
 
 # --- capability reports in markdown -----------------------------------------
@@ -233,7 +237,8 @@ def capability_headings(lines: DataFrame) -> DataFrame:
 
 SECTION = r"^ ((?:Testing|Running client simulations|Rating)\b.*)$"
 # The key ends at the first wide gap; a line without one has a key of one word.
-SETTING = r"^ (?:(\S.*?) {2,}|(\S+) )(\S.*)$"
+# A word in brackets behind the gap still belongs to the key.
+SETTING = r"^ (?:(\S.*?(?: +\([a-z]+\)(?= {2,}))?) {2,}|(\S+) )(\S.*)$"
 CONTINUED = r"^ {10,}\S"
 PROTOCOL = r"^(SSLv[23]|TLSv1(?:\.[0-3])?)\b"
 # The columns on the right have no blanks, so the exchange is what lies before them, with or without a number.
@@ -243,13 +248,16 @@ CLIENT = r"^ (\S.*?) {2,}(?:(TLSv1(?:\.[0-3])?|SSLv[23]) +(\S+) {2,}(\S.*)|No co
 
 
 def parse_tls_settings(lines: DataFrame) -> DataFrame:
-    """(scan, section, line_no, part, key, value); continuation lines are joined to their key."""
+    """(scan, section, line_no, position, key, value); continuation lines are joined to their key.
+
+    Lines before the first section, such as the banner, are no settings. ``position`` as in ``glue_lines``.
+    """
     is_section = F.col("line").rlike(SECTION)
     is_other = reduce(lambda a, b: a | b, (F.col("line").rlike(p) for p in (SUITE, CLIENT, CLIENT_HEAD, CONTINUED)))
     is_start = F.col("line").rlike(SETTING) & ~is_section & ~is_other
     is_more = F.col("line").rlike(CONTINUED)
     # Section and entry, with its key, are carried in one scan; a new section ends the entry above it.
-    own_key = F.concat(F.regexp_extract("line", SETTING, 1), F.regexp_extract("line", SETTING, 2))
+    own_key = F.concat(F.regexp_replace(F.regexp_extract("line", SETTING, 1), " {2,}", " "), F.regexp_extract("line", SETTING, 2))
     start = F.struct(F.when(is_start, F.col("line_no")).alias("line_no"), F.when(is_start, own_key).alias("key"))
     # written, so that the patterns are tried once on every line
     kept = cut(
@@ -264,22 +272,22 @@ def parse_tls_settings(lines: DataFrame) -> DataFrame:
     placed = carry_forward(
         kept, ["path"], ["line_no"], ["_section", "_start"], ["section", "entry"], line_block("line_no")
     )
-    body = placed.filter(F.col("_section").isNull() & F.col("entry.line_no").isNotNull())
+    body = placed.filter(F.col("_section").isNull() & F.col("section").isNotNull() & F.col("entry.line_no").isNotNull())
     merged = glue_lines(
         body.select("*", F.col("entry.line_no").alias("start_line"), F.col("entry.key").alias("entry_key")),
         ["path", "section", "start_line", "entry_key"],
         "line_no",
         "line",
     )
-    # The value begins on the first line; what was glued behind it belongs to it. All parts have the key.
-    head = F.col("part") == 0
+    # The value begins on the first line; what was glued behind it belongs to it. All rows have the key.
+    head = F.col("position") == 0
     more = F.expr("substring(text, length(trim(first_line)) + 1)")
     first = F.regexp_extract("first_line", SETTING, 3)
     return merged.select(
         F.col("path").alias("scan"),
         "section",
         F.col("start_line").alias("line_no"),
-        "part",
+        "position",
         F.col("entry_key").alias("key"),
         F.when(head, F.concat(F.rtrim(first), more)).otherwise(F.col("text")).alias("value"),
     )
@@ -319,6 +327,9 @@ def parse_tls_clients(lines: DataFrame) -> DataFrame:
 # --- lists, tagged lines, diffs ---------------------------------------------
 
 
+HOST_NAME = r"^([a-z0-9_]([a-z0-9_-]*[a-z0-9_])?\.)+[a-z0-9-]+$"
+
+
 def parse_domain_list(lines: DataFrame) -> DataFrame:
     """(path, line_no, domain, is_host); blank lines drop out, entries that are no names are flagged."""
     domain = F.lower(F.trim("line"))
@@ -326,7 +337,7 @@ def parse_domain_list(lines: DataFrame) -> DataFrame:
         "path",
         "line_no",
         domain.alias("domain"),
-        domain.rlike(r"^([a-z0-9_]([a-z0-9_-]*[a-z0-9_])?\.)+[a-z0-9-]+$").alias("is_host"),
+        domain.rlike(HOST_NAME).alias("is_host"),
     )
 
 
@@ -334,10 +345,37 @@ def parse_regex_list(lines: DataFrame) -> DataFrame:
     return lines.filter(F.trim("line") != "").select("path", "line_no", F.trim("line").alias("pattern"))
 
 
+IMAGE_REF = (
+    r"^[a-zA-Z0-9]+([._-]+[a-zA-Z0-9]+)*(:\d+)?(/[a-zA-Z0-9]+([._-]+[a-zA-Z0-9]+)*)*(:[A-Za-z0-9_][A-Za-z0-9_.-]{0,127})?(@sha256:[0-9a-f]{64})?$"
+)
+#: Words that stand alone on a line of a script.
+SHELL_WORDS = ["do", "done", "else", "esac", "fi", "then"]
+ARRAY_START = r"^\s*((declare|local|readonly|export)\s+(-\w+\s+)*)?\w+\+?=\("
+
+
+def _image_ref_words(lines: DataFrame) -> DataFrame:
+    """Lines with ``_refs``, the references in them, and ``_place``: list, array or script.
+
+    A plain file has one reference a line. In a shell script, which its first line or an array tells, only the words of
+    array literals are; the line that opens an array may hold some too, the one that closes it may not.
+    """
+    opens, closes = F.col("line").rlike(ARRAY_START), F.regexp_replace("line", "#.*$", "").contains(")")
+    mark = F.when(opens, F.when(closes, F.lit("script")).otherwise(F.lit("array")))
+    mark = mark.when(F.col("line").startswith("#!") | closes, F.lit("script"))
+    placed = carry_forward(lines.select("path", "line_no", "line", mark.alias("_mark")), ["path"], ["line_no"], "_mark", "_after", line_block("line_no"))
+    inside = F.coalesce(F.col("_after") == "array", F.lit(False)) | opens
+    content = F.regexp_replace(F.regexp_replace("line", ARRAY_START, ""), r"\).*$", "")
+    all_words = shell_words(F.when(inside, content).otherwise(F.col("line")))
+    words = F.filter(all_words, lambda w: w.rlike(IMAGE_REF) & ~w.isin(*SHELL_WORDS))
+    alone = F.size(all_words) == 1
+    place = F.when(F.col("_after").isNull(), F.lit("list")).when(inside, F.lit("array")).otherwise(F.lit("script"))
+    refs = F.when(inside, words).when(F.col("_after").isNull() & alone, words).otherwise(F.array().cast("array<string>"))
+    return placed.withColumns({"_place": place, "_refs": refs}).drop("_mark", "_after")
+
+
 def parse_image_refs(lines: DataFrame) -> DataFrame:
-    """One image reference per line; quotes, blanks and comments drop out."""
-    ref = F.trim(F.regexp_replace("line", r"""["']|#.*$""", ""))
-    return lines.withColumn("ref", ref).filter(F.col("ref") != "").select("path", "line_no", "ref")
+    """(path, line_no, ref) from lists of one reference a line and from array literals of shell scripts."""
+    return _image_ref_words(lines).select("path", "line_no", F.explode("_refs").alias("ref"))
 
 
 def parse_tagged_lines(lines: DataFrame, sep: str = ":") -> DataFrame:

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telltale.operators.ordered import row_index
 from telltale.operators.sets import ordered_union
-from telltale.session import cut
 from telltale.sources.pointer import remove_folder
 from telltale.sources.published import current, read_version, switch_to, write_beside
 
@@ -52,13 +52,20 @@ def write_report(report: DataFrame, path: str) -> None:
     ).select("text").write.mode("overwrite").text(path)
 
 
+def numbered_report(report: DataFrame) -> DataFrame:
+    """(line_no, text) with the lines numbered from 1 in report order, through blocks like any long order."""
+    order = ["ordinal", "part", "line_key"]
+    return row_index(report, [], order, "line_no").select("line_no", "text")
+
+
 def with_empty_fallback(df: DataFrame, fallback: DataFrame) -> DataFrame:
     """``df``, or the fallback rows when it is empty.
 
-    The result is written once; looking for one row of the written copy decides.
+    Whether it is empty is a subquery that stops at the first row; nothing is written and nothing runs until the result
+    is asked for.
     """
-    written = cut(df)
-    return fallback.select(*df.columns) if written.isEmpty() else written
+    found = df.limit(1).select(F.lit(1).alias("found")).agg(F.count("found").alias("found"))
+    return df.unionByName(fallback.select(*df.columns).filter(found.scalar() == 0))
 
 
 def replace_section(text: Column, start: str, end: str, new: str) -> Column:

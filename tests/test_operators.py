@@ -2,9 +2,13 @@
 
 import datetime
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from telltale.functions import kv_string_to_map
 from telltale.operators import aggs, filters, joins, quality, sets, windows
 from telltale.sources.sinks import with_empty_fallback
 
@@ -129,10 +133,23 @@ def test_set_operations(df, rows):
     assert rows(sets.dedup_rerun(loads, ["u"], "id")) == [(2, "u", 3.0), (5, None, 2.0)]
 
 
-def test_concat_spreads_an_oversized_group(df, rows):
-    turns = df([("c", i, f"t{i}") for i in range(7)], "c string, seq int, t string")
-    got = aggs.concat_in_order(turns, ["c"], "seq", "t", "'", part_size=3)
-    assert rows(got) == [("c", 0, 3, "t0't1't2"), ("c", 1, 3, "t3't4't5"), ("c", 2, 1, "t6")]
+@pytest.mark.parametrize("numbers", [range(7), [99_999, 100_000, 200_000, 5_000_000, 5_000_001, 10**9, 10**12]], ids=["dense", "far apart"])
+def test_concat_cuts_by_bytes_and_not_by_numbers(df, rows, numbers):
+    turns = df([("c", n, f"t{i}") for i, n in enumerate(numbers)] + [("d", 1, "ü"), ("d", 2, None), ("e", 3, "x" * 40)], "c string, seq long, t string")
+    whole = "'".join(f"t{i}" for i in range(7))
+    assert rows(aggs.concat_in_order(turns, ["c"], "seq", "t", "'")) == [("c", 0, 7, whole), ("d", 0, 2, "ü"), ("e", 0, 1, "x" * 40)]
+    got = sorted(rows(aggs.concat_in_order(turns, ["c"], "seq", "t", "'", 9)))
+    assert got == [("c", 0, 3, "t0't1't2"), ("c", 9, 3, "t3't4't5"), ("c", 18, 1, "t6"), ("d", 0, 2, "ü"), ("e", 0, 1, "x" * 40)]
+
+
+def test_many_long_texts_of_one_group(spark):
+    """Rows stay small however many texts a group has, and their positions give the whole back."""
+    texts = spark.range(20_000).select(F.lit("hot").alias("g"), (F.col("id") * 1_000_003).alias("seq"), F.repeat(F.lit("word "), 40).alias("t"))
+    got = aggs.concat_in_order(texts, ["g"], "seq", "t", "", 100_000)
+    sizes = got.select("position", F.octet_length("text").alias("n")).orderBy("position").collect()
+    assert len(sizes) == 40 and all(r["n"] <= 100_200 for r in sizes)
+    assert sum(r["n"] for r in sizes) == 20_000 * 200
+    assert all(b["position"] == a["position"] + a["n"] for a, b in zip(sizes, sizes[1:], strict=False))
 
 
 def test_bucket_index(df, rows):
@@ -223,10 +240,72 @@ def test_layer_joins(df, rows):
         (0, "COPY", 5), (1, "RUN", 5)]
 
 
-def test_an_oversized_entry_comes_in_parts(df, rows):
-    lines = df([("f", 5, i, f"l{i}") for i in range(5, 10)], "f string, start_line int, n int, t string")
-    got = windows.glue_lines(lines, ["f", "start_line"], "n", "t", part_size=2)
-    assert rows(got, "part", "text") == [(0, "l5 l6"), (1, "l7 l8"), (2, "l9")]
+def test_an_oversized_entry_is_cut_by_bytes(df, rows):
+    lines = df([("f", 5, i, f"l{i % 10} ") for i in [5, 6, 100_007, 100_008, 900_009]], "f string, start_line int, n int, t string")
+    got = windows.glue_lines(lines, ["f", "start_line"], "n", "t", 6)
+    assert rows(got, "position", "n_lines", "text") == [(0, 2, "l5 l6"), (12, 1, "l9"), (6, 2, "l7 l8")]
+    assert rows(windows.glue_lines(lines, ["f", "start_line"], "n", "t"), "position", "text") == [(0, "l5 l6 l7 l8 l9")]
+
+
+def test_files_copied_into_an_image_and_removed(df, rows):
+    """One image from its commands alone: the file copied and removed can still be taken out of its layer."""
+    history = ["apko", "COPY secret.txt /not-a-secret.txt # buildkit", "RUN /bin/sh -c rm -rf /not-a-secret.txt # buildkit", None, "COPY a.txt /a.txt"]
+    layers = df([("i", n, c) for n, c in enumerate(history)] + [("j", 0, "RUN rm /a.txt"), ("j", 1, "COPY a.txt /")], "image string, pos int, created_by string")
+    assert rows(joins.recoverable_files(layers, ["image"], "pos")) == [("i", "/not-a-secret.txt", 1, 2)]
+    assert rows(joins.layer_file_actions(layers, ["image", "pos"]), "image", "pos", "action", "file", "source")[1] == ("i", 2, "removed", "/not-a-secret.txt", None)
+
+
+def test_secret_files_copied(df, rows):
+    text = ["COPY secret.txt /not-a-secret.txt # buildkit", "copy --from=b a.txt b.txt /x/", 'ADD ["deploy key.pem", "/k"]', "COPY id_rsa.pub .env /root/", "# COPY secret.txt /", "RUN cp secret.txt /y"]
+    got = filters.secret_lines(df([(t,) for t in text], "line string"), "line")
+    assert rows(got.withColumn("f", F.array_join("secret_files", ",")), "f") == [(".env",), ("deploy key.pem",), ("secret.txt",)]
+
+
+PATTERNS = [r"(^|\.)ads[-.]", r"^m\.", "farm", "ab|cd", r"ad[0-9]+server", r"foo?bar", r"x\.y\.z$", "[abc]x$", "(?i)TRACK", r"(t[0-9]\.)?evil\.org", "a{2,3}b", None]
+
+
+def test_a_table_of_patterns_equals_each_by_itself(df, rows):
+    rng = random.Random(4)
+    parts = ["ads-", "ads.", "m.", "farm", "ab", "cd", "ad7server", "fobar", "foobar", "x.y.z", "cx", "track", "TRACK", "evil.org", "evilxorg", "aab", "aaab", "www."]
+    hosts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(300)] + [None, "", "m", "ax"]
+    names = df([(i, h) for i, h in enumerate(hosts)], "id int, host string")
+    java = {h: [p for p in PATTERNS if p and re.search(p, h)] for h in hosts if h is not None}
+    want = [(i, h) for i, h in enumerate(hosts) if h is not None and java[h]]
+    got = filters.domain_pattern_block(names, "host", df([(p,) for p in PATTERNS * 2], "pattern string"))
+    assert rows(got) == sorted(want, key=repr)
+    assert rows(filters.domain_pattern_block(names, "host", df([], "pattern string"))) == []
+    for p in filter(None, PATTERNS):
+        alone = filters.domain_pattern_block(names, "host", df([(p,)], "pattern string"))
+        assert rows(alone) == sorted([(i, h) for i, h in enumerate(hosts) if h is not None and p in java[h]], key=repr)
+
+
+def test_ten_thousand_patterns_meet_hosts_by_a_piece(spark):
+    hosts = spark.range(20_000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".example.com")).alias("host"))
+    known = spark.range(10_000).select(F.concat(F.lit(r"(^|\.)h"), (F.col("id") * 3).cast("string"), F.lit(r"\.example\.com$")).alias("pattern"))
+    out = filters.domain_pattern_block(hosts, "host", known)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
+    assert out.count() == 6_667
+
+
+def test_repeated_keys_keep_their_last_value(spark):
+    n = 20_000
+    text = ",".join(f"k{i % 5_000}={i}" for i in range(n)) + ",=x,,k0,é=ü"
+    made = spark.createDataFrame([(text,)], "s string").select(kv_string_to_map("s").alias("m")).first()["m"]
+    want = {f"k{i % 5_000}": str(i) for i in range(n)} | {"": "x", "k0": None, "é": "ü"}
+    assert made == want
+
+
+def test_joins_run_nothing_while_they_are_planned(spark):
+    tracker, group = spark.sparkContext.statusTracker(), "planning"
+    spark.sparkContext.setJobGroup(group, group)
+    rules = spark.range(20).select(F.col("id").alias("rule"), F.lit("n").alias("name"))
+    found = spark.range(50).select((F.col("id") % 20).alias("rule"))
+    kev = spark.range(9).select(F.col("id").cast("string").alias("cve_id"))
+    frames = [joins.with_rule(found, rules, "rule"), joins.kev_inner(found.select(F.col("rule").cast("string").alias("cve_id")), kev), with_empty_fallback(found, found)]
+    assert list(tracker.getJobIdsForGroup(group)) == []
+    assert [f.count() for f in frames] == [50, 27, 50]
+    spark.sparkContext.setJobGroup("rest", "rest")
 
 
 def test_sbom_relations_stay_in_their_document(df):

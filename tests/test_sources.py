@@ -7,10 +7,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from telltale.operators import joins, sets
+from telltale.operators import joins, ordered, sets
 from telltale.sources import documents as D
 from telltale.sources import lines as L
-from telltale.sources import pointer, published, sinks
+from telltale.sources import accounting, pointer, published, sinks
 
 
 @pytest.fixture
@@ -368,12 +368,73 @@ def test_suites_with_one_blank_and_a_combined_exchange(lines, rows):
     assert rows(L.parse_tls_settings(lines(text)), "key", "value") == [("Key", "value")]
 
 
-def test_all_parts_of_a_long_setting_have_its_key(spark):
+def test_all_rows_of_a_long_setting_have_its_key(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SEGMENT_BYTES", 50_000)
     n = 100_005
     text = F.when(F.col("id") == 1, F.lit(" Testing it")).when(F.col("id") == 2, F.lit(" Key one   first")).otherwise(F.lit(" " * 12 + "x"))
     long = spark.range(1, n).select(F.lit("f").alias("path"), F.col("id").alias("line_no"), text.alias("line"))
-    got = L.parse_tls_settings(long).collect()
+    got = sorted(L.parse_tls_settings(long).collect(), key=lambda r: r["position"])
     assert len(got) > 1 and {r["key"] for r in got} == {"Key one"}
+    assert " ".join(r["value"] for r in got) == "first" + " x" * (n - 3)
+
+
+def test_lines_of_no_section_are_no_settings(lines, rows):
+    text = """ Start 2025-01-02 03:04:05        -->> 10.0.0.1:443 <<--
+ rDNS 10.0.0.1:               host.example.
+
+ Rating (experimental)
+
+ Key Exchange     (weighted)  90 (27)
+ Protocol Support (weighted)  100 (30)
+ Cipher (x) y  z"""
+    assert rows(L.parse_tls_settings(lines(text)), "section", "key", "value") == [
+        ("Rating (experimental)", "Cipher (x) y", "z"),
+        ("Rating (experimental)", "Key Exchange (weighted)", "90 (27)"),
+        ("Rating (experimental)", "Protocol Support (weighted)", "100 (30)"),
+    ]
+
+
+SCRIPT = """#!/bin/bash
+# pulls images
+images=(
+    "docker.io/library/ubuntu:24.04"
+    'reg.example.com:5000/a/b_c:latest'  # second
+)
+
+for image in "${images[@]}"; do
+    echo "Pulling $image..."
+    docker pull "$image"
+done
+more=(alpine busybox:1 "x@sha256:%s")
+podman pull docker.io/library/ubuntu:24.04
+""" % ("0" * 64)
+
+
+def test_references_in_a_shell_array(lines, rows):
+    refs = ["docker.io/library/ubuntu:24.04", "reg.example.com:5000/a/b_c:latest", "alpine", "busybox:1", "x@sha256:" + "0" * 64]
+    assert rows(L.parse_image_refs(lines(SCRIPT)), "ref") == sorted([(r,) for r in refs], key=repr)
+    assert rows(L.parse_image_refs(lines("python\nnot a ref\nreg.io/x:1 # y\ndone\n$i\n")), "ref") == [("python",), ("reg.io/x:1",)]
+
+
+@pytest.mark.parametrize(
+    "kinds, text, want",
+    [
+        (accounting.image_ref_kinds, SCRIPT, {"lines": 14, "accepted": 14, "rejected": 0}),
+        (accounting.image_ref_kinds, "python\nnot a ref\n", {"lines": 3, "accepted": 2, "rejected": 1}),
+        (accounting.tls_kinds, " Start 2025  now\n" + TLS, {"lines": 29, "accepted": 24, "rejected": 5}),
+        (accounting.trace_kinds, "read(3) = 0\n+++ exited with 0 +++\nx", {"lines": 3, "accepted": 1, "rejected": 2}),
+        (accounting.domain_kinds, "a.example\n b.example \na.example/x\n", {"lines": 4, "accepted": 3, "rejected": 1}),
+        (accounting.diff_kinds, "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\nindex 1\n", {"lines": 7, "accepted": 5, "rejected": 2}),
+        (accounting.capability_kinds, "| LOW | [a](b) | c | [d](e) |\n## i ∴ /f [x LOW]\n\n| LOW | [a](b) | c | [d](e) |\nz", {"lines": 5, "accepted": 3, "rejected": 2}),
+    ],
+)
+def test_every_line_is_accounted_for(lines, spark, tmp_path, kinds, text, want):
+    """One pass writes the lines by verdict and counts them, and what is written adds up to what came in."""
+    path = str(tmp_path / "routed")
+    assert accounting.route(kinds(lines(text)), path) == want
+    back = spark.read.parquet(path)
+    assert back.count() == want["lines"] == len(text.split("\n"))
+    assert back.filter("NOT accepted").count() == want["rejected"]
 
 
 def test_only_the_first_section_is_replaced(spark):
