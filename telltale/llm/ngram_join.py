@@ -17,9 +17,13 @@ Two documents link when ``100 * intersection >= percent * union`` of their shing
 Rare means made of rare words: all words of all texts are counted in a fixed number of buckets, and a shingle weighs the
 sum of its words' logarithms. That order only decides which rows are made, never the result. Classes are told apart by 64-bit digests, shingles in a set by 64-bit hashes.
 
+Every row takes part by its own text: classes, candidates and texts are keyed by the digest of the set and a 64-bit hash
+of the text, never by an id.
+
 Defined cases. A null or empty text has no shingles and links with nothing; fewer words than the width are one shingle.
-Rows that share an id are one document to the links; a null id has no component. Repeated rows are in one class. An
-empty table gives an empty result. Only id and text are read.
+Rows that share an id are rows of their own; a component's id is the smallest id of its rows, NULL if none has one. A row
+without words has its own id as component. Repeated rows are in one class. Texts of any length are taken whole. An empty
+table gives an empty result. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm.common import WordHashes, mixed, per_batch, raw_texts, runs_of_words, shingle_set
+from telltale.llm.common import WordHashes, bit_filter, has_bit, mixed, per_batch, raw_texts, runs_of_words, shingle_set
 from telltale.llm.components import components
 from telltale.session import cut
 from telltale.sources.tables import table
@@ -74,13 +78,14 @@ def bitmap(shingles: np.ndarray) -> bytes:
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """id, n, digest, bitmap and min-hash keys per row; a last row of each task (n = -1) has its counts of words."""
+    """Keys of row and text, id, n, digest, bitmap and min-hash keys per row; a last row of each task (n = -1) has its
+    counts of words."""
     def start(batches):
         hashes, counts = WordHashes(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                words = [hashes(t.lower().split()) for t in raw_texts(piece.column(1))]
+                words = [hashes(t.lower().split()) for t in raw_texts(piece.column(3))]
                 sets = [shingle_set(w, width) for w in words]
                 counts += np.bincount(word_bucket(np.concatenate(words)), minlength=BUCKETS)
                 keys = []
@@ -92,7 +97,9 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                     keys.append(signed(mixed(low[0::2] * np.uint64(3) + low[1::2])).tolist())
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "id": piece.column(0),
+                        "row_key": piece.column(0),
+                        "text_key": piece.column(1),
+                        "id": piece.column(2),
                         "n": pa.array([len(s) for s in sets], pa.int64()),
                         "digest": pa.array([digest(s) for s in sets], pa.int64()),
                         "bits": pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
@@ -105,7 +112,9 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
         if len(met):
             yield pa.RecordBatch.from_pydict(
                 {
-                    "id": pa.nulls(1, id_type),
+                    "row_key": pa.nulls(1, pa.int64()),
+                    "text_key": pa.nulls(1, pa.int64()),
+                    "id": pa.nulls(1, pa.int64()),
                     "n": pa.array([-1], pa.int64()),
                     "digest": pa.array([0], pa.int64()),
                     "bits": pa.array([None], pa.binary()),
@@ -115,9 +124,8 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                 }
             )
 
-    id_type = pa.int64()
-    schema = "id long, n long, digest long, bits binary, keys array<long>, buckets array<int>, times array<long>"
-    return docs.mapInArrow(start, schema)
+    schema = "row_key long, text_key long, id long, n long, digest long, bits binary, keys array<long>, buckets array<int>, times array<long>"
+    return docs.select("row_key", "text_key", "id", "text").mapInArrow(start, schema)
 
 
 def word_bucket(words: np.ndarray) -> np.ndarray:
@@ -234,40 +242,34 @@ def tile_candidates(rows: DataFrame, bitmaps: DataFrame, percent: int) -> DataFr
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and text of the wanted ids, one row each.
+def wanted_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """text_key and text of the wanted keys, one row each.
 
     A filter of FILTER_BITS bits, whatever the input, drops nearly all other rows in the scan; the join is exact.
     """
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at + 1)").alias("word"))
-    words = words.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at + 1))").alias("bits")).collect()
-    flags = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in words:
-        begin = (r["word"] - 1) * 4096  # buckets of 32,768 values, counted from 1 as the values are
-        flags[begin : begin + 4096] |= np.frombuffer(r["bits"], np.uint8)[: len(flags) - begin]
-    shared = docs.sparkSession.sparkContext.broadcast(flags)
+    at = F.pmod(F.col("text_key"), F.lit(FILTER_BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(keys.select(at.alias("at")), FILTER_BITS))
 
     def start():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            bit = batch.column(2).to_numpy()
-            hit = (shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-            return batch.select([0, 1]).filter(pa.array(hit.astype(bool)))
+            return batch.select([0, 1]).filter(pa.array(has_bit(shared.value, batch.column(2).to_numpy())))
 
         return step
 
-    rows = docs.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text", at.alias("at"))
-    near = per_batch(rows, "id long, text string", start, most_rows=20_000, most_bytes=64 << 20)
-    return near.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    rows = docs.where("text IS NOT NULL").select("text_key", "text", at.alias("at"))
+    near = per_batch(rows, "text_key long, text string", start, most_rows=20_000, most_bytes=64 << 20)
+    return near.join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
 
 
-def linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link, by intersecting the sorted arrays of both."""
     pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = wanted_texts(docs, ids)
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    key = lambda side: classes.select(F.col("node").alias(side), F.col("text_key").alias(f"key_{side}"))
+    keyed = cut(pairs.join(key("a"), "a").join(key("b"), "b"))
+    keys = keyed.select(F.col("key_a").alias("text_key")).union(keyed.select("key_b")).distinct()
+    texts = wanted_texts(docs, keys)
+    text = lambda side: texts.select(F.col("text_key").alias(f"key_{side}"), F.col("text").alias(f"text_{side}"))
+    both = keyed.join(text("b"), "key_b").join(text("a"), "key_a")
 
     def start():
         shingles_of = shingler(width)
@@ -294,15 +296,14 @@ def centre_links(docs: DataFrame, classes: DataFrame, width: int, percent: int)
     Large groups are dealt to runs of about GROUP classes, each of which begins with the group's least class. Only
     true links come out; what the few centres miss is left to the tiles, which are exact.
     """
-    keyed = classes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    keyed = classes.select("node", "text_key", F.explode(F.array_distinct("keys")).alias("key"))
     groups = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
     met = keyed.join(groups, "key").withColumn("runs", F.ceil(F.col("m") / GROUP).cast("int"))
     first = F.col("node") == F.col("least")
     own = F.array(F.pmod(F.xxhash64("node"), F.col("runs")).cast("int"))
     run = F.explode(F.when(first, F.sequence(F.lit(0), F.col("runs") - 1)).otherwise(own))
-    met = cut(met.select("key", run.alias("run"), "node", (~first).alias("later")))
-    texts = wanted_texts(docs, met.select(F.col("node").alias("id")).distinct())
-    rows = met.join(texts.withColumnRenamed("id", "node"), "node")
+    met = cut(met.select("key", run.alias("run"), "node", "text_key", (~first).alias("later")))
+    rows = met.join(wanted_texts(docs, met.select("text_key").distinct()), "text_key")
     rows = rows.select("key", "run", "later", F.xxhash64("node").alias("at"), "node", "text")
     rows = rows.repartition("key", "run").sortWithinPartitions("key", "run", "later", "at")
 
@@ -342,14 +343,17 @@ def centre_links(docs: DataFrame, classes: DataFrame, width: int, percent: int)
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id as ``id``, ``n_shingles``, ``component_id``."""
+def placed_rows(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``docs``: row_key, text_key, id, n, and ``home``, the least digest of the component (NULL without
+    words)."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select("id", "text", text_key("text").alias("text_key"), row_key("id", "text").alias("row_key"))
     rows = cut(profiles(docs, width))
     real = rows.where("n >= 0")
-    classes = real.where("n > 0 AND id IS NOT NULL").groupBy("digest")
-    classes = cut(classes.agg(F.min("id").alias("node"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
-
+    classes = real.where("n > 0").groupBy(F.col("digest").alias("node"))
+    classes = cut(
+        classes.agg(F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    )
     links = cut(centre_links(docs, classes, width, percent).distinct())
 
     first = components(links)
@@ -359,24 +363,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     laid = cut(prefix_rows(docs, width, percent, word_weights(rows)))
     several = laid.groupBy("shingle").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
     several = several.where("low <> high").select("shingle")
-    met = laid.join(several, "shingle", "left_semi").select("shingle", "digest").distinct()
-    met = cut(met.join(nodes, "digest").select("shingle", "node", "component", "n"))
-    bitmaps = nodes.groupBy("node").agg(F.first("bits").alias("bits"))
-    more = linked(docs, tile_candidates(met, bitmaps, percent), width, percent)
+    met = laid.join(several, "shingle", "left_semi").select("shingle", F.col("digest").alias("node")).distinct()
+    met = cut(met.join(nodes.select("node", "component", "n"), "node").select("shingle", "node", "component", "n"))
+    more = linked(docs, tile_candidates(met, nodes.select("node", "bits"), percent), nodes, width, percent)
 
     last = components(links.union(more))
-    homes = nodes.select("digest", "node").join(last, "node", "left")
+    homes = nodes.select(F.col("node").alias("digest"), "node").join(last, "node", "left")
     homes = homes.select("digest", F.coalesce("component", "node").alias("home"))
-    placed = real.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(homes, "digest", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("home", "id"))
-    return placed.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    real = real.select("row_key", "text_key", "id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    return real.join(homes, "digest", "left").drop("digest")
+
+
+def text_key(text: str) -> Column:
+    return F.xxhash64(text)
+
+
+def row_key(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")), text)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: its id as ``id``, ``n_shingles``, ``component_id``."""
+    placed = cut(placed_rows(docs, width, percent, id_col, text_col))
+    least = placed.where("home IS NOT NULL").groupBy("home").agg(F.min("id").alias("component_id"))
+    out = placed.join(least, "home", "left")
+    component = F.when(F.col("home").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, that with the smallest id, with all its columns; rows without an id stay."""
-    kept = near_duplicates(docs, width, percent).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    by_id = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*[f"`{c}`" for c in docs.columns])
-    return by_id.dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
+    """One row of each group, that with the smallest id, ids before none, with all its columns; of rows with the same id
+    and text one. Rows without words are in no group and stay."""
+    placed = placed_rows(docs, width, percent, "doc_id", "text").where("home IS NOT NULL")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "row_key")).alias("first")
+    kept = placed.groupBy("home").agg(first).select(F.col("first.row_key").alias("_row_key"))
+    wordless = F.coalesce(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) == 0, F.lit(True))
+    keyed = docs.where(~wordless).withColumn("_row_key", row_key("doc_id", "text"))
+    one = keyed.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    return one.select(*[f"`{c}`" for c in docs.columns]).union(docs.where(wordless))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,41 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100: 50, 50: 50}
 
 
+def plain_rows(rows, width, percent):
+    """Per row its set's size and the smallest id of its component, row by row and without regard to ids."""
+    classes = plain_classes({i: t for i, (_, t) in enumerate(rows)}, width, percent)
+    members = {}
+    for i, (_, home) in classes.items():
+        members.setdefault(home, []).append(rows[i][0])
+    least = {home: min((x for x in ids if x is not None), default=None) for home, ids in members.items()}
+    return sorted([(rows[i][0], n, least[home]) for i, (n, home) in classes.items()], key=repr)
+
+
+def test_repeated_and_missing_ids(spark):
+    """Each row by its own text: no link is lost, and no clean row leaves."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a), (5, b), (9, b + " more"), (12, "one " + a), (None, b), (None, "alone and without an id"), (5, a), (7, ""), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, j.near_duplicates(df).collect()), key=repr)
+    assert got == plain_rows(rows, 5, 80) and (9, 27, 5) in got and (12, 27, 5) in got
+    one = sorted(map(tuple, j.one_of_each(df).collect()), key=repr)
+    assert one == sorted([(5, a), (5, b), (None, "alone and without an id"), (7, ""), (7, None)], key=repr)
+
+
+def test_random_rows_with_repeated_ids(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(60)}" for _ in range(rng.choice([2, 9, 40]))]
+        for _ in range(6):
+            texts.append(" ".join(words))
+            words = words[:]
+            words[rng.randrange(len(words))] = f"x{rng.randrange(60)}"
+    rows = [(rng.choice([None, *range(25)]), t) for t in texts]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, j.near_duplicates(df, 3, 80).collect()), key=repr) == plain_rows(rows, 3, 80)
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = j.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
@@ -102,3 +137,4 @@ def test_odd_rows(odd_docs, no_docs):
     one = j.one_of_each(odd_docs)
     assert one.schema == odd_docs.schema
     assert sorted(r["doc_id"] or 0 for r in one.collect()) == [0, 0, 1, 2, 3, 4, 5, 7, 8]
+    assert j.one_of_each(no_docs).collect() == []
