@@ -9,13 +9,17 @@ paragraph, list or table) or has sections of text beside it. All blocks in it co
 that are nearly all links are dropped at its two ends, with the headings over them.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by element,
-role, or a word of class or id. Such a word alone does not decide for an element around the article: it is overruled where
-the element holds the only article or main, more than half of the scored text that is no reader comment, or all of it; a
-word for reader comments only at nine tenths of all scored text. It never counts for inline elements in pre or code.
+role, or a name in class or id: a word for such a part, alone or with words of layout (``comment-list``), never a word of
+a longer name (``related-work``), the id of a heading or paragraph, or an id that only repeats the element's own heading.
+Such a name alone does not decide for an element around the article: it is overruled where the element holds the only
+article or main, more than half of the scored text that is no reader comment, or all of it; one for reader comments only
+at nine tenths of all scored text. Inside an article a part goes only if it looks like one: short, in small pieces, mostly
+links, or reader comments. It never counts for inline elements in pre or code. The source is read forward once, so that
+hostile pages take no longer than others of their length.
 Character references are decoded once; white space in a block, ``<br>`` included,
 becomes one space; blocks are joined by a line feed.
 
-Defined cases. A null or empty page, or one without text outside those parts, gives an empty text. Elements left open
+Defined cases. A page of any length is taken whole. A null or empty page, or one without text outside those parts, gives an empty text. Elements left open
 end with their parents, paragraphs and list items also where the next one begins; a comment or script left open goes to
 the end of the page. Repeated rows are extracted alike, each on its own; an empty table gives an empty result; other
 columns are neither read nor kept.
@@ -25,7 +29,7 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,6 +78,18 @@ MARKS = frozenset(
     "newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus replies "
     "reply respond related recommended pagination pager toolbar widget skip".split()
 )
+#: Words of layout that may stand beside a mark in one name, such as comment-list; other words make it another name.
+LAYOUT = frozenset(
+    "area bar block body bottom box btn button buttons col column container content desktop entry fixed footer global group header "
+    "icon icons inner item items js left link links list listing main mobile module network networks outer page panel pane post "
+    "posts primary right row secondary section site slot sticky strip thread top unit wrap wrapper".split()
+)
+#: Words that begin a name which says that a part is not there.
+NEGATED = frozenset("no with without has".split())
+#: Elements with a mark, or articles, inside each other, beyond which further ones say nothing.
+DEEP = 256
+#: A marked part inside an article that is longer, in larger pieces, with few links and no reader comments is its text.
+SMALL, PIECE = 400, 40
 #: Those of them that mean reader comments, which may well be longer than the article.
 READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
 #: Part of the scored text above which an element around it is no mere part of the page, for other marks and for these.
@@ -92,18 +108,15 @@ CODE = frozenset(["pre", "code"])
 ARTICLES = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![a-zA-Z\[][^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.DOTALL,
-)
+#: A tag with its attributes, quotes respected, or up to the next end where a quote is left open.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(?:((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|([^>]*)>)")
 #: One whole attribute, its value with the quotes; a quote left open goes to the end of the tag.
 _ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?")
 _WORD = re.compile(r"[a-z0-9]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？»«“”\"]")
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     name: str
     parent: int
@@ -111,9 +124,17 @@ class Element:
     left_out: bool
     mark: str
     linked: bool
+    #: What holds for it and all around it: marks and articles from the outermost in, code, something left out.
+    marks: tuple[int, ...] = ()
+    articles: tuple[int, ...] = ()
+    in_code: bool = False
+    gone: bool = False
+    #: The nearest element that is not inline, itself included, and the id that alone marked it.
+    block: int = 0
+    by_id: str = ""
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     element: int
@@ -124,22 +145,47 @@ class Block:
     linked: float
 
 
-def marked(name: str, attributes: str, inside_article: bool, inside_code: bool = False) -> tuple[bool, str]:
-    """Whether an element and all in it is left out for certain, and what its class or id says: "", part or readers."""
+def _mark_of(value: str) -> str:
+    """What a class or id says: a word of MARKS as the whole of it, or such words with words of layout beside them."""
+    found = ""
+    for token in value.split():
+        words = _WORD.findall(token)
+        known = MARKS.intersection(words)
+        if known and all(w in MARKS or w in LAYOUT or w.isdigit() for w in words) and not words[0] in NEGATED:
+            if not READERS.isdisjoint(known):
+                return "readers"
+            found = "part"
+    return found
+
+
+def marked(name: str, attributes: str, inside_article: bool, inside_code: bool = False) -> tuple[bool, str, str]:
+    """Whether an element and all in it is left out for certain, what its class or id says ("", part or readers), and the
+    id if it alone says so."""
     if name in BOILERPLATE or (name == "header" and not inside_article):
-        return True, ""
+        return True, "", ""
     if not attributes or name in ("html", "body", "article", "main"):
-        return False, ""
-    words: set[str] = set()
+        return False, "", ""
+    of = {"class": "", "id": ""}
+    identity = ""
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), html.unescape(a or b or c).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True, ""
+            return True, "", ""
         if key == "role" and value in ROLES:
-            return True, ""
-        if key in ("class", "id") and not (inside_code and name in INLINE):
-            words.update(_WORD.findall(value))
-    return False, "" if MARKS.isdisjoint(words) else "part" if READERS.isdisjoint(words) else "readers"
+            return True, "", ""
+        if key in of and not (inside_code and name in INLINE) and name not in HEADINGS:
+            if key == "id" and name in TEXTS:
+                continue  # the name of a place in the text
+            of[key] = of[key] or _mark_of(value)
+            identity = value.strip() if key == "id" else identity
+    if of["class"]:
+        return False, of["class"], ""
+    return False, of["id"], identity if of["id"] else ""
+
+
+def _slug(text: str) -> str:
+    """The usual id of a heading."""
+    return "-".join(re.findall(r"\w+", text.lower()))
 
 
 class Page:
@@ -149,7 +195,10 @@ class Page:
         self.paths: dict[tuple[int, str], int] = {}
         self.elements = [Element("", -1, -1, False, "", False)]
         self.blocks: list[Block] = []
+        #: Marked by an id that is only the name of their own heading.
+        self.overruled: set[int] = set()
         self._open, self._text, self._linked = [0], [], 0
+        self._names: Counter[str] = Counter()
         self._read(source)
 
     def _add(self, text: str) -> None:
@@ -161,13 +210,14 @@ class Page:
     def _flush(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
-            if text:
-                at = next(e for e in reversed(self._open) if self.elements[e].name not in INLINE)
-                if not any(self.elements[e].left_out for e in self._open):
-                    marks = tuple(e for e in self._open if self.elements[e].mark)
-                    articles = tuple(e for e in self._open if self.elements[e].name in ARTICLES)
-                    linked = self._linked / (len(text) - text.count(" "))
-                    self.blocks.append(Block(text, at, marks, articles, linked))
+            now = self.elements[self._open[-1]]
+            if text and not now.gone:
+                linked = self._linked / (len(text) - text.count(" "))
+                self.blocks.append(Block(text, now.block, now.marks, now.articles, linked))
+                if now.marks and self.elements[now.block].name in HEADINGS:
+                    own = self.elements[now.marks[-1]].by_id
+                    if own and _slug(text) == own.replace("_", "-"):
+                        self.overruled.add(now.marks[-1])
             self._text, self._linked = [], 0
 
     def _begin(self, name: str, attributes: str) -> None:
@@ -179,35 +229,47 @@ class Page:
             self._imply(name)
         if name in VOID:
             return
-        parent = self._open[-1]
+        parent, number = self._open[-1], len(self.elements)
         up = self.elements[parent]
-        around = {self.elements[e].name for e in self._open}
-        left_out, mark = marked(name, attributes, not ARTICLES.isdisjoint(around), name in CODE or not CODE.isdisjoint(around))
+        in_code = up.in_code or name in CODE
+        left_out, mark, by_id = marked(name, attributes, bool(up.articles), in_code)
         if name in INLINE and (left_out or mark):
             self._flush()
         path = up.path if name in INLINE else self.paths.setdefault((up.path, name), len(self.paths))
-        self.elements.append(Element(name, parent, path, left_out, mark, up.linked or (name == "a" and "href" in attributes.lower())))
-        self._open.append(len(self.elements) - 1)
+        element = Element(name, parent, path, left_out, mark, up.linked or (name == "a" and "href" in attributes.lower()))
+        element.marks = (*up.marks, number) if mark and len(up.marks) < DEEP else up.marks
+        element.articles = (*up.articles, number) if name in ARTICLES and len(up.articles) < DEEP else up.articles
+        element.in_code, element.gone, element.by_id = in_code, up.gone or left_out, by_id
+        element.block = up.block if name in INLINE else number
+        self.elements.append(element)
+        self._open.append(number)
+        self._names[name] += 1
+
+    def _close(self, depth: int) -> None:
+        """End the elements from this depth on."""
+        for e in self._open[depth:]:
+            self._names[self.elements[e].name] -= 1
+        del self._open[depth:]
 
     def _imply(self, name: str) -> None:
         """Ends that the beginning of a block element implies."""
         for depth in range(len(self._open) - 1, 0, -1):
             open_name = self.elements[self._open[depth]].name
             if open_name == "p" or name in ENDED_BY.get(open_name, ()):
-                del self._open[depth:]
+                self._close(depth)
                 return
             if open_name in SCOPES:
                 return
 
     def _end(self, name: str) -> None:
-        if name in VOID:
+        if name in VOID or not self._names[name]:
             return
         for depth in range(len(self._open) - 1, 0, -1):
             element = self.elements[self._open[depth]]
             if element.name == name:
                 if name not in INLINE or element.left_out or element.mark:
                     self._flush()
-                del self._open[depth:]
+                self._close(depth)
                 return
             if name in INLINE and element.name not in INLINE:
                 return
@@ -215,30 +277,49 @@ class Page:
                 return
 
     def _read(self, source: str) -> None:
-        at, n = 0, len(source)
+        """Forward only: nothing is looked at again, whatever is left open."""
+        at, n, last = 0, len(source), source.rfind(">")
         while at < n:
-            found = _TOKEN.search(source, at)
-            if found is None:
-                self._add(source[at:])
+            start = source.find("<", at)
+            if start < 0 or (start > last and not source.startswith("<!--", start)):
+                comment = source.find("<!--", max(start, at)) if start >= 0 else -1
+                self._add(source[at : comment if comment >= 0 else n])
                 break
-            if found.start() > at:
-                self._add(source[at : found.start()])
-            at = found.end()
-            close, name, attributes = (found.group(i) or found.group(i + 3) for i in (1, 2, 3))
-            if not name:
+            if start > at:
+                self._add(source[at:start])
+            follows = source[start + 1 : start + 2]
+            if follows in ("!", "?"):
+                at = self._skip(source, start)
+                continue
+            found = _TAG.match(source, start)
+            if found is None:
+                self._add("<")
+                at = start + 1
                 continue
-            name = name.lower()
-            if close:
+            at = found.end()
+            name, attributes = found.group(2).lower(), found.group(3) or found.group(4) or ""
+            if found.group(1):
                 self._end(name)
             elif name in RAW:
                 if name not in INLINE and name != "noscript":
                     self._flush()
-                end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(source, at)
-                at = end.end() if end else n
+                end = re.compile(rf"</{name}\b", re.IGNORECASE).search(source, at)
+                close = source.find(">", end.end()) if end else -1
+                at = close + 1 if close >= 0 else n
             else:
-                self._begin(name, attributes or "")
+                self._begin(name, attributes)
         self._flush()
 
+    def _skip(self, source: str, start: int) -> int:
+        """The end of a comment, declaration or instruction; of none of them, that of its first character, which is text."""
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            return end + 3 if end >= 0 else len(source)
+        if source[start + 1] == "?" or source[start + 2 : start + 3].isalpha() or source[start + 2 : start + 3] == "[":
+            return source.find(">", start) + 1
+        self._add("<")
+        return start + 1
+
 
 def _smooth(values: np.ndarray) -> np.ndarray:
     kernel = np.array([*KERNEL[:0:-1], *KERNEL])
@@ -262,6 +343,21 @@ def kept_paths(page: Page, blocks: list[Block]) -> set[int]:
     return {int(k) for k, s in zip(kinds, score, strict=True) if s >= THRESHOLD * score.std() and s > 0}
 
 
+def prose_in_articles(page: Page) -> set[int]:
+    """Marked parts inside an article whose blocks look like its text: long, with few links, and no reader comments."""
+    size: Counter[int] = Counter()
+    links: Counter[int] = Counter()
+    blocks: Counter[int] = Counter()
+    for b in page.blocks:
+        if b.articles:
+            for e in b.marks:
+                if e > b.articles[0] and page.elements[e].mark == "part":
+                    size[e] += len(b.text)
+                    links[e] += b.linked * len(b.text)
+                    blocks[e] += 1
+    return {e for e, n in size.items() if n > SMALL and links[e] < 0.3 * n and n > PIECE * blocks[e]}
+
+
 def unmarked(page: Page) -> list[Block]:
     """Blocks outside the marked parts, once the marks of elements around the article are overruled."""
     if not any(b.marks for b in page.blocks):
@@ -269,7 +365,7 @@ def unmarked(page: Page) -> list[Block]:
     kept = kept_paths(page, page.blocks)
     scored = [len(b.text) if page.elements[b.element].path in kept else 0 for b in page.blocks]
     weights = scored if any(scored) else [len(b.text) for b in page.blocks]
-    overruled: set[int] = set()
+    overruled = page.overruled | prose_in_articles(page)
 
     def outermost(block: Block, region: int) -> int | None:
         return next((e for e in block.marks if e > region and e not in overruled), None)
@@ -334,8 +430,7 @@ def article_blocks(page: Page, blocks: list[Block], chosen: list[Block]) -> tupl
     if named > 0:
         return True, [b for b in blocks if within(named, b)]
 
-    def sections_beside(e: int, inside: list[Block], around: list[Block]) -> bool:
-        best = min((_rank(page, b) for b in inside), default=NO_RANK)
+    def sections_beside(e: int, best: int, around: list[Block]) -> bool:
         for i, b in enumerate(around):
             rank = _rank(page, b)
             if elements[b.element].name not in TEXTS or b.linked >= LINKS:
@@ -348,17 +443,27 @@ def article_blocks(page: Page, blocks: list[Block], chosen: list[Block]) -> tupl
                 return True
         return False
 
-    numbers = sorted(b.element for b in blocks)
-    inside = [b for b in blocks if within(at, b)]
+    # what is in an element is a run of blocks, which grows on the way up
+    first = next(i for i, b in enumerate(blocks) if within(at, b))
+    end_at = first
+    while end_at < len(blocks) and within(at, blocks[end_at]):
+        end_at += 1
+    best = min((_rank(page, b) for b in blocks[first:end_at]), default=NO_RANK)
     while at > 0:
         up = elements[at].parent
-        if bisect_left(numbers, end[up]) - bisect_left(numbers, up) > len(inside):
-            wider = [b for b in blocks if within(up, b)]
-            if elements[at].name not in PARTS and not sections_beside(at, inside, [b for b in wider if not within(at, b)]):
+        low, high = first, end_at
+        while low > 0 and within(up, blocks[low - 1]):
+            low -= 1
+        while high < len(blocks) and within(up, blocks[high]):
+            high += 1
+        if (low, high) != (first, end_at):
+            around = [*blocks[low:first], *blocks[end_at:high]]
+            if elements[at].name not in PARTS and not sections_beside(at, best, around):
                 break
-            inside = wider
+            best = min([best, *(_rank(page, b) for b in around)])
+            first, end_at = low, high
         at = up
-    return False, inside
+    return False, blocks[first:end_at]
 
 
 def _rank(page: Page, block: Block) -> int:

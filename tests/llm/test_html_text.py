@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -148,3 +149,65 @@ def test_odd_rows(spark):
     assert sorted(r["n_chars"] for r in out) == [0, 0, 1, 1, 20_000 * 18 + 19_999]
     assert h.extract_pages(pages.where("false")).collect() == []
     assert len(h.main_text("<div>" * 3_000 + "deep")) == 4
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="social-contract">{}</div>',
+        '<section id="related-work">{}</section>',
+        '<section id="comment-on-method">{}</section>',
+        '<p class="notice-period">{}</p>',
+        '<p id="share">{}</p>',
+        '<ol class="menu-of-dishes"><li>{}</ol>',
+        '<h2 id="ad-hoc-networks">{}</h2>',
+        '<h2 id="sign-up-and-login">{}</h2>',
+        '<h2 class="banner">{}</h2>',
+        '<section id="related"><h2>Related</h2>{}</section>',
+        '<section id="skip_navigation"><h3>Skip navigation</h3>{}</section>',
+    ],
+)
+def test_sections_with_everyday_names_stay(part):
+    page = f"<article>{PROSE}{part.format('It stays')}{PROSE}</article>"
+    heading = re.findall(r"<h[23]>(.*?)</h[23]>", part)
+    assert h.main_text(page) == "\n".join([LINES, *heading, "It stays", LINES])
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "ad_slot", "share-buttons top", "x related", "site-nav", "sidebar-2", "newsletter-box", "social"])
+def test_parts_with_plain_names_go(name):
+    assert h.main_text(f"<article>{PROSE}<div class='{name}'><p>Other, more.</p></div></article>") == LINES
+
+
+def test_long_prose_in_an_article_is_its_text():
+    body = f"<article>{PROSE}<div class='notice'>{PROSE * 3}</div></article>"
+    assert h.main_text(body) == "\n".join([LINES] * 4)
+    links = "<a href=x>A rather long link text, which goes on and on.</a> " * 20
+    assert h.main_text(f"<article>{PROSE}<div class='related'><p>{links}</p></div></article>") == LINES
+    readers = f"<div class='comments'>{PROSE * 3}</div>"
+    assert h.main_text(f"<article>{PROSE}{readers}</article>") == LINES
+
+
+N = 50_000
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article>x" + "<a " * (1 << 19),
+        "<article>x" + '<a href="' * 200_000,
+        "<article>x" + '<a href="' * 200_001 + ">",
+        "<article>x" + "<!a" * 400_000,
+        "<article>x<script>" + "</script " * 150_000,
+        "<article>x" + "<div>" * N,
+        "<article>x" + "<ul><li>" * N,
+        "<article>x" + "<ul><li>y" * 20_000,
+        "<article>x" + "<b>" * N + "</i>" * N,
+        "<article>x" + "<div class=ad>" * 20_000 + "y",
+        "<div>x" + "<div>y" * 20_000 + ".</div>" * 20_000,
+    ],
+    ids=lambda p: p[:24],
+)
+def test_hostile_pages_take_linear_time(page):
+    begun = time.process_time()
+    assert h.main_text(page) or "class=ad" in page
+    assert time.process_time() - begun < 10
