@@ -1,7 +1,7 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as a stream of tags into blocks of text, each with its root-to-leaf path of block elements. Per path the
-text length and the punctuation are summed and divided by how many blocks share it; along the page both ratios are
+text length and the punctuation outside links are summed and divided by how many blocks share it; along the page both ratios are
 smoothed over neighbouring blocks, fused into one score by multiplication, and paths are kept whose mean score reaches
 a part of the scores' deviation. The innermost element that holds the kept blocks is the article, or the nearest one
 around it that is an article by its name. Without such a name it is widened as long as it is a part of the text itself (a
@@ -331,8 +331,9 @@ def _smooth(values: np.ndarray) -> np.ndarray:
 def kept_paths(page: Page, blocks: list[Block]) -> set[int]:
     """Paths whose mean fused score reaches the threshold."""
     path = np.array([page.elements[b.element].path for b in blocks])
-    length = np.array([len(b.text) for b in blocks], float)
-    marks = np.array([len(_PUNCTUATION.findall(b.text)) for b in blocks], float)
+    # the text of links is what menus are made of; it says nothing for a path
+    length = np.array([len(b.text) * (1 - b.linked) for b in blocks], float)
+    marks = np.array([len(_PUNCTUATION.findall(b.text)) * (1 - b.linked) for b in blocks], float)
     kinds, at = np.unique(path, return_inverse=True)
     n = np.bincount(at)
     text_ratio, mark_ratio = np.bincount(at, length) / n, np.bincount(at, marks) / n
