@@ -2,12 +2,17 @@
 
 The script of a word's first letter narrows its candidate languages; the letters of the word give each of them a score
 (character runs, learned per language). A Viterbi path over the words, which pays for every change of language, labels
-spans of mixed text; the language with most letters on the path is the document's.
+spans of mixed text; the language with most letters on the path is the document's. Words end at white space and where the
+script changes; those of scripts written without white space are runs of a few letters.
+
+Texts up to ``SEGMENT`` words advance together, a word of each per step. A longer one goes through alone, a segment at a
+time with the value of every language carried over; on the way back each segment is gone through again from the values
+kept at its start, so what a text of any length takes besides its words is a segment's scores.
 
 Defined cases. A null text, or one without a letter, is ``und`` with score 0. Words without letters continue the span
 they stand in. Ties go to the language that sorts first. Repeated rows are labelled alike, each on its own; an empty
 table gives an empty result. With nothing to learn from every text is ``und``. Null languages and null ids take no
-part in learning.
+part in learning. Texts of any length are labelled whole.
 """
 
 from __future__ import annotations
@@ -22,11 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm.common import MEMO_WORDS, held_out, per_batch
+from telltale.llm.common import MEMO_WORDS, bounded_sample, held_out, per_batch
 from telltale.sources.tables import table
 
-#: Documents of each language that the scores are fitted on, in expectation; chosen by hash.
+#: Documents of each language that the scores are fitted on, and bytes of all of them, in expectation; chosen by hash.
+#: Longer texts than FIT_TEXT_BYTES are not among them.
 FIT_ROWS_PER_LANGUAGE = 1_500
+FIT_BYTES, FIT_TEXT_BYTES = 64 << 20, 256 << 10
+#: Words of a segment of a long text, and scores that short texts advance with at a time.
+SEGMENT, SCORES_AT_ONCE = 4_096, 8_000_000
+#: Letters of a word in a script without white space.
+RUN = 6
 UNKNOWN = "und"
 #: What a change of language between two words costs, in nats.
 SWITCH = 12.0
@@ -69,6 +80,25 @@ SCRIPT_RANGES = (
 _STARTS = [start for start, _ in SCRIPT_RANGES]
 
 
+UNSPACED = frozenset(["han", "kana", "thai"])
+
+
+def _pieces_pattern() -> re.Pattern:
+    """One alternative for each script: all it has in a row, or a few letters."""
+    ranges: dict[str, str] = {}
+    for (start, script), after in zip(SCRIPT_RANGES, [*_STARTS[1:], 0x110000], strict=True):
+        ranges[script] = ranges.get(script, "") + f"{re.escape(chr(start))}-{re.escape(chr(after - 1))}"
+    return re.compile("|".join(f"(?:(?!\\s)[{r}]){f'{{1,{RUN}}}' if s in UNSPACED else '+'}" for s, r in ranges.items()))
+
+
+_PIECES = _pieces_pattern()
+_BEYOND_LATIN = re.compile("[^\x00-\u036f]")
+
+
+def words_of(text: str) -> list[str]:
+    return _PIECES.findall(text) if _BEYOND_LATIN.search(text) else text.split()
+
+
 def script_of(letter: str) -> str:
     return SCRIPT_RANGES[bisect_right(_STARTS, ord(letter)) - 1][1]
 
@@ -119,7 +149,7 @@ def fit(texts: list[str], langs: list[str], least_share: float = 0.005) -> Langu
     words: list[dict[str, int]] = [{} for _ in languages]
     for text, lang in zip(texts, langs, strict=True):
         seen = words[at[lang]]
-        for w in text.split():
+        for w in words_of(text):
             seen[w] = seen.get(w, 0) + 1
     runs: dict[str, int] = {}
     letters: dict[str, np.ndarray] = {}
@@ -143,19 +173,20 @@ def fit(texts: list[str], langs: list[str], least_share: float = 0.005) -> Langu
     return LanguageModel(languages, runs, weights, scripts)
 
 
-def fit_known(docs: DataFrame, per_language: int = FIT_ROWS_PER_LANGUAGE) -> LanguageModel:
-    """Fit on documents with a language outside the held-out fold, about ``per_language`` of each, chosen by hash."""
+def fit_known(docs: DataFrame, per_language: int = FIT_ROWS_PER_LANGUAGE, most_bytes: int = FIT_BYTES) -> LanguageModel:
+    """Fit on documents with a language outside the held-out fold, chosen by hash: about ``per_language`` of each and
+    about ``most_bytes`` of text, shared among the languages."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
+    known = known.withColumn("_size", F.octet_length("text")).where(F.col("_size") <= FIT_TEXT_BYTES)
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("size")).collect()  # a row per language
     if not counts:
         return fit([], [])
     chosen = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        share = F.lit(per_language / n)
-        chosen = F.when(F.col("lang") == lang, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).otherwise(chosen)
-    most = 2 * per_language * len(counts)
-    rows = known.where(chosen).select("text", "lang").limit(most).toArrow()
-    return fit(rows.column(0).to_pylist(), rows.column(1).to_pylist())
+    for r in sorted(counts, key=lambda r: r["lang"]):
+        share = min(per_language / r["n"], most_bytes / len(counts) / max(r["size"], 1))
+        chosen = F.when(F.col("lang") == r["lang"], F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).otherwise(chosen)
+    rows = bounded_sample(known.where(chosen).select("doc_id", "text", "lang"), "doc_id", 2 * per_language * len(counts)).toArrow()
+    return fit(rows.column(1).to_pylist(), rows.column(2).to_pylist())
 
 
 class WordTable:
@@ -196,7 +227,8 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH)
     ``scores`` has a row per word. All documents advance by one word per step, the longest first, so a step is a few
     array operations over those that are not at their end.
     """
-    out = np.zeros(len(scores), np.int8)
+    kind = np.int16 if scores.shape[1] < 1 << 15 else np.int32
+    out = np.zeros(len(scores), kind)
     order = np.argsort(-lengths, kind="stable")
     lengths = lengths[order]
     starts = np.concatenate([[0], np.cumsum(np.bincount(order, lengths[np.arange(len(order))], len(order)).astype(np.int64))])[:-1]
@@ -206,7 +238,7 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH)
         return out
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # documents longer than each step
     value = scores[starts[: active[0]]].astype(np.float64)
-    tops: list[np.ndarray] = [value.argmax(1).astype(np.int8)]
+    tops: list[np.ndarray] = [value.argmax(1).astype(kind)]
     moved: list[np.ndarray] = [np.zeros(value.shape, bool)]
     final = np.zeros((len(lengths), scores.shape[1]))
     for t in range(1, steps):
@@ -221,9 +253,9 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH)
         value = np.where(changed, jump, value) + scores[starts[:n] + t]
         value -= value.max(1, keepdims=True)
         moved.append(changed)
-        tops.append(value.argmax(1).astype(np.int8))
+        tops.append(value.argmax(1).astype(kind))
     final[: len(value)] = value
-    state = final.argmax(1).astype(np.int8)
+    state = final.argmax(1).astype(kind)
     for t in range(steps - 1, -1, -1):
         n = active[t]
         here = state[:n]
@@ -234,28 +266,91 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH)
     return out
 
 
+def _advance(value: np.ndarray, scores: np.ndarray, switch: float, steps: list | None = None) -> np.ndarray:
+    """The values after the words of ``scores``; ``steps`` gets for each word the best language before it and which
+    languages were reached from there."""
+    for row in scores:
+        top = int(value.argmax())
+        jump = value[top] - switch
+        changed = value < jump
+        if steps is not None:
+            steps.append((top, changed))
+        value = np.where(changed, jump, value) + row
+        value -= value.max()
+    return value
+
+
+def long_path(table_: WordTable, ids: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """The best language of every word of one text, a segment at a time."""
+    k = table_.scores.shape[1]
+    out = np.zeros(len(ids), np.int32)
+    if not k or not len(ids):
+        return out
+    # before the first word a change costs nothing that matters: all languages stand alike
+    value, at_start = np.zeros(k), []
+    for begin in range(0, len(ids), SEGMENT):
+        at_start.append(value)
+        value = _advance(value, table_.scores[ids[begin : begin + SEGMENT]], switch)
+    state = int(value.argmax())
+    for number in range(len(at_start) - 1, -1, -1):
+        begin = number * SEGMENT
+        part = ids[begin : begin + SEGMENT]
+        steps: list[tuple[int, np.ndarray]] = []
+        _advance(at_start[number], table_.scores[part], switch, steps)
+        for t in range(len(part) - 1, -1, -1):
+            out[begin + t] = state
+            top, changed = steps[t]
+            state = top if changed[state] else state
+    return out
+
+
+def paths_of(table_: WordTable, ids: list[np.ndarray]) -> list[np.ndarray]:
+    """The best path of each text; short ones go together, a bounded number of scores at a time."""
+    out: list[np.ndarray] = [np.empty(0, np.int32)] * len(ids)
+    most = max(SEGMENT, SCORES_AT_ONCE // max(1, table_.scores.shape[1]))
+    group: list[int] = []
+    held = 0
+
+    def settle() -> None:
+        lengths = np.array([len(ids[i]) for i in group], np.int64)
+        path = best_paths(table_.scores[np.concatenate([ids[i] for i in group])], lengths)
+        for i, part in zip(group, np.split(path, np.cumsum(lengths)[:-1]), strict=True):
+            out[i] = part
+
+    for i, own in enumerate(ids):
+        if len(own) > SEGMENT:
+            out[i] = long_path(table_, own)
+            continue
+        if group and held + len(own) > most:
+            settle()
+            group, held = [], 0
+        group.append(i)
+        held += len(own)
+    if group:
+        settle()
+    return out
+
+
 def label_batch(table_: WordTable, texts: list[str]) -> tuple[list[str], np.ndarray, list[np.ndarray], list[list[str]]]:
     """Language and score of each text, and the path over its words."""
     table_.start()
     names = table_.model.languages
-    words = [t.split() for t in texts]
+    words = [words_of(t) for t in texts]
     ids = [table_.ids(w) for w in words]
-    lengths = np.array([len(i) for i in ids], np.int64)
-    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-    letters = table_.letters[flat]
-    path = best_paths(table_.scores[flat], lengths)
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    k = max(1, len(names))
-    weight = np.bincount(doc * k + path, letters, len(texts) * k).reshape(len(texts), k)
-    total, best = weight.sum(1), weight.argmax(1)
-    share = weight[np.arange(len(texts)), best] / np.maximum(total, 1)
-    langs = [names[b] if t and names else UNKNOWN for b, t in zip(best, total, strict=True)]
-    score = np.where((total > 0) & bool(names), share, 0.0)
-    return langs, score, np.split(path, np.cumsum(lengths)[:-1]), words
-
-
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str], lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """The columns ``keep`` of every row with its language and the share of its letters that are in it."""
+    paths = paths_of(table_, ids)
+    langs, score = [], np.zeros(len(texts))
+    for i, (own, path) in enumerate(zip(ids, paths, strict=True)):
+        weight = np.bincount(path, table_.letters[own], max(1, len(names)))
+        total, best = weight.sum(), int(weight.argmax())
+        known = bool(names) and total > 0
+        langs.append(names[best] if known else UNKNOWN)
+        score[i] = weight[best] / total if known else 0.0
+    return langs, score, paths, words
+
+
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str], lang: str = "lang_pred", score: str = "score", spans: str | None = None) -> DataFrame:
+    """The columns ``keep`` of every row with its language, the share of its letters that are in it, and, if ``spans`` names
+    a column, how many spans of one language it has."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a bounded sample's character runs
     fields = [docs.schema[c] for c in keep]
     at = keep.index("text") if "text" in keep else len(keep)
@@ -265,19 +360,23 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], lang: str =
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            langs, share, _, _ = label_batch(known, texts)
-            kept = batch.select(list(range(len(keep))))
-            return kept.append_column(lang, pa.array(langs, pa.string())).append_column(score, pa.array(share))
+            langs, share, paths, _ = label_batch(known, texts)
+            out = batch.select(list(range(len(keep)))).append_column(lang, pa.array(langs, pa.string())).append_column(score, pa.array(share))
+            if spans is None:
+                return out
+            changes = [int(np.count_nonzero(np.diff(path))) + 1 if len(path) else 0 for path in paths]
+            return out.append_column(spans, pa.array(changes, pa.int32()))
 
         return step
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     rows = docs.select(*[f"`{c}`" for c in keep], *([] if "text" in keep else ["text"]))
-    return per_batch(rows, f"{schema}, {lang} string, {score} double", start, most_bytes=8 << 20)
+    schema = f"{schema}, {lang} string, {score} double" + (f", {spans} int" if spans else "")
+    return per_batch(rows, schema, start, most_bytes=8 << 20)
 
 
 def language_spans(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """One row per span of words in one language: doc_id, span_no, lang, first_word, n_words (words split at white space)."""
+    """One row per span of words in one language: doc_id, span_no, lang, first_word, n_words (words as ``words_of`` gives them)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -321,5 +420,5 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = identify(docs.select("doc_id", "text"), fit_known(docs), ["doc_id"])
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    out = identify(docs.select("doc_id", "text"), fit_known(docs), ["doc_id"], spans="n_spans")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans")

@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -30,6 +31,76 @@ def test_paths_equal_trying_all():
             at += n
 
 
+def plain_label(model, text):
+    """By definition: the values of all paths word by word, with whole paths; the language with most letters."""
+    words = text.split()
+    scored = [model.word_scores(w) for w in words]
+    if not sum(n for _, n in scored):
+        return "und", 0.0
+    k = len(model.languages)
+    best = [(0.0, ())] * k
+    for score, _ in scored:
+        top = max(range(k), key=lambda i: best[i][0])
+        jump = best[top][0] - g.SWITCH
+        best = [((jump, best[top][1]) if v < jump else (v, p)) for v, p in best]
+        best = [(v + float(score[i]), (*p, i)) for i, (v, p) in enumerate(best)]
+    path = max(best, key=lambda b: b[0])[1]
+    letters = [sum(n for (_, n), x in zip(scored, path, strict=True) if x == i) for i in range(k)]
+    top = max(range(k), key=lambda i: letters[i])
+    return model.languages[top], letters[top] / sum(letters)
+
+
+def test_query_against_all_values(spark, docs):
+    """Every short text of the table by plain values over the same model."""
+    model = g.fit_known(docs)
+    rows = {r["doc_id"]: r for r in g.op9(spark, "/root/testdata/sf0.001").collect()}
+    assert len(rows) == docs.count()
+    for r in docs.collect():
+        if len(r["text"]) < 4_000:
+            lang, score = plain_label(model, r["text"])
+            got = rows[r["doc_id"]]
+            assert got["lang_pred"] == lang and abs(got["score"] - score) < 1e-9 and got["n_spans"] >= 1
+
+
+def test_three_hundred_languages():
+    names = [f"l{i:03d}" for i in range(300)]
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{x}" for x in "abcdefgh") for i in range(300)]
+    table = g.fit(texts, names).words()
+    langs, scores, _, _ = g.label_batch(table, texts)
+    assert langs == names and scores.min() == 1.0
+
+
+def test_long_texts_go_through_in_segments(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = small_model()
+    words = [w for v in (["the", "cat", "went"], ["der", "hund", "sind"], ["собака", "12"]) for w in rng.choice(v, 700)]
+    table = model.words()
+    ids = table.ids([*words, *reversed(words)])
+    whole = g.best_paths(table.scores[ids], np.array([len(ids)]))
+    for size in (1, 7, 64, 5_000):
+        monkeypatch.setattr(g, "SEGMENT", size)
+        assert g.long_path(table, ids).tolist() == whole.tolist()
+
+
+def test_a_very_long_text_stays_small():
+    text = "the cat went " * 300_000
+    model = small_model()
+    g.label_batch(model.words(), ["the"])
+    tracemalloc.start()
+    langs, scores, _, _ = g.label_batch(model.words(), [text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert langs == ["en"] and scores[0] == 1.0 and most < 120 << 20
+
+
+def test_words_end_where_the_script_changes():
+    assert g.words_of("漢字かなкошка abc, déjà") == ["漢字", "かな", "кошка", "abc,", "déjà"]
+    zh, ja = "这个东西我们已经看过了没有问题" * 4, "これはとても大切なことですから" * 4
+    model = g.fit([zh, ja] * 3, ["zh", "ja"] * 3)
+    langs, scores, paths, words = g.label_batch(model.words(), [zh + ja])
+    assert len(set(paths[0].tolist())) == 2 and 0.4 < scores[0] < 0.6
+
+
 def small_model():
     en = "the cat and the dog went with this thing to the other house where they thought that it was right"
     de = "der hund und die katze sind nicht mit dem anderen haus wo sie dachten dass es richtig war über schön"
