@@ -2,8 +2,9 @@
 
 Documents are cut into pieces no longer than the longest permitted sequence. Within a packing group pieces are taken
 from long to short; each goes to the open bin that it leaves the least room in. When none has room, the bin size is
-opened whose cost is least: the room it would leave, less what the shorter pieces still to come can be expected to
-fill of it. At the end each bin is changed for the shortest permitted length that holds what is in it.
+opened whose cost is least: the part of it that would stay empty, were it filled with the pieces still to come, largest
+first. Of equal costs the shortest length wins, so an exact fit does. At the end each bin is changed for the shortest
+permitted length that holds what is in it.
 
 Groups hold about PIECES_PER_GROUP pieces, dealt by hash; they are packed independently, each in one task with a few
 numbers per piece. More documents make more groups, not larger ones; a group wastes at most its last bins. Texts are
@@ -34,15 +35,31 @@ LENGTHS = (256, 512, 1_024, 2_048)
 PIECES_PER_GROUP = 4_000
 
 
+def unfilled(room: int, sizes: np.ndarray, ends: list[int], first: int) -> int:
+    """What stays of a room when the pieces from ``first`` on, which descend, go into it largest first as long as they fit.
+
+    ``ends[i]`` is where the run of pieces of the size of piece i ends, so equal pieces are taken at once.
+    """
+    n = len(sizes)
+    while room and first < n:
+        # the first piece that fits; the sizes descend
+        first += int(np.searchsorted(-sizes[first:], -room))
+        if first == n:
+            break
+        size = int(sizes[first])
+        room -= size * min(room // size, ends[first] - first)
+        first = ends[first]
+    return room
+
+
 def pack_pieces(sizes: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin, place in the bin and bin length of each piece; ``sizes`` descend and none exceeds the longest length."""
     lengths = tuple(sorted(lengths))
     n = len(sizes)
     bins, places = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    rest = np.concatenate([np.cumsum(sizes[::-1])[::-1][1:], [0]])  # words in the pieces still to come
+    ends = np.searchsorted(-sizes, -sizes, side="right").tolist() if n else []
     smallest = int(sizes[-1]) if n else 0
     room: list[tuple[int, int]] = []  # open bins by room, then number; full ones are dropped
-    capacity: list[int] = []
     used: list[int] = []
     for i in range(n):
         size = int(sizes[i])
@@ -50,17 +67,10 @@ def pack_pieces(sizes: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray
         if at < len(room):
             left, number = room.pop(at)
         else:
+            # the part that would stay empty; of equal ones the shortest, so an exact fit wins
             fitting = [c for c in lengths if c >= size]
-
-            def cost(c: int, size=size, i=i) -> tuple[float, int]:
-                over = c - size
-                # what can't be filled: all of it when too small for any piece to come, else what they don't have
-                lost = over if over < smallest else max(0, over - int(rest[i]))
-                return (lost / c, -c)
-
-            left = min(fitting, key=cost)
-            number = len(capacity)
-            capacity.append(left)
+            left = min(fitting, key=lambda c: (unfilled(c - size, sizes, ends, i + 1) / c, c))  # noqa: B023
+            number = len(used)
             used.append(0)
         bins[i], places[i] = number, used[number]
         used[number] += size
@@ -98,8 +108,9 @@ def best_fit(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, per_group: int
     longest = max(lengths)
     pieces = cut(pieces_of(docs, longest))
     groups = max(1, -(-pieces.count() // per_group))
-    # the hash takes all that tells pieces apart, so a repeated id or a very long document is spread as well
-    group = F.pmod(F.xxhash64("id", "piece", "n_words"), F.lit(groups)).cast("int")
+    # the place in the written pieces tells equal ones apart, so repeated or missing ids are spread as well
+    place = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    group = F.pmod(F.xxhash64("id", "piece", *place), F.lit(groups)).cast("int")
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n_words", "id", "piece"], ascending=[False, True, True], kind="stable", na_position="first")

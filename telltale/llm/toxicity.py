@@ -7,7 +7,8 @@ sentence scores then say where the offending sentences are.
 
 Defined cases. A null or empty text has no sentence and scores 0. Rows are scored one by one, repeated rows alike. An
 empty table gives an empty result. Without labels of both kinds every sentence has the prior's score. Null labels and
-null ids take no part in learning. Columns beside id and text are neither read nor kept.
+null ids take no part in learning. Texts of any length
+are scored whole; of equally bad sentences the first is the worst. Columns beside id and text are neither read nor kept.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telltale.llm.common import MEMO_WORDS, bounded_sample, held_out, one_per_key, per_batch
@@ -27,6 +29,8 @@ from telltale.sources.tables import table
 
 #: Documents the weights are fitted on, at most (chosen by hash among the labelled ones).
 FIT_ROWS = 7_000
+#: Bytes of their texts, about; longer texts than FIT_TEXT_BYTES are not among them.
+FIT_BYTES, FIT_TEXT_BYTES = 32 << 20, 128 << 10
 BUCKETS = 1 << 18
 _SENTENCE = re.compile(r"[.!?\n]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -167,17 +171,22 @@ def fit_calibrated(texts: list[str], toxic: list[int]) -> SentenceModel:
     return model
 
 
-def fit_labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> SentenceModel:
-    """Fit on at most ``fit_rows`` labelled documents outside the held-out fold."""
+def fit_labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> SentenceModel:
+    """Fit on at most ``fit_rows`` labelled documents outside the held-out fold, chosen by hash, of ``fit_bytes`` bytes."""
     known = one_per_key(labels.where("toxic IS NOT NULL"), "doc_id", "toxic").where(~held_out(F.col("doc_id")))
     known = bounded_sample(known, "doc_id", fit_rows)  # at most fit_rows ids: a proven bound for the broadcast
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(known), "doc_id")
-    rows = bounded_sample(texts, "doc_id", fit_rows).select("text", "toxic").toArrow()
+    size = F.octet_length("text")
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").where(size <= FIT_TEXT_BYTES).join(F.broadcast(known), "doc_id")
+    chosen = bounded_sample(texts.withColumn("size", size), "doc_id", fit_rows)
+    # at most fit_rows rows by now; those that the bytes suffice for, in the order of the hash
+    upto = F.sum("size").over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    rows = chosen.withColumn("upto", upto).where(F.col("upto") <= fit_bytes).select("text", "toxic").toArrow()
     return fit_calibrated(rows.column(0).to_pylist(), rows.column(1).to_pylist())
 
 
 def score_documents(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, ``score`` and ``predicted`` of every row."""
+    """Id, ``score`` and ``predicted`` of every row, and of the sentence most likely to be toxic its number from 0, its
+    score and its text (NULL without a sentence)."""
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(SentenceModel(model.weights.astype(np.float32), model.bias))
 
@@ -185,14 +194,36 @@ def score_documents(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id
         scorer = shared.value.scorer()
 
         def step(batch: pa.RecordBatch) -> dict:
-            score = np.array([scorer.document(t) if t else 0.0 for t in batch.column(1).to_pylist()])
+            texts = batch.column(1).to_pylist()
+            score, number, worst, sentence = np.zeros(len(texts)), [], [], []
+            for i, text in enumerate(texts):
+                parts, z = scorer.sentence_logits(text or "")
+                if not len(parts):
+                    number.append(None)
+                    worst.append(None)
+                    sentence.append(None)
+                    continue
+                top = int(z.argmax())
+                # noisy-or: one minus the chance that no sentence is toxic
+                score[i] = -np.expm1(-np.logaddexp(0.0, z).sum())
+                number.append(top)
+                worst.append(float(1.0 / (1.0 + np.exp(-np.clip(z[top], -700, 700)))))
+                sentence.append(parts[top].strip())
             score = np.clip(score, 0.0, 1.0)
             predicted = pa.array((score >= 0.5).astype(np.int32))
-            return {id_col: batch.column(0), "score": pa.array(score), "predicted": predicted}
+            return {
+                id_col: batch.column(0),
+                "score": pa.array(score),
+                "predicted": predicted,
+                "worst_no": pa.array(number, pa.int32()),
+                "worst_score": pa.array(worst, pa.float64()),
+                "worst_sentence": pa.array(sentence, pa.string()),
+            }
 
         return step
 
-    return per_batch(docs.select(id_col, text_col), f"`{id_col}` {kind}, score double, predicted int", start)
+    schema = f"`{id_col}` {kind}, score double, predicted int, worst_no int, worst_score double, worst_sentence string"
+    return per_batch(docs.select(id_col, text_col), schema, start)
 
 
 def offending_sentences(docs: DataFrame, model: SentenceModel, least: float = 0.5) -> DataFrame:
@@ -230,4 +261,5 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_labelled(docs, table(spark, sf_dir, "labels"))
     scored = score_documents(docs, model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    more = ["worst_no", "worst_score", "worst_sentence"]
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", *more)

@@ -3,6 +3,7 @@ from collections import defaultdict
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from telltale.llm import packing as p
 
@@ -28,17 +29,23 @@ def test_bins_are_gapless_and_as_short_as_possible(sizes):
     check_bins(sizes, *p.pack_pieces(sizes, (16, 32, 64)), (16, 32, 64))
 
 
+def plain_unfilled(room, rest):
+    """Largest first, piece by piece, each once."""
+    for size in rest:
+        if size <= room:
+            room -= size
+    return room
+
+
 def plain_best_fit(sizes, lengths):
     """The same choices with a search over all open bins."""
     bins = []
     for i, s in enumerate(sizes):
-        rest, least = sum(sizes[i + 1 :]), sizes[-1]
         open_ = [(c - u, k) for k, (c, u) in enumerate(bins) if c - u >= s]
         if open_:
             k = min(open_)[1]
         else:
-            loss = lambda c, s=s, rest=rest, least=least: ((c - s if c - s < least else max(0, c - s - rest)) / c, -c)
-            bins.append((min((c for c in lengths if c >= s), key=loss), 0))
+            bins.append((min((c for c in lengths if c >= s), key=lambda c: (plain_unfilled(c - s, sizes[i + 1 :]) / c, c)), 0))
             k = len(bins) - 1
         bins[k] = (bins[k][0], bins[k][1] + s)
     return sorted(u for _, u in bins)
@@ -59,6 +66,25 @@ def test_lengths_are_weighed_together():
     assert p.pack_pieces(np.array([60]), (64, 128))[2].tolist() == [64]
 
 
+def test_every_length_is_opened_and_none_is_wasted():
+    """Sizes around one of the lengths: all are opened, and less stays empty than with the longest alone."""
+    sizes = np.sort(np.random.default_rng(0).integers(250, 521, 4_000))[::-1].astype(np.int64)
+    filled = {}
+    for lengths in (p.LENGTHS, p.LENGTHS[-1:]):
+        bins, _, final = p.pack_pieces(sizes, lengths)
+        used = np.bincount(bins, sizes)
+        filled[lengths] = sizes.sum() / sum(next(c for c in p.LENGTHS if c >= u) for u in used)
+        if len(lengths) > 1:
+            assert set(final.tolist()) == set(p.LENGTHS)
+    assert filled[p.LENGTHS] > filled[p.LENGTHS[-1:]] + 0.01
+
+
+def test_equal_pieces_without_ids_are_spread(spark):
+    df = spark.range(3_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("five words are in this").alias("text"))
+    rows = p.best_fit(df, (8, 16), per_group=500).groupBy("pack_group").count().collect()
+    assert len(rows) == 6 and max(r["count"] for r in rows) < 700
+
+
 def test_every_word_is_packed_once(docs, texts):
     rows = p.best_fit(docs, (64, 128, 256), per_group=50).collect()
     words = defaultdict(list)

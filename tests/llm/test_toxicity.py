@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 from telltale.llm import toxicity as t
@@ -36,6 +38,46 @@ def test_noisy_or():
     assert abs(scorer.document("nasty day. fool of a day.") - (1 - (1 - p[0]) * (1 - p[1]))) < 1e-9
 
 
+def plain_score(model, text):
+    """By definition: words one by one, sentences one by one; the score, and the first worst sentence."""
+    clean, worst = 1.0, None
+    for number, part in enumerate(p for p in re.split(r"[.!?\n]+", text or "") if p.strip()):
+        z = model.bias
+        for word in part.split():
+            letters = "".join(c for c in word.lower() if c.isalpha())
+            grams = {"w" + letters} if letters else set()
+            grams |= {"<" + letters[:n] for n in (3, 4, 5, 6) if len(letters) > n} | {letters[-n:] + ">" for n in (3, 4, 5) if len(letters) > n}
+            z += sum(model.weights[zlib.crc32(g.encode()) % t.BUCKETS] for g in grams)
+        chance = 1 / (1 + math.exp(-z))
+        clean *= 1 - chance
+        if worst is None or chance > worst[1]:
+            worst = (number, chance, part.strip())
+    return 1 - clean, worst
+
+
+def test_query_against_plain_scores(spark, docs, labels):
+    model = t.fit_labelled(docs, labels)
+    rows = {r["doc_id"]: r for r in t.op5(spark, "/root/testdata/sf0.001").collect()}
+    assert len(rows) == docs.count()
+    for r in docs.collect():
+        score, worst = plain_score(model, r["text"])
+        got = rows[r["doc_id"]]
+        assert abs(got["score"] - score) < 1e-4 and (abs(score - 0.5) < 1e-4 or got["predicted"] == (score >= 0.5))
+        if worst is None:
+            assert got["worst_no"] is None and got["worst_sentence"] is None
+        else:
+            assert abs(got["worst_score"] - worst[1]) < 1e-4
+            if got["worst_no"] == worst[0]:
+                assert got["worst_sentence"] == worst[2]
+    assert {r["worst_no"] for r in rows.values()} > {0}
+
+
+def test_the_sample_is_bounded_in_bytes(spark, docs, labels):
+    few = t.fit_labelled(docs, labels, fit_bytes=1)
+    assert few.weights.max() == 0.0  # no text fits, so nothing is learned
+    assert t.fit_labelled(docs, labels).weights.max() > 0.0
+
+
 def test_odd_rows(odd_docs, no_docs, no_labels, labels):
     model = t.fit_labelled(no_docs, labels)
     rows = t.score_documents(odd_docs, model).collect()
