@@ -6,9 +6,12 @@ segments bound it more closely; a bound on the distance is one on the inner prod
 ``2 q.c = |q|^2 + |c|^2 - d^2``. Candidates are dropped from coarse to fine as soon as they can't reach the k-th best
 score, and the exact scores of the survivors decide.
 
-Queries and candidates are laid out in blocks of fixed size. Each pair of a query block and a candidate block is one
-unit of work with at most k results per query, so memory is bounded whatever the number of either, and the blocks are
-dealt evenly to the tasks. The query set is a stated part of the rows; all rows are searched.
+Candidates stay where they are read: they are packed into blocks of like vectors (by the signs of a few segment means,
+then by length), and each block is passed once over a chunk of query blocks. A chunk holds about CHUNK_BYTES of queries,
+whatever their number, and goes to all tasks; more queries make more chunks, each one more pass over the candidates, and
+no block is ever shuffled. Within a task the k-th best score of every query is carried from block to block. The least and
+greatest statistics of a block bound the products with all of it: a query whose carried score is higher skips the block.
+The query set is a stated part of the rows; all rows are searched.
 
 Defined cases. A vector that is null, empty, or holds a null or non-finite component takes no part. Only vectors of a
 query's own length are its candidates. Rows with a null id take no part. Rows that repeat an id are candidates and
@@ -23,15 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telltale.llm.common import per_batch
 from telltale.session import cut
 from telltale.sources.tables import table
 
 SCALE = 1_024
 QUERY_BLOCK = 256
 CANDIDATE_BLOCK = 2_048
-#: Over so many keys the candidate blocks of one query block are dealt out.
-SALTS = 32
+#: Bytes of packed queries that go to the tasks at a time.
+CHUNK_BYTES = 16 << 20
+#: Segments by whose means like vectors are put together, and whose statistics bound a block.
+LIKE = 4
+#: Blocks that are put in order for a query block.
+TOGETHER = 16
 #: Numbers of segments, coarse to fine.
 LEVELS = (1, 4, 16)
 _EXACT = float(1 << 53)
@@ -58,6 +64,7 @@ def pack(rows: DataFrame, size: int, label: str) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
+                at = at[like_order(flat[starts[at][:, None] + np.arange(dim)])]
                 for i in range(0, len(at), size):
                     part = at[i : i + size]
                     matrix = flat[starts[part][:, None] + np.arange(dim)]
@@ -94,19 +101,19 @@ def statistics(matrix: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarra
     return mean, np.sqrt(np.maximum(square - mean * mean, 0.0)), length
 
 
-class Level:
-    """Upper bounds of inner products at one resolution: one product of matrices for all pairs."""
+def like_order(matrix: np.ndarray) -> np.ndarray:
+    """An order in which vectors stand beside like ones."""
+    mean, _, _ = statistics(matrix.astype(float), LIKE)
+    cell = (mean > 0) @ (1 << np.arange(mean.shape[1]))
+    return np.lexsort((np.square(matrix.astype(float)).sum(1), cell))
 
-    def __init__(self, queries: np.ndarray, candidates: np.ndarray, segments: int):
-        self.features = []
-        for matrix in (queries, candidates):
-            mean, deviation, length = statistics(matrix, segments)
-            root = np.sqrt(length)
-            self.features.append(np.concatenate([mean * root, deviation * root], axis=1))
 
-    def bound(self, q: int, at: np.ndarray) -> np.ndarray:
-        """As |v|^2 is the sum of length * (mean^2 + deviation^2), the bound on the product is that of the features."""
-        return self.features[1][at] @ self.features[0][q]
+def features(matrix: np.ndarray, segments: int) -> np.ndarray:
+    """Statistics whose product bounds that of the vectors from above: as |v|^2 is the sum of length * (mean^2 +
+    deviation^2), the bound on the distance is one on the product."""
+    mean, deviation, length = statistics(matrix, segments)
+    root = np.sqrt(length)
+    return np.concatenate([mean * root, deviation * root], axis=1)
 
 
 def exact(queries: np.ndarray, candidates: np.ndarray, wide: bool) -> np.ndarray:
@@ -116,70 +123,123 @@ def exact(queries: np.ndarray, candidates: np.ndarray, wide: bool) -> np.ndarray
     return (candidates @ queries).astype(np.int64)
 
 
-def search_blocks(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, k: int
-) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best candidates of the block: place of the query, ids, scores."""
-    order = np.argsort(ids, kind="stable")
-    ids, candidates = ids[order], candidates[order]
-    dim = queries.shape[1]
-    largest = float(np.abs(queries).max()) * float(np.abs(candidates).max()) * dim
-    wide = largest >= _EXACT
-    q, c = queries.astype(float), candidates.astype(float)
-    levels = [Level(q, c, s) for s in LEVELS if s < dim]
-    slack = 1e-9 * largest + 0.5  # more than what rounding can take from a bound
-    out = []
-    for i in range(len(q)):
-        left = np.flatnonzero(ids != query_ids[i])
-        least = None
-        for level in levels:
-            if len(left) <= 4 * k:
-                break
-            bound = level.bound(i, left)
-            if least is None:  # exact scores of the most promising give the first threshold
-                first = left[np.argpartition(-bound, k - 1)[:k]]
-                least = exact(queries[i] if wide else q[i], candidates[first] if wide else c[first], wide).min()
-            left = left[bound + slack >= least]
-        score = exact(queries[i] if wide else q[i], candidates[left] if wide else c[left], wide)
-        best = np.lexsort((ids[left], -score))[:k]
-        out.append((i, ids[left][best], score[best]))
-    return out
+class QueryBlock:
+    """Queries of one length with their statistics, and the best k of what they have met so far."""
+
+    def __init__(self, number: int, ids: np.ndarray, matrix: np.ndarray, k: int):
+        self.number, self.ids, self.matrix, self.k = number, ids, matrix, k
+        self.float = matrix.astype(float)
+        dim = matrix.shape[1]
+        self.levels = [features(self.float, s) for s in LEVELS if s < dim]
+        self.like = features(self.float, LIKE)
+        self.largest = float(np.abs(matrix).max())
+        self.found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
+        #: The k-th best score so far of each query.
+        self.least = np.full(len(ids), -np.inf)
+
+    def reach(self, block: CandidateBlock) -> np.ndarray:
+        """For each query a bound of its products with all of a block."""
+        low, high = block.box
+        return np.maximum(self.like * low, self.like * high).sum(1)
+
+    def meet_all(self, blocks: list[CandidateBlock]) -> int:
+        """Blocks that may reach furthest first, so that the others can be skipped; how many looks that took."""
+        return sum(self.meet(block) for block in sorted(blocks, key=lambda b: -self.reach(b).max()))
+
+    def meet(self, block: CandidateBlock) -> int:
+        """Take what is better from a block; how many queries looked into it."""
+        largest = self.largest * block.largest * self.matrix.shape[1]
+        wide, slack = largest >= _EXACT, 1e-9 * largest + 0.5  # more than what rounding can take from a bound
+        looking = np.flatnonzero(self.reach(block) + slack >= self.least)
+        for i in looking.tolist():
+            left = np.flatnonzero(block.ids != self.ids[i])
+            least = self.least[i]
+            for own, theirs in zip(self.levels, block.levels, strict=True):
+                if len(left) <= 4 * self.k:
+                    break
+                bound = theirs[left] @ own[i]
+                if least == -np.inf:  # exact scores of the most promising give the first threshold
+                    first = left[np.argpartition(-bound, self.k - 1)[: self.k]]
+                    least = exact(self.matrix[i] if wide else self.float[i], (block.matrix if wide else block.float)[first], wide).min()
+                left = left[bound + slack >= least]
+            if len(left):
+                self._take(i, block.ids[left], exact(self.matrix[i] if wide else self.float[i], (block.matrix if wide else block.float)[left], wide))
+        return len(looking)
+
+    def _take(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = (np.concatenate(x) for x in zip(self.found[i], (ids, scores), strict=True))
+        best = np.lexsort((ids, -scores))[: self.k]
+        self.found[i] = ids[best], scores[best]
+        if len(best) == self.k:
+            self.least[i] = scores[best[-1]]
+
+
+class CandidateBlock:
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray):
+        self.ids, self.matrix, self.float = ids, matrix, matrix.astype(float)
+        self.largest = float(np.abs(matrix).max())
+        self.levels = [features(self.float, s) for s in LEVELS if s < matrix.shape[1]]
+        like = features(self.float, LIKE)
+        self.box = like.min(0), like.max(0)
+
+
+def chunks_of(query_blocks: DataFrame) -> DataFrame:
+    """Query blocks with the number of their chunk; the window is over a few numbers per QUERY_BLOCK queries."""
+    size = F.octet_length("q_rows") + F.octet_length("q_ids")
+    sizes = query_blocks.select("q_block", size.alias("size"))
+    before = F.sum("size").over(Window.orderBy("q_block").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = sizes.select("q_block", F.floor(F.coalesce(before, F.lit(0)) / CHUNK_BYTES).cast("int").alias("chunk"))
+    return query_blocks.join(numbered, "q_block")
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score from two results of ``usable``.
-
-    The query blocks are written once, which fixes their numbers. Every candidate block meets every query block of its
-    length: the list of their numbers, a few bytes for QUERY_BLOCK queries, goes to all tasks, the blocks themselves
-    meet in an equi-join whose keys are salted, so few query blocks still make many tasks.
-    """
+    """query_id, rank, vec_id, score from two results of ``usable``. The query blocks and the candidate blocks are written
+    once, which fixes them; results have at most k rows per query and task."""
+    spark = queries.sparkSession
     query_blocks = cut(pack(queries, QUERY_BLOCK, "q").withColumn("q_block", F.monotonically_increasing_id()))
-    numbers = F.broadcast(query_blocks.select("dim", "q_block"))
-    salt = F.pmod(F.xxhash64("c_ids"), F.lit(SALTS)).cast("int")
-    left = pack(candidates, CANDIDATE_BLOCK, "c").join(numbers, "dim").withColumn("salt", salt)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    pairs = left.join(query_blocks.drop("dim").withColumn("salt", salts), ["q_block", "salt"])
-
-    def start():
-        def step(batch: pa.RecordBatch) -> dict:
-            found: list[np.ndarray] = []
-            for row in batch.to_pylist():
-                (q_ids, q), (c_ids, c) = unpack(row, "q"), unpack(row, "c")
-                for i, ids, scores in search_blocks(q_ids, q, c_ids, c, k):
-                    same = np.full(len(ids), 1, np.int64)
-                    found.append(np.stack([same * row["q_block"], same * i, same * q_ids[i], ids, scores], axis=1))
-            rows = np.concatenate(found) if found else np.empty((0, 5), np.int64)
-            return {n: pa.array(np.ascontiguousarray(rows[:, j])) for j, n in enumerate(names)}
-
-        return step
-
+    query_blocks = cut(chunks_of(query_blocks))
+    blocks = cut(pack(candidates, CANDIDATE_BLOCK, "c")).select("dim", "c_ids", "c_kind", "c_rows")
     names = ("q_block", "place", "query_id", "vec_id", "score")
-    near = per_batch(pairs, ", ".join(f"{n} long" for n in names), start, most_rows=1)
+    schema = ", ".join(f"{n} long" for n in names)
+    near = spark.createDataFrame([], schema)
+    for number in range((query_blocks.agg(F.max("chunk")).first()[0] or 0) + 1):
+        chunk = query_blocks.where(F.col("chunk") == number).select("q_block", "q_ids", "q_kind", "q_rows")
+        near = near.union(blocks.mapInArrow(_pass(spark.sparkContext.broadcast(chunk.toArrow().to_pylist()), k, names), schema))
     ranked = Window.partitionBy("q_block", "place").orderBy(F.desc("score"), "vec_id")
     near = near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     return near.select("query_id", "rank", "vec_id", "score")
 
 
+def _pass(shared, k: int, names: tuple[str, ...]):
+    """One pass of a task's candidate blocks over a chunk of query blocks."""
+
+    def run(batches):
+        by_dim: dict[int, list[QueryBlock]] | None = None
+        for batch in batches:
+            if by_dim is None:
+                by_dim = {}
+                for row in shared.value:
+                    ids, matrix = unpack(row, "q")
+                    by_dim.setdefault(matrix.shape[1], []).append(QueryBlock(row["q_block"], ids, matrix, k))
+            for i in range(0, batch.num_rows, TOGETHER):
+                blocks: dict[int, list[CandidateBlock]] = {}
+                for row in batch.slice(i, TOGETHER).to_pylist():
+                    if row["dim"] in by_dim:
+                        blocks.setdefault(row["dim"], []).append(CandidateBlock(*unpack(row, "c")))
+                for dim, own in blocks.items():
+                    for queries in by_dim[dim]:
+                        queries.meet_all(own)
+        for queries in (q for own in (by_dim or {}).values() for q in own):
+            parts = [
+                np.stack([np.full(len(ids), x, np.int64) for x in (queries.number, i, queries.ids[i])] + [ids, scores], axis=1)
+                for i, (ids, scores) in enumerate(queries.found)
+            ]
+            rows = np.concatenate(parts)
+            yield pa.RecordBatch.from_pydict({n: pa.array(np.ascontiguousarray(rows[:, j])) for j, n in enumerate(names)})
+
+    return run
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return top_k(vectors.where(F.col("id") % 100 == 0), vectors, 10)

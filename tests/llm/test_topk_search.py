@@ -1,6 +1,9 @@
 import math
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from telltale.llm import topk_search as s
 
 
@@ -34,6 +37,35 @@ def test_equals_all_pairs(spark, monkeypatch):
     assert search(spark, rows, 10, 20, "double") == plain(rows, 10, 20)
 
 
+def test_several_chunks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(s, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(s, "CHUNK_BYTES", 400)
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(rng.choice([8, 8, 5]))], "x") for i in range(200)]
+    blocks = s.pack(s.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), "vec_id", "embedding"), 3, "q")
+    assert s.chunks_of(blocks.withColumn("q_block", F.monotonically_increasing_id())).agg(F.max("chunk")).first()[0] > 5
+    assert search(spark, rows, 4, 5, "double") == plain(rows, 4, 5)
+
+
+def test_blocks_out_of_reach_are_skipped():
+    """Of blocks of like vectors a query looks into few, and misses nothing in the others."""
+    rng = np.random.default_rng(5)
+    centres = np.repeat(rng.normal(0, 300, (40, 4)), 4, axis=1)
+    matrix = np.concatenate([rng.normal(0, 4, (500, 16)) + c for c in centres]).astype(np.int64)
+    ids = np.arange(len(matrix))
+    order = s.like_order(matrix)
+    blocks = [s.CandidateBlock(ids[part], matrix[part]) for part in np.split(order, 40)]
+    looked = asked = 0
+    for begin in range(0, len(matrix), 2_000):  # like queries are in one block too
+        queries = s.QueryBlock(0, ids[begin : begin + 5], matrix[begin : begin + 5], 10)
+        looked += queries.meet_all(blocks)
+        asked += len(blocks) * len(queries.ids)
+        for i, q in enumerate(queries.ids):
+            best = sorted((-int(x), int(j)) for j, x in zip(ids, matrix @ matrix[q], strict=True) if j != q)[:10]
+            assert [(-int(x), int(j)) for j, x in zip(*queries.found[i], strict=True)] == best
+    assert looked < 0.4 * asked
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
