@@ -293,11 +293,13 @@ def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, pe
 def centre_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) of classes with centres of the groups that share a min-hash key.
 
-    Large groups are dealt to runs of about GROUP classes, each of which begins with the group's least class. Only
+    Large groups are dealt to runs of about GROUP classes, each of which begins with the group's class of the least id. Only
     true links come out; what the few centres miss is left to the tiles, which are exact.
     """
-    keyed = classes.select("node", "text_key", F.explode(F.array_distinct("keys")).alias("key"))
-    groups = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    keyed = classes.select("node", "text_key", "first_id", F.explode(F.array_distinct("keys")).alias("key"))
+    # the smallest id is where copies are most likely to come from
+    least = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node"))["node"]
+    groups = keyed.groupBy("key").agg(least.alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
     met = keyed.join(groups, "key").withColumn("runs", F.ceil(F.col("m") / GROUP).cast("int"))
     first = F.col("node") == F.col("least")
     own = F.array(F.pmod(F.xxhash64("node"), F.col("runs")).cast("int"))
@@ -352,7 +354,7 @@ def placed_rows(docs: DataFrame, width: int, percent: int, id_col: str, text_col
     real = rows.where("n >= 0")
     classes = real.where("n > 0").groupBy(F.col("digest").alias("node"))
     classes = cut(
-        classes.agg(F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+        classes.agg(F.min("id").alias("first_id"), F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
     )
     links = cut(centre_links(docs, classes, width, percent).distinct())
 
