@@ -83,21 +83,7 @@ def latest_webhooks(t):
     return webhooks.latest_webhooks(sent.unionByName(sent), "payload", "ts", "event_id")
 
 
-@query(
-    """
-    WITH c AS (SELECT user_id, arg_max(k, event_id) FILTER (event_type IN ('error', 'click')) AS o,
-                      arg_max(k, event_id) FILTER (event_type NOT IN ('error', 'click')) AS n
-               FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY user_id),
-         caps AS (SELECT p_size AS ref, p_brand AS file, p_type AS rule_id, max(1 + p_partkey % 4) AS s FROM part GROUP BY ALL),
-         a AS (SELECT user_id, file, rule_id, s FROM c JOIN caps ON o = ref), b AS (SELECT user_id, file, rule_id, s FROM c JOIN caps ON n = ref)
-    SELECT 'change-' || user_id AS path, file, rule_id, CAST(a.s AS INTEGER) AS prior, CAST(b.s AS INTEGER) AS current,
-           CASE WHEN a.s IS NULL THEN 'added' WHEN b.s IS NULL THEN 'removed' ELSE 'changed' END AS status,
-           CAST(greatest(a.s, b.s) AS INTEGER) AS risk_score
-    FROM a FULL JOIN b USING (user_id, file, rule_id) WHERE a.s IS DISTINCT FROM b.s AND greatest(a.s, b.s) >= 3
-    """,
-    headline=True,
-)
-def action_diff(t):
+def _changes(t):
     """A change per user whose events are diff lines; parts give the capabilities of each version."""
     k = F.get_json_object("props", "$.k")
     sign = F.when(F.col("event_type").isin("error", "click"), F.lit("-")).otherwise(F.lit("+"))
@@ -117,9 +103,54 @@ def action_diff(t):
         .groupBy("repo", "ref", "file", "rule_id")
         .agg(F.max("risk_score").alias("risk_score"))
     )
+    return changes, caps
+
+
+def _with_types(t):
+    """Even versions are containers."""
+    using = F.when(F.col("p_size") % 2 == 0, F.lit("docker")).otherwise(F.lit("node20"))
+    return t.part.select(F.lit("scan").alias("repo"), F.concat(F.lit("v"), F.col("p_size").cast("string")).alias("ref"), using.alias("using")).distinct()
+
+
+@query(
+    """
+    WITH c AS (SELECT user_id, arg_max(k, event_id) FILTER (event_type IN ('error', 'click')) AS o,
+                      arg_max(k, event_id) FILTER (event_type NOT IN ('error', 'click')) AS n
+               FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY user_id),
+         caps AS (SELECT p_size AS ref, p_brand AS file, p_type AS rule_id, max(1 + p_partkey % 4) AS s FROM part GROUP BY ALL),
+         a AS (SELECT user_id, file, rule_id, s FROM c JOIN caps ON o = ref), b AS (SELECT user_id, file, rule_id, s FROM c JOIN caps ON n = ref)
+    SELECT 'change-' || user_id AS path, file, rule_id, CAST(a.s AS INTEGER) AS prior, CAST(b.s AS INTEGER) AS current,
+           CASE WHEN a.s IS NULL THEN 'added' WHEN b.s IS NULL THEN 'removed' ELSE 'changed' END AS status,
+           CAST(greatest(a.s, b.s) AS INTEGER) AS risk_score
+    FROM a FULL JOIN b USING (user_id, file, rule_id) WHERE a.s IS DISTINCT FROM b.s AND greatest(a.s, b.s) >= 3
+    """,
+    headline=True,
+)
+def action_diff(t):
+    """What changes between the versions that a change raises, without types: from HIGH on."""
+    changes, caps = _changes(t)
     return actions.capability_changes(changes, caps)
 
 
+@query(
+    """
+    WITH c AS (SELECT user_id, arg_max(k, event_id) FILTER (event_type IN ('error', 'click')) AS o,
+                      arg_max(k, event_id) FILTER (event_type NOT IN ('error', 'click')) AS n
+               FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY user_id),
+         caps AS (SELECT p_size AS ref, p_brand AS file, p_type AS rule_id, max(1 + p_partkey % 4) AS s FROM part GROUP BY ALL),
+         a AS (SELECT user_id, file, rule_id, s FROM c JOIN caps ON o = ref), b AS (SELECT user_id, file, rule_id, s FROM c JOIN caps ON n = ref)
+    SELECT 'change-' || user_id AS path, file, rule_id, CAST(a.s AS INTEGER) AS prior, CAST(b.s AS INTEGER) AS current,
+           CASE WHEN a.s IS NULL THEN 'added' WHEN b.s IS NULL THEN 'removed' ELSE 'changed' END AS status,
+           CAST(greatest(a.s, b.s) AS INTEGER) AS risk_score
+    FROM a FULL JOIN b USING (user_id, file, rule_id) WHERE a.s IS DISTINCT FROM b.s AND (greatest(a.s, b.s) >= 3 OR user_id IN (SELECT user_id FROM c WHERE o % 2 = 0 AND n % 2 = 0 AND o IN (SELECT p_size FROM part) AND n IN (SELECT p_size FROM part)))
+    """,
+)
+def action_diff_images(t):
+    """The same with types: between two containers capabilities of every level count."""
+    changes, caps = _changes(t)
+    return actions.capability_changes(changes, caps, types=_with_types(t))
+
+
 @query(
     """
     SELECT *, printf('%.2f', prompt_rate) AS prompt_rate_text, printf('%.2f', eval_rate) AS eval_rate_text, printf('%.2f', total_rate) AS total_rate_text

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telltale import functions as T
-from telltale.operators.joins import layer_table
+from telltale.operators.joins import layer_table, sbom_edges, sbom_reachable
 from telltale.operators.nested import lines_of
+from telltale.plans.findings import rank_findings
 from telltale.queries.filtering import diff_source, trace_source
 from telltale.queries.registry import query
 from telltale.session import fresh_path
@@ -55,11 +56,11 @@ def kev_catalog(t):
     return D.parse_kev(t.part.select(content.alias("content")))
 
 
-def _sarif(t) -> DataFrame:
+def _sarif(t, message=lambda x, i: x) -> DataFrame:
     result = lambda x, i: F.struct(
         F.concat(F.lit("R"), (i % 5).cast("string")).alias("ruleId"),
         F.when(i % 2 == 0, F.lit("error")).alias("level"),
-        F.struct(x.alias("text")).alias("message"),
+        F.struct(message(x, i).alias("text")).alias("message"),
         F.when(
             i % 3 > 0,
             F.array(
@@ -539,6 +540,50 @@ def sbom_relationships(t):
     return D.parse_sbom_relationships(_sbom(t), ["doc_id"])
 
 
+@query(
+    f"""
+    SELECT b.doc_id, 'SPDXRef-0' AS spdx_element_id, a.l AS source_name, 'SPDXRef-' || b.pos AS related_spdx_element, b.l AS target_name,
+           'VARIANT_OF' AS relationship_type
+    FROM {_LINES} a JOIN {_LINES} b ON a.doc_id = b.doc_id WHERE a.pos = 0
+    """
+)
+def sbom_edges_by_document(t):
+    """O-J10 within documents: every one has the same ids, and none meets another's."""
+    bills = _sbom(t)
+    return sbom_edges(D.parse_sbom_packages(bills, ["doc_id"]), D.parse_sbom_relationships(bills, ["doc_id"]), ["doc_id"])
+
+
+@query(f"SELECT doc_id, 'SPDXRef-' || pos AS spdx_id, CAST(floor(log2(pos + 1)) AS INTEGER) AS depth FROM {_LINES}")
+def sbom_reachable_by_document(t):
+    """O-J10 without a depth: the lines of a document as a tree, line i above 2i+1 and 2i+2."""
+    ref = lambda i: F.concat(F.lit("SPDXRef-"), i.cast("string"))
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    edges = lines.filter("i > 0").select("doc_id", ref(F.expr("(i - 1) div 2")).alias("spdx_element_id"), ref(F.col("i")).alias("related_spdx_element"))
+    roots = lines.filter("i = 0").select("doc_id", ref(F.col("i")).alias("spdx_id"))
+    return sbom_reachable(edges, roots, None, ["doc_id"])
+
+
+@query(
+    f"""
+    WITH f AS (SELECT doc_id, 'R' || pos % 5 AS rule_id, CASE WHEN pos % 2 = 0 THEN 3 ELSE 2 END AS severity,
+                      CASE WHEN pos % 3 > 0 THEN source END AS uri, pos % 400 IN (SELECT p_partkey FROM part WHERE p_size <> 13) AS listed FROM {_LINES}),
+         r AS (SELECT doc_id, rule_id, max(severity) AS severity, bool_or(listed) AS in_kev, count(DISTINCT uri) AS locations FROM f GROUP BY ALL)
+    SELECT doc_id AS scan, rule_id, CAST(severity AS INTEGER) AS severity, locations, in_kev, severity * 100 + CASE WHEN in_kev THEN 50 ELSE 0 END + locations AS score,
+           CAST(row_number() OVER (PARTITION BY doc_id ORDER BY severity DESC, in_kev DESC, locations DESC, rule_id) AS INTEGER) AS rank
+    FROM r QUALIFY rank <= 3
+    """
+)
+def scan_report(t):
+    """From the scanner's own files to ranks: levels become severities, and messages name ids that a catalog document
+    lists or not."""
+    named = lambda x, i: F.concat(x, F.lit(" CVE-2024-"), F.lpad((i % 400).cast("string"), 6, "0"))
+    scans = _sarif(t, named)
+    findings = D.parse_findings(scans, ["doc_id"]).select(
+        F.col("doc_id").alias("scan"), "rule_id", D.level_severity(F.col("level")).alias("severity"), "message", "uri"
+    )
+    return rank_findings(findings, kev_catalog(t), 3)
+
+
 def _sbom(t) -> DataFrame:
     name = lambda i: F.concat(F.lit("SPDXRef-"), i.cast("string"))
     package = lambda x, i: F.struct(
