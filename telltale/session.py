@@ -68,3 +68,15 @@ def cut(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> bool:
+    """Remove all that this application has written to the shared folder: lineage cuts, blocks, sinks without a path of
+    their own. For the end of a job, when none of its results is read any more."""
+    from telltale.sources.pointer import folders, remove_folder
+
+    name = f"telltale-{spark.sparkContext.applicationId}"
+    found = name in folders(spark, shared_dir(spark))
+    if found:
+        remove_folder(spark, os.path.join(shared_dir(spark), name))
+    return found

@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from telltale import session
 from telltale.operators import joins, ordered, sets
 from telltale.sources import documents as D
 from telltale.sources import lines as L
@@ -330,6 +331,16 @@ def test_a_reader_never_sees_half_a_table(spark, tmp_path, rows):
     assert rows(published.read_published(spark, path)) == rows(spark.range(5))
 
 
+def test_written_copies_are_listed_in_one_folder(spark):
+    """What an application lays down is below one folder of its own, which a job removes at its end."""
+    path = session.fresh_path(spark, "cut")
+    spark.range(3).write.parquet(path)
+    name = f"telltale-{spark.sparkContext.applicationId}"
+    assert name in pointer.folders(spark, session.shared_dir(spark)) and f"/{name}/" in path
+    pointer.remove_folder(spark, path)
+    assert path.rsplit("/", 1)[1] not in pointer.folders(spark, path.rsplit("/", 1)[0])
+
+
 def test_the_pointer_is_replaced_in_one_step(spark, tmp_path):
     path = str(tmp_path / "p" / "_current")
     assert pointer.read_text(spark, path) is None
