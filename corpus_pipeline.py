@@ -2,6 +2,11 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written and read again as the next one's
 ``docs``. All but the last return the columns of ``docs``.
+
+Defined cases. Rows without a text, or with an empty one, fail the base rule of the first stage and go. Texts of any length
+are taken whole; the last stage cuts them into pieces and loses no word. Of near duplicates the row with the smallest id
+stays, ids before none; rows that repeat id and text are one, rows with one id and different texts each count by their own.
+Columns with names that a stage uses for itself pass through unharmed. Empty tables go through all stages and give no rows.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@
 bounded sample of labelled rows, prunes each on rows it was not grown on, takes out what it covers and goes on with
 the rest. ``verdict`` writes the list as one ordered ``CASE WHEN``, so applying it is a plain projection.
 
-Defined cases. A null or empty text, or one without a word, has zero statistics and fails the base rule. Repeated rows
-are judged alike, each on its own. An empty table gives an empty result. Without labels of both kinds no rule is
+Defined cases. A null or empty text, or one without a word, has zero statistics and fails the base rule. Texts of any
+length are counted whole. Of rules with equal worth the one grown first goes first. Repeated rows are judged alike, each on
+its own. An empty table gives an empty result. Without labels of both kinds no rule is
 learned and only the base rule rejects. Nulls in the label columns take no part. Other columns are passed through by
 ``with_quality``; columns of its own names are replaced by its own.
 """

@@ -5,7 +5,7 @@ Going from ``n`` to ``n + 1`` shards a row either stays where it is or moves int
 Rows keep gapless slots within their shard, in the order of their keys. Slots are numbered in two levels: positions
 within range partitions, and the running counts of the partitions before, so no shard passes through one task.
 
-Defined cases. A null or empty text has size 1 and checksum 0. A null key is hashed as the text ``null`` and sorts
+Defined cases. A null or empty text has size 1 and checksum 0; texts of any length are measured whole. A null key is hashed as the text ``null`` and sorts
 first. Repeated rows go to one shard and get slots of their own; which of two equal rows comes first makes no
 difference to the result. An empty table gives an empty result. Extra columns are neither read nor kept.
 """

@@ -1,6 +1,7 @@
 """Byte-level BPE over tables: encode and decode whole texts.
 
-Defined cases. A null text is encoded as an empty one: no ids. Rows are encoded one by one, repeated rows alike; an
+Defined cases. A null text is encoded as an empty one: no ids. Texts of any length are encoded whole, row by row; columns
+beside id and text are not read. Rows are encoded one by one, repeated rows alike; an
 empty table gives an empty result. A string that looks like a special token is ordinary text. Ids unknown to the
 vocabulary fail the job on decoding, as they can't come from it; a null list of ids is decoded to an empty text.
 """
