@@ -36,6 +36,8 @@ def ingest_webhooks(
     ``once_by`` names the id of a delivery. A delivery that comes again is
     dropped before the sink, also in a later batch or after a restart: a stream
     keeps the ids in its state until the arrival times are ``late`` past them.
+    So that the state ends, Spark also drops what arrives with a stamp further
+    back than that; stamps are set on arrival, which keeps them close.
     """
     if once_by is not None:
         seen = df.withWatermark(arrival, late).dropDuplicatesWithinWatermark if df.isStreaming else df.dropDuplicates
