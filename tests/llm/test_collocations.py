@@ -53,7 +53,7 @@ def made(rng, n):
     return docs
 
 
-@pytest.mark.parametrize(("least", "top"), [(3, 3), (3, 20), (5, 60), (2, 2_000), (4, 1)])
+@pytest.mark.parametrize(("least", "top"), [(3, 3), (2, 2_000), (4, 1)])
 def test_against_all_phrases(spark, least, top):
     docs = made(random.Random(least * 100 + top), 400)
     df = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id long, lang string, text string")
