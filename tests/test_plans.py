@@ -92,8 +92,8 @@ def test_blocked_scans_read_their_source_once(spark, no_broadcast, name):
 
 
 def test_a_scan_over_several_blocks_shuffles_its_rows_once(spark, no_broadcast):
-    lines = table(spark, SF, "lineitem").select(F.col("l_orderkey").alias("line_no"), "l_suppkey", "l_shipmode")
-    out = ordered.running_sum(lines, [], ["line_no", "l_suppkey", "l_shipmode"], "l_suppkey", "total", F.expr("line_no div 500"))
+    lines = table(spark, SF, "lineitem").select("l_returnflag", F.col("l_orderkey").alias("line_no"), "l_linenumber", "l_suppkey")
+    out = ordered.running_sum(lines, ["l_returnflag"], ["line_no", "l_linenumber"], "l_suppkey", "total", F.expr("line_no div 500"))
     text = plan(out)
     assert "SortMergeJoin" in text and text.count("FileScan") == 2
     assert len([x for x in text.splitlines() if "Exchange hashpartitioning" in x and "_told" not in x]) == 1
