@@ -32,10 +32,10 @@ from telltale.sources.tables import table
 
 #: Documents of each language that the scores are fitted on, and bytes of all of them, in expectation; chosen by hash.
 #: Longer texts than FIT_TEXT_BYTES are not among them.
-FIT_ROWS_PER_LANGUAGE = 1_500
-FIT_BYTES, FIT_TEXT_BYTES = 64 << 20, 256 << 10
+FIT_ROWS_PER_LANGUAGE = 1_000
+FIT_BYTES, FIT_TEXT_BYTES = 16 << 20, 256 << 10
 #: Words of a segment of a long text, and scores that short texts advance with at a time.
-SEGMENT, SCORES_AT_ONCE = 4_096, 8_000_000
+SEGMENT, SCORES_AT_ONCE = 1 << 16, 8_000_000
 #: Letters of a word in a script without white space.
 RUN = 6
 UNKNOWN = "und"
