@@ -36,6 +36,9 @@ FIT_ROWS_PER_LANGUAGE = 1_000
 FIT_BYTES, FIT_TEXT_BYTES = 16 << 20, 256 << 10
 #: Words of a segment of a long text, and scores that short texts advance with at a time.
 SEGMENT, SCORES_AT_ONCE = 1 << 16, 8_000_000
+#: Code points of new words that are scored together, for sixteen languages or fewer, and character runs from which on a word
+#: is summed up by itself.
+POINTS_AT_ONCE, MANY_RUNS = 1 << 16, 512
 #: Letters of a word in a script without white space.
 RUN = 6
 UNKNOWN = "und"
@@ -189,31 +192,164 @@ def fit_known(docs: DataFrame, per_language: int = FIT_ROWS_PER_LANGUAGE, most_b
     return fit(rows.column(1).to_pylist(), rows.column(2).to_pylist())
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class WordScorer:
+    """``LanguageModel.word_scores`` for many words at once, equal to the last bit.
+
+    The words are laid end to end. A character run is found by the run without its last character, which was met in learning
+    as well, and that character: a search in one sorted column of such pairs for each length. A word's weights are added in
+    the order of ``word_grams``, those of all words side by side.
+    """
+
+    def __init__(self, model: LanguageModel):
+        runs, k = model.runs, len(model.languages)
+        self.weights, self.n_runs = model.weights, len(runs)
+        self.most_points = max(1_024, POINTS_AT_ONCE * 16 // max(16, k))
+        ids = np.fromiter(runs.values(), np.int32, len(runs))
+        lasts = _points("".join(g[-1] for g in runs))
+        single = np.fromiter((len(g) == 1 for g in runs), bool, len(runs))
+        #: By code point: the run that is this character alone, and whether it is a letter (0: not looked at yet, 1: no).
+        self.alone = np.full(0x110000, -1, np.int32)
+        self.alone[lasts[single]] = ids[single]
+        self.kinds = np.zeros(0x110000, np.uint8)
+        shorter = np.fromiter((runs[g[:-1]] for g in runs if len(g) > 1), np.int64, int((~single).sum()))
+        pairs = shorter * self.n_runs + self.alone[lasts[~single]]
+        order = np.argsort(pairs)
+        self.pairs = np.append(pairs[order], np.iinfo(np.int64).max)
+        self.longer = np.append(ids[~single][order], np.int32(-1))
+        #: The languages that each script range leaves a word; all, if the script says nothing.
+        self.left = np.ones((len(SCRIPT_RANGES), k), bool)
+        for i, (_, script) in enumerate(SCRIPT_RANGES):
+            if any(model.scripts.get(script, ())):
+                self.left[i] = model.scripts[script]
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row of scores, and the number of letters, for each of the words; none of them has a line end."""
+        points = _points("\n".join(words))
+        places = np.flatnonzero(self._letters(points))
+        word = np.cumsum(points == 10)[places]
+        letters = np.bincount(word, minlength=len(words)).astype(np.int32)
+        if not self.left.shape[1]:
+            return np.zeros((len(words), 0), np.float32), letters
+        score = self._sums(*self._known_runs(words), len(words)) / np.float32(4.0)  # every letter is in about four runs
+        score[letters == 0] = 0
+        some = word[firsts := np.flatnonzero(np.diff(word, prepend=-1))]
+        left = self.left[np.searchsorted(_STARTS, points[places[firsts]], side="right") - 1]
+        least = score[some].min(1, keepdims=True) - np.float32(SWITCH)
+        score[some] = np.where(left, score[some], least)
+        return score - score.max(1, keepdims=True), letters
+
+    def _letters(self, points: np.ndarray) -> np.ndarray:
+        kinds = self.kinds[points]
+        if not kinds.all():
+            for c in np.unique(points[kinds == 0]).tolist():
+                self.kinds[c] = 2 if _LETTER.match(chr(c)) else 1
+            kinds = self.kinds[points]
+        return kinds == 2
+
+    def _known_runs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of all words that were met in learning, in the order of ``word_grams``, and the word of each."""
+        points = _points("\n".join(words).lower())  # a line end is for lower-casing what the end of a text is
+        places = np.flatnonzero(self._letters(points))
+        part = np.cumsum(np.diff(places, prepend=-2) > 1) - 1  # letters in a row
+        word = np.cumsum(points == 10)[places[np.flatnonzero(np.diff(part, prepend=-1))]]
+        size = np.bincount(part) + 2  # with the marks of both ends
+        begin = np.cumsum(size) - size
+        alone = np.full(int(size.sum()), self.alone[ord("^")], np.int32)
+        alone[np.arange(len(places)) + 2 * part + 1] = self.alone[points[places]]
+        alone[begin + size - 1] = self.alone[ord("$")]
+        part = np.repeat(np.arange(len(size)), size)
+        count = 4 * size - 6  # size, size - 1, size - 2 and size - 3 runs of one to four characters
+        to = np.cumsum(count) - count - begin
+        runs = np.full(int(count.sum()), -1, np.int32)
+        found = alone
+        for n in (1, 2, 3, 4):
+            if n > 1:
+                found = self._longer(found[:-1], alone[n - 1 :])
+            at = np.flatnonzero(found >= 0)
+            runs[at + to[part[at]]] = found[at]
+            to += size - n + 1
+        met = runs >= 0
+        return runs[met], np.repeat(word, count)[met]
+
+    def _longer(self, runs: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+        """The runs that are one character longer, or -1. None goes beyond a mark, as no run met in learning does."""
+        out = np.full(len(runs), -1, np.int32)
+        at = np.flatnonzero((runs >= 0) & (lasts >= 0))
+        pairs = runs[at].astype(np.int64) * self.n_runs + lasts[at]
+        place = np.searchsorted(self.pairs, pairs)
+        out[at] = np.where(self.pairs[place] == pairs, self.longer[place], -1)
+        return out
+
+    def _sums(self, runs: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+        """The sum of the weights of each word's runs: the next run of every word per step, words with many runs by themselves."""
+        count = np.bincount(word, minlength=n)
+        order = np.argsort(-count, kind="stable")
+        begin, count = (np.cumsum(count) - count)[order], count[order]
+        total = np.zeros((n, self.weights.shape[1]), np.float32)
+        steps = min(int(count[0]), MANY_RUNS) if n else 0
+        active = np.searchsorted(-count, -np.arange(steps), side="left")  # words with more runs than each step
+        for step, some in enumerate(active.tolist()):
+            total[:some] += self.weights[runs[begin[:some] + step]]
+        for i in range(int(np.searchsorted(-count, -MANY_RUNS, side="left"))):
+            for at in range(int(begin[i]) + MANY_RUNS, int(begin[i] + count[i]), self.most_points):
+                rows = self.weights[runs[at : min(at + self.most_points, int(begin[i] + count[i]))]]
+                total[i] = np.concatenate([total[i][None], rows]).sum(0)
+        out = np.empty_like(total)
+        out[order] = total
+        return out
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are first met, and keeps those not scored yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordTable:
-    """Scores of the words met so far, a row each; starts over beyond MEMO_WORDS."""
+    """Scores of the words met so far, a row each; starts over beyond MEMO_WORDS.
+
+    It does not hold the model, which holds it: both go as soon as a worker process lets go of the model.
+    """
 
     def __init__(self, model: LanguageModel):
-        self.model = model
+        self.languages = model.languages
+        self._scorer = WordScorer(model)
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.model.languages)), np.float32)
+        self.known = _Numbers()
+        self.scores = np.zeros((1024, len(self.languages)), np.float32)
         self.letters = np.zeros(1024, np.int32)
 
     def ids(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.array([known[w] for w in words], np.int32)
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    i = known[w] = len(known)
-                    if i == len(self.letters):
-                        self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                        self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-                    self.scores[i], self.letters[i] = self.model.word_scores(w)
-            return np.array([known[w] for w in words], np.int32)
+        return self.ids_of([words])[0]
+
+    def ids_of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The rows of the words of each text. What is new in all of them is scored together, a bounded piece at a time."""
+        number = self.known.__getitem__
+        ids = [np.fromiter(map(number, words), np.int32, len(words)) for words in texts]
+        new, self.known.new = self.known.new, []
+        begin = len(self.known) - len(new)
+        while len(self.letters) < len(self.known):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        pieces = np.cumsum([len(w) + 1 for w in new]) // self._scorer.most_points
+        for some in np.split(np.arange(len(new)), np.flatnonzero(np.diff(pieces)) + 1):
+            if len(some):
+                rows = slice(begin + int(some[0]), begin + int(some[-1]) + 1)
+                self.scores[rows], self.letters[rows] = self._scorer(new[some[0] : some[-1] + 1])
+        return ids
 
     def start(self) -> None:
         """Call before a batch: ids stay valid within one."""
@@ -334,9 +470,9 @@ def paths_of(table_: WordTable, ids: list[np.ndarray]) -> list[np.ndarray]:
 def label_batch(table_: WordTable, texts: list[str]) -> tuple[list[str], np.ndarray, list[np.ndarray], list[list[str]]]:
     """Language and score of each text, and the path over its words."""
     table_.start()
-    names = table_.model.languages
+    names = table_.languages
     words = [words_of(t) for t in texts]
-    ids = [table_.ids(w) for w in words]
+    ids = table_.ids_of(words)
     paths = paths_of(table_, ids)
     langs, score = [], np.zeros(len(texts))
     for i, (own, path) in enumerate(zip(ids, paths, strict=True)):

@@ -1,5 +1,9 @@
+import gc
 import itertools
+import random
+import time
 import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
@@ -108,6 +112,47 @@ def small_model():
     return g.fit([en, de, ru] * 3, ["en", "de", "ru"] * 3)
 
 
+def test_new_words_are_scored_together_as_each_by_itself(monkeypatch):
+    rng = random.Random(3)
+    letters = "aàßéÉzİΣσςαжЖ漢字かน가ǅⅣⒶ½١27'._-^$🙂𐐀"
+    odd = ["".join(rng.choices(letters, k=rng.choice([1, 2, 5, 9, 700]))) for _ in range(400)]
+    odd += ["ΑΣ", "ΑΣ.", "İ", "^a$", "12", "don't", "thé" * 2_000]
+    for k in (1, 2, 3, 40):
+        model = g.fit([" ".join(rng.choices(odd, k=40)) for _ in range(2 * k)], [f"l{i % k}" for i in range(2 * k)])
+        each = [model.word_scores(w) for w in odd]
+        for points, many in ((1, 7), (1 << 16, 512)):
+            monkeypatch.setattr(g, "POINTS_AT_ONCE", points)
+            monkeypatch.setattr(g, "MANY_RUNS", many)
+            table = g.WordTable(model)
+            ids = table.ids(odd)
+            assert all(np.array_equal(table.scores[i], score) and table.letters[i] == n for i, (score, n) in zip(ids, each, strict=True))
+
+
+def test_many_new_words_take_less_time_than_one_by_one():
+    rng = random.Random(4)
+    words = list({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(40_000)})
+    model = g.fit([" ".join(words[:5_000])] * 2, ["en", "de"])
+    table = model.words()
+    began = time.process_time()
+    for w in words:
+        model.word_scores(w)
+    one_by_one, began = time.process_time() - began, time.process_time()
+    table.ids(words)
+    assert time.process_time() - began < one_by_one / 2
+
+
+def test_words_go_with_their_model():
+    model = small_model()
+    g.label_batch(model.words(), ["the cat"])
+    gone = weakref.ref(model.words())
+    gc.disable()
+    try:
+        del model
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
 def test_spans_and_scripts(spark):
     text = "the cat and the other thing went with this dog " * 3 + "der hund und die katze sind nicht mit dem haus " * 3 + "кошка и собака 12 !"
     df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
