@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from array import array
 from bisect import bisect_right
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm.common import MEMO_WORDS, bounded_sample, held_out, per_batch
+from telltale.llm.common import bounded_sample, held_out, per_batch
 from telltale.sources.tables import table
 
 #: Documents of each language that the scores are fitted on, and bytes of all of them, in expectation; chosen by hash.
@@ -39,6 +40,8 @@ SEGMENT, SCORES_AT_ONCE = 1 << 16, 8_000_000
 #: Code points of new words that are scored together, for sixteen languages or fewer, and character runs from which on a word
 #: is summed up by itself.
 POINTS_AT_ONCE, MANY_RUNS = 1 << 16, 512
+#: Words whose scores a task remembers before it starts over; to score one again costs less than the memory of more.
+KEPT_WORDS = 300_000
 #: Letters of a word in a script without white space.
 RUN = 6
 UNKNOWN = "und"
@@ -317,7 +320,7 @@ class _Numbers(dict):
 
 
 class WordTable:
-    """Scores of the words met so far, a row each; starts over beyond MEMO_WORDS.
+    """Scores of the words met so far, a row each; starts over beyond KEPT_WORDS.
 
     It does not hold the model, which holds it: both go as soon as a worker process lets go of the model.
     """
@@ -335,7 +338,7 @@ class WordTable:
     def ids(self, words: list[str]) -> np.ndarray:
         return self.ids_of([words])[0]
 
-    def ids_of(self, texts: list[list[str]]) -> list[np.ndarray]:
+    def ids_of(self, texts: Iterable[list[str]]) -> list[np.ndarray]:
         """The rows of the words of each text. What is new in all of them is scored together, a bounded piece at a time."""
         number = self.known.__getitem__
         ids = [np.fromiter(map(number, words), np.int32, len(words)) for words in texts]
@@ -353,7 +356,7 @@ class WordTable:
 
     def start(self) -> None:
         """Call before a batch: ids stay valid within one."""
-        if len(self.known) > MEMO_WORDS:
+        if len(self.known) > KEPT_WORDS:
             self._clear()
 
 
@@ -468,11 +471,15 @@ def paths_of(table_: WordTable, ids: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def label_batch(table_: WordTable, texts: list[str]) -> tuple[list[str], np.ndarray, list[np.ndarray], list[list[str]]]:
-    """Language and score of each text, and the path over its words."""
+    """``labels_of``, and the words."""
+    return *labels_of(table_, texts), [words_of(t) for t in texts]
+
+
+def labels_of(table_: WordTable, texts: list[str]) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
+    """Language and score of each text, and the path over its words, which are held for one text at a time."""
     table_.start()
     names = table_.languages
-    words = [words_of(t) for t in texts]
-    ids = table_.ids_of(words)
+    ids = table_.ids_of(map(words_of, texts))
     paths = paths_of(table_, ids)
     langs, score = [], np.zeros(len(texts))
     for i, (own, path) in enumerate(zip(ids, paths, strict=True)):
@@ -481,7 +488,7 @@ def label_batch(table_: WordTable, texts: list[str]) -> tuple[list[str], np.ndar
         known = bool(names) and total > 0
         langs.append(names[best] if known else UNKNOWN)
         score[i] = weight[best] / total if known else 0.0
-    return langs, score, paths, words
+    return langs, score, paths
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str], lang: str = "lang_pred", score: str = "score", spans: str | None = None) -> DataFrame:
@@ -496,7 +503,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], lang: str =
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            langs, share, paths, _ = label_batch(known, texts)
+            langs, share, paths = labels_of(known, texts)
             out = batch.select(list(range(len(keep)))).append_column(lang, pa.array(langs, pa.string())).append_column(score, pa.array(share))
             if spans is None:
                 return out
@@ -521,7 +528,7 @@ def language_spans(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
         def step(batch: pa.RecordBatch) -> dict:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            _, _, paths, words = label_batch(known, texts)
+            _, _, paths = labels_of(known, texts)
             rows: list[tuple] = []
             for i, path in enumerate(paths):
                 cuts = np.flatnonzero(np.diff(path)) + 1

@@ -153,6 +153,16 @@ def test_words_go_with_their_model():
         gc.enable()
 
 
+def test_words_of_a_batch_are_not_held():
+    texts = ["the cat went with " * 250] * 1_000
+    table = small_model().words()
+    tracemalloc.start()
+    langs, _, _ = g.labels_of(table, texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert langs == ["en"] * 1_000 and most < 40 << 20  # the words alone take 50
+
+
 def test_spans_and_scripts(spark):
     text = "the cat and the other thing went with this dog " * 3 + "der hund und die katze sind nicht mit dem haus " * 3 + "кошка и собака 12 !"
     df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
